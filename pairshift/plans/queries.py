@@ -13,10 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairshift.functions import text as tx
+from pairshift.functions.labels import parse_nli_label
+from pairshift.functions.perturb import with_code_switch, with_informal_noise, with_perturbation
+from pairshift.operators import build, inspect, pairing, reports, scoring, vectors
 from pairshift.operators import tokens as tk
 from pairshift.sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SEED = tb.SEED
 
 
 def register(name: str):
@@ -31,7 +36,8 @@ def r6(c) -> Column:
     return F.round(c.cast("double"), 6)
 
 
-def _round_doubles(df: DataFrame) -> DataFrame:
+def rounded(df: DataFrame) -> DataFrame:
+    """Round every double column to 6 places (float sums are order-dependent)."""
     return df.select(*[r6(f.name).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name)
                        for f in df.schema.fields])
 
@@ -53,10 +59,170 @@ def flat_examples(ex: DataFrame) -> DataFrame:
     return ex.select(*cols)
 
 
-def _nli_examples(spark: SparkSession, d: str, insert: str = "en") -> DataFrame:
+def nli_ex(spark: SparkSession, d: str, insert: str = "en") -> DataFrame:
     return tb.nli_examples(spark, d, "fr", insert).withColumn("dataset", F.lit(f"docs_fr-{insert}"))
 
 
+def qa_ex(spark: SparkSession, d: str) -> DataFrame:
+    return tb.qa_examples(spark, d).withColumn("dataset", F.lit("conv_fr-en"))
+
+
+def nli_preds(spark: SparkSession, d: str, insert: str = "en") -> DataFrame:
+    return tb.nli_predictions(nli_ex(spark, d, insert)).withColumn("language_pair", F.lit(f"fr-{insert}"))
+
+
+# ---------------------------------------------------------------- text scalars
+@register("normalize_ws")
+def q_normalize_ws(spark, d):
+    """T1 over every document."""
+    return tb.read_table(spark, d, "documents").select("doc_id", tx.normalize_ws("text").alias("normalized"))
+
+
+@register("simple_tokenize")
+def q_simple_tokenize(spark, d):
+    """T2 over every document: token count and the tokens joined by spaces."""
+    t = tx.simple_tokenize("text")
+    return tb.read_table(spark, d, "documents").select(
+        "doc_id", F.size(t).cast("int").alias("n_tokens"), F.array_join(t, " ").alias("tokens")
+    )
+
+
+@register("normalize_answer")
+def q_normalize_answer(spark, d):
+    """T3 over every conversation turn."""
+    return tb.read_table(spark, d, "conversations").select("conv_id", "turn", tx.normalize_answer("text").alias("normalized"))
+
+
+@register("char_word_counts")
+def q_char_word_counts(spark, d):
+    """T7/T8 over every document."""
+    return tb.read_table(spark, d, "documents").select(
+        "doc_id", tx.chars_no_ws("text").alias("chars_no_ws"), tx.word_count("text").alias("words")
+    )
+
+
+# ---------------------------------------------------------------- sources, zip, sampling
+@register("parallel_zip")
+def q_parallel_zip(spark, d):
+    """J5/IO12: French and English NLI corpora aligned by position."""
+    z = tb.nli_source(spark, d)
+    return z.select(F.col("idx").cast("long").alias("idx"), F.col("b_id").alias("base_id"), F.col("i_id").alias("insert_id"), "split")
+
+
+@register("label_map")
+def q_label_map(spark, d):
+    """Pair ids and label names (integer 3 falls back to neutral)."""
+    return tb.nli_pairs(spark, d).select("pair_id", "label")
+
+
+@register("sample_n")
+def q_sample_n(spark, d):
+    """100 French documents without replacement, keyed random order."""
+    fr = tb.read_table(spark, d, "documents").where(F.col("lang") == "fr").select("doc_id")
+    return build.sample_n(fr, 100, "doc_id", seed=SEED)
+
+
+@register("sample_per_split")
+def q_sample_per_split(spark, d):
+    """Per-split quotas (train 60, test 15) over the fr-en pairs."""
+    p = tb.nli_pairs(spark, d).select("pair_id", "split")
+    return build.sample_per_split(p, {"train": 60, "test": 15}, "pair_id", seed=SEED)
+
+
+# ---------------------------------------------------------------- perturbation
+def _pairs_a(spark, d):
+    return tb.nli_pairs(spark, d).select("pair_id", "split", "a_clean", "a_insert")
+
+
+@register("code_switch")
+def q_code_switch(spark, d):
+    """G1: premise with an English span spliced in (or verbatim)."""
+    df = with_code_switch(_pairs_a(spark, d), "a_clean", "a_insert", [F.col("split"), F.col("pair_id")], "a", "cs", SEED)
+    return df.select("pair_id", F.col("cs_mixed").alias("mixed"))
+
+
+@register("code_switch_meta")
+def q_code_switch_meta(spark, d):
+    """Code-switch provenance per premise."""
+    df = with_code_switch(_pairs_a(spark, d), "a_clean", "a_insert", [F.col("split"), F.col("pair_id")], "a", "cs", SEED)
+    return df.select(
+        "pair_id", F.col("cs_cs.applied").alias("applied"), F.col("cs_cs.span_len").alias("span_len"),
+        F.col("cs_cs.insert_pos").alias("insert_pos"), F.col("cs_cs.insert_lang_span").alias("span"),
+    )
+
+
+def _noised(spark, d):
+    df = _pairs_a(spark, d).withColumn("_t", tx.ws_tokens("a_clean"))
+    return with_informal_noise(df, "_t", [F.col("split"), F.col("pair_id")], "a", "nz", SEED)
+
+
+@register("informal_noise")
+def q_informal_noise(spark, d):
+    """Informal noise alone on every premise."""
+    return _noised(spark, d).select("pair_id", F.col("nz_text").alias("noised"))
+
+
+@register("informal_noise_meta")
+def q_informal_noise_meta(spark, d):
+    """Noise provenance (drops, abbreviations, punctuation)."""
+    return _noised(spark, d).select(
+        "pair_id", F.col("nz_noise.dropped_tokens").alias("dropped"), F.col("nz_noise.abbreviations").alias("abbr"),
+        F.col("nz_noise.punct_added").alias("punct"),
+    )
+
+
+@register("perturb")
+def q_perturb(spark, d):
+    """Code-switch then noise on both fields."""
+    df = tb.nli_pairs(spark, d)
+    keys = [F.col("split"), F.col("pair_id")]
+    df = with_perturbation(df, "a_clean", "a_insert", keys, "a", "a_pert", SEED)
+    df = with_perturbation(df, "b_clean", "b_insert", keys, "b", "b_pert", SEED)
+    return df.select("pair_id", "a_pert", "b_pert")
+
+
+# ---------------------------------------------------------------- prompts
+@register("nli_prompt")
+def q_nli_prompt(spark, d):
+    """T9 on every fr-en pair."""
+    return tb.nli_pairs(spark, d).select("pair_id", tx.nli_prompt("a_clean", "b_clean").alias("prompt"))
+
+
+@register("qa_prompt")
+def q_qa_prompt(spark, d):
+    """T10 on every QA pair."""
+    p = build.qa_pairs_from_zip(tb.qa_source(spark, d), "conv_fr-en", "fr")
+    return p.select("pair_id", tx.qa_prompt("a_clean", "b_clean").alias("prompt"))
+
+
+@register("legacy_frame")
+def q_legacy_frame(spark, d):
+    """Legacy two-frame dataset from French documents."""
+    return build.legacy_frame_examples(tb.legacy_raw(spark, d), seed=SEED).select("id", "variant", "input", "label")
+
+
+@register("prompt_parse")
+def q_prompt_parse(spark, d):
+    """premise/hypothesis from fields, or parsed back from prompt lines."""
+    leg = build.legacy_frame_examples(tb.legacy_raw(spark, d), seed=SEED).select(
+        "id", "input", F.lit(None).cast("string").alias("prompt"),
+        F.lit(None).cast("string").alias("text_a"), F.lit(None).cast("string").alias("text_b"))
+    ex = nli_ex(spark, d).select("id", "input", "prompt", "text_a", "text_b")
+    df = leg.unionByName(ex)
+    prem, hyp = tx.prompt_fields()
+    return df.select("id", prem.alias("premise"), hyp.alias("hypothesis"))
+
+
+@register("strip_echo")
+def q_strip_echo(spark, d):
+    """Outputs of a causal model that echo the prompt are cut after it."""
+    p = nli_preds(spark, d)
+    kind = F.when(F.col("model") == F.lit(tb.ADAPTER_MODELS[1]), F.lit("causal")).otherwise(F.lit("seq2seq"))
+    raw = F.when(kind == "causal", F.concat(F.col("input"), F.lit("\n"), F.col("prediction"))).otherwise(F.col("prediction"))
+    return p.select("id", "model", tx.strip_echo(raw, F.col("input"), kind).alias("answer"))
+
+
+# ---------------------------------------------------------------- builders
 @register("build_nli_examples")
 def q_build_nli_examples(spark, d):
     """French documents zipped with English ones, two rows per pair."""
@@ -69,8 +235,316 @@ def q_build_qa_examples(spark, d):
     return flat_examples(tb.qa_examples(spark, d))
 
 
+@register("build_legacy_pairs")
+def q_build_legacy_pairs(spark, d):
+    """Prototype builder (variant name ``switchmix``) over the fr-en pairs."""
+    ex = build.build_examples(tb.nli_pairs(spark, d), "nli", "fr", "en", seed=SEED, variant_name="switchmix")
+    return flat_examples(ex)
+
+
+def _syn_keys(spark, d):
+    return tb.read_table(spark, d, "documents").select("doc_id")
+
+
+@register("synthetic_nli")
+def q_synthetic_nli(spark, d):
+    """One templated NLI example per document key."""
+    return build.synthetic_nli(_syn_keys(spark, d), "doc_id", seed=SEED)
+
+
+@register("synthetic_qa")
+def q_synthetic_qa(spark, d):
+    """One templated QA example per document key."""
+    return build.synthetic_qa(_syn_keys(spark, d), "doc_id", seed=SEED)
+
+
+@register("build_synthetic_examples")
+def q_build_synthetic_examples(spark, d):
+    """Templated NLI examples through the two-row builder."""
+    s = build.synthetic_nli(_syn_keys(spark, d).withColumnRenamed("doc_id", "k"), "k", seed=SEED)
+    s = s.withColumn("_k", F.regexp_extract("pair_id", r"(\d+)$", 1).cast("long"))
+    pairs = s.select(
+        "pair_id", F.when(F.col("_k") % 5 < 4, F.lit("train")).otherwise(F.lit("test")).alias("split"),
+        F.col("premise_fr").alias("a_clean"), F.col("premise_en").alias("a_insert"),
+        F.col("hypothesis_fr").alias("b_clean"), F.col("hypothesis_en").alias("b_insert"), "label",
+    )
+    return flat_examples(build.build_examples(pairs, "nli", "fr", "en", seed=SEED))
+
+
+# ---------------------------------------------------------------- pairing
+def damaged(spark, d):
+    return tb.damaged_examples(nli_ex(spark, d))
+
+
+@register("pair_key")
+def q_pair_key(spark, d):
+    """J2 on damaged examples (null pair ids fall back to the id prefix)."""
+    return damaged(spark, d).select("id", "variant", pairing.pair_key().alias("pair_key"))
+
+
+@register("pair_rows")
+def q_pair_rows(spark, d):
+    """Last row per variant wins, switchmix aliases perturbed, incomplete pairs dropped."""
+    p = pairing.pair_rows(damaged(spark, d), dataset_col="dataset")
+    return p.select("dataset", "pair_id", F.col("clean.id").alias("clean_id"), F.col("perturbed.id").alias("perturbed_id"),
+                    "task", "split", F.length("clean_text").cast("long").alias("clean_len"),
+                    F.length("perturbed_text").cast("long").alias("perturbed_len"))
+
+
+@register("max_pairs_limit")
+def q_max_pairs_limit(spark, d):
+    """First 40 pair keys per dataset in first-seen order, then incomplete pairs dropped."""
+    both = damaged(spark, d).unionByName(tb.damaged_examples(qa_ex(spark, d)), allowMissingColumns=True)
+    p = pairing.pair_rows(both, dataset_col="dataset", max_pairs=40)
+    return p.select("dataset", "pair_id")
+
+
+@register("pair_size_histogram")
+def q_pair_size_histogram(spark, d):
+    """Rows per pair key as the inspector pairs them."""
+    return inspect.pair_size_histogram(damaged(spark, d))
+
+
+# ---------------------------------------------------------------- tokens
+@register("pair_token_deltas")
+def q_pair_token_deltas(spark, d):
+    """M2 per pair (simple tokenizer)."""
+    p = pairing.pair_rows(nli_ex(spark, d), dataset_col="dataset")
+    return rounded(tk.pair_token_deltas(p, "simple"))
+
+
+@register("token_histogram")
+def q_token_histogram(spark, d):
+    """Token counts per group, clean vs perturbed (whitespace tokenizer)."""
+    p = pairing.pair_rows(nli_ex(spark, d), dataset_col="dataset")
+    return tk.token_histogram(p, "whitespace")
+
+
+@register("js_divergence")
+def q_js_divergence(spark, d):
+    """JS divergence (bits) of the whitespace-token distributions per group."""
+    p = pairing.pair_rows(nli_ex(spark, d), dataset_col="dataset")
+    h = tk.token_histogram(p, "whitespace")
+    groups = p.select(*tk.GROUP).distinct()
+    return rounded(tk.js_divergence(h, groups))
+
+
 @register("tokenizer_stats")
 def q_tokenizer_stats(spark, d):
     """A7-A9 with the word/punctuation tokenizer over the fr-en examples."""
-    st = tk.tokenizer_stats(_nli_examples(spark, d), "simple", dataset_col="dataset")
-    return _round_doubles(st)
+    return rounded(tk.tokenizer_stats(nli_ex(spark, d), "simple", dataset_col="dataset"))
+
+
+# ---------------------------------------------------------------- scoring
+@register("parse_label_variants")
+def q_parse_label_variants(spark, d):
+    """T5: parser with verb forms over every model output."""
+    p = nli_preds(spark, d)
+    return p.select("id", "model", "prediction", parse_nli_label("prediction", True).alias("parsed"))
+
+
+@register("parse_label_plain")
+def q_parse_label_plain(spark, d):
+    """Parser without verb forms."""
+    p = nli_preds(spark, d)
+    return p.select("id", "model", "prediction", parse_nli_label("prediction", False).alias("parsed"))
+
+
+def _qa_preds(spark, d):
+    return tb.qa_predictions(qa_ex(spark, d))
+
+
+@register("f1_per_example")
+def q_f1_per_example(spark, d):
+    """M1/T4: multiset token F1 of every QA answer (exploded form, whole texts)."""
+    f = scoring.f1_per_example(_qa_preds(spark, d), ["id", "model"])
+    return rounded(f.select("id", "model", F.col("n_pred").cast("int").alias("n_pred"), F.col("n_gold").cast("int").alias("n_gold"), "f1"))
+
+
+@register("accuracy_normalized")
+def q_accuracy_normalized(spark, d):
+    """A1: evaluator accuracy (parsed with T5, both sides normalised) per model and variant."""
+    p = nli_preds(spark, d).withColumn("parsed", parse_nli_label("prediction", True))
+    return rounded(scoring.accuracy(p, ["model", "variant"], pred="parsed"))
+
+
+@register("exact_match")
+def q_exact_match(spark, d):
+    """A2: QA exact match per model and variant."""
+    return rounded(scoring.exact_match(_qa_preds(spark, d), ["model", "variant"]))
+
+
+@register("mean_f1")
+def q_mean_f1(spark, d):
+    """A3: mean token F1 per model and variant."""
+    p = _qa_preds(spark, d)
+    f = scoring.f1_per_example(p, ["id", "model"]).join(p.select("id", "model", "variant"), on=["id", "model"])
+    return rounded(scoring.mean_f1(f, ["model", "variant"]))
+
+
+@register("robustness_drop")
+def q_robustness_drop(spark, d):
+    """A5: clean minus perturbed accuracy (lower+strip compare of the parsed label)."""
+    p = nli_preds(spark, d).withColumn("parsed", parse_nli_label("prediction", True))
+    return rounded(scoring.robustness_drop(p, ["model"], pred="parsed"))
+
+
+@register("robustness_report")
+def q_robustness_report(spark, d):
+    """Robustness summary per (language pair, task, model), NLI and QA."""
+    qa = _qa_preds(spark, d).withColumn("language_pair", F.lit("fr-en"))
+    both = nli_preds(spark, d).unionByName(qa, allowMissingColumns=True)
+    return rounded(scoring.robustness_report(both))
+
+
+@register("score_join")
+def q_score_join(spark, d):
+    """Predictions kept as their own table and joined back to examples on (id)."""
+    ex = nli_ex(spark, d)
+    preds = tb.nli_predictions(ex).select("id", "model", "prediction")
+    j = ex.select("id", "variant", "label").join(preds, on="id")
+    j = j.withColumn("parsed", parse_nli_label("prediction", True))
+    return rounded(scoring.accuracy(j, ["model", "variant"], pred="parsed"))
+
+
+@register("baseline_random")
+def q_baseline_random(spark, d):
+    """Seeded random-label baseline over NLI and QA examples."""
+    both = nli_ex(spark, d).unionByName(qa_ex(spark, d))
+    return scoring.baseline_random(both, seed=SEED).select("id", "task", "model", "prediction")
+
+
+@register("filter_task_split")
+def q_filter_task_split(spark, d):
+    """rows of one task, split and variant."""
+    ex = nli_ex(spark, d).unionByName(qa_ex(spark, d))
+    return ex.where((F.col("task") == "nli") & (F.col("split") == "test") & (F.col("variant") == "clean")).select("id")
+
+
+@register("first_n_examples")
+def q_first_n_examples(spark, d):
+    """the first 25 examples by id (a limit is the feature here)."""
+    return nli_ex(spark, d).select("id", "label").orderBy("id").limit(25)
+
+
+@register("skip_counts")
+def q_skip_counts(spark, d):
+    """Rows skipped for an empty premise/hypothesis or unknown label, per split and variant."""
+    v = scoring.nli_validity(nli_ex(spark, d))
+    return v.groupBy("split", "variant").agg(
+        F.count(F.when(F.col("_valid"), 1)).cast("long").alias("n_valid"),
+        F.count(F.when(~F.col("_valid"), 1)).cast("long").alias("n_skipped"),
+    )
+
+
+# ---------------------------------------------------------------- reports
+def _cross(spark, d) -> DataFrame:
+    rows = [scoring.robustness_report(nli_preds(spark, d, ins)) for ins in ("en", "es", "de")]
+    summaries = reports.all_results(rows)
+    drop_one = (F.col("language_pair") == "fr-de") & (F.col("model") == F.lit(tb.ADAPTER_MODELS[1]))
+    return reports.cross_language(summaries.where(~drop_one))
+
+
+@register("cross_language")
+def q_cross_language(spark, d):
+    """NLI robustness per language pair (fr-en, fr-es, fr-de) and model."""
+    return rounded(_cross(spark, d))
+
+
+@register("cross_language_pivot")
+def q_cross_language_pivot(spark, d):
+    """Mean drop per language pair (rows) and model (columns), absent = 0.0."""
+    p = reports.cross_language_pivot(_cross(spark, d), list(tb.ADAPTER_MODELS))
+    return rounded(p.toDF("language_pair", "drop_model_a", "drop_model_b"))
+
+
+@register("paper_table")
+def q_paper_table(spark, d):
+    """The five paper columns."""
+    return rounded(reports.paper_table(_cross(spark, d)))
+
+
+@register("all_results")
+def q_all_results(spark, d):
+    """Robustness summary and cross-language table in one outer union."""
+    rep = scoring.robustness_report(nli_preds(spark, d))
+    return rounded(reports.all_results([rep, _cross(spark, d)]))
+
+
+# ---------------------------------------------------------------- inspection
+@register("counts_by_dim")
+def q_counts_by_dim(spark, d):
+    """Row counts by variant, task and split (grouping sets)."""
+    return inspect.counts_by_dim(damaged(spark, d))
+
+
+@register("length_stats")
+def q_length_stats(spark, d):
+    """Nearest-rank length stats of clean and perturbed inputs."""
+    return rounded(inspect.length_stats(damaged(spark, d)))
+
+
+@register("perturbation_rates")
+def q_perturbation_rates(spark, d):
+    """Applied rate, span length, drops, abbreviations, punctuation per (task, split, label)."""
+    return rounded(inspect.perturbation_rates(nli_ex(spark, d)))
+
+
+@register("show_pairs")
+def q_show_pairs(spark, d):
+    """Five random pairs side by side (top-n by keyed draw)."""
+    return inspect.show_pairs(damaged(spark, d), n=5, seed=SEED)
+
+
+# ---------------------------------------------------------------- vectors, efficiency, models
+@register("vector_drift")
+def q_vector_drift(spark, d):
+    """M3: cosine and drift per pair and layer."""
+    return rounded(vectors.vector_drift(tb.vectors(spark, d)).select("pair_id", "layer", "cosine", "drift"))
+
+
+@register("pool_cls")
+def q_pool_cls(spark, d):
+    """Drift between CLS-pooled token vectors."""
+    return rounded(vectors.pooled_drift(tb.token_vectors(spark, d), "cls"))
+
+
+@register("pool_mean")
+def q_pool_mean(spark, d):
+    """Drift between mask-aware mean-pooled token vectors."""
+    return rounded(vectors.pooled_drift(tb.token_vectors(spark, d), "mean"))
+
+
+@register("representation_shift")
+def q_representation_shift(spark, d):
+    """A10/O1: per-layer cosine summary (population std)."""
+    return rounded(vectors.representation_shift(tb.vectors(spark, d), model="embeddings", pool="cls"))
+
+
+@register("efficiency_summary")
+def q_efficiency_summary(spark, d):
+    """Truncated lengths and activation estimates per group."""
+    hs = reports.hidden_size_from_config({"d_model": 512})
+    return rounded(reports.efficiency_summary(nli_ex(spark, d), "encoder-512", hs, "simple", max_length=256, dataset_col="dataset"))
+
+
+@register("logits_accuracy")
+def q_logits_accuracy(spark, d):
+    """M8: accuracy of the first-maximum class per model, split and variant (valid rows)."""
+    lg = scoring.nli_validity(tb.logits_table(nli_ex(spark, d))).where(F.col("_valid"))
+    hit = (scoring.argmax_first("logits") == F.col("_label_id")).cast("double")
+    return rounded(lg.groupBy("model", "split", "variant").agg(
+        F.avg(hit).alias("accuracy"), F.count(F.lit(1)).cast("long").alias("n")))
+
+
+@register("scaling_table")
+def q_scaling_table(spark, d):
+    """Clean vs perturbed accuracy, skip counts and model size per model."""
+    lg = tb.logits_table(nli_ex(spark, d))
+    return rounded(scoring.scaling_table(lg, reports.model_sizes(spark), seed=SEED))
+
+
+@register("model_size_lookup")
+def q_model_size_lookup(spark, d):
+    """Models seen in the predictions with their size (unknown -> null)."""
+    return reports.model_size_lookup(nli_preds(spark, d))

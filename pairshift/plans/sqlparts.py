@@ -161,6 +161,7 @@ def perturb_field(src: str, f: str, p_switch: float = 0.35, noise_p: float = 0.1
         f"SELECT * EXCLUDE (_b, _s, _ap, _sl, _st, _ps, _mt, _span, _hits, _pc), "
         f"array_to_string(list_transform(_mt, lambda t, i: CASE WHEN _hits[i] IN ({drop_sql}) THEN NULL "
         f"{abbr_case.replace('WHEN ', 'WHEN _hits[i] = ')} ELSE t END), ' ') || _pc AS {f}_pert, "
+        f"CASE WHEN _ap THEN array_to_string(_mt, ' ') ELSE {f}_clean END AS {f}_mixed, "
         f"_ap AS {f}_applied, coalesce(_sl, 0) AS {f}_span_len, _ps AS {f}_insert_pos, _span AS {f}_span, "
         f"CAST(len(list_filter(_hits, lambda h: h IN ({drop_sql}))) AS INTEGER) AS {f}_dropped, "
         f"CAST(len(list_filter(_hits, lambda h: h IN ({abbr_src}))) AS INTEGER) AS {f}_abbr, _pc AS {f}_punct "
@@ -172,7 +173,7 @@ def perturb_field(src: str, f: str, p_switch: float = 0.35, noise_p: float = 0.1
 def examples(pairs_sql: str, task: str, variant: str = "perturbed") -> str:
     """Two rows per pair (flat provenance columns on the perturbed row)."""
     prompt = NLI_PROMPT if task == "nli" else QA_PROMPT
-    p = perturb_field(perturb_field(pairs_sql, "a"), "b")
+    p = f"SELECT * EXCLUDE (a_mixed, b_mixed) FROM ({perturb_field(perturb_field(pairs_sql, 'a'), 'b')})"
     meta_cols = [
         "a_applied", "a_span_len", "a_insert_pos", "a_span", "a_dropped", "a_abbr", "a_punct",
         "b_applied", "b_span_len", "b_insert_pos", "b_span", "b_dropped", "b_abbr", "b_punct",

@@ -253,9 +253,10 @@ def token_vectors(spark: SparkSession, sf_dir: str, positions: int = 8) -> DataF
 
 def legacy_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw NLI slice (``id, premise, hypothesis, label``) from French documents."""
-    c = _halves(corpus(spark, sf_dir, "fr"), "text", "premise", "hypothesis")
+    fr = read_table(spark, sf_dir, "documents").where(F.col("lang") == "fr").select("doc_id", "text")
+    c = _halves(fr, "text", "premise", "hypothesis")
     return c.select(
-        F.concat(F.lit("docs_fr_"), F.col("id")).alias("id"), "premise", "hypothesis",
+        F.concat(F.lit("docs_fr_"), F.col("doc_id").cast("string")).alias("id"), "premise", "hypothesis",
         (F.col("doc_id") % 4).cast("int").alias("label"),
     )
 

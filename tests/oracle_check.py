@@ -77,8 +77,8 @@ def main(argv):
                     print("   cols duck :", sorted(dcols))
                 else:
                     ss, dd = set(ls), set(ld)
-                    print("   spark-only:", sorted(ss - dd)[:3])
-                    print("   duck-only :", sorted(dd - ss)[:3])
+                    print("   spark-only:", [x[:600] for x in sorted(ss - dd)[:2]])
+                    print("   duck-only :", [x[:600] for x in sorted(dd - ss)[:2]])
         except Exception as e:  # report and continue
             bad += 1
             print(f"{n:28s} ERROR {type(e).__name__}: {str(e)[:400]}")
