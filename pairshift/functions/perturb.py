@@ -58,49 +58,53 @@ def _key(seed, key_parts: Sequence, field: str) -> list:
     return [seed, *key_parts, field]
 
 
-def with_code_switch(
-    df: DataFrame,
-    base: str,
-    insert: str,
-    key_parts: Sequence,
-    field: str,
-    out: str,
-    seed=42,
-    p_switch: float = DEFAULT_P_SWITCH,
-    min_tokens: int = DEFAULT_MIN_TOKENS,
-    max_span: int = DEFAULT_MAX_SPAN,
-) -> DataFrame:
-    """Add ``{out}_tokens`` (tokens of the mixed text), ``{out}_mixed`` and ``{out}_cs``.
+def _memo(fn):
+    """Cache the unresolved Column stages per parameter set.
 
-    With probability ``p_switch``, and only if both sides have at least
-    ``min_tokens`` whitespace tokens, a span of 2..min(max_span, n_insert-1)
-    insert tokens is spliced in at position 1..n_base-2; otherwise the base text
-    is returned verbatim.
+    Building these expressions costs thousands of JVM round trips; the Columns
+    are unresolved and reusable across DataFrames, so they are built once per
+    JVM gateway and parameter set.
     """
+    cache: dict = {}
+
+    def norm(x):
+        if isinstance(x, Column):
+            return ("col", str(x))
+        if isinstance(x, (list, tuple)):
+            return tuple(norm(y) for y in x)
+        return ("val", repr(x))
+
+    def wrapped(*args, **kwargs):
+        from pyspark import SparkContext
+
+        key = (id(SparkContext._gateway), norm(args), norm(sorted(kwargs.items())))
+        if key not in cache:
+            cache[key] = fn(*args, **kwargs)
+        return cache[key]
+
+    return wrapped
+
+
+@_memo
+def _code_switch_stages(base, insert, key_parts, field, out, seed, p_switch, min_tokens, max_span):
     k = _key(seed, key_parts, field)
     b, s = f"_{out}_b", f"_{out}_s"
-    df = df.withColumns({b: ws_tokens(F.col(base)), s: ws_tokens(F.col(insert))})
-    nb, ni = F.size(F.col(b)), F.size(F.col(s))
-    applied = (nb >= min_tokens) & (ni >= min_tokens) & (u01(*k, "switch") <= F.lit(p_switch))
     ap, sl, st, ps = f"_{out}_ap", f"_{out}_sl", f"_{out}_st", f"_{out}_ps"
-    df = df.withColumn(ap, applied)
+    nb, ni = F.size(F.col(b)), F.size(F.col(s))
+    stages = [{b: ws_tokens(F.col(base)), s: ws_tokens(F.col(insert))}]
+    stages.append({ap: (nb >= min_tokens) & (ni >= min_tokens) & (u01(*k, "switch") <= F.lit(p_switch))})
     span_len = F.lit(2) + F.floor(u01(*k, "len") * (F.least(F.lit(max_span), ni - 1) - 1))
-    df = df.withColumn(sl, F.when(F.col(ap), span_len.cast("int")))
+    stages.append({sl: F.when(F.col(ap), span_len.cast("int"))})
     start = F.floor(u01(*k, "start") * (ni - F.col(sl) + 1))
     pos = F.lit(1) + F.floor(u01(*k, "pos") * (nb - 2))
-    df = df.withColumns({
-        st: F.when(F.col(ap), start.cast("int")),
-        ps: F.when(F.col(ap), pos.cast("int")),
-    })
+    stages.append({st: F.when(F.col(ap), start.cast("int")), ps: F.when(F.col(ap), pos.cast("int"))})
     span = F.slice(F.col(s), F.col(st) + 1, F.col(sl))
-    mixed_tokens = F.concat(
-        F.slice(F.col(b), F.lit(1), F.col(ps)), span, F.slice(F.col(b), F.col(ps) + 1, nb)
-    )
-    df = df.withColumns({
+    mixed_tokens = F.concat(F.slice(F.col(b), F.lit(1), F.col(ps)), span, F.slice(F.col(b), F.col(ps) + 1, nb))
+    stages.append({
         f"{out}_tokens": F.when(F.col(ap), mixed_tokens).otherwise(F.col(b)),
         f"_{out}_span": F.when(F.col(ap), F.array_join(span, " ")).otherwise(F.lit("")),
     })
-    df = df.withColumns({
+    stages.append({
         f"{out}_mixed": F.when(F.col(ap), F.array_join(F.col(f"{out}_tokens"), " ")).otherwise(F.col(base)),
         f"{out}_cs": F.struct(
             F.lit(float(p_switch)).alias("p_switch"),
@@ -111,41 +115,50 @@ def with_code_switch(
             F.col(f"_{out}_span").alias("insert_lang_span"),
         ),
     })
-    return df.drop(b, s, ap, sl, st, ps, f"_{out}_span")
+    return stages, [b, s, ap, sl, st, ps, f"_{out}_span"]
 
 
-def with_informal_noise(
+def _apply(df: DataFrame, stages, drop) -> DataFrame:
+    for st in stages:
+        df = df.withColumns(st)
+    return df.drop(*drop)
+
+
+def with_code_switch(
     df: DataFrame,
-    tokens: str,
+    base: str,
+    insert: str,
     key_parts: Sequence,
     field: str,
     out: str,
     seed=42,
-    noise_p: float = DEFAULT_NOISE_P,
-    drop_words: Sequence[str] = DROP_WORDS,
-    abbreviations: Sequence[tuple[str, str]] = ABBREVIATIONS,
-    punct_choices: Sequence[str] = PUNCT_CHOICES,
+    p_switch: float = DEFAULT_P_SWITCH,
+    min_tokens: int = DEFAULT_MIN_TOKENS,
+    max_span: int = DEFAULT_MAX_SPAN,
 ) -> DataFrame:
-    """Add ``{out}_text`` and ``{out}_noise`` from a token array column.
+    """Add ``{out}_tokens`` (tokens of the mixed text), ``{out}_mixed`` and ``{out}_cs``.
 
-    Token ``i`` (from 0) is hit with probability ``noise_p``; a hit drop word is
-    removed, a hit abbreviation source is replaced. Then, with probability
-    ``noise_p``, one of ``punct_choices`` is appended without a space. Tokens are
-    re-joined with single spaces, so the output is whitespace-normalised even
-    when nothing fired.
+    With probability ``p_switch``, and only if both sides have at least
+    ``min_tokens`` whitespace tokens, a span of 2..min(max_span, n_insert-1)
+    insert tokens is spliced in at position 1..n_base-2; otherwise the base text
+    is returned verbatim.
     """
+    stages, drop = _code_switch_stages(base, insert, tuple(key_parts), field, out, seed, p_switch, min_tokens, max_span)
+    return _apply(df, stages, drop)
+
+
+@_memo
+def _noise_stages(tokens, key_parts, field, out, seed, noise_p, drop_words, abbreviations, punct_choices):
     k = _key(seed, key_parts, field)
     lex = list(drop_words) + [a for a, _ in abbreviations]
     max_len = max(len(w) for w in lex)
-    hits = f"_{out}_hits"
+    hits, pc = f"_{out}_hits", f"_{out}_punct"
 
     def hit(t: Column, i: Column) -> Column:
         low = F.lower(t)
         eligible = (F.length(t) <= max_len) & low.isin(lex)
         return F.when(eligible & (u01(*k, "noise", i) < F.lit(noise_p)), low)
 
-    df = df.withColumn(hits, F.transform(F.col(tokens), hit))
-
     def apply(t: Column, h: Column) -> Column:
         out_c = F.when(h.isin(list(drop_words)), F.lit(None).cast("string"))
         for src, dst in abbreviations:
@@ -159,21 +172,49 @@ def with_informal_noise(
             (F.floor(u01(*k, "which") * len(punct_choices)) + 1).cast("int"),
         ),
     ).otherwise(F.lit(""))
-    pc = f"_{out}_punct"
-    df = df.withColumn(pc, punct)
     noised = F.zip_with(F.col(tokens), F.col(hits), apply)
     abbr_src = [a for a, _ in abbreviations]
-    df = df.withColumns({
-        f"{out}_text": F.concat(F.array_join(noised, " "), F.col(pc)),
-        f"{out}_noise": F.struct(
-            F.lit(float(noise_p)).alias("p"),
-            F.concat_ws("|", *[x.cast("string") if isinstance(x, Column) else F.lit(str(x)) for x in k]).alias("seed"),
-            F.size(F.filter(F.col(hits), lambda h: h.isin(list(drop_words)))).alias("dropped_tokens"),
-            F.size(F.filter(F.col(hits), lambda h: h.isin(abbr_src))).alias("abbreviations"),
-            F.col(pc).alias("punct_added"),
-        ),
-    })
-    return df.drop(hits, pc)
+    stages = [
+        {hits: F.transform(F.col(tokens), hit), pc: punct},
+        {
+            f"{out}_text": F.concat(F.array_join(noised, " "), F.col(pc)),
+            f"{out}_noise": F.struct(
+                F.lit(float(noise_p)).alias("p"),
+                F.concat_ws("|", *[x.cast("string") if isinstance(x, Column) else F.lit(str(x)) for x in k]).alias("seed"),
+                F.size(F.filter(F.col(hits), lambda h: h.isin(list(drop_words)))).alias("dropped_tokens"),
+                F.size(F.filter(F.col(hits), lambda h: h.isin(abbr_src))).alias("abbreviations"),
+                F.col(pc).alias("punct_added"),
+            ),
+        },
+    ]
+    return stages, [hits, pc]
+
+
+def with_informal_noise(
+    df: DataFrame,
+    tokens: str,
+    key_parts: Sequence,
+    field: str,
+    out: str,
+    seed=42,
+    noise_p: float = DEFAULT_NOISE_P,
+    drop_words: Sequence[str] = DROP_WORDS,
+    abbreviations: Sequence[tuple[str, str]] = ABBREVIATIONS,
+    punct_choices: Sequence[str] = PUNCT_CHOICES,
+) -> DataFrame:
+    """Add ``{out}_text`` and ``{out}_noise`` from a token array column.
+
+    Token ``i`` (from 0) is hit with probability ``noise_p``; a hit drop word is
+    removed, a hit abbreviation source is replaced. Then, with probability
+    ``noise_p``, one of ``punct_choices`` is appended without a space. Tokens are
+    re-joined with single spaces, so the output is whitespace-normalised even
+    when nothing fired.
+    """
+    stages, drop = _noise_stages(
+        tokens, tuple(key_parts), field, out, seed, noise_p,
+        tuple(drop_words), tuple(tuple(a) for a in abbreviations), tuple(punct_choices),
+    )
+    return _apply(df, stages, drop)
 
 
 def with_perturbation(

@@ -1,17 +1,27 @@
 """Dense positions without a single-partition window.
 
 ``row_number() over (order by k)`` with no ``partitionBy`` moves every row into
-one task. ``with_dense_index`` computes the same 0-based position distributed:
+one task. ``with_dense_index`` computes the same 0-based position distributed.
 
-1. global sort (range exchange; hot values of the partition column are split
-   across range partitions because the order key is part of the sort key);
+*Unique integer key* (the common case: document ids) -- block method, no
+materialisation:
+
+1. ``block = floor(k / width)``; a block holds at most ``width`` rows because
+   keys are unique, so no task ever sees more than ``width`` rows of one block;
+2. rows per (partition columns, block) form a table with one row per non-empty
+   block; a running sum over it gives each block's first position;
+3. that table is joined back (AQE broadcasts it when its measured size is
+   under the threshold, otherwise it stays a shuffle join) and the position is
+   ``first position + row_number() within the block - 1``.
+
+*Any other order* (composite keys) -- physical-layout method:
+
+1. global sort (range exchange: a hot partition value is split across range
+   partitions because the order key is part of the sort key);
 2. ``monotonically_increasing_id`` gives (physical partition, offset inside it);
-   the result is checkpointed so both uses below see the same physical layout;
-3. per (partition column values, physical partition) row counts form a table
-   with at most ``#physical partitions + #distinct partition values`` rows;
-   a running sum over it gives each block's first position;
-4. the block table is joined back (broadcast when its measured size is small,
-   a shuffle join otherwise).
+   the result is checkpointed so both uses below see the same layout;
+3. row counts per (partition values, physical partition) -> running sum ->
+   joined back.
 """
 
 from __future__ import annotations
@@ -20,11 +30,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairshift.session import materialize
 
 _LOCAL_BITS = 33
 BROADCAST_ROW_LIMIT = 200_000
+DEFAULT_BLOCK_WIDTH = 1 << 16
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
@@ -33,22 +46,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
     return F.broadcast(df) if n <= max_rows else df
 
 
-def with_dense_index(
-    df: DataFrame,
-    order_cols: Sequence[str],
-    partition_cols: Sequence[str] = (),
-    out: str = "idx",
-) -> DataFrame:
-    """Add ``out`` = ``row_number() over (partition by partition_cols order by order_cols) - 1``.
+def _blocks_index(df: DataFrame, key: str, part: list[str], out: str, width: int) -> DataFrame:
+    blk = "_ps_blk"
+    keyed = df.withColumn(blk, F.floor(F.col(key) / F.lit(width)).cast("long"))
+    counts = keyed.groupBy(*part, blk).agg(F.count(F.lit(1)).alias("_ps_n"))
+    w = Window.partitionBy(*part).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*part, blk, F.coalesce(F.sum("_ps_n").over(w), F.lit(0)).alias("_ps_base"))
+    in_block = Window.partitionBy(*part, blk).orderBy(key)
+    joined = keyed.join(starts, on=[*part, blk], how="inner")
+    return joined.withColumn(out, (F.col("_ps_base") + F.row_number().over(in_block) - 1).cast("long")).drop(blk, "_ps_base")
 
-    ``order_cols`` must define a total order inside each partition (unique keys)
-    for the result to be deterministic, exactly as for the window it replaces.
-    """
-    part = list(partition_cols)
-    sort_cols = part + list(order_cols)
-    staged = materialize(
-        df.orderBy(*sort_cols).withColumn("_ps_mid", F.monotonically_increasing_id())
-    )
+
+def _layout_index(df: DataFrame, order_cols: list[str], part: list[str], out: str) -> DataFrame:
+    sort_cols = part + order_cols
+    staged = materialize(df.orderBy(*sort_cols).withColumn("_ps_mid", F.monotonically_increasing_id()))
     staged = staged.withColumns({
         "_ps_pid": F.shiftright(F.col("_ps_mid"), _LOCAL_BITS),
         "_ps_local": F.col("_ps_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)),
@@ -63,3 +74,21 @@ def with_dense_index(
     return joined.withColumn(
         out, (F.col("_ps_base") + F.col("_ps_local") - F.col("_ps_first")).cast("long")
     ).drop("_ps_mid", "_ps_pid", "_ps_local", "_ps_base", "_ps_first")
+
+
+def with_dense_index(
+    df: DataFrame,
+    order_cols: Sequence[str],
+    partition_cols: Sequence[str] = (),
+    out: str = "idx",
+    block_width: int = DEFAULT_BLOCK_WIDTH,
+) -> DataFrame:
+    """Add ``out`` = ``row_number() over (partition by partition_cols order by order_cols) - 1``.
+
+    ``order_cols`` must define a total order inside each partition (unique keys),
+    exactly as for a deterministic window. Partition columns must be non-null.
+    """
+    part, order = list(partition_cols), list(order_cols)
+    if len(order) == 1 and isinstance(df.schema[order[0]].dataType, _INTEGRAL):
+        return _blocks_index(df, order[0], part, out, block_width)
+    return _layout_index(df, order, part, out)

@@ -33,6 +33,9 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Text stages are CPU-heavy per byte (regex, md5, array lambdas): keep
+        # small post-shuffle partitions instead of coalescing them into one task.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": os.environ.get("PAIRSHIFT_DRIVER_MEMORY", "16g"),

@@ -27,8 +27,21 @@ NLI_LABELS = ("entailment", "neutral", "contradiction")
 ADAPTER_MODELS = ("google/flan-t5-small", "acme/unknown-model")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Scan one driver table.
+
+    A table stored as fewer files than the cluster has task slots (e.g. one
+    file with one row group) would be processed by a single task; such a scan
+    is spread round-robin over ``defaultParallelism`` partitions. Large inputs
+    (many files) keep their natural scan partitioning and pay no shuffle.
+    Filters and column pruning still reach the Parquet scan below the exchange.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        slots = spark.sparkContext.defaultParallelism
+        if len(df.inputFiles()) < slots:
+            df = df.repartition(slots)
+    return df
 
 
 def _halves(df: DataFrame, text_col: str, first: str, second: str) -> DataFrame:
@@ -45,7 +58,8 @@ def _halves(df: DataFrame, text_col: str, first: str, second: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
     """``documents`` of one language with ``idx`` = 0-based position by ``doc_id``."""
     docs = read_table(spark, sf_dir, "documents").where(F.col("lang") == F.lit(lang)).select("doc_id", "text")
-    pos = with_dense_index(docs.select("doc_id"), ["doc_id"])
+    keys = read_table(spark, sf_dir, "documents", spread=False).where(F.col("lang") == F.lit(lang)).select("doc_id")
+    pos = with_dense_index(keys, ["doc_id"])
     return docs.join(pos, on="doc_id").select(
         F.col("doc_id").cast("string").alias("id"), "doc_id", "text", "idx"
     )
@@ -80,13 +94,13 @@ def nli_examples(spark: SparkSession, sf_dir: str, clean_lang: str = "fr", inser
     return build.build_examples(pairs, "nli", clean_lang, insert_lang, seed=seed)
 
 
-def qa_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def qa_turns(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """A user turn directly followed by an assistant turn of the same conversation.
 
     The self-join is on the full key ``(conv_id, turn)``, so a very long
     conversation is spread over many tasks instead of landing in one window.
     """
-    conv = read_table(spark, sf_dir, "conversations")
+    conv = read_table(spark, sf_dir, "conversations", spread=spread)
     u = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     a = conv.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("context")
@@ -103,7 +117,7 @@ def qa_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_source(spark: SparkSession, sf_dir: str, insert_lang: str = "en") -> DataFrame:
     """QA turns zipped by position (order ``conv_id, turn``) with an insert-language corpus."""
     turns = qa_turns(spark, sf_dir)
-    keys = with_dense_index(turns.select("conv_id", "turn"), ["conv_id", "turn"])
+    keys = with_dense_index(qa_turns(spark, sf_dir, spread=False).select("conv_id", "turn"), ["conv_id", "turn"])
     base = turns.join(keys, on=["conv_id", "turn"]).drop("conv_id", "turn")
     ins = _halves(corpus(spark, sf_dir, insert_lang), "text", "context", "question").select("idx", "context", "question")
     zipped = build.parallel_zip(base, ins, on=("idx",))
