@@ -548,3 +548,13 @@ def q_scaling_table(spark, d):
 def q_model_size_lookup(spark, d):
     """Models seen in the predictions with their size (unknown -> null)."""
     return reports.model_size_lookup(nli_preds(spark, d))
+
+
+@register("capacity_sweep")
+def q_capacity_sweep(spark, d):
+    """Hashed bag-of-tokens logistic regression at three capacities, clean vs perturbed
+    accuracy (iterative model fitting: no SQL oracle)."""
+    from pairshift.operators.ml import capacity_sweep
+
+    out = capacity_sweep(nli_ex(spark, d), capacities=(2 ** 8, 2 ** 10, 2 ** 12), seed=SEED)
+    return out.drop("train_time_s")
