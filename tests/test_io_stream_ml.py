@@ -96,3 +96,11 @@ def test_capacity_sweep_rows(spark):
     for r in out:
         assert 0.0 <= r.clean_accuracy <= 1.0 and 0.0 <= r.perturbed_accuracy <= 1.0
         assert r.n_train > 0
+
+
+def test_write_metric_table_roundtrip(spark):
+    d = _tmp()
+    df = spark.createDataFrame([("m", "fr-en", 0.5)], "model string, language_pair string, robustness_drop double")
+    io.write_metric_table(df, os.path.join(d, "t"))
+    back = spark.read.option("header", True).schema(df.schema).csv(os.path.join(d, "t"))
+    assert back.collect() == df.collect()

@@ -136,3 +136,16 @@ def test_strip_echo_and_prompt_fields(spark):
     prem, hyp = tx.prompt_fields()
     r = p.select(prem.alias("p"), hyp.alias("h")).collect()[0]
     assert (r.p, r.h) == ("last", "c")
+
+
+def test_eval_prompt_and_first_answer(spark):
+    df = spark.createDataFrame([("p", "i"), (None, "i"), ("", None)], "prompt string, input string")
+    got = [r.x for r in df.select(tx.eval_prompt().alias("x")).collect()]
+    assert got == ["p", "i", ""]
+    bad = spark.createDataFrame([(None, None)], "prompt string, input string")
+    with pytest.raises(Exception):
+        bad.select(tx.eval_prompt()).collect()
+    a = spark.createDataFrame([(["x", "y"], "z"), ([], "z"), (None, None), ([], None)], "t array<string>, answer string")
+    assert [r.a for r in a.select(tx.first_answer("t", "answer").alias("a")).collect()] == ["x", "z", "", ""]
+    f = spark.createDataFrame([("des pommes",), (" des bananes ",)], "x string")
+    assert [r.a for r in f.select(tx.fruit_answer("x").alias("a")).collect()] == ["pommes", "bananes"]
