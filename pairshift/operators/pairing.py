@@ -56,7 +56,12 @@ def pair_rows(
     df = _ensure(df, ["pair_id", "id", "variant", *keep])
     ds = F.col(dataset_col) if dataset_col else F.lit("")
     cols = list(dict.fromkeys(keep))
-    row = F.struct(*[F.col(c) for c in cols])
+    with_text = "input" in cols and "prompt" in cols
+    # T13 is applied before the shuffle: only the analysed text travels, not both fields
+    payload = [F.col(c) for c in cols if not (with_text and c in ("input", "prompt"))]
+    if with_text:
+        payload.append(tx.text_of("input", "prompt").alias("text"))
+    row = F.struct(*payload)
     ordering = F.struct(F.col(order_col), F.col("id"))
     base = df.select(
         ds.alias("dataset"),
@@ -87,11 +92,8 @@ def pair_rows(
         "task": F.coalesce(F.col("clean.task"), F.col("perturbed.task"), F.lit("")) if "task" in cols else F.lit(""),
         "split": F.coalesce(F.col("clean.split"), F.col("perturbed.split"), F.lit("")) if "split" in cols else F.lit(""),
     })
-    if "input" in cols and "prompt" in cols:
-        out = out.withColumns({
-            "clean_text": tx.text_of("clean.input", "clean.prompt"),
-            "perturbed_text": tx.text_of("perturbed.input", "perturbed.prompt"),
-        })
+    if with_text:
+        out = out.withColumns({"clean_text": F.col("clean.text"), "perturbed_text": F.col("perturbed.text")})
     return out
 
 

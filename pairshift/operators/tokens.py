@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pairshift.functions import text as tx
 from pairshift.operators.pairing import pair_rows
+from pairshift.session import materialize
 
 GROUP = ["dataset", "task", "split"]
 JS_EPS = 1e-12
@@ -67,26 +68,26 @@ def tokenized_pairs(pairs: DataFrame, tokenizer="simple") -> DataFrame:
     )
 
 
-def pair_token_deltas(pairs: DataFrame, tokenizer="simple") -> DataFrame:
-    """M2: per-pair lengths, increase, inflation, fragmentation, tokens per character.
-
-    All denominators are floored at 1, as in the definition.
-    """
+def _token_table(pairs: DataFrame, tokenizer) -> DataFrame:
+    """Per pair: both token arrays plus the word and character counts of both texts."""
     tok = get_tokenizer(tokenizer)
-    c_len = F.size(tok(F.col("clean_text")))
-    p_len = F.size(tok(F.col("perturbed_text")))
     one = F.lit(1)
-    df = pairs.select(
+    return pairs.select(
         *GROUP, "pair_id",
-        c_len.alias("clean_tokens"), p_len.alias("perturbed_tokens"),
+        tok(F.col("clean_text")).alias("ct"), tok(F.col("perturbed_text")).alias("pt"),
         F.greatest(one, tx.word_count("clean_text")).alias("_cw"),
         F.greatest(one, tx.word_count("perturbed_text")).alias("_pw"),
         F.greatest(one, tx.chars_no_ws("clean_text")).alias("_cc"),
         F.greatest(one, tx.chars_no_ws("perturbed_text")).alias("_pc"),
     )
-    c, p = F.col("clean_tokens"), F.col("perturbed_tokens")
-    return df.select(
-        *GROUP, "pair_id", "clean_tokens", "perturbed_tokens",
+
+
+def _deltas(tt: DataFrame) -> DataFrame:
+    c, p = F.size("ct"), F.size("pt")
+    one = F.lit(1)
+    return tt.select(
+        *GROUP, "pair_id",
+        c.alias("clean_tokens"), p.alias("perturbed_tokens"),
         (p - c).alias("token_increase"),
         (p / F.greatest(one, c)).alias("length_inflation"),
         (c / F.col("_cw")).alias("fragmentation_clean"),
@@ -96,30 +97,42 @@ def pair_token_deltas(pairs: DataFrame, tokenizer="simple") -> DataFrame:
     )
 
 
-def token_histogram(pairs: DataFrame, tokenizer="simple") -> DataFrame:
-    """``(dataset, task, split, token, n_clean, n_perturbed)``.
-
-    One ``explode`` over both sides (tagged), then a hash aggregate whose
-    partial step runs before the shuffle.
-    """
-    tok = get_tokenizer(tokenizer)
+def _histogram(tt: DataFrame) -> DataFrame:
     tagged = F.concat(
-        F.transform(tok(F.col("clean_text")), lambda t: F.struct(t.alias("token"), F.lit(1).alias("c"), F.lit(0).alias("p"))),
-        F.transform(tok(F.col("perturbed_text")), lambda t: F.struct(t.alias("token"), F.lit(0).alias("c"), F.lit(1).alias("p"))),
+        F.transform(F.col("ct"), lambda t: F.struct(t.alias("token"), F.lit(1).alias("c"), F.lit(0).alias("p"))),
+        F.transform(F.col("pt"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("c"), F.lit(1).alias("p"))),
     )
     return (
-        pairs.select(*GROUP, F.explode(tagged).alias("t"))
+        tt.select(*GROUP, F.explode(tagged).alias("t"))
         .groupBy(*GROUP, F.col("t.token").alias("token"))
         .agg(F.sum("t.c").cast("long").alias("n_clean"), F.sum("t.p").cast("long").alias("n_perturbed"))
     )
 
 
+def pair_token_deltas(pairs: DataFrame, tokenizer="simple") -> DataFrame:
+    """M2: per-pair lengths, increase, inflation, fragmentation, tokens per character.
+
+    All denominators are floored at 1, as in the definition.
+    """
+    return _deltas(_token_table(pairs, tokenizer))
+
+
+def token_histogram(pairs: DataFrame, tokenizer="simple") -> DataFrame:
+    """``(dataset, task, split, token, n_clean, n_perturbed)``.
+
+    One ``explode`` over both sides (tagged), then a hash aggregate whose
+    partial step runs before the shuffle.
+    """
+    return _histogram(_token_table(pairs, tokenizer).select(*GROUP, "ct", "pt"))
+
+
 def js_divergence(hist: DataFrame, groups: DataFrame, eps: float = JS_EPS) -> DataFrame:
     """Jensen-Shannon divergence in bits per group, from a token histogram.
 
     Each side is normalised by ``max(1, total)``, clipped to ``[eps, 1]``,
     renormalised, and compared with base-2 logs. ``groups`` lists every group
-    (``GROUP`` columns); a group with an empty vocabulary gets 0.
+    (``GROUP`` columns); a group with an empty vocabulary gets 0. The per-group
+    totals and sums are tiny (one row per group), hence broadcast.
     """
     totals = hist.groupBy(*GROUP).agg(
         F.sum("n_clean").alias("_tc"), F.sum("n_perturbed").alias("_tp")
@@ -149,15 +162,22 @@ def tokenizer_stats(
     dataset_col: str | None = None,
     max_pairs: int | None = None,
     order_col: str = "id",
+    materialize_pairs: bool = True,
 ) -> DataFrame:
     """Per (dataset, task, split): pair count, eight means and the JS divergence.
 
-    The group tables are bounded by the number of (dataset, task, split) groups,
-    so broadcasting them is safe at any data size.
+    The tokenized pair table (token arrays and word/character counts, no raw
+    text) is written once as a reliable checkpoint and both branches -- the
+    per-pair means and the token histogram -- read it, so the build, the pairing
+    shuffle and the tokenization run once and a lost executor does not replay
+    them. The group tables are bounded by the number of (dataset, task, split)
+    groups, so broadcasting them is safe at any data size.
     """
     pairs = pair_rows(examples, order_col=order_col, dataset_col=dataset_col, max_pairs=max_pairs)
-    deltas = pair_token_deltas(pairs, tokenizer)
-    means = deltas.groupBy(*GROUP).agg(
+    tt = _token_table(pairs, tokenizer)
+    if materialize_pairs:
+        tt = materialize(tt)
+    means = _deltas(tt).groupBy(*GROUP).agg(
         F.count(F.lit(1)).cast("long").alias("n_pairs"),
         F.avg("clean_tokens").alias("avg_clean_tokens"),
         F.avg("perturbed_tokens").alias("avg_perturbed_tokens"),
@@ -168,7 +188,7 @@ def tokenizer_stats(
         F.avg("tokens_per_char_clean").alias("avg_tokens_per_char_clean"),
         F.avg("tokens_per_char_perturbed").alias("avg_tokens_per_char_perturbed"),
     )
-    js = js_divergence(token_histogram(pairs, tokenizer), means)
+    js = js_divergence(_histogram(tt.select(*GROUP, "ct", "pt")), means)
     name = tokenizer_name or (tokenizer if isinstance(tokenizer, str) else "custom")
     return means.join(F.broadcast(js), on=GROUP).select(
         F.col("dataset").alias("data_path"), "task", "split", F.lit(name).alias("tokenizer"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,12 +69,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's checkpoint folder.
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage by writing ``df`` as a Parquet table under the checkpoint folder.
 
-    Used where a result feeds several later stages and must be identical in
-    each of them (e.g. positions derived from physical partitioning), and to
-    keep recovery after executor loss from replaying a long plan.
+    One pass (a reliable ``checkpoint()`` of an unpersisted plan computes it
+    twice), columnar and compressed, and readable by every executor. Used
+    where a result feeds several later stages and must be identical in each
+    of them (e.g. positions derived from physical partitioning), and to keep
+    recovery after executor loss from replaying a long plan.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    base = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{base.rstrip('/')}/pairshift-{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
