@@ -31,7 +31,7 @@ def lst(values) -> str:
 
 
 def r6(x: str, alias: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6) AS {alias}"
+    return f"floor(CAST({x} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS {alias}"
 
 
 # ---------------------------------------------------------------- shared inputs
@@ -407,7 +407,7 @@ def js_sql(pairs_sql: str, tok) -> str:
                     + 0.5 * (y / sy) * log2((y / sy) / (0.5 * (x / sx + y / sy)))) AS js
            FROM cl JOIN sm USING (dataset, task, split) GROUP BY ALL),
     g AS (SELECT DISTINCT dataset, task, split FROM ({pairs_sql}))
-    SELECT g.dataset, g.task, g.split, round(coalesce(js.js, 0.0), 6) AS token_js_divergence_bits
+    SELECT g.dataset, g.task, g.split, floor(coalesce(js.js, 0.0) * 1e6 + 0.5) / 1e6 AS token_js_divergence_bits
     FROM g LEFT JOIN js USING (dataset, task, split)"""
 
 
@@ -738,7 +738,7 @@ def _():
 
 
 def logits_sql() -> str:
-    lg = "[" + ", ".join(f"round({U(SEED, q('logit'), 'mm.model', 'e.id', str(k))}, 1)" for k in range(3)) + "]"
+    lg = "[" + ", ".join(f"floor({U(SEED, q('logit'), 'mm.model', 'e.id', str(k))} * 10 + 0.5) / 10" for k in range(3)) + "]"
     return f"""SELECT e.*, mm.model, {lg} AS logits FROM ({ex_nli()}) e CROSS JOIN {models_values()}"""
 
 

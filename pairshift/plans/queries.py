@@ -32,8 +32,11 @@ def register(name: str):
 
 
 def r6(c) -> Column:
+    """Round half up to 6 places with plain IEEE operations (``floor(x * 1e6 + 0.5) / 1e6``),
+    which any engine evaluates bit-identically; decimal-based rounding of a double
+    disagrees between engines on ties such as 641/640."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6)
+    return F.floor(c.cast("double") * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
 
 
 def rounded(df: DataFrame) -> DataFrame:

@@ -203,11 +203,11 @@ def qa_predictions(examples: DataFrame, models=ADAPTER_MODELS, seed=SEED) -> Dat
 
 
 def logits_table(examples: DataFrame, models=ADAPTER_MODELS, seed=SEED) -> DataFrame:
-    """Three-way logits per (example, model): md5 draws rounded to 2 places, so
+    """Three-way logits per (example, model): md5 draws rounded to one decimal, so
     ties occur and the first maximum must win."""
     m = F.explode(F.array(*[F.lit(x) for x in models])).alias("model")
     df = examples.select("*", m)
-    lg = F.array(*[F.round(u01(seed, "logit", F.col("model"), F.col("id"), k), 1).cast("double") for k in range(3)])
+    lg = F.array(*[F.floor(u01(seed, "logit", F.col("model"), F.col("id"), k) * 10 + 0.5) / 10 for k in range(3)])
     return df.withColumn("logits", lg)
 
 
