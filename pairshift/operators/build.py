@@ -352,3 +352,31 @@ def synthetic_qa(keys: DataFrame, key_col: str, seed=42, id_prefix: str = "syn_q
         F.concat(F.lit("What fruits did "), name, F.lit(" buy?")).alias("question_en"),
         tx.fruit_answer(fruit_fr).alias("answer"),
     )
+
+
+def build_from_parallel(
+    base: DataFrame,
+    insert: DataFrame,
+    task: str,
+    dataset: str,
+    clean_lang: str = "fr",
+    insert_lang: str = "en",
+    quotas: Mapping[str, int] | None = None,
+    seed=42,
+    p_switch: float = DEFAULT_P_SWITCH,
+    noise_p: float = DEFAULT_NOISE_P,
+) -> DataFrame:
+    """J5 -> (G14) -> G6/G7 in one plan.
+
+    ``base``/``insert`` carry ``split, idx`` (see ``positions``) and the task
+    fields: ``id, premise, hypothesis, label`` (integer) for NLI, ``id, context,
+    question, answer`` for QA (the insert side needs only the two text fields).
+    With ``quotas``, each split is sampled to its quota (keyed draws) after the
+    zip; without, every aligned pair is built.
+    """
+    zipped = parallel_zip(base, insert, on=("split", "idx"))
+    pairs = (nli_pairs_from_zip(zipped, dataset, clean_lang) if task == "nli"
+             else qa_pairs_from_zip(zipped, dataset, clean_lang))
+    if quotas:
+        pairs = sample_per_split(pairs, quotas, "pair_id", seed=seed)
+    return build_examples(pairs, task, clean_lang, insert_lang, seed=seed, p_switch=p_switch, noise_p=noise_p)

@@ -18,10 +18,20 @@ from pairshift.functions import text as tx
 PERTURBED_VARIANTS = ("perturbed", "switchmix")
 
 
-def pair_key(pair_id: str = "pair_id", id_col: str = "id") -> Column:
-    """``pair_id``; else the part of ``id`` before the first ``__``; else ``""``."""
+LEGACY_SUFFIX = r"_(clean|switchmix|perturbed)$"
+
+
+def pair_key(pair_id: str = "pair_id", id_col: str = "id", legacy_suffix: bool = False) -> Column:
+    """``pair_id``; else the part of ``id`` before the first ``__``; else ``""``.
+
+    ``legacy_suffix=True`` (off by default) also strips a single-underscore
+    ``_clean``/``_switchmix``/``_perturbed`` ending, so legacy ids pair up.
+    """
     rid = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return F.coalesce(F.col(pair_id).cast("string"), F.substring_index(rid, "__", 1))
+    key = F.substring_index(rid, "__", 1)
+    if legacy_suffix:
+        key = F.when(F.instr(rid, "__") > 0, key).otherwise(F.regexp_replace(rid, LEGACY_SUFFIX, ""))
+    return F.coalesce(F.col(pair_id).cast("string"), key)
 
 
 def inspector_pair_key(pair_id: str = "pair_id", id_col: str = "id") -> Column:
@@ -42,6 +52,7 @@ def pair_rows(
     dataset_col: str | None = None,
     max_pairs: int | None = None,
     drop_incomplete: bool = True,
+    legacy_suffix: bool = False,
 ) -> DataFrame:
     """One row per ``(dataset, pair_id)`` with ``clean`` and ``perturbed`` structs.
 
@@ -65,7 +76,7 @@ def pair_rows(
     ordering = F.struct(F.col(order_col), F.col("id"))
     base = df.select(
         ds.alias("dataset"),
-        pair_key().alias("pair_id"),
+        pair_key(legacy_suffix=legacy_suffix).alias("pair_id"),
         F.col("variant").cast("string").alias("_variant"),
         F.when(F.col(order_col).isNotNull(), ordering).alias("_ord"),
         F.col(order_col).alias("_first"),

@@ -65,17 +65,19 @@ def efficiency_summary(
     latency_col: str | None = None,
     include_tokenization_time: bool = False,
     dtype_bytes: int = 4,
+    max_pairs: int | None = None,
 ) -> DataFrame:
     """A11 with M6/M7: mean truncated lengths, latencies and activation-memory estimates.
 
     Grouped by (dataset, task, split). Sequence length is ``min(tokens,
     max_length)``; activation bytes use the mean length rounded half-to-even.
-    Latency is averaged from ``latency_col`` (clean/perturbed struct fields
-    ``clean_ms``/``perturbed_ms`` of the pair) when given, else 0.
+    Latency is averaged from ``latency_col`` (a per-row milliseconds column,
+    read from the clean and the perturbed row of each pair) when given, else 0.
+    ``max_pairs`` keeps the first N pairs per dataset (the original default was 200).
     """
     tok = get_tokenizer(tokenizer)
     keep = ["id", "task", "split", "input", "prompt"] + ([latency_col] if latency_col else [])
-    pairs = pair_rows(examples, keep=keep, dataset_col=dataset_col)
+    pairs = pair_rows(examples, keep=keep, dataset_col=dataset_col, max_pairs=max_pairs)
     ml = F.lit(max_length)
     df = pairs.select(
         *GROUP,

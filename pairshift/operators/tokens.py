@@ -58,16 +58,6 @@ def get_tokenizer(tokenizer) -> Callable[[Column], Column]:
         raise ValueError(f"Unknown tokenizer: {tokenizer!r}; known: {sorted(TOKENIZERS)}") from None
 
 
-def tokenized_pairs(pairs: DataFrame, tokenizer="simple") -> DataFrame:
-    """Token arrays of both sides of each pair (``clean_tokens``, ``perturbed_tokens``)."""
-    tok = get_tokenizer(tokenizer)
-    return pairs.select(
-        *GROUP, "pair_id", "clean_text", "perturbed_text",
-        tok(F.col("clean_text")).alias("clean_tokens"),
-        tok(F.col("perturbed_text")).alias("perturbed_tokens"),
-    )
-
-
 def _token_table(pairs: DataFrame, tokenizer) -> DataFrame:
     """Per pair: both token arrays plus the word and character counts of both texts."""
     tok = get_tokenizer(tokenizer)

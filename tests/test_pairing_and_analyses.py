@@ -112,3 +112,27 @@ def test_paper_table_requires_columns(spark):
     df = spark.createDataFrame([("m", "fr-en", 0.5)], "model string, language_pair string, clean_accuracy double")
     with pytest.raises(ValueError, match="missing required columns"):
         reports.paper_table(df)
+
+
+def test_legacy_suffix_pairing_is_opt_in(spark):
+    rows = [("x1_clean", None, "nli", "test", "clean", "a", None, "l"), ("x1_switchmix", None, "nli", "test", "switchmix", "b", None, "l")]
+    df = spark.createDataFrame(rows, EX_SCHEMA)
+    assert pairing.pair_rows(df).count() == 0
+    got = pairing.pair_rows(df, legacy_suffix=True).collect()
+    assert [(r.pair_id, r.clean_text, r.perturbed_text) for r in got] == [("x1", "a", "b")]
+
+
+def test_build_from_parallel_with_quotas(spark):
+    from pairshift.operators import build
+
+    base = spark.createDataFrame(
+        [(f"b{i}", "train" if i % 4 else "test", i // 1, f"p{i} un deux trois quatre cinq six", f"h{i}", i % 3) for i in range(40)],
+        "id string, split string, idx long, premise string, hypothesis string, label int")
+    ins = spark.createDataFrame(
+        [("train" if i % 4 else "test", i, f"one two three four five six {i}", f"hyp {i}") for i in range(30)],
+        "split string, idx long, premise string, hypothesis string")
+    ex = build.build_from_parallel(base, ins, "nli", "toy", quotas={"train": 5, "test": 2})
+    counts = {r.split: r["count"] for r in ex.groupBy("split").count().collect()}
+    assert counts == {"train": 10, "test": 4}
+    full = build.build_from_parallel(base, ins, "nli", "toy")
+    assert full.count() == 2 * 30
