@@ -4,7 +4,8 @@
 one task. ``with_dense_index`` computes the same 0-based position distributed.
 
 *Unique integer key* (the common case: document ids) -- block method, no
-materialisation:
+materialisation, used when the keys are dense enough that at most
+``MAX_BLOCKS`` blocks are non-empty (measured by a keys-only aggregate):
 
 1. ``block = floor(k / width)``; a block holds at most ``width`` rows because
    keys are unique, so no task ever sees more than ``width`` rows of one block;
@@ -46,10 +47,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
     return F.broadcast(df) if n <= max_rows else df
 
 
-def _blocks_index(df: DataFrame, key: str, part: list[str], out: str, width: int) -> DataFrame:
+MAX_BLOCKS = 1_000_000
+
+
+def _blocks_index(df: DataFrame, key: str, part: list[str], out: str, width: int) -> DataFrame | None:
+    """Block method, or ``None`` when the keys are too sparse for it.
+
+    The number of non-empty blocks is measured first (a keys-only aggregate);
+    above ``MAX_BLOCKS`` the offsets table would no longer be small, and the
+    caller falls back to the range-partitioned layout method.
+    """
     blk = "_ps_blk"
     keyed = df.withColumn(blk, F.floor(F.col(key) / F.lit(width)).cast("long"))
     counts = keyed.groupBy(*part, blk).agg(F.count(F.lit(1)).alias("_ps_n"))
+    if counts.limit(MAX_BLOCKS + 1).count() > MAX_BLOCKS:
+        return None
     w = Window.partitionBy(*part).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*part, blk, F.coalesce(F.sum("_ps_n").over(w), F.lit(0)).alias("_ps_base"))
     in_block = Window.partitionBy(*part, blk).orderBy(key)
@@ -90,5 +102,7 @@ def with_dense_index(
     """
     part, order = list(partition_cols), list(order_cols)
     if len(order) == 1 and isinstance(df.schema[order[0]].dataType, _INTEGRAL):
-        return _blocks_index(df, order[0], part, out, block_width)
+        res = _blocks_index(df, order[0], part, out, block_width)
+        if res is not None:
+            return res
     return _layout_index(df, order, part, out)

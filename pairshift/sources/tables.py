@@ -30,20 +30,30 @@ ADAPTER_MODELS = ("google/flan-t5-small", "acme/unknown-model")
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """Scan one driver table.
 
-    A table stored as fewer files than the cluster has task slots (e.g. one
-    file with one row group) would be processed by a single task; such a scan
-    is spread round-robin over ``defaultParallelism`` partitions. Large inputs
-    (many files) keep their natural scan partitioning and pay no shuffle.
+    A small table stored as fewer files than the cluster has task slots (e.g.
+    one file with one row group) would be processed by a single task; such a
+    scan is spread round-robin over ``defaultParallelism`` partitions. Inputs
+    with many files, or larger than ``SPREAD_MAX_BYTES``, keep their natural
+    scan partitioning and pay no extra shuffle.
     Filters and column pruning still reach the Parquet scan below the exchange.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread:
         slots = spark.sparkContext.defaultParallelism
-        if len(df.inputFiles()) < slots:
+        if len(df.inputFiles()) < slots and _size_in_bytes(df) <= SPREAD_MAX_BYTES:
             df = df.repartition(slots)
     return df
 
 
+# Upper bound on the input that may be spread by an extra round-robin shuffle.
+SPREAD_MAX_BYTES = 2 << 30
+
+
+def _size_in_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate of a scan (file sizes; no job)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def _halves(df: DataFrame, text_col: str, first: str, second: str) -> DataFrame:
     """Split a whole text into its first and second half of whitespace tokens."""
     df = df.withColumn("_tok", tx.ws_tokens(F.col(text_col)))

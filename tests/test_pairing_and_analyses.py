@@ -136,3 +136,13 @@ def test_build_from_parallel_with_quotas(spark):
     assert counts == {"train": 10, "test": 4}
     full = build.build_from_parallel(base, ins, "nli", "toy")
     assert full.count() == 2 * 30
+
+
+def test_dense_index_sparse_keys_fall_back(spark, monkeypatch):
+    from pairshift.operators import index
+
+    monkeypatch.setattr(index, "MAX_BLOCKS", 10)
+    df = spark.range(0, 300).select((F.col("id") * 1000003 + 7).alias("k"))
+    got = with_dense_index(df, ["k"], block_width=16).select("k", "idx")
+    ref = df.withColumn("idx", F.row_number().over(Window.orderBy("k")) - 1)
+    assert sorted(got.collect()) == sorted(ref.collect())
