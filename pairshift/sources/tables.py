@@ -51,7 +51,8 @@ SPREAD_MAX_BYTES = 2 << 30
 
 def _size_in_bytes(df: DataFrame) -> int:
     """Optimizer size estimate of a scan (file sizes; no job)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(v.toString()) if hasattr(v, "toString") else int(v)
 
 
 def _halves(df: DataFrame, text_col: str, first: str, second: str) -> DataFrame:
