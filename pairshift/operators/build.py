@@ -143,24 +143,20 @@ def _example_struct(
     )
 
 
-def build_examples(
+def perturbed_pairs(
     pairs: DataFrame,
-    task: str,
-    clean_lang: str = "fr",
-    insert_lang: str = "en",
     seed=42,
     p_switch: float = DEFAULT_P_SWITCH,
     noise_p: float = DEFAULT_NOISE_P,
-    variant_name: str = "perturbed",
     **lexicon,
 ) -> DataFrame:
-    """G6/G7 (and G8 with ``variant_name='switchmix'``): two rows per source pair.
+    """G5 on both fields of every source pair, one wide row per pair.
 
     ``pairs`` columns: ``pair_id, split, a_clean, a_insert, b_clean, b_insert,
-    label`` (``b_*`` may be null: then field B is empty on both rows, as in the
-    prototype builder). For NLI, A/B are premise/hypothesis; for QA,
-    context/question. Field B's draws use their own field name, so A and B are
-    independent streams.
+    label`` (``b_*`` may be null: then field B is empty on both sides, as in the
+    prototype builder). Adds ``a_pert``, ``b_pert`` and their ``*_meta``
+    provenance structs; ``_b_ok`` tells whether field B was present. Field B's
+    draws use their own field name, so A and B are independent streams.
     """
     df = pairs.withColumns({
         "b_clean": F.coalesce(F.col("b_clean"), F.lit("")),
@@ -170,7 +166,42 @@ def build_examples(
     keys = [F.col("split"), F.col("pair_id")]
     df = with_perturbation(df, "a_clean", "a_insert", keys, "a", "a_pert", seed, p_switch, noise_p, **lexicon)
     df = with_perturbation(df, "b_clean", "b_insert", keys, "b", "b_pert", seed, p_switch, noise_p, **lexicon)
-    df = df.withColumn("b_pert", F.when(F.col("_b_ok"), F.col("b_pert")).otherwise(F.lit("")))
+    return df.withColumn("b_pert", F.when(F.col("_b_ok"), F.col("b_pert")).otherwise(F.lit("")))
+
+
+def prompt_pairs(perturbed: DataFrame, task: str, dataset: str) -> DataFrame:
+    """The clean and perturbed prompt of each built pair side by side.
+
+    This is what pairing the two emitted rows would give back, obtained
+    without a shuffle because both twins come from the same source row; it
+    feeds M2/A7 directly (and works unchanged on a stream).
+    """
+    prompt = tx.nli_prompt if task == "nli" else tx.qa_prompt
+    return perturbed.select(
+        F.lit(dataset).alias("dataset"), F.lit(task).alias("task"), "split", "pair_id",
+        prompt(F.col("a_clean"), F.col("b_clean")).alias("clean_text"),
+        prompt(F.col("a_pert"), F.col("b_pert")).alias("perturbed_text"),
+    )
+
+
+def build_examples(
+    pairs: DataFrame,
+    task: str,
+    clean_lang: str = "fr",
+    insert_lang: str = "en",
+    seed=42,
+    p_switch: float = DEFAULT_P_SWITCH,
+    noise_p: float = DEFAULT_NOISE_P,
+    variant_name: str = "perturbed",
+    **lexicon,
+) -> DataFrame:
+    """G6/G7 (and G8 with ``variant_name='switchmix'``): two rows per source pair.
+
+    For NLI, fields A/B are premise/hypothesis; for QA, context/question (see
+    ``perturbed_pairs`` for the input columns). The two rows are emitted with
+    ``inline`` from one projection: no shuffle.
+    """
+    df = perturbed_pairs(pairs, seed, p_switch, noise_p, **lexicon)
     prompt = tx.nli_prompt if task == "nli" else tx.qa_prompt
     none_meta = F.struct(
         F.lit("none").alias("type"),

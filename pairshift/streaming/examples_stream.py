@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from pairshift.functions.perturb import DEFAULT_NOISE_P, DEFAULT_P_SWITCH
-from pairshift.operators.build import build_examples
+from pairshift.operators.build import build_examples, perturbed_pairs, prompt_pairs
+from pairshift.operators.tokens import pair_token_deltas
 from pairshift.session import ensure_checkpoint_dir
 
 PAIR_SOURCE_SCHEMA = T.StructType([
@@ -64,3 +65,24 @@ def start_examples_stream(
     w = ex.writeStream.format("parquet").option("checkpointLocation", ckpt).outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start(out_dir)
+
+
+def start_deltas_stream(
+    spark: SparkSession,
+    source_dir: str,
+    out_dir: str,
+    task: str = "nli",
+    dataset: str = "stream",
+    tokenizer="simple",
+    seed=42,
+    checkpoint_location: str | None = None,
+    available_now: bool = True,
+):
+    """M2 per pair on a stream: both twins of a pair are derived from the same
+    source row, so the token deltas need no pairing state."""
+    ckpt = checkpoint_location or os.path.join(ensure_checkpoint_dir(spark), f"deltas-stream-{uuid.uuid4().hex}")
+    pp = prompt_pairs(perturbed_pairs(stream_pairs(spark, source_dir), seed=seed), task, dataset)
+    d = pair_token_deltas(pp, tokenizer)
+    w = d.writeStream.format("parquet").option("checkpointLocation", ckpt).outputMode("append")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start(out_dir)

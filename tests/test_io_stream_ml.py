@@ -104,3 +104,19 @@ def test_write_metric_table_roundtrip(spark):
     io.write_metric_table(df, os.path.join(d, "t"))
     back = spark.read.option("header", True).schema(df.schema).csv(os.path.join(d, "t"))
     assert back.collect() == df.collect()
+
+
+def test_streaming_deltas_equal_batch_pairing(spark):
+    from pairshift.operators import pairing
+    from pairshift.streaming.examples_stream import start_deltas_stream
+
+    d = _tmp()
+    src, out = os.path.join(d, "src"), os.path.join(d, "out")
+    tb.nli_pairs(spark, SF).write.parquet(src)
+    q = start_deltas_stream(spark, src, out, dataset="d", checkpoint_location=os.path.join(d, "ckpt"))
+    q.awaitTermination(300)
+    streamed = sorted(spark.read.parquet(out).collect())
+    ex = build.build_examples(spark.read.parquet(src), "nli").withColumn("dataset", F.lit("d"))
+    batch = sorted(tk.pair_token_deltas(pairing.pair_rows(ex, dataset_col="dataset"), "simple").collect())
+    assert len(streamed) == len(batch) > 0
+    assert streamed == batch
