@@ -145,6 +145,23 @@ def js_divergence(hist: DataFrame, groups: DataFrame, eps: float = JS_EPS) -> Da
     )
 
 
+def js_divergence_of_examples(
+    examples: DataFrame,
+    tokenizer="simple",
+    dataset_col: str | None = None,
+    max_pairs: int | None = None,
+    order_col: str = "id",
+    materialize_pairs: bool = True,
+) -> DataFrame:
+    """A9 end to end: pair the examples once, tokenize once (materialised), then
+    the histogram and the group list both read that table."""
+    pairs = pair_rows(examples, order_col=order_col, dataset_col=dataset_col, max_pairs=max_pairs)
+    tt = _token_table(pairs, tokenizer).select(*GROUP, "ct", "pt")
+    if materialize_pairs:
+        tt = materialize(tt, "tokens")
+    return js_divergence(_histogram(tt), tt.select(*GROUP).distinct())
+
+
 def tokenizer_stats(
     examples: DataFrame,
     tokenizer="simple",
@@ -166,7 +183,7 @@ def tokenizer_stats(
     pairs = pair_rows(examples, order_col=order_col, dataset_col=dataset_col, max_pairs=max_pairs)
     tt = _token_table(pairs, tokenizer)
     if materialize_pairs:
-        tt = materialize(tt)
+        tt = materialize(tt, "tokens")
     means = _deltas(tt).groupBy(*GROUP).agg(
         F.count(F.lit(1)).cast("long").alias("n_pairs"),
         F.avg("clean_tokens").alias("avg_clean_tokens"),

@@ -326,10 +326,7 @@ def q_token_histogram(spark, d):
 @register("js_divergence")
 def q_js_divergence(spark, d):
     """JS divergence (bits) of the whitespace-token distributions per group."""
-    p = pairing.pair_rows(nli_ex(spark, d), dataset_col="dataset")
-    h = tk.token_histogram(p, "whitespace")
-    groups = p.select(*tk.GROUP).distinct()
-    return rounded(tk.js_divergence(h, groups))
+    return rounded(tk.js_divergence_of_examples(nli_ex(spark, d), "whitespace", dataset_col="dataset"))
 
 
 @register("tokenizer_stats")
