@@ -1,7 +1,8 @@
 """Tokenizer statistics over clean/perturbed pairs.
 
-Plan shape: pairing shuffle by ``(dataset, pair_id)`` -> two branches that
-re-read the same exchange (Spark reuses it):
+Plan shape: pairing shuffle by ``(dataset, pair_id)`` -> one tokenization into a
+pair table (token arrays + word/character counts, written once under the
+checkpoint folder) -> two branches reading it:
 
 (a) per-pair deltas -> ``groupBy(dataset, task, split)`` means (tiny result);
 (b) ``explode`` of tagged tokens -> ``groupBy(group, token)`` with map-side
