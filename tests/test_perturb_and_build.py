@@ -102,3 +102,26 @@ def test_sampling_is_exact_and_deterministic(spark):
     s = build.sample_per_split(p, {"train": 10, "test": 1000}, "pair_id").groupBy("split").count().collect()
     got = {r.split: r["count"] for r in s}
     assert got["train"] == 10 and got["test"] == p.where("split = 'test'").count()
+
+
+def test_lexicon_and_thresholds_are_parameters(spark):
+    df = spark.createDataFrame([("p", "test", "le chat et le chien dorment ici", "x y z")],
+                               "pair_id string, split string, a_clean string, a_insert string")
+    out = with_perturbation(df, "a_clean", "a_insert", [F.col("split"), F.col("pair_id")], "a", "o", 42,
+                            p_switch=1.0, noise_p=1.0, drop_words=("le",), abbreviations=(("chat", "ct"),),
+                            punct_choices=("?",), min_tokens=3, max_span=2).collect()[0]
+    cs, nz = out.o_meta.code_switch, out.o_meta.noise
+    assert cs.applied and cs.span_len == 2
+    assert nz.dropped_tokens == 2 and nz.abbreviations == 1 and nz.punct_added == "?"
+    assert out.o.endswith("?") and " le " not in f" {out.o} " and "ct" in out.o.split()
+
+
+def test_examples_identical_under_other_shuffle_layouts(spark):
+    base = sorted(tb.nli_examples(spark, SF).select("id", "input").collect())
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert sorted(tb.nli_examples(spark, SF).select("id", "input").collect()) == base
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
