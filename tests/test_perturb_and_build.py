@@ -125,3 +125,37 @@ def test_examples_identical_under_other_shuffle_layouts(spark):
             assert sorted(tb.nli_examples(spark, SF).select("id", "input").collect()) == base
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+# Seed corpus of the prototype builder (fixture values).
+SEED_NLI = [
+    ("nli_0001", "Le chat est sur le tapis.", "The cat is on the rug.",
+     "Un animal est sur le tapis.", "An animal is on the rug.", "entailment"),
+    ("nli_0002", "Il pleut aujourd'hui à Paris.", "It is raining today in Paris.",
+     "Le temps est sec.", "The weather is dry.", "contradiction"),
+    ("nli_0003", "Marie a acheté une voiture.", "Marie bought a car.",
+     "Marie aime le sport.", "Marie likes sports.", "neutral"),
+]
+SEED_QA = [
+    ("qa_0001",
+     "Paul est allé au marché ce matin pour acheter des fruits. Il a choisi des pommes et des bananes.",
+     "Paul went to the market this morning to buy fruit. He chose apples and bananas.",
+     "Quels fruits Paul a-t-il achetés ?", "What fruits did Paul buy?", "pommes et bananes"),
+]
+
+
+def test_seed_corpus_through_legacy_builder_and_stats(spark):
+    from pairshift.operators import tokens as tk
+
+    schema = "pair_id string, a_clean string, a_insert string, b_clean string, b_insert string, label string"
+    nli = spark.createDataFrame(SEED_NLI, schema).withColumn("split", F.lit("test"))
+    qa = spark.createDataFrame(SEED_QA, schema).withColumn("split", F.lit("test"))
+    ex = build.build_examples(nli, "nli", variant_name="switchmix").unionByName(
+        build.build_examples(qa, "qa", variant_name="switchmix"))
+    rows = ex.collect()
+    assert len(rows) == 8 and {r.variant for r in rows} == {"clean", "switchmix"}
+    qa_pert = [r for r in rows if r.task == "qa" and r.variant == "switchmix"][0]
+    cs = qa_pert.metadata.perturbation.a.code_switch
+    assert cs.applied in (True, False) and (cs.span_len == 0) == (not cs.applied)
+    st = {r.task: r for r in tk.tokenizer_stats(ex, "whitespace").collect()}
+    assert st["nli"].n_pairs == 3 and st["qa"].n_pairs == 1
