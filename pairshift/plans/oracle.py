@@ -781,3 +781,21 @@ def _():
 def _():
     return f"""SELECT m.model, sz.estimated_model_size FROM (SELECT DISTINCT model FROM ({nli_preds()})) m
                LEFT JOIN {sizes_values()} ON m.model = sz.model"""
+
+
+@oracle("eval_prompt")
+def _():
+    return f"""SELECT id, coalesce(CASE WHEN {U(SEED, q('no_prompt'), 'id')} < 0.3 THEN NULL ELSE input END, input) AS text
+               FROM ({ex_nli()})"""
+
+
+@oracle("first_answer")
+def _():
+    turns = (
+        "SELECT concat_ws('_', CAST(u.conv_id AS VARCHAR), CAST(u.turn AS VARCHAR)) AS id, "
+        "a.text AS answer, u.text AS question "
+        "FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 "
+        "WHERE u.role = 'user' AND a.role = 'assistant'"
+    )
+    return f"""SELECT id, coalesce(CASE WHEN {U(SEED, q('no_answers'), 'id')} < 0.3 THEN NULL ELSE answer END, question, '') AS answer
+               FROM ({turns})"""

@@ -558,3 +558,26 @@ def q_capacity_sweep(spark, d):
 
     out = capacity_sweep(nli_ex(spark, d), capacities=(2 ** 8, 2 ** 10, 2 ** 12), seed=SEED)
     return out.drop("train_time_s")
+
+
+@register("eval_prompt")
+def q_eval_prompt(spark, d):
+    """The evaluator's text, ``prompt`` else ``input``; a keyed ~third of the
+    examples arrive without ``prompt`` (as in files that only carry ``input``)."""
+    from pairshift.functions.draws import u01
+
+    ex = nli_ex(spark, d).withColumn(
+        "prompt", F.when(u01(SEED, "no_prompt", F.col("id")) < 0.3, F.lit(None).cast("string")).otherwise(F.col("prompt")))
+    return ex.select("id", tx.eval_prompt().alias("text"))
+
+
+@register("first_answer")
+def q_first_answer(spark, d):
+    """Gold answer from ``answers.text[0]``, else ``answer``, else ``''`` over QA turns;
+    a keyed ~third arrive with an empty ``answers.text`` list."""
+    from pairshift.functions.draws import u01
+
+    t = tb.qa_turns(spark, d)
+    empty = u01(SEED, "no_answers", F.col("id")) < 0.3
+    answers = F.when(empty, F.array().cast("array<string>")).otherwise(F.array(F.col("answer"), F.col("question")))
+    return t.select("id", tx.first_answer(answers, F.col("question")).alias("answer"))
