@@ -159,3 +159,11 @@ def test_seed_corpus_through_legacy_builder_and_stats(spark):
     assert cs.applied in (True, False) and (cs.span_len == 0) == (not cs.applied)
     st = {r.task: r for r in tk.tokenizer_stats(ex, "whitespace").collect()}
     assert st["nli"].n_pairs == 3 and st["qa"].n_pairs == 1
+
+
+def test_applied_rate_on_eligible_pairs_near_p_switch(spark):
+    ex = tb.nli_examples(spark, "/root/testdata/sf0.1").where("variant = 'perturbed'")
+    rows = ex.select("metadata.perturbation.a.code_switch.applied", "text_a").collect()
+    assert len(rows) == 1508
+    rate = sum(r.applied for r in rows) / len(rows)
+    assert abs(rate - 0.35) < 0.04
