@@ -45,25 +45,27 @@ def f1_per_example(df: DataFrame, keys: Sequence[str], pred: str = "prediction",
     """M1 at scale: token F1 per row keyed by ``keys`` (must be unique per row).
 
     Tokens of both sides are exploded and counted per ``(keys, token)`` (partial
-    aggregation before the shuffle), the overlap is ``sum(least(n_pred, n_gold))``,
-    and rows with no tokens at all keep their sizes through a left join.
+    aggregation before the shuffle); a second aggregation per row sums the
+    sizes and the overlap ``least(n_pred, n_gold)``. One marker element per row
+    (null token, zero counts) keeps rows without any token, so no join back to
+    the rows is needed.
     """
     k = list(keys)
-    sized = df.select(
-        *k, tx.answer_tokens(pred).alias("_pt"), tx.answer_tokens(gold).alias("_gt")
-    )
     tagged = F.concat(
-        F.transform(F.col("_pt"), lambda t: F.struct(t.alias("tok"), F.lit(1).alias("p"), F.lit(0).alias("g"))),
-        F.transform(F.col("_gt"), lambda t: F.struct(t.alias("tok"), F.lit(0).alias("p"), F.lit(1).alias("g"))),
+        F.transform(tx.answer_tokens(pred), lambda t: F.struct(t.alias("tok"), F.lit(1).alias("p"), F.lit(0).alias("g"))),
+        F.transform(tx.answer_tokens(gold), lambda t: F.struct(t.alias("tok"), F.lit(0).alias("p"), F.lit(1).alias("g"))),
+        F.array(F.struct(F.lit(None).cast("string").alias("tok"), F.lit(0).alias("p"), F.lit(0).alias("g"))),
     )
     counts = (
-        sized.select(*k, F.explode(tagged).alias("e"))
+        df.select(*k, F.explode(tagged).alias("e"))
         .groupBy(*k, F.col("e.tok").alias("tok"))
         .agg(F.sum("e.p").alias("np"), F.sum("e.g").alias("ng"))
     )
-    common = counts.groupBy(*k).agg(F.sum(F.least("np", "ng")).alias("common"))
-    sizes = sized.select(*k, F.size("_pt").alias("n_pred"), F.size("_gt").alias("n_gold"))
-    out = sizes.join(common, on=k, how="left").withColumn("common", F.coalesce(F.col("common"), F.lit(0)))
+    out = counts.groupBy(*k).agg(
+        F.sum("np").cast("int").alias("n_pred"),
+        F.sum("ng").cast("int").alias("n_gold"),
+        F.sum(F.least("np", "ng")).alias("common"),
+    )
     return out.withColumn("f1", _f1_from_counts(F.col("n_pred"), F.col("n_gold"), F.col("common")))
 
 
