@@ -15,7 +15,11 @@ materialisation, used when the keys are dense enough that at most
    under the threshold, otherwise it stays a shuffle join) and the position is
    ``first position + row_number() within the block - 1``.
 
-*Any other order* (composite keys) -- physical-layout method:
+A composite order of non-negative integers (e.g. ``conv_id, turn``) is packed
+into one order-preserving bigint when the measured bit widths fit in 62 bits,
+and then uses the same block method.
+
+*Any other order* -- physical-layout method:
 
 1. global sort (range exchange: a hot partition value is split across range
    partitions because the order key is part of the sort key);
@@ -101,8 +105,36 @@ def with_dense_index(
     exactly as for a deterministic window. Partition columns must be non-null.
     """
     part, order = list(partition_cols), list(order_cols)
-    if len(order) == 1 and isinstance(df.schema[order[0]].dataType, _INTEGRAL):
-        res = _blocks_index(df, order[0], part, out, block_width)
+    if all(isinstance(df.schema[c].dataType, _INTEGRAL) for c in order):
+        if len(order) == 1:
+            res = _blocks_index(df, order[0], part, out, block_width)
+        else:
+            packed = _packed_key(df, order)
+            res = None if packed is None else _blocks_index(df.withColumn("_ps_key", packed), "_ps_key", part, out, block_width)
+            res = None if res is None else res.drop("_ps_key")
         if res is not None:
             return res
     return _layout_index(df, order, part, out)
+
+
+def _packed_key(df: DataFrame, order: list[str]):
+    """Order-preserving single bigint for a composite non-negative integer order.
+
+    ``(c0, c1, ..)`` -> ``c0 << (b1 + ..) | c1 << (..) | ..`` where ``bi`` is the
+    bit width of the largest value of column ``i`` (measured by one keys-only
+    aggregate). Returns ``None`` when a value is negative or the key would not
+    fit in 62 bits; the caller then uses the layout method.
+    """
+    aggs = []
+    for c in order:
+        aggs += [F.min(c).alias(f"mn_{c}"), F.max(c).alias(f"mx_{c}")]
+    st = df.agg(*aggs).first()
+    if st is None or any(st[f"mn_{c}"] is None or st[f"mn_{c}"] < 0 for c in order):
+        return None
+    bits = [int(st[f"mx_{c}"]).bit_length() for c in order]
+    if sum(bits) > 62:
+        return None
+    key = F.lit(0).cast("long")
+    for c, b in zip(order, bits):
+        key = F.shiftleft(key, b).bitwiseOR(F.col(c).cast("long"))
+    return key

@@ -146,3 +146,14 @@ def test_dense_index_sparse_keys_fall_back(spark, monkeypatch):
     got = with_dense_index(df, ["k"], block_width=16).select("k", "idx")
     ref = df.withColumn("idx", F.row_number().over(Window.orderBy("k")) - 1)
     assert sorted(got.collect()) == sorted(ref.collect())
+
+
+def test_dense_index_composite_integer_order(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 37).alias("a"), (F.col("id") * 7 % 1000003).alias("b"))
+    got = with_dense_index(df, ["a", "b"]).select("a", "b", "idx")
+    ref = df.withColumn("idx", F.row_number().over(Window.orderBy("a", "b")) - 1)
+    assert sorted(got.collect()) == sorted(ref.collect())
+    neg = df.withColumn("a", -F.col("a"))
+    got = with_dense_index(neg, ["a", "b"]).select("a", "b", "idx")
+    ref = neg.withColumn("idx", F.row_number().over(Window.orderBy("a", "b")) - 1)
+    assert sorted(got.collect()) == sorted(ref.collect())
