@@ -69,3 +69,20 @@ def test_whitespace_scalars_match_python_on_random_strings(spark, strings):
         assert r.k == re.findall(r"\w+|[^\w\s]", s)
         assert r.c == sum(1 for ch in s if not ch.isspace())
         assert r.x == s.strip()
+
+
+def test_hot_pair_key_is_reduced_map_side(spark):
+    ex = tb.nli_examples(spark, SF).select("id", "pair_id", "task", "split", "variant", "input", "prompt")
+    n = ex.count()
+    hot = spark.range(0, n // 2).select(
+        F.lit("").alias("id"), F.lit(None).cast("string").alias("pair_id"), F.lit("nli").alias("task"),
+        F.lit("test").alias("split"),
+        F.when(F.col("id") % 2 == 0, F.lit("clean")).otherwise(F.lit("perturbed")).alias("variant"),
+        F.concat(F.lit("hot "), F.col("id").cast("string")).alias("input"), F.lit(None).cast("string").alias("prompt"))
+    both = ex.unionByName(hot).repartition(8)
+    p = pairing.pair_rows(both)
+    s = _plan(p)
+    assert "partial_max_by" in s
+    got = {r.pair_id: r for r in p.collect()}
+    assert len(got) == n // 2 + 1 and "" in got
+    assert got[""].clean_text.startswith("hot ") and got[""].perturbed_text.startswith("hot ")
