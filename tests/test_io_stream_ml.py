@@ -120,3 +120,30 @@ def test_streaming_deltas_equal_batch_pairing(spark):
     batch = sorted(tk.pair_token_deltas(pairing.pair_rows(ex, dataset_col="dataset"), "simple").collect())
     assert len(streamed) == len(batch) > 0
     assert streamed == batch
+
+
+def test_reference_shaped_metadata_maps_to_a_b(spark):
+    import json
+
+    d = _tmp()
+    path = os.path.join(d, "nli_test_fr-en.jsonl")
+    meta = {"type": "switchmix+informal_noise",
+            "premise": {"type": None, "code_switch": {"p_switch": 0.35, "seed": "1", "applied": True, "span_len": 2,
+                                                       "insert_pos": 1, "insert_lang_span": "the cat"},
+                        "noise": {"p": 0.15, "seed": "1", "dropped_tokens": 0, "abbreviations": 0, "punct_added": ""}},
+            "hypothesis": None, "params": {"p_switch": 0.35, "noise_p": 0.15}}
+    rows = [
+        {"id": "p1__clean", "pair_id": "p1", "task": "nli", "split": "test", "variant": "clean", "input": "a",
+         "prompt": "a", "label": "neutral", "metadata": {"pair_id": "p1", "task": "nli",
+                                                        "languages": {"clean": "fr", "insert": "en"},
+                                                        "perturbation": {"type": "none"}}},
+        {"id": "p1__perturbed", "pair_id": "p1", "task": "nli", "split": "test", "variant": "perturbed", "input": "b",
+         "prompt": "b", "label": "neutral", "metadata": {"pair_id": "p1", "task": "nli",
+                                                        "languages": {"clean": "fr", "insert": "en"}, "perturbation": meta}},
+    ]
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join(json.dumps(r, ensure_ascii=False) for r in rows) + "\n\n")
+    df = io.read_examples(spark, path)
+    r = df.where("variant = 'perturbed'").collect()[0]
+    assert r.metadata.perturbation.a.code_switch.insert_lang_span == "the cat"
+    assert r.dataset.endswith("nli_test_fr-en.jsonl")
