@@ -139,3 +139,11 @@ def write_metric_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "
         w.parquet(path)
     else:
         w.option("header", True).csv(path)
+
+
+def write_dataset(examples: DataFrame, out_dir: str, clean_lang: str = "fr", insert_lang: str = "en",
+                  fmt: str = "jsonl", mode: str = "overwrite") -> None:
+    """IO6: the built dataset as one folder per ``task / language_pair / split``
+    (the original wrote one ``{task}_{split}_{clean}-{insert}.jsonl`` file per split)."""
+    df = examples.withColumn("language_pair", F.lit(f"{clean_lang}-{insert_lang}"))
+    write_examples(df, out_dir, fmt=fmt, partition_by=("task", "language_pair", "split"), mode=mode)

@@ -147,3 +147,12 @@ def test_reference_shaped_metadata_maps_to_a_b(spark):
     r = df.where("variant = 'perturbed'").collect()[0]
     assert r.metadata.perturbation.a.code_switch.insert_lang_span == "the cat"
     assert r.dataset.endswith("nli_test_fr-en.jsonl")
+
+
+def test_write_dataset_partitions(spark):
+    d = os.path.join(_tmp(), "ds")
+    ex = tb.nli_examples(spark, SF)
+    io.write_dataset(ex, d)
+    assert sorted(os.listdir(os.path.join(d, "task=nli", "language_pair=fr-en"))) == ["split=test", "split=train"]
+    back = spark.read.json(d)
+    assert back.count() == ex.count()
