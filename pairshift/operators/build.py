@@ -78,33 +78,46 @@ def pair_id_fallback(id_col, dataset: str, lang: str, split_col, idx_col) -> Col
     )
 
 
+SAMPLE_BROADCAST_MAX = 200_000
+
+
+def _join_picked(df: DataFrame, picked: DataFrame, key_col: str, bound: int) -> DataFrame:
+    """Bring the chosen keys back to the full rows; broadcast only under a fixed bound."""
+    side = F.broadcast(picked) if bound <= SAMPLE_BROADCAST_MAX else picked
+    return df.join(side, on=key_col, how="inner")
+
+
 def sample_n(df: DataFrame, n: int, key_col: str, seed=42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement, in random order.
 
-    The order is a keyed draw (ties broken by the key), so the sample does not
-    depend on partitioning. Spark plans this as TakeOrderedAndProject: each
-    task keeps at most ``n`` rows.
+    The order is a keyed draw (ties broken by the key, which must be unique),
+    so the sample does not depend on partitioning. The top-n runs on narrow
+    ``(key, draw)`` rows (TakeOrderedAndProject: each task keeps at most ``n``
+    of them) and the chosen keys are joined back to the full rows.
     """
-    d = u01(seed, "sample", F.col(key_col))
-    return df.withColumn("sample_rank_key", d).orderBy("sample_rank_key", key_col).limit(n).drop("sample_rank_key")
+    picked = df.select(key_col, u01(seed, "sample", F.col(key_col)).alias("_draw")).orderBy("_draw", key_col).limit(n)
+    return _join_picked(df, picked, key_col, n).orderBy("_draw", key_col).drop("_draw")
 
 
 def sample_per_split(df: DataFrame, quotas: Mapping[str, int], key_col: str, split_col: str = "split", seed=42) -> DataFrame:
     """Per-split quotas (a quota above the split size keeps the whole split).
 
-    The literal bound ``rn <= max(quotas)`` lets Spark insert a WindowGroupLimit
-    before the exchange, so no task ever holds more than ``partitions x max
-    quota`` rows of one split; the per-split quota is applied after it.
+    Ranking runs on narrow ``(key, split, draw)`` rows. The literal bound
+    ``rn <= max(quotas)`` lets Spark insert a WindowGroupLimit before the
+    exchange, so no task holds more than ``partitions x max quota`` narrow rows
+    of one split; the per-split quota is applied after it and the chosen keys
+    are joined back to the full rows (``key_col`` must be unique).
     """
     qmap = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(int(v)))])
     w = Window.partitionBy(split_col).orderBy(F.col("_draw"), F.col(key_col))
     top = max(int(v) for v in quotas.values()) if quotas else 0
-    return (
-        df.withColumn("_draw", u01(seed, F.col(split_col), "sample", F.col(key_col)))
+    picked = (
+        df.select(key_col, split_col, u01(seed, F.col(split_col), "sample", F.col(key_col)).alias("_draw"))
         .withColumn("_rn", F.row_number().over(w))
         .where((F.col("_rn") <= F.lit(top)) & (F.col("_rn") <= F.coalesce(F.element_at(qmap, F.col(split_col)), F.lit(0))))
-        .drop("_draw", "_rn")
+        .select(key_col)
     )
+    return _join_picked(df, picked, key_col, sum(int(v) for v in quotas.values()))
 
 
 def _example_struct(
