@@ -86,17 +86,23 @@ def pair_rows(
     def last_of(variant: str) -> Column:
         return F.max_by(F.col("_row"), F.when(F.col("_variant") == F.lit(variant), F.col("_ord")))
 
+    limited = max_pairs is not None and max_pairs >= 0
     aggs = [
         last_of("clean").alias("clean"),
         F.coalesce(*[last_of(v) for v in PERTURBED_VARIANTS]).alias("perturbed"),
     ]
-    if max_pairs is not None and max_pairs >= 0:
+    if limited:
         aggs.append(F.min("_first").alias("_first_seen"))
     pairs = base.groupBy("dataset", "pair_id").agg(*aggs)
-    if max_pairs is not None and max_pairs >= 0:
-        # literal bound -> WindowGroupLimit runs before the exchange
+    if limited:
+        # First N keys per dataset in first-seen order. Only the narrow projection
+        # is ranked (literal bound -> WindowGroupLimit before the exchange); the
+        # chosen keys are semi-joined back to the pairs, whose shuffle is shared.
         w = Window.partitionBy("dataset").orderBy(F.col("_first_seen"), F.col("pair_id"))
-        pairs = pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(max_pairs)).drop("_rn", "_first_seen")
+        keep = (pairs.select("dataset", "pair_id", "_first_seen")
+                .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(max_pairs))
+                .select("dataset", "pair_id"))
+        pairs = pairs.join(keep, on=["dataset", "pair_id"], how="left_semi").drop("_first_seen")
     if drop_incomplete:
         pairs = pairs.where(F.col("clean").isNotNull() & F.col("perturbed").isNotNull())
     out = pairs.withColumns({
