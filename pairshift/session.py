@@ -81,4 +81,29 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     base = ensure_checkpoint_dir(df.sparkSession)
     path = f"{base.rstrip('/')}/pairshift-{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _MATERIALIZED.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+_MATERIALIZED: list[str] = []
+
+
+def materialized_paths() -> list[str]:
+    """Tables written by ``materialize`` in this process (oldest first)."""
+    return list(_MATERIALIZED)
+
+
+def cleanup_materialized(spark: SparkSession) -> int:
+    """Delete the tables this process materialised (call once their results are consumed).
+
+    Uses the Hadoop FileSystem of each path, so it works for shared storage as
+    well as local folders. Returns the number of tables removed.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _MATERIALIZED:
+        p = jvm.org.apache.hadoop.fs.Path(_MATERIALIZED.pop())
+        if p.getFileSystem(conf).delete(p, True):
+            removed += 1
+    return removed

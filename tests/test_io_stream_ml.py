@@ -156,3 +156,14 @@ def test_write_dataset_partitions(spark):
     assert sorted(os.listdir(os.path.join(d, "task=nli", "language_pair=fr-en"))) == ["split=test", "split=train"]
     back = spark.read.json(d)
     assert back.count() == ex.count()
+
+
+def test_cleanup_materialized(spark):
+    from pairshift import session
+
+    df = session.materialize(spark.range(10), "cleanup-test")
+    assert df.count() == 10
+    path = session.materialized_paths()[-1]
+    assert os.path.exists(path.replace("file:", ""))
+    assert session.cleanup_materialized(spark) >= 1
+    assert not os.path.exists(path.replace("file:", "")) and session.materialized_paths() == []
