@@ -10,7 +10,8 @@ from oracle_check import digest
 
 SF = "/root/testdata/sf0.001"
 FAST = ["build_nli_examples", "tokenizer_stats", "pair_rows", "robustness_report", "length_stats",
-        "f1_per_example", "representation_shift", "pool_mean", "synthetic_qa", "scaling_table", "max_pairs_limit"]
+        "f1_per_example", "representation_shift", "pool_mean", "synthetic_qa", "scaling_table", "max_pairs_limit",
+        "eval_prompt", "first_answer", "sample_per_split"]
 
 
 @pytest.fixture(scope="module")
