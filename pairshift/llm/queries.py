@@ -12,8 +12,10 @@ from pairshift.llm.best_fit_packing import best_fit_packing
 from pairshift.llm.common import table
 from pairshift.llm.exact_dedup import exact_dedup
 from pairshift.llm.host_quality import host_quality
+from pairshift.llm.jaccard_join import jaccard_components
 from pairshift.llm.pii import find_pii
 from pairshift.llm.quality_ftrl import quality_scores
+from pairshift.llm.suffix_dedup import suffix_dedup
 from pairshift.llm.url_filter import url_verdicts
 
 
@@ -21,6 +23,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -34,6 +40,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -49,9 +59,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_host_quality": op4_host_quality,
     "op6_quality_ftrl": op6_quality_ftrl,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
 }
@@ -89,4 +101,15 @@ ORACLE: dict[str, str] = {
         fit AS (SELECT page_id, max(struct_pack(n := length(h || p), rule := h || p, v := v)) AS won FROM u JOIN r
                 ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p) GROUP BY page_id)
         SELECT page_id, host, path, won.rule AS rule, coalesce(won.v, 'allow') AS verdict FROM u LEFT JOIN fit USING (page_id)""",
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS g FROM d)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON r.doc_id = e.x)
+        SELECT doc_id, any_value(coalesce(n, 0))::BIGINT AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
 }
