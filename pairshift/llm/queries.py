@@ -13,8 +13,10 @@ from pairshift.llm.common import table
 from pairshift.llm.exact_dedup import exact_dedup
 from pairshift.llm.host_quality import host_quality
 from pairshift.llm.jaccard_join import jaccard_components
+from pairshift.llm.license_scan import license_scan
 from pairshift.llm.pii import find_pii
 from pairshift.llm.quality_ftrl import quality_scores
+from pairshift.llm.sentencepiece_fst import encoded
 from pairshift.llm.suffix_dedup import suffix_dedup
 from pairshift.llm.url_filter import url_verdicts
 
@@ -23,6 +25,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -32,6 +38,10 @@ def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,8 +69,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_sentencepiece_fst": op2_sentencepiece_fst,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_host_quality": op4_host_quality,
+    "op5_license_scan": op5_license_scan,
     "op6_quality_ftrl": op6_quality_ftrl,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_jaccard_join": op8_jaccard_join,
