@@ -1,4 +1,4 @@
-"""Perturbation parity with a plain-Python restatement, determinism across layouts, builder invariants."""
+"""Perturbation golden rows and invariants, determinism across layouts, builder invariants."""
 
 from pyspark.sql import functions as F
 
@@ -6,8 +6,6 @@ from pairshift.functions.perturb import with_perturbation
 from pairshift.operators import build
 from pairshift.sources import tables as tb
 
-import pyref
-
 SF = "/root/testdata/sf0.01"
 
 
@@ -16,31 +14,33 @@ def _perturbed(df):
     return with_perturbation(df, "a_clean", "a_insert", keys, "a", "out", 42)
 
 
-def test_perturbation_matches_python_on_real_pairs(spark):
-    pairs = tb.nli_pairs(spark, SF).select("pair_id", "split", "a_clean", "a_insert")
-    rows = _perturbed(pairs).select("pair_id", "split", "a_clean", "a_insert", "out", "out_meta").collect()
-    assert len(rows) == 145
-    applied = 0
-    for r in rows:
-        text, ap, span_len, pos, span, dropped, abbr, punct = pyref.perturb(r.a_clean, r.a_insert, (42, r.split, r.pair_id, "a"))
-        cs, nz = r.out_meta.code_switch, r.out_meta.noise
-        assert r.out == text
-        assert (cs.applied, cs.span_len, cs.insert_pos, cs.insert_lang_span) == (ap, span_len, pos, span)
-        assert (nz.dropped_tokens, nz.abbreviations, nz.punct_added) == (dropped, abbr, punct)
-        applied += ap
-    assert 0.2 < applied / len(rows) < 0.5
-
-
-def test_perturbation_fixture_strings(spark):
-    base = "Le chat ne mange pas le poisson ce soir"
-    ins = "The cat does not eat the fish tonight you are"
-    rows = [(str(i), "test", base, ins) for i in range(300)] + [(f"y{i}", "test", "you are ne pas here", "a b") for i in range(200)]
+BASE = "Le chat ne mange pas le poisson ce soir"
+INSERT = "The cat does not eat the fish tonight you are"
+# pair id -> text, span length, place and span (none: not applied), tokens dropped, abbreviated, punctuation;
+# worked out from the keyed draws once and kept
+GOLDEN = {
+    "0": (BASE, 0, None, "", 0, 0, ""),
+    "2": ("Le chat ne mange not eat the fish pas le poisson ce soir", 4, 4, "not eat the fish", 0, 0, ""),
+    "4": ("Le chat ne mange u are pas le poisson ce soir", 2, 4, "you are", 0, 1, ""),
+    "5": ("Le chat ne eat the fish tonight you are mange pas le poisson ce soir", 6, 3, "eat the fish tonight you are", 0, 0, ""),
+    "10": ("Le fish tonight u r chat ne mange pas le poisson ce soir", 4, 1, "fish tonight you are", 0, 2, ""),
+    "11": ("Le chat ne does not eat the fish mange pas le poisson ce soir!", 5, 3, "does not eat the fish", 0, 0, "!"),
+}
+SHORT = {"y0": "you are ne pas here", "y1": "you r ne pas here", "y3": "u are ne pas here", "y6": "you are pas here", "y7": "you are ne here",
+         "y9": "you are ne pas here!!"}
+
+
+def test_perturbation_golden_rows(spark):
+    rows = [(k, "test", BASE, INSERT) for k in GOLDEN] + [(k, "test", "you are ne pas here", "a b") for k in SHORT]
     df = spark.createDataFrame(rows, "pair_id string, split string, a_clean string, a_insert string")
-    got = _perturbed(df).select("pair_id", "split", "a_clean", "a_insert", "out").collect()
-    for r in got:
-        assert r.out == pyref.perturb(r.a_clean, r.a_insert, (42, r.split, r.pair_id, "a"))[0]
-    short = [r.out for r in got if r.pair_id.startswith("y")]
-    assert any("u r" in s for s in short) and any(s.startswith("you are") for s in short)
+    got = {r.pair_id: r for r in _perturbed(df).collect()}
+    for k, (text, n, at, span, dropped, abbreviated, mark) in GOLDEN.items():
+        cs, nz = got[k].out_meta.code_switch, got[k].out_meta.noise
+        assert got[k].out == text
+        assert (cs.applied, cs.span_len, cs.insert_pos, cs.insert_lang_span) == (n > 0, n, at, span)
+        assert (nz.dropped_tokens, nz.abbreviations, nz.punct_added) == (dropped, abbreviated, mark)
+    assert {k: got[k].out for k in SHORT} == SHORT
+    assert not any(got[k].out_meta.code_switch.applied for k in SHORT)
 
 
 def test_same_result_under_any_layout(spark):
@@ -127,20 +127,15 @@ def test_examples_identical_under_other_shuffle_layouts(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
-# Seed corpus of the prototype builder (fixture values).
 SEED_NLI = [
-    ("nli_0001", "Le chat est sur le tapis.", "The cat is on the rug.",
-     "Un animal est sur le tapis.", "An animal is on the rug.", "entailment"),
-    ("nli_0002", "Il pleut aujourd'hui à Paris.", "It is raining today in Paris.",
-     "Le temps est sec.", "The weather is dry.", "contradiction"),
-    ("nli_0003", "Marie a acheté une voiture.", "Marie bought a car.",
-     "Marie aime le sport.", "Marie likes sports.", "neutral"),
+    ("n1", "Le facteur passe devant la maison.", "The postman walks past the house.", "Quelqu'un est dehors.", "Somebody is outside.", "entailment"),
+    ("n2", "La neige couvre tout le village.", "Snow covers the whole village.", "Il fait très chaud.", "It is very hot.", "contradiction"),
+    ("n3", "Jeanne lit dans le train du soir.", "Jeanne reads on the evening train.", "Jeanne habite à la mer.", "Jeanne lives by the sea.", "neutral"),
 ]
 SEED_QA = [
-    ("qa_0001",
-     "Paul est allé au marché ce matin pour acheter des fruits. Il a choisi des pommes et des bananes.",
-     "Paul went to the market this morning to buy fruit. He chose apples and bananas.",
-     "Quels fruits Paul a-t-il achetés ?", "What fruits did Paul buy?", "pommes et bananes"),
+    ("q1", "Luc a réparé le vieux vélo avec son oncle, puis il est parti vers le lac avec deux amis.",
+     "Luc repaired the old bicycle with his uncle, then he left for the lake with two friends.",
+     "Où Luc est-il allé ?", "Where did Luc go?", "vers le lac"),
 ]
 
 
