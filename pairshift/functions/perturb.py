@@ -54,22 +54,28 @@ FIELD_META_TYPE = T.StructType([
 ])
 
 
-def _key(seed, key_parts: Sequence, field: str) -> list:
-    return [seed, *key_parts, field]
+def _key(seed, keys: Sequence[str], field: str) -> list:
+    return [seed, *[F.col(k) for k in keys], field]
+
+
+def _named_keys(df: DataFrame, key_parts: Sequence, out: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """The key parts as string columns under names of their own: cached stages refer to names, never to a
+    column of one DataFrame."""
+    names = tuple(f"_{out}_key{i}" for i in range(len(key_parts)))
+    parts = [k if isinstance(k, Column) else F.lit(k) for k in key_parts]
+    return df.withColumns({n: p.cast("string") for n, p in zip(names, parts)}), names
 
 
 def _memo(fn):
     """Cache the unresolved Column stages per parameter set.
 
-    Building these expressions costs thousands of JVM round trips; the Columns
-    are unresolved and reusable across DataFrames, so they are built once per
-    JVM gateway and parameter set.
+    Building these expressions costs thousands of JVM round trips; they refer to
+    columns by name only and the parameters are plain values, so they are built
+    once per JVM gateway and parameter set.
     """
     cache: dict = {}
 
     def norm(x):
-        if isinstance(x, Column):
-            return ("col", str(x))
         if isinstance(x, (list, tuple)):
             return tuple(norm(y) for y in x)
         return ("val", repr(x))
@@ -143,8 +149,9 @@ def with_code_switch(
     insert tokens is spliced in at position 1..n_base-2; otherwise the base text
     is returned verbatim.
     """
-    stages, drop = _code_switch_stages(base, insert, tuple(key_parts), field, out, seed, p_switch, min_tokens, max_span)
-    return _apply(df, stages, drop)
+    df, keys = _named_keys(df, key_parts, out)
+    stages, drop = _code_switch_stages(base, insert, keys, field, out, seed, p_switch, min_tokens, max_span)
+    return _apply(df, stages, [*drop, *keys])
 
 
 @_memo
@@ -210,11 +217,12 @@ def with_informal_noise(
     re-joined with single spaces, so the output is whitespace-normalised even
     when nothing fired.
     """
+    df, keys = _named_keys(df, key_parts, out)
     stages, drop = _noise_stages(
-        tokens, tuple(key_parts), field, out, seed, noise_p,
+        tokens, keys, field, out, seed, noise_p,
         tuple(drop_words), tuple(tuple(a) for a in abbreviations), tuple(punct_choices),
     )
-    return _apply(df, stages, drop)
+    return _apply(df, stages, [*drop, *keys])
 
 
 def with_perturbation(

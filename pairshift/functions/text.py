@@ -171,8 +171,12 @@ def legacy_mix_prompt(premise, hypothesis, marker) -> Column:
     )
 
 
+# every line break that Python's splitlines() knows
+LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+
+
 def _last_field_line(prompt: Column, field: str) -> Column:
-    lines = F.split(prompt, "\n")
+    lines = F.split(prompt, LINE_BREAK)
     hits = F.filter(lines, lambda ln: F.lower(strip_ws(ln)).startswith(field + ":"))
     last = F.element_at(hits, -1)
     # text after the FIRST colon of that line

@@ -1,8 +1,8 @@
 """Paired-dataset construction: positional zip, sampling, two-row emission.
 
 Shape of a build: ``parallel_zip`` (one shuffle join on the position) ->
-optional sampling -> one projection holding every draw, both perturbations
-and both prompts -> ``inline`` of two structs. After the zip and the sampling
+optional sampling -> one projection holding every draw and both perturbations
+-> ``explode`` of the two variants. After the zip and the sampling
 there is no further shuffle.
 """
 
@@ -78,13 +78,7 @@ def pair_id_fallback(id_col, dataset: str, lang: str, split_col, idx_col) -> Col
     )
 
 
-SAMPLE_BROADCAST_MAX = 200_000
-
-
-def _join_picked(df: DataFrame, picked: DataFrame, key_col: str, bound: int) -> DataFrame:
-    """Bring the chosen keys back to the full rows; broadcast only under a fixed bound."""
-    side = F.broadcast(picked) if bound <= SAMPLE_BROADCAST_MAX else picked
-    return df.join(side, on=key_col, how="inner")
+SAMPLE_STRIPS = 64
 
 
 def sample_n(df: DataFrame, n: int, key_col: str, seed=42) -> DataFrame:
@@ -96,31 +90,33 @@ def sample_n(df: DataFrame, n: int, key_col: str, seed=42) -> DataFrame:
     of them) and the chosen keys are joined back to the full rows.
     """
     picked = df.select(key_col, u01(seed, "sample", F.col(key_col)).alias("_draw")).orderBy("_draw", key_col).limit(n)
-    return _join_picked(df, picked, key_col, n).orderBy("_draw", key_col).drop("_draw")
+    return df.join(picked, on=key_col).orderBy("_draw", key_col).drop("_draw")
 
 
 def sample_per_split(df: DataFrame, quotas: Mapping[str, int], key_col: str, split_col: str = "split", seed=42) -> DataFrame:
     """Per-split quotas (a quota above the split size keeps the whole split).
 
-    Ranking runs on narrow ``(key, split, draw)`` rows. The literal bound
-    ``rn <= max(quotas)`` lets Spark insert a WindowGroupLimit before the
-    exchange, so no task holds more than ``partitions x max quota`` narrow rows
-    of one split; the per-split quota is applied after it and the chosen keys
-    are joined back to the full rows (``key_col`` must be unique).
+    Ranking runs on narrow ``(key, split, draw)`` rows, first within ``SAMPLE_STRIPS`` hashed strips of each split and
+    then among what the strips leave. The literal bound ``rn <= max(quotas)`` lets Spark insert a WindowGroupLimit
+    before each exchange, so a split's last task holds at most ``SAMPLE_STRIPS x max quota`` narrow rows, whatever the
+    number of partitions; the chosen keys are joined back to the full rows (``key_col`` must be unique).
     """
     qmap = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(int(v)))])
-    w = Window.partitionBy(split_col).orderBy(F.col("_draw"), F.col(key_col))
     top = max(int(v) for v in quotas.values()) if quotas else 0
+    drawn = df.select(key_col, split_col, u01(seed, F.col(split_col), "sample", F.col(key_col)).alias("_draw"))
+    strip = F.pmod(F.xxhash64(key_col), F.lit(SAMPLE_STRIPS))
+    in_strip = Window.partitionBy(split_col, "_strip").orderBy("_draw", key_col)
+    in_split = Window.partitionBy(split_col).orderBy("_draw", key_col)
+    few = drawn.withColumn("_strip", strip).withColumn("_rn", F.row_number().over(in_strip)).where(F.col("_rn") <= F.lit(top)).drop("_rn", "_strip")
     picked = (
-        df.select(key_col, split_col, u01(seed, F.col(split_col), "sample", F.col(key_col)).alias("_draw"))
-        .withColumn("_rn", F.row_number().over(w))
+        few.withColumn("_rn", F.row_number().over(in_split))
         .where((F.col("_rn") <= F.lit(top)) & (F.col("_rn") <= F.coalesce(F.element_at(qmap, F.col(split_col)), F.lit(0))))
         .select(key_col)
     )
-    return _join_picked(df, picked, key_col, sum(int(v) for v in quotas.values()))
+    return df.join(picked, on=key_col)
 
 
-def _example_struct(
+def _example_columns(
     variant: Column | str,
     pair_id: Column,
     task: str,
@@ -133,9 +129,9 @@ def _example_struct(
     insert_lang: str,
     perturbation: Column,
     id_sep: str = "__",
-) -> Column:
+) -> list[Column]:
     v = F.lit(variant) if isinstance(variant, str) else variant
-    return F.struct(
+    return [
         F.concat(pair_id, F.lit(id_sep), v).alias("id"),
         pair_id.alias("pair_id"),
         F.lit(task).alias("task"),
@@ -153,7 +149,7 @@ def _example_struct(
             F.struct(F.lit(clean_lang).alias("clean"), F.lit(insert_lang).alias("insert")).alias("languages"),
             perturbation.alias("perturbation"),
         ).alias("metadata"),
-    )
+    ]
 
 
 def perturbed_pairs(
@@ -211,8 +207,9 @@ def build_examples(
     """G6/G7 (and G8 with ``variant_name='switchmix'``): two rows per source pair.
 
     For NLI, fields A/B are premise/hypothesis; for QA, context/question (see
-    ``perturbed_pairs`` for the input columns). The two rows are emitted with
-    ``inline`` from one projection: no shuffle.
+    ``perturbed_pairs`` for the input columns). A two-element variant array is
+    exploded and each column chosen by it: no shuffle, and a query that needs no
+    perturbed column computes no perturbation.
     """
     df = perturbed_pairs(pairs, seed, p_switch, noise_p, **lexicon)
     prompt = tx.nli_prompt if task == "nli" else tx.qa_prompt
@@ -228,15 +225,19 @@ def build_examples(
         F.when(F.col("_b_ok"), F.col("b_pert_meta")).alias("b"),
         F.struct(F.lit(float(p_switch)).alias("p_switch"), F.lit(float(noise_p)).alias("noise_p")).alias("params"),
     )
-    clean = _example_struct(
-        "clean", F.col("pair_id"), task, F.col("split"), prompt(F.col("a_clean"), F.col("b_clean")),
-        F.col("a_clean"), F.col("b_clean"), F.col("label"), clean_lang, insert_lang, none_meta,
-    )
-    pert = _example_struct(
-        variant_name, F.col("pair_id"), task, F.col("split"), prompt(F.col("a_pert"), F.col("b_pert")),
-        F.col("a_pert"), F.col("b_pert"), F.col("label"), clean_lang, insert_lang, pert_meta,
+    df = df.withColumn("_variant", F.explode(F.array(F.lit("clean"), F.lit(variant_name))))
+    is_clean = F.col("_variant") == F.lit("clean")
+
+    def side(clean: Column, perturbed: Column) -> Column:
+        return F.when(is_clean, clean).otherwise(perturbed)
+
+    row = _example_columns(
+        F.col("_variant"), F.col("pair_id"), task, F.col("split"),
+        side(prompt(F.col("a_clean"), F.col("b_clean")), prompt(F.col("a_pert"), F.col("b_pert"))),
+        side(F.col("a_clean"), F.col("a_pert")), side(F.col("b_clean"), F.col("b_pert")), F.col("label"), clean_lang, insert_lang,
+        side(none_meta, pert_meta),
     )
-    return df.select(F.inline(F.array(clean, pert)))
+    return df.select(*row)
 
 
 def nli_pairs_from_zip(

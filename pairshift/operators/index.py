@@ -1,32 +1,21 @@
-"""Dense positions without a single-partition window.
-
-``row_number() over (order by k)`` with no ``partitionBy`` moves every row into
-one task. ``with_dense_index`` computes the same 0-based position distributed.
-
-*Unique integer key* (the common case: document ids) -- block method, no
-materialisation, used when the keys are dense enough that at most
-``MAX_BLOCKS`` blocks are non-empty (measured by a keys-only aggregate):
-
-1. ``block = floor(k / width)``; a block holds at most ``width`` rows because
-   keys are unique, so no task ever sees more than ``width`` rows of one block;
-2. rows per (partition columns, block) form a table with one row per non-empty
-   block; a running sum over it gives each block's first position;
-3. that table is joined back (AQE broadcasts it when its measured size is
-   under the threshold, otherwise it stays a shuffle join) and the position is
-   ``first position + row_number() within the block - 1``.
-
-A composite order of non-negative integers (e.g. ``conv_id, turn``) is packed
-into one order-preserving bigint when the measured bit widths fit in 62 bits,
-and then uses the same block method.
-
-*Any other order* -- physical-layout method:
-
-1. global sort (range exchange: a hot partition value is split across range
-   partitions because the order key is part of the sort key);
-2. ``monotonically_increasing_id`` gives (physical partition, offset inside it);
-   the result is checkpointed so both uses below see the same layout;
-3. row counts per (partition values, physical partition) -> running sum ->
-   joined back.
+"""Dense positions without a single-partition window and without a job of their own.
+
+``row_number() over (order by k)`` with no ``partitionBy`` moves every row into one task. ``with_dense_index``
+computes the same 0-based position as a radix prefix sum over integer keys, one method for any number and any
+spread of keys:
+
+1. a key's ancestors are the key without its lowest 16, 32 and 48 bits; rows are counted per ancestor (pre-aggregated;
+   each count table is the one below it, counted again);
+2. running sums go from the top: the at most 65,536 ancestors of the whole range, then the at most 65,536 children of
+   each ancestor, and so on, so no window ever holds more than 65,536 rows;
+3. a row's position is its lowest ancestor's first position plus its ``row_number`` among the at most 65,536 keys
+   there.
+
+A composite order does this column by column: the first position of the first column's value, plus the position by
+the other columns inside that value. The plan is lazy: nothing is measured and nothing is written.
+
+Other orders (strings, doubles) are sorted by range, written once under the checkpoint folder, and counted per
+physical partition.
 """
 
 from __future__ import annotations
@@ -40,37 +29,46 @@ from pyspark.sql import types as T
 from pairshift.session import materialize
 
 _LOCAL_BITS = 33
-BROADCAST_ROW_LIMIT = 200_000
-DEFAULT_BLOCK_WIDTH = 1 << 16
+RADIX_BITS = 16
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only after measuring that ``df`` has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-MAX_BLOCKS = 1_000_000
-
-
-def _blocks_index(df: DataFrame, key: str, part: list[str], out: str, width: int) -> DataFrame | None:
-    """Block method, or ``None`` when the keys are too sparse for it.
-
-    The number of non-empty blocks is measured first (a keys-only aggregate);
-    above ``MAX_BLOCKS`` the offsets table would no longer be small, and the
-    caller falls back to the range-partitioned layout method.
-    """
-    blk = "_ps_blk"
-    keyed = df.withColumn(blk, F.floor(F.col(key) / F.lit(width)).cast("long"))
-    counts = keyed.groupBy(*part, blk).agg(F.count(F.lit(1)).alias("_ps_n"))
-    if counts.limit(MAX_BLOCKS + 1).count() > MAX_BLOCKS:
-        return None
-    w = Window.partitionBy(*part).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*part, blk, F.coalesce(F.sum("_ps_n").over(w), F.lit(0)).alias("_ps_base"))
-    in_block = Window.partitionBy(*part, blk).orderBy(key)
-    joined = keyed.join(starts, on=[*part, blk], how="inner")
-    return joined.withColumn(out, (F.col("_ps_base") + F.row_number().over(in_block) - 1).cast("long")).drop(blk, "_ps_base")
+def _first_positions(counts: DataFrame, part: list[str], key: str, n: str, out: str) -> DataFrame:
+    """``counts`` (``part``, ``key`` unique within it, ``n`` rows each) with ``out``: rows before the key."""
+    levels = [counts.select(*part, F.col(key).cast("long").alias("_k0"), F.col(n).alias("_n"))]
+    for i in range(1, 64 // RADIX_BITS):
+        up = F.shiftright(f"_k{i - 1}", RADIX_BITS).alias(f"_k{i}")
+        levels.append(levels[-1].groupBy(*part, up).agg(F.sum("_n").alias("_n")))
+    starts = None
+    for i in range(len(levels) - 1, -1, -1):
+        here = levels[i]
+        inside = list(part)
+        if starts is not None:
+            inside.append(f"_k{i + 1}")
+            here = here.withColumn(f"_k{i + 1}", F.shiftright(f"_k{i}", RADIX_BITS))
+        w = Window.partitionBy(*(inside or [F.lit(0)])).orderBy(f"_k{i}").rowsBetween(Window.unboundedPreceding, -1)
+        here = here.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        if starts is not None:
+            here = here.join(starts, on=inside).withColumn("_before", F.col("_before") + F.col("_start"))
+        starts = here.select(*part, f"_k{i}", F.col("_before").alias("_start"))
+    return starts.select(*part, F.col("_k0").alias(key), F.col("_start").alias(out))
+
+
+def _radix_index(df: DataFrame, part: list[str], order: list[str], out: str) -> DataFrame:
+    if len(order) == 1:
+        block, base = f"_ps_block_{out}", f"_ps_base_{out}"
+        keyed = df.withColumn(block, F.shiftright(F.col(order[0]).cast("long"), RADIX_BITS))
+        counts = keyed.groupBy(*part, block).agg(F.count(F.lit(1)).alias("_ps_n"))
+        starts = _first_positions(counts, part, block, "_ps_n", base)
+        w = Window.partitionBy(*part, block).orderBy(order[0])
+        joined = keyed.join(starts, on=[*part, block])
+        return joined.withColumn(out, (F.col(base) + F.row_number().over(w) - 1).cast("long")).drop(block, base)
+    first, start, inner = order[0], f"_ps_start_{out}", f"_ps_in_{out}"
+    counts = df.groupBy(*part, first).agg(F.count(F.lit(1)).alias("_ps_n"))
+    starts = _first_positions(counts, part, first, "_ps_n", start)
+    within = _radix_index(df, [*part, first], order[1:], inner)
+    joined = within.join(starts.withColumn(first, F.col(first).cast(df.schema[first].dataType)), on=[*part, first])
+    return joined.withColumn(out, (F.col(start) + F.col(inner)).cast("long")).drop(start, inner)
 
 
 def _layout_index(df: DataFrame, order_cols: list[str], part: list[str], out: str) -> DataFrame:
@@ -85,7 +83,7 @@ def _layout_index(df: DataFrame, order_cols: list[str], part: list[str], out: st
     )
     w = Window.partitionBy(*part).orderBy("_ps_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_ps_base", F.coalesce(F.sum("_ps_n").over(w), F.lit(0)))
-    blocks = broadcast_if_small(blocks.select("_ps_pid", *part, "_ps_base", "_ps_first"))
+    blocks = blocks.select("_ps_pid", *part, "_ps_base", "_ps_first")
     joined = staged.join(blocks, on=["_ps_pid", *part], how="inner")
     return joined.withColumn(
         out, (F.col("_ps_base") + F.col("_ps_local") - F.col("_ps_first")).cast("long")
@@ -97,44 +95,14 @@ def with_dense_index(
     order_cols: Sequence[str],
     partition_cols: Sequence[str] = (),
     out: str = "idx",
-    block_width: int = DEFAULT_BLOCK_WIDTH,
 ) -> DataFrame:
     """Add ``out`` = ``row_number() over (partition by partition_cols order by order_cols) - 1``.
 
     ``order_cols`` must define a total order inside each partition (unique keys),
-    exactly as for a deterministic window. Partition columns must be non-null.
+    exactly as for a deterministic window. Order and partition columns must be non-null.
     """
     part, order = list(partition_cols), list(order_cols)
+    columns = [*df.columns, out]
     if all(isinstance(df.schema[c].dataType, _INTEGRAL) for c in order):
-        if len(order) == 1:
-            res = _blocks_index(df, order[0], part, out, block_width)
-        else:
-            packed = _packed_key(df, order)
-            res = None if packed is None else _blocks_index(df.withColumn("_ps_key", packed), "_ps_key", part, out, block_width)
-            res = None if res is None else res.drop("_ps_key")
-        if res is not None:
-            return res
-    return _layout_index(df, order, part, out)
-
-
-def _packed_key(df: DataFrame, order: list[str]):
-    """Order-preserving single bigint for a composite non-negative integer order.
-
-    ``(c0, c1, ..)`` -> ``c0 << (b1 + ..) | c1 << (..) | ..`` where ``bi`` is the
-    bit width of the largest value of column ``i`` (measured by one keys-only
-    aggregate). Returns ``None`` when a value is negative or the key would not
-    fit in 62 bits; the caller then uses the layout method.
-    """
-    aggs = []
-    for c in order:
-        aggs += [F.min(c).alias(f"mn_{c}"), F.max(c).alias(f"mx_{c}")]
-    st = df.agg(*aggs).first()
-    if st is None or any(st[f"mn_{c}"] is None or st[f"mn_{c}"] < 0 for c in order):
-        return None
-    bits = [int(st[f"mx_{c}"]).bit_length() for c in order]
-    if sum(bits) > 62:
-        return None
-    key = F.lit(0).cast("long")
-    for c, b in zip(order, bits):
-        key = F.shiftleft(key, b).bitwiseOR(F.col(c).cast("long"))
-    return key
+        return _radix_index(df, part, order, out).select(*columns)
+    return _layout_index(df, order, part, out).select(*columns)

@@ -19,6 +19,7 @@ from pairshift.operators.pairing import inspector_pairs
 def counts_by_dim(examples: DataFrame, dims=("variant", "task", "split")) -> DataFrame:
     """Row counts by each dimension separately, one grouping-sets aggregate."""
     sets = [[d] for d in dims]
+    examples = examples.select(*[F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in dims])  # null and empty are one value
     g = examples.groupingSets(sets, *dims).agg(
         F.count(F.lit(1)).cast("long").alias("n_rows"),
         *[F.grouping(d).alias(f"_g_{d}") for d in dims],
@@ -62,7 +63,7 @@ def nearest_rank_stats(lengths: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def length_stats(examples: DataFrame) -> DataFrame:
-    """Character length stats of clean and perturbed inputs (inspector pairing)."""
+    """Character length stats of clean and perturbed inputs (inspector pairing); a side without rows has zeros."""
     p = inspector_pairs(examples)
     lens = p.select(
         F.explode(F.array(
@@ -70,7 +71,10 @@ def length_stats(examples: DataFrame) -> DataFrame:
             F.struct(F.lit("perturbed").alias("side"), F.length(F.col("perturbed.text")).alias("len")),
         )).alias("x")
     ).select("x.side", "x.len").where(F.col("len").isNotNull())
-    return nearest_rank_stats(lens, "side", "len")
+    found = nearest_rank_stats(lens, "side", "len")
+    sides = examples.sparkSession.range(2).select(F.when(F.col("id") == 0, "clean").otherwise("perturbed").alias("side"))
+    zero = {c: (F.lit(0).cast("long") if c == "n" else F.lit(0.0)) for c in ("n", "mean", "p50", "p90", "max")}
+    return sides.join(found, on="side", how="left").select("side", *[F.coalesce(F.col(c), z).alias(c) for c, z in zero.items()])
 
 
 def perturbation_rates(examples: DataFrame) -> DataFrame:

@@ -45,10 +45,26 @@ def _ensure(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
+def row_order(df: DataFrame, order_col: str | None, payload: Column, nulls_first: bool = True) -> Column:
+    """A total order of rows: ``order_col`` (a null is before any value, or after all), id, then the payload's hash.
+
+    The hash makes rows that agree in order and id come out the same way under every layout; rows that agree in
+    the payload too are interchangeable. Without ``order_col``: the readers' ``row_order`` if there, else ``id``.
+    """
+    name = order_col or ("row_order" if "row_order" in df.columns else "id")
+    given = F.col(name).isNotNull()
+    return F.struct((given if nulls_first else ~given).alias("given"), F.col(name).alias("order"), F.col("id"), F.xxhash64(payload).alias("hash"))
+
+
+def last_perturbed(row: Column, variant: Column, order: Column) -> Column:
+    """The last ``perturbed`` row, else the last ``switchmix`` one."""
+    return F.coalesce(*[F.max_by(row, F.when(variant == F.lit(v), order)) for v in PERTURBED_VARIANTS])
+
+
 def pair_rows(
     df: DataFrame,
     keep: Sequence[str] = ("id", "task", "split", "input", "prompt"),
-    order_col: str = "id",
+    order_col: str | None = None,
     dataset_col: str | None = None,
     max_pairs: int | None = None,
     drop_incomplete: bool = True,
@@ -56,8 +72,8 @@ def pair_rows(
 ) -> DataFrame:
     """One row per ``(dataset, pair_id)`` with ``clean`` and ``perturbed`` structs.
 
-    * the last row per (pair, variant) wins, "last" meaning the largest
-      ``(order_col, id)``; rows with a null ``order_col`` are ignored;
+    * the last row per (pair, variant) wins, "last" by ``row_order`` above (file order
+      for rows from the readers); no row is left out for want of an id or an order;
     * ``perturbed`` is the ``perturbed`` row, else the ``switchmix`` row;
     * ``max_pairs`` keeps the first N pair keys per dataset in first-seen order
       (smallest ``order_col``), *before* incomplete pairs are dropped;
@@ -73,23 +89,20 @@ def pair_rows(
     if with_text:
         payload.append(tx.text_of("input", "prompt").alias("text"))
     row = F.struct(*payload)
-    ordering = F.struct(F.col(order_col), F.col("id"))
     base = df.select(
         ds.alias("dataset"),
         pair_key(legacy_suffix=legacy_suffix).alias("pair_id"),
         F.col("variant").cast("string").alias("_variant"),
-        F.when(F.col(order_col).isNotNull(), ordering).alias("_ord"),
-        F.col(order_col).alias("_first"),
+        row_order(df, order_col, row).alias("_ord"),
+        row_order(df, order_col, row, nulls_first=False).alias("_first"),
         row.alias("_row"),
     )
-
-    def last_of(variant: str) -> Column:
-        return F.max_by(F.col("_row"), F.when(F.col("_variant") == F.lit(variant), F.col("_ord")))
+    variant = F.col("_variant")
 
     limited = max_pairs is not None and max_pairs >= 0
     aggs = [
-        last_of("clean").alias("clean"),
-        F.coalesce(*[last_of(v) for v in PERTURBED_VARIANTS]).alias("perturbed"),
+        F.max_by("_row", F.when(variant == F.lit("clean"), F.col("_ord"))).alias("clean"),
+        last_perturbed(F.col("_row"), variant, F.col("_ord")).alias("perturbed"),
     ]
     if limited:
         aggs.append(F.min("_first").alias("_first_seen"))
@@ -114,19 +127,20 @@ def pair_rows(
     return out
 
 
-def inspector_pairs(df: DataFrame, order_col: str = "id") -> DataFrame:
+def inspector_pairs(df: DataFrame, order_col: str | None = None) -> DataFrame:
     """Pairs as the dataset inspector sees them.
 
     Falsy ``pair_id`` falls back to the id prefix, rows with neither are dropped,
-    and the *first* row (smallest ``order_col``) per variant wins. Keeps the
+    and the *first* row (by ``row_order``) per variant wins. Keeps the
     pair size (number of rows with that key) for the A13 histogram.
     """
     df = _ensure(df, ["pair_id", "id", "variant", "input", "prompt", "label"])
+    row = F.struct(F.col("label"), tx.text_of("input", "prompt").alias("text"))
     base = df.select(
         inspector_pair_key().alias("pair_id"),
         F.col("variant").cast("string").alias("_variant"),
-        F.struct(F.col(order_col), F.col("id")).alias("_ord"),
-        F.struct(F.col("label"), tx.text_of("input", "prompt").alias("text")).alias("_row"),
+        row_order(df, order_col, row, nulls_first=False).alias("_ord"),
+        row.alias("_row"),
     ).where(F.col("pair_id").isNotNull())
 
     def first_of(cond: Column) -> Column:

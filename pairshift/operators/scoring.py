@@ -44,9 +44,9 @@ def _f1_from_counts(np_: Column, ng: Column, common: Column) -> Column:
 def f1_per_example(df: DataFrame, keys: Sequence[str], pred: str = "prediction", gold: str = "label") -> DataFrame:
     """M1 at scale: token F1 per row keyed by ``keys`` (must be unique per row).
 
-    Tokens of both sides are exploded and counted per ``(keys, token)`` (partial
-    aggregation before the shuffle); a second aggregation per row sums the
-    sizes and the overlap ``least(n_pred, n_gold)``. One marker element per row
+    The compact rows are dealt by their keys once; tokens are exploded and counted
+    per ``(keys, token)`` inside that partitioning, and so is the second aggregation
+    per row, which sums the sizes and the overlap ``least(n_pred, n_gold)``. One marker element per row
     (null token, zero counts) keeps rows without any token, so no join back to
     the rows is needed.
     """
@@ -57,7 +57,7 @@ def f1_per_example(df: DataFrame, keys: Sequence[str], pred: str = "prediction",
         F.array(F.struct(F.lit(None).cast("string").alias("tok"), F.lit(0).alias("p"), F.lit(0).alias("g"))),
     )
     counts = (
-        df.select(*k, F.explode(tagged).alias("e"))
+        df.select(*k, F.col(pred), F.col(gold)).repartition(*k).select(*k, F.explode(tagged).alias("e"))
         .groupBy(*k, F.col("e.tok").alias("tok"))
         .agg(F.sum("e.p").alias("np"), F.sum("e.g").alias("ng"))
     )

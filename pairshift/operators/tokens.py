@@ -123,12 +123,12 @@ def js_divergence(hist: DataFrame, groups: DataFrame, eps: float = JS_EPS) -> Da
     Each side is normalised by ``max(1, total)``, clipped to ``[eps, 1]``,
     renormalised, and compared with base-2 logs. ``groups`` lists every group
     (``GROUP`` columns); a group with an empty vocabulary gets 0. The per-group
-    totals and sums are tiny (one row per group), hence broadcast.
+    totals and sums have one row per group; AQE broadcasts them where they measure small.
     """
     totals = hist.groupBy(*GROUP).agg(
         F.sum("n_clean").alias("_tc"), F.sum("n_perturbed").alias("_tp")
     )
-    clipped = hist.join(F.broadcast(totals), on=GROUP).select(
+    clipped = hist.join(totals, on=GROUP).select(
         *GROUP,
         F.least(F.greatest(F.col("n_clean") / F.greatest(F.lit(1.0), F.col("_tc")), F.lit(eps)), F.lit(1.0)).alias("x"),
         F.least(F.greatest(F.col("n_perturbed") / F.greatest(F.lit(1.0), F.col("_tp")), F.lit(eps)), F.lit(1.0)).alias("y"),
@@ -137,11 +137,11 @@ def js_divergence(hist: DataFrame, groups: DataFrame, eps: float = JS_EPS) -> Da
     p = F.col("x") / F.col("_sx")
     q = F.col("y") / F.col("_sy")
     m = (p + q) * 0.5
-    terms = clipped.join(F.broadcast(sums), on=GROUP).select(
+    terms = clipped.join(sums, on=GROUP).select(
         *GROUP, (0.5 * p * F.log2(p / m) + 0.5 * q * F.log2(q / m)).alias("term")
     )
     js = terms.groupBy(*GROUP).agg(F.sum("term").alias("token_js_divergence_bits"))
-    return groups.select(*GROUP).join(F.broadcast(js), on=GROUP, how="left").select(
+    return groups.select(*GROUP).join(js, on=GROUP, how="left").select(
         *GROUP, F.coalesce(F.col("token_js_divergence_bits"), F.lit(0.0)).alias("token_js_divergence_bits")
     )
 
@@ -151,11 +151,11 @@ def js_divergence_of_examples(
     tokenizer="simple",
     dataset_col: str | None = None,
     max_pairs: int | None = None,
-    order_col: str = "id",
-    materialize_pairs: bool = True,
+    order_col: str | None = None,
+    materialize_pairs: bool = False,
 ) -> DataFrame:
-    """A9 end to end: pair the examples once, tokenize once (materialised), then
-    the histogram and the group list both read that table."""
+    """A9 end to end. The histogram and the group list share the pairing shuffle; with ``materialize_pairs`` the
+    tokenized pairs are written once instead (the caller then removes them with ``session.cleanup_materialized``)."""
     pairs = pair_rows(examples, order_col=order_col, dataset_col=dataset_col, max_pairs=max_pairs)
     tt = _token_table(pairs, tokenizer).select(*GROUP, "ct", "pt")
     if materialize_pairs:
@@ -169,17 +169,14 @@ def tokenizer_stats(
     tokenizer_name: str | None = None,
     dataset_col: str | None = None,
     max_pairs: int | None = None,
-    order_col: str = "id",
-    materialize_pairs: bool = True,
+    order_col: str | None = None,
+    materialize_pairs: bool = False,
 ) -> DataFrame:
     """Per (dataset, task, split): pair count, eight means and the JS divergence.
 
-    The tokenized pair table (token arrays and word/character counts, no raw
-    text) is written once as a reliable checkpoint and both branches -- the
-    per-pair means and the token histogram -- read it, so the build, the pairing
-    shuffle and the tokenization run once and a lost executor does not replay
-    them. The group tables are bounded by the number of (dataset, task, split)
-    groups, so broadcasting them is safe at any data size.
+    Both branches, the per-pair means and the token histogram, read the same pairing shuffle (the planner reuses the
+    exchange), and nothing is written. With ``materialize_pairs`` the tokenized pairs (no raw text) are written once
+    under the checkpoint folder, which saves tokenizing twice; ``session.cleanup_materialized`` removes them.
     """
     pairs = pair_rows(examples, order_col=order_col, dataset_col=dataset_col, max_pairs=max_pairs)
     tt = _token_table(pairs, tokenizer)
@@ -198,7 +195,7 @@ def tokenizer_stats(
     )
     js = js_divergence(_histogram(tt.select(*GROUP, "ct", "pt")), means)
     name = tokenizer_name or (tokenizer if isinstance(tokenizer, str) else "custom")
-    return means.join(F.broadcast(js), on=GROUP).select(
+    return means.join(js, on=GROUP).select(
         F.col("dataset").alias("data_path"), "task", "split", F.lit(name).alias("tokenizer"),
         "n_pairs", "avg_clean_tokens", "avg_perturbed_tokens", "avg_token_increase",
         "avg_length_inflation", "avg_fragmentation_clean", "avg_fragmentation_perturbed",

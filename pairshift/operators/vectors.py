@@ -8,10 +8,12 @@ cosine is array arithmetic inside the row, and the per-layer summary is a tiny
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairshift.operators.pairing import PERTURBED_VARIANTS
+from pairshift.operators.pairing import last_perturbed
 
 COS_EPS = 1e-8
 POOLS = ("cls", "mean")
@@ -36,12 +38,17 @@ def cosine(a, b, eps: float = COS_EPS) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vector dimensions differ"))).otherwise(cos)
 
 
-def paired_vectors(vectors: DataFrame, keys=("dataset", "task", "split", "pair_id", "layer")) -> DataFrame:
-    """Clean and perturbed vector of each (pair, layer); incomplete pairs dropped."""
+def paired_vectors(vectors: DataFrame, keys=("dataset", "task", "split", "pair_id", "layer"), order_col: str | None = None) -> DataFrame:
+    """Clean and perturbed vector of each (pair, layer) by the pairing rules; incomplete pairs dropped.
+
+    Per variant the last row by ``order_col`` wins, ties (and tables without an order) by the vector's hash, and
+    ``perturbed`` comes before ``switchmix``, so the order of the rows in memory never decides.
+    """
     k = list(keys)
+    order = F.struct(F.col(order_col) if order_col else F.lit(0), F.xxhash64("vector"))
     g = vectors.groupBy(*k).agg(
-        F.max_by("vector", F.when(F.col("variant") == "clean", F.lit(1))).alias("clean"),
-        F.max_by("vector", F.when(F.col("variant").isin(*PERTURBED_VARIANTS), F.lit(1))).alias("perturbed"),
+        F.max_by("vector", F.when(F.col("variant") == "clean", order)).alias("clean"),
+        last_perturbed(F.col("vector"), F.col("variant"), order).alias("perturbed"),
     )
     return g.where(F.col("clean").isNotNull() & F.col("perturbed").isNotNull())
 
@@ -70,23 +77,21 @@ def representation_shift(vectors: DataFrame, model: str = "external", pool: str
 def pool(token_vectors: DataFrame, method: str, keys=("dataset", "task", "split", "pair_id", "variant")) -> DataFrame:
     """X3 with M4 (``cls``: vector at position 0) or M5 (``mean``: mask-weighted mean).
 
-    Mean pooling explodes dimensions and sums ``v * mask`` per (sequence, dim)
-    with map-side partial sums; the denominator ``sum(mask)`` is floored at 1.
-    The only ``collect_list`` gathers one value per dimension (bounded by the
-    hidden size, not by the data).
+    Mean pooling is one weighted-mean aggregate of whole vectors (no row per dimension), with partial sums before
+    the shuffle; a sequence whose mask is empty is a zero vector of its own length.
     """
     k = list(keys)
     if method == "cls":
         return token_vectors.where(F.col("pos") == 0).select(*k, F.col("vector"))
     if method != "mean":
         raise ValueError(f"Unknown pool method: {method}")
-    e = token_vectors.select(*k, "mask", F.posexplode("vector").alias("dim", "v"))
-    s = e.groupBy(*k, "dim").agg(
-        F.sum(F.col("v") * F.col("mask")).alias("s"), F.sum("mask").alias("m")
-    )
-    s = s.withColumn("val", F.col("s") / F.greatest(F.col("m").cast("double"), F.lit(1.0)))
-    v = s.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("dim", "val"))).alias("_dv"))
-    return v.select(*k, F.transform("_dv", lambda x: x["val"]).alias("vector"))
+    mask = F.coalesce(F.col("mask").cast("double"), F.lit(0.0))
+    # a masked position counts as a zero vector of weight 1: the summarizer needs some weight, the sum does not change
+    value = F.when(mask > 0, F.col("vector")).otherwise(F.transform("vector", lambda x: x * 0.0))
+    weight = F.when(mask > 0, mask).otherwise(F.lit(1.0))
+    g = token_vectors.groupBy(*k).agg(
+        Summarizer.mean(array_to_vector(value), weight).alias("_mean"), F.sum(weight).alias("_w"), F.sum(mask).alias("_m"))
+    return g.select(*k, F.transform(vector_to_array("_mean"), lambda x: x * F.col("_w") / F.greatest(F.col("_m"), F.lit(1.0))).alias("vector"))
 
 
 def pooled_drift(token_vectors: DataFrame, method: str) -> DataFrame:

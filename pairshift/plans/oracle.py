@@ -46,10 +46,10 @@ def ex_qa() -> str:
 def damaged(ex: str) -> str:
     return f"""
     WITH e AS (SELECT *, CAST(floor({U(SEED, q('damage'), 'id')} * 20) AS INTEGER) AS _r FROM ({ex})),
-    k AS (SELECT * FROM e WHERE _r <> 0 UNION ALL SELECT * FROM e WHERE _r = 1)
+    k AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE _r = 1)
     SELECT * EXCLUDE (_r, pair_id, variant),
            CASE WHEN _r = 2 THEN NULL ELSE pair_id END AS pair_id,
-           CASE WHEN _r = 3 AND variant = 'perturbed' THEN 'switchmix' ELSE variant END AS variant
+           CASE WHEN _r = 0 THEN 'draft' WHEN _r = 3 AND variant = 'perturbed' THEN 'switchmix' ELSE variant END AS variant
     FROM k"""
 
 
@@ -344,6 +344,26 @@ def _():
                FROM ({pairs(damaged(ex_nli()))})"""
 
 
+@oracle("build_from_parallel")
+def _():
+    def side(lang):
+        src = (f"SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, text, CASE WHEN doc_id % 5 < 4 THEN 'train' ELSE 'test' END AS split, "
+               f"CAST(doc_id % 4 AS INTEGER) AS label FROM documents WHERE lang = {q(lang)}")
+        return S.halves(f"SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS idx FROM ({src})", "text", "premise", "hypothesis",
+                        "id, split, idx, label")
+    pairs_ = (f"SELECT b.id AS pair_id, b.split, b.premise AS a_clean, i.premise AS a_insert, b.hypothesis AS b_clean, i.hypothesis AS b_insert, "
+              f"{S.LABEL_NAME('b.label')} AS label FROM ({side('fr')}) b JOIN ({side('en')}) i ON b.split = i.split AND b.idx = i.idx")
+    chosen = f"""SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {U(SEED, 'split', q('sample'), 'pair_id')}, pair_id) AS rn
+                 FROM ({pairs_})) WHERE rn <= CASE split WHEN 'train' THEN 30 ELSE 10 END"""
+    return f"SELECT id, pair_id, split, variant, label, CAST(length(input) AS BIGINT) AS input_len FROM ({S.examples(chosen, 'nli')})"
+
+
+@oracle("pair_rows_without_id")
+def _():
+    return f"""SELECT dataset, pair_id, task, split, CAST(length(clean_text) AS BIGINT) AS clean_len, CAST(length(perturbed_text) AS BIGINT) AS perturbed_len
+               FROM ({pairs(ex_nli())})"""
+
+
 @oracle("max_pairs_limit")
 def _():
     both = f"SELECT * FROM ({damaged(ex_nli())}) UNION ALL BY NAME SELECT * FROM ({damaged(ex_qa())})"
@@ -576,7 +596,7 @@ def _():
 def cross_sql() -> str:
     reps = " UNION ALL ".join(f"SELECT * FROM ({report_sql(nli_preds(i))})" for i in ("en", "es", "de"))
     return f"""SELECT language_pair, model, clean_score AS clean_accuracy, switchmix_score AS switchmix_accuracy, robustness_drop
-               FROM ({reps}) WHERE NOT (language_pair = 'fr-de' AND model = {q(ADAPTER_MODELS[1])})"""
+               FROM ({reps})"""
 
 
 @oracle("cross_language")
@@ -591,7 +611,7 @@ def _():
     return f"""SELECT language_pair,
                       {r6(f"coalesce(avg(CASE WHEN model = {q(a)} THEN robustness_drop END), 0.0)", 'drop_model_a')},
                       {r6(f"coalesce(avg(CASE WHEN model = {q(b)} THEN robustness_drop END), 0.0)", 'drop_model_b')}
-               FROM ({cross_sql()}) GROUP BY language_pair"""
+               FROM ({cross_sql()}) WHERE NOT (language_pair = 'fr-de' AND model = {q(b)}) GROUP BY language_pair"""
 
 
 @oracle("paper_table")
@@ -611,7 +631,7 @@ def _():
 # ---------------------------------------------------------------- inspection
 @oracle("counts_by_dim")
 def _():
-    dm = damaged(ex_nli())
+    dm = ex_nli()
     return " UNION ALL ".join(
         f"SELECT {q(d)} AS dimension, coalesce(CAST({d} AS VARCHAR), '') AS value, CAST(count(*) AS BIGINT) AS n_rows FROM ({dm}) GROUP BY {d}"
         for d in ("variant", "task", "split")
@@ -620,7 +640,7 @@ def _():
 
 @oracle("length_stats")
 def _():
-    ip = inspector_pairs(damaged(ex_nli()))
+    ip = inspector_pairs(ex_nli())
     lens = f"""SELECT 'clean' AS side, length(c.text) AS len FROM ({ip}) WHERE c IS NOT NULL
                UNION ALL SELECT 'perturbed' AS side, length(p.text) AS len FROM ({ip}) WHERE p IS NOT NULL"""
     g = f"SELECT side, count(*) AS n, avg(len) AS mean, list_sort(list(len)) AS xs, max(len) AS mx FROM ({lens}) GROUP BY side"
@@ -647,7 +667,7 @@ def _():
 
 @oracle("show_pairs")
 def _():
-    ip = inspector_pairs(damaged(ex_nli()))
+    ip = inspector_pairs(ex_nli())
     return f"""SELECT pair_id, c.label AS clean_label, substr(c.text, 1, 400) AS clean_text,
                       p.label AS perturbed_label, substr(p.text, 1, 400) AS perturbed_text
                FROM ({ip}) ORDER BY {U(SEED, q('show'), 'pair_id')}, pair_id LIMIT 5"""

@@ -8,9 +8,11 @@ setting is missing, which is the case for local tests.
 from __future__ import annotations
 
 import os
+import shlex
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,7 +22,7 @@ def build_session(
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    """Create (or reuse) a session with the settings this engine is tuned for.
+    """Create (or reuse) a session; a default below is set only where nothing was submitted, the arguments always.
 
     AQE stays on so that shuffle partitions are coalesced at runtime and skewed
     joins are split; the web UI is off because nothing here needs a server.
@@ -41,10 +43,11 @@ def build_session(
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": os.environ.get("PAIRSHIFT_DRIVER_MEMORY", "16g"),
     }
+    given = dict(extra or {})
     if shuffle_partitions is not None:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
-    for k, v in conf.items():
+        given["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    submitted = _submitted()
+    for k, v in {**{k: v for k, v in conf.items() if k not in submitted}, **given}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
@@ -52,11 +55,24 @@ def build_session(
     return spark
 
 
+def _submitted() -> set[str]:
+    """Names of the settings that are there already: of the running context, or of the submitted command."""
+    if SparkContext._active_spark_context is not None:
+        return {k for k, _ in SparkContext._active_spark_context.getConf().getAll()}
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit: its JVM knows them
+        SparkContext._ensure_initialized()
+        return {k for k, _ in SparkConf().getAll()}
+    args = shlex.split(os.environ.get("PYSPARK_SUBMIT_ARGS", ""))
+    names = {args[i + 1].split("=", 1)[0] for i, a in enumerate(args[:-1]) if a in ("--conf", "-c")}
+    return names | ({"spark.driver.memory"} if "--driver-memory" in args else set())
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's reliable checkpoint folder, setting one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when nothing is configured (local tests) is a fresh scratch folder made.
+    Only when nothing is configured on a local master (tests) is a fresh scratch folder made; on a cluster a
+    machine-local folder would lose rows, so a missing setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,6 +80,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="pairshift-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

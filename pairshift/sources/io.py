@@ -1,8 +1,8 @@
 """Readers and writers for example and metric tables (IO1-IO11).
 
 Examples are read with an explicit schema (never inferred) and ``FAILFAST``, so
-malformed input raises like the original loaders. Every row keeps the file it
-came from (``dataset``), because pairing never crosses files. Writers are plain
+malformed input raises like the original loaders. Every row keeps the path it
+was read by (``dataset``), because pairing never crosses datasets. Writers are plain
 distributed writes: one JSON object per line, or Parquet partitioned by the
 columns that the original wrote as separate files.
 """
@@ -10,6 +10,7 @@ columns that the original wrote as separate files.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,15 +39,48 @@ EXAMPLE_FILE_SCHEMA = T.StructType([
 ])
 
 
-def _format_of(path: str, fmt: str | None) -> str:
-    if fmt:
-        return fmt
-    p = path.rstrip("/").lower()
-    if p.endswith(".jsonl"):
-        return "jsonl"
-    if p.endswith(".parquet"):
-        return "parquet"
-    return "json"
+FORMATS = {"jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "parquet": "parquet"}
+
+
+def _format_of(name: str, in_folder: bool) -> str | None:
+    """Format by file name; a Spark part file that ends in ``.json`` holds one object per line."""
+    parts = name.lower().split(".")
+    if parts[-1] in ("gz", "bz2", "zst", "snappy", "deflate", "lz4"):
+        parts.pop()
+    fmt = FORMATS.get(parts[-1]) if len(parts) > 1 else None
+    return "jsonl" if fmt == "json" and in_folder and name.startswith("part-") else fmt
+
+
+def _named(spark: SparkSession, path: str, fmt: str | None) -> list[tuple[str, str, bool]]:
+    """(path, format, is a folder) of everything that ``path`` names; a pattern names each of its matches.
+
+    A folder's format is that of its data files, which must agree; an unknown or missing suffix is an error
+    unless ``fmt`` is given.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(at)
+    if found is None or not len(found):
+        raise FileNotFoundError(path)
+    out = []
+    for status in found:
+        name, folder = status.getPath().toString(), status.isDirectory()
+        if fmt is not None:
+            out.append((name, fmt, folder))
+            continue
+        if not folder:
+            formats = {_format_of(status.getPath().getName(), False)}
+        else:
+            formats, files = set(), fs.listFiles(status.getPath(), True)
+            while files.hasNext():
+                leaf = files.next().getPath().getName()
+                if not leaf.startswith(("_", ".")):
+                    formats.add(_format_of(leaf, True))
+        if len(formats) != 1 or None in formats:
+            raise ValueError(f"the format of {name} is not clear from its files; give fmt")
+        out.append((name, formats.pop(), folder))
+    return out
 
 
 def read_examples(
@@ -55,24 +89,32 @@ def read_examples(
     fmt: str | None = None,
     schema: T.StructType = EXAMPLE_FILE_SCHEMA,
 ) -> DataFrame:
-    """IO1/IO2/IO3/IO7/U2: read example shards, tagging rows with their file.
+    """IO1/IO2/IO3/IO7/U2: read example shards, tagging rows with their dataset and their place.
 
-    ``jsonl``: one object per line (blank lines are skipped); ``json``: one
-    document holding an array of rows; ``parquet``. The format follows the
-    first path's suffix unless given. ``uid`` (prototype files) fills a missing
-    ``pair_id``; on-disk field names are mapped onto the engine's ``a``/``b``.
+    ``jsonl``: one object per line (blank lines are skipped); ``json``: one document holding an array of rows;
+    ``parquet``. Each path has its own format, by suffix (a folder: by its files) unless ``fmt`` is given.
+    ``dataset`` is the file or folder that was named (each match of a pattern), so the part files of a folder are
+    one dataset. ``row_order`` is the place in file order: file, split, row; pairing uses it by default. ``uid``
+    (prototype files) fills a missing ``pair_id``; on-disk field names are mapped onto the engine's ``a``/``b``.
     """
-    ps = [paths] if isinstance(paths, str) else list(paths)
-    f = _format_of(ps[0], fmt)
-    if f == "parquet":
-        df = spark.read.schema(schema).parquet(*ps)
-    else:
-        r = spark.read.schema(schema).option("mode", "FAILFAST")
-        if f == "json":
-            r = r.option("multiLine", True)
-        df = r.json(ps)
-    df = df.withColumn("dataset", F.col("_metadata.file_path"))
-    return canonical_examples(df)
+    named = [x for p in ([paths] if isinstance(paths, str) else paths) for x in _named(spark, p, fmt)]
+    scans = []
+    for f in sorted({x[1] for x in named}):
+        files = [name for name, kind, folder in named if kind == f and not folder]
+        if files:
+            scans.append(_scan(spark, f, files, schema).withColumn("dataset", F.col("_metadata.file_path")))
+        scans += [_scan(spark, f, [name], schema).withColumn("dataset", F.lit(name)) for name, kind, folder in named if kind == f and folder]
+    tagged = [df.withColumn("row_order", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")))
+        .select(*schema.names, "dataset", "row_order") for df in scans]
+    return canonical_examples(reduce(DataFrame.unionByName, tagged))
+
+
+def _scan(spark: SparkSession, fmt: str, paths: list[str], schema: T.StructType) -> DataFrame:
+    if fmt == "parquet":
+        return spark.read.schema(schema).parquet(*paths)
+    r = spark.read.schema(schema).option("mode", "FAILFAST")
+    return (r.option("multiLine", True) if fmt == "json" else r).json(paths)
 
 
 def canonical_examples(df: DataFrame) -> DataFrame:
@@ -98,7 +140,7 @@ def write_examples(df: DataFrame, path: str, fmt: str = "jsonl", partition_by: S
     ``partition_by=("task", "split")`` gives one folder per split, the
     equivalent of the original one-file-per-split layout.
     """
-    w = df.write.mode(mode)
+    w = df.drop("row_order").write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "parquet":
@@ -119,17 +161,28 @@ def language_pair_from_path(file_name: Column) -> Column:
     )
 
 
-def read_metric_tables(spark: SparkSession, pattern: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
-    """IO8/IO10/IO11: read CSV metric tables (header row) matching a glob, adding
-    ``language_pair`` from each file name and ``source_file``."""
+# Column types of the robustness tables (the summary, with the cross-language table's own columns).
+METRIC_SCHEMA = T.StructType(
+    [T.StructField(n, S) for n in ("model", "task")]
+    + [T.StructField(n, T.DoubleType()) for n in ("clean_score", "switchmix_score", "clean_accuracy", "switchmix_accuracy", "robustness_drop")])
+
+
+def read_metric_tables(spark: SparkSession, pattern: str | Sequence[str], schema: T.StructType = METRIC_SCHEMA) -> DataFrame:
+    """IO8/IO10/IO11: read CSV metric tables (header row) matching a glob, adding ``language_pair`` from each file
+    name and ``source_file``.
+
+    Nothing is inferred: every column is read as text by its header, in whatever order a file has them, and cast to
+    the type that ``schema`` gives its name; columns that the schema does not name stay text, and those that no file
+    has are left out.
+    """
     ps = [pattern] if isinstance(pattern, str) else list(pattern)
-    r = spark.read.option("header", True)
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    df = r.csv(ps)
+    df = spark.read.option("header", True).csv(ps)
+    types = {f.name: f.dataType for f in schema.fields}
+    df = df.select(*[F.col(c).cast(types.get(c, S)).alias(c) for c in df.columns], "_metadata")
     return df.withColumns({
         "source_file": F.col("_metadata.file_name"),
         "language_pair": language_pair_from_path(F.col("_metadata.file_name")),
-    })
+    }).drop("_metadata")
 
 
 def write_metric_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:

@@ -30,31 +30,17 @@ ADAPTER_MODELS = ("google/flan-t5-small", "acme/unknown-model")
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """Scan one driver table.
 
-    A small table stored as fewer files than the cluster has task slots (e.g.
-    one file with one row group) would be processed by a single task; such a
-    scan is spread round-robin over ``defaultParallelism`` partitions. Inputs
-    with many files, or larger than ``SPREAD_MAX_BYTES``, keep their natural
-    scan partitioning and pay no extra shuffle.
-    Filters and column pruning still reach the Parquet scan below the exchange.
+    A table stored as fewer files than the cluster has task slots would be processed by few tasks, and text work is
+    long per byte; ``spread`` deals its rows round-robin over at least ``defaultParallelism`` partitions. The rule looks
+    at the number of scan partitions only. Filters and column pruning still reach the scan below the exchange.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread:
-        slots = spark.sparkContext.defaultParallelism
-        if len(df.inputFiles()) < slots and _size_in_bytes(df) <= SPREAD_MAX_BYTES:
-            df = df.repartition(slots)
+    slots = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < slots:
+        df = df.repartition(slots)
     return df
 
 
-# Upper bound on the input that may be spread by an extra round-robin shuffle.
-SPREAD_MAX_BYTES = 2 << 30
-
-
-def _size_in_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of a scan (file sizes; no job)."""
-    v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(v.toString()) if hasattr(v, "toString") else int(v)
-
-
 def _halves(df: DataFrame, text_col: str, first: str, second: str) -> DataFrame:
     """Split a whole text into its first and second half of whitespace tokens."""
     df = df.withColumn("_tok", tx.ws_tokens(F.col(text_col)))
@@ -66,32 +52,41 @@ def _halves(df: DataFrame, text_col: str, first: str, second: str) -> DataFrame:
     }).drop("_tok")
 
 
-def corpus(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
-    """``documents`` of one language with ``idx`` = 0-based position by ``doc_id``."""
-    docs = read_table(spark, sf_dir, "documents").where(F.col("lang") == F.lit(lang)).select("doc_id", "text")
+def corpus_keys(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
+    """``doc_id`` of the documents of one language with ``idx`` = 0-based position by ``doc_id`` (no text is read)."""
     keys = read_table(spark, sf_dir, "documents", spread=False).where(F.col("lang") == F.lit(lang)).select("doc_id")
-    pos = with_dense_index(keys, ["doc_id"])
-    return docs.join(pos, on="doc_id").select(
-        F.col("doc_id").cast("string").alias("id"), "doc_id", "text", "idx"
-    )
+    return with_dense_index(keys, ["doc_id"])
 
 
-def nli_corpus(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
-    """A parallel-NLI-shaped corpus: premise/hypothesis are the two halves of each document."""
-    c = _halves(corpus(spark, sf_dir, lang), "text", "premise", "hypothesis")
-    return c.select(
-        "id", "idx", "premise", "hypothesis",
-        (F.col("doc_id") % 4).cast("int").alias("label"),
-        F.when(F.col("doc_id") % 5 < 4, F.lit("train")).otherwise(F.lit("test")).alias("split"),
-    )
+def corpus_texts(spark: SparkSession, sf_dir: str, lang: str, first: str, second: str) -> DataFrame:
+    """Documents of one language, each text as its two halves."""
+    docs = read_table(spark, sf_dir, "documents").where(F.col("lang") == F.lit(lang)).select("doc_id", "text")
+    return _halves(docs, "text", first, second).drop("text")
+
+
+def _zip_texts(base: DataFrame, insert: DataFrame, aligned: DataFrame, keys: list[str]) -> DataFrame:
+    """J5 keys first: ``aligned`` maps the base ``keys`` to ``idx`` and the insert's ``i_key``.
+
+    The narrow map fetches the insert texts, and the result meets the base texts on their own keys, so the base
+    texts move once. Columns come out as from ``build.parallel_zip``.
+    """
+    ins = insert.select(F.col("doc_id").alias("i_key"), F.col("doc_id").cast("string").alias("i_id"),
+                        *[F.col(c).alias("i_" + c) for c in insert.columns if c != "doc_id"])
+    found = aligned.join(ins, on="i_key").drop("i_key")
+    return base.join(found, on=keys)
 
 
 def nli_source(spark: SparkSession, sf_dir: str, clean_lang: str = "fr", insert_lang: str = "en") -> DataFrame:
-    """J5 over two NLI corpora; the split and label come from the base side."""
-    base = nli_corpus(spark, sf_dir, clean_lang)
-    ins = nli_corpus(spark, sf_dir, insert_lang).drop("split", "label")
-    zipped = build.parallel_zip(base, ins, on=("idx",))
-    return zipped.withColumnRenamed("b_split", "split")
+    """J5 over two NLI-shaped corpora (premise/hypothesis are the two halves of each document); the split and the
+    label come from the base side."""
+    aligned = corpus_keys(spark, sf_dir, clean_lang).join(
+        corpus_keys(spark, sf_dir, insert_lang).withColumnRenamed("doc_id", "i_key"), on="idx")
+    base = corpus_texts(spark, sf_dir, clean_lang, "b_premise", "b_hypothesis").select(
+        "doc_id", F.col("doc_id").cast("string").alias("b_id"), "b_premise", "b_hypothesis",
+        (F.col("doc_id") % 4).cast("int").alias("b_label"),
+        F.when(F.col("doc_id") % 5 < 4, F.lit("train")).otherwise(F.lit("test")).alias("split"))
+    insert = corpus_texts(spark, sf_dir, insert_lang, "premise", "hypothesis")
+    return _zip_texts(base, insert, aligned, ["doc_id"]).drop("doc_id")
 
 
 def nli_pairs(spark: SparkSession, sf_dir: str, clean_lang: str = "fr", insert_lang: str = "en") -> DataFrame:
@@ -127,12 +122,12 @@ def qa_turns(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame
 
 def qa_source(spark: SparkSession, sf_dir: str, insert_lang: str = "en") -> DataFrame:
     """QA turns zipped by position (order ``conv_id, turn``) with an insert-language corpus."""
-    turns = qa_turns(spark, sf_dir)
     keys = with_dense_index(qa_turns(spark, sf_dir, spread=False).select("conv_id", "turn"), ["conv_id", "turn"])
-    base = turns.join(keys, on=["conv_id", "turn"]).drop("conv_id", "turn")
-    ins = _halves(corpus(spark, sf_dir, insert_lang), "text", "context", "question").select("idx", "context", "question")
-    zipped = build.parallel_zip(base, ins, on=("idx",))
-    return zipped.withColumnRenamed("b_split", "split")
+    aligned = keys.join(corpus_keys(spark, sf_dir, insert_lang).withColumnRenamed("doc_id", "i_key"), on="idx")
+    turns = qa_turns(spark, sf_dir).select(
+        "conv_id", "turn", "split", *[F.col(c).alias("b_" + c) for c in ("id", "context", "question", "answer")])
+    insert = corpus_texts(spark, sf_dir, insert_lang, "context", "question")
+    return _zip_texts(turns, insert, aligned, ["conv_id", "turn"]).drop("conv_id", "turn")
 
 
 def qa_examples(spark: SparkSession, sf_dir: str, insert_lang: str = "en", seed=SEED) -> DataFrame:
@@ -141,20 +136,19 @@ def qa_examples(spark: SparkSession, sf_dir: str, insert_lang: str = "en", seed=
 
 
 def damaged_examples(examples: DataFrame) -> DataFrame:
-    """Examples with a deterministic few rows dropped, duplicated, keyless or renamed.
+    """Examples of which a deterministic few are orphaned, duplicated, keyless or renamed; no row is lost.
 
-    ``r = md5 draw of id`` in twentieths: 0 drop, 1 duplicate, 2 null pair_id,
-    3 legacy variant name ``switchmix`` on perturbed rows.
+    ``r = md5 draw of id`` in twentieths: 0 a variant that no pairing knows (its pair stays incomplete),
+    1 duplicate, 2 null pair_id, 3 legacy variant name ``switchmix`` on perturbed rows.
     """
     r = F.floor(u01(SEED, "damage", F.col("id")) * 20).cast("int")
-    df = examples.withColumn("_r", r).where(F.col("_r") != 0)
-    dup = df.where(F.col("_r") == 1)
-    df = df.unionByName(dup)
-    df = df.withColumns({
+    df = examples.withColumn("_r", r)
+    df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_r") == 1, F.lit(2)).otherwise(F.lit(1)))))
+    renamed = F.when(F.col("_r") == 0, F.lit("draft")).when((F.col("_r") == 3) & (F.col("variant") == "perturbed"), F.lit("switchmix"))
+    return df.withColumns({
         "pair_id": F.when(F.col("_r") == 2, F.lit(None).cast("string")).otherwise(F.col("pair_id")),
-        "variant": F.when((F.col("_r") == 3) & (F.col("variant") == "perturbed"), F.lit("switchmix")).otherwise(F.col("variant")),
-    })
-    return df.drop("_r")
+        "variant": renamed.otherwise(F.col("variant")),
+    }).drop("_r", "_copy")
 
 
 def nli_predictions(examples: DataFrame, models=ADAPTER_MODELS, seed=SEED) -> DataFrame:

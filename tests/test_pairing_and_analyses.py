@@ -32,7 +32,7 @@ def test_pairing_rules(spark):
         ("lonely", "p3", "nli", "test", "clean", "alone", None, "z"),
         ("", None, "nli", "test", "clean", "k1", None, "z"),        # keyless rows share the "" pair
         ("", None, "nli", "test", "perturbed", "k2", None, "z"),
-        (None, None, "nli", "test", "clean", "ignored", None, "z"),  # no ordering value: ignored
+        (None, None, "nli", "test", "clean", "ignored", None, "z"),  # no id: the "" pair, before any row with an id
     ]
     df = spark.createDataFrame(rows, EX_SCHEMA)
     got = {r.pair_id: r for r in pairing.pair_rows(df).collect()}
@@ -138,16 +138,26 @@ def test_build_from_parallel_with_quotas(spark):
     assert full.count() == 2 * 30
 
 
-def test_dense_index_sparse_keys_fall_back(spark, monkeypatch):
-    from pairshift.operators import index
-
-    monkeypatch.setattr(index, "MAX_BLOCKS", 10)
-    df = spark.range(0, 300).select((F.col("id") * 1000003 + 7).alias("k"))
-    got = with_dense_index(df, ["k"], block_width=16).select("k", "idx")
+def test_dense_index_sparse_and_negative_keys(spark):
+    df = spark.range(0, 300).select((F.xxhash64("id")).alias("k"))
+    got = with_dense_index(df, ["k"]).select("k", "idx")
     ref = df.withColumn("idx", F.row_number().over(Window.orderBy("k")) - 1)
     assert sorted(got.collect()) == sorted(ref.collect())
 
 
+def test_dense_index_starts_no_job(spark):
+    seen = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    with_dense_index(spark.range(1000).withColumnRenamed("id", "k"), ["k"])
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == seen
+
+
+def test_dense_index_strings(spark):
+    df = spark.range(0, 300).select(F.md5(F.col("id").cast("string")).alias("k"), (F.col("id") % 2).alias("g"))
+    got = with_dense_index(df, ["k"], ["g"]).select("g", "k", "idx")
+    ref = df.select("g", "k", (F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1).alias("idx"))
+    assert sorted(got.collect()) == sorted(ref.collect())
+
+
 def test_dense_index_composite_integer_order(spark):
     df = spark.range(0, 3000).select((F.col("id") % 37).alias("a"), (F.col("id") * 7 % 1000003).alias("b"))
     got = with_dense_index(df, ["a", "b"]).select("a", "b", "idx")
