@@ -32,34 +32,61 @@ from pairshift.llm.common import whole_text, written
 CAPACITY = 4096
 SEPARATOR = 1
 GROUP_PIECES = 20_000
-KNOWN_RUNS = 300_000
+KNOWN_RUNS = 600_000
+STOPS = b".,;:!?"
 ROWS = 256
 
 _encoders: dict[str, RunEncoder] = {}
 
 
 class RunEncoder:
-    """Text to little-endian unsigned 32-bit ids, through a bounded table of runs."""
+    """Text to little-endian unsigned 32-bit ids, through bounded tables of runs and of stems.
+
+    The vocabulary's rules cut between a letter and the stop signs after it and do not tell capitals from small
+    letters, so an ASCII run is its small-letter stem and its stops, and only new stems are encoded.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def parts(run: bytes) -> tuple[bytes, bytes]:
+        """Stem and stops; runs to which the rule does not apply are a stem as they are."""
+        if run.isascii():
+            stem = run.rstrip(STOPS)
+            if stem.isalpha():
+                return stem.lower(), run[len(stem) :]
+        return run, b""
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             runs = text.encode().split()
-            new = list(set(runs).difference(self.known))
-            if len(self.known) + len(new) > KNOWN_RUNS:
-                self.known.clear()
-                new = list(set(runs))
-            for start in range(0, len(new), 4096):
-                part = new[start : start + 4096]
-                encoded = self.tokenizer.encode_batch_fast([r.decode() for r in part], add_special_tokens=False)
-                self.known.update((r, np.array(e.ids, dtype="<u4").tobytes()) for r, e in zip(part, encoded, strict=True))
-            yield b"".join(map(self.known.__getitem__, runs))
+            new = set(runs).difference(self.runs)
+            if len(self.runs) + len(new) > KNOWN_RUNS:
+                self.runs.clear()
+                new = set(runs)
+            if new:
+                self._learn(list(new))
+            yield b"".join(map(self.runs.__getitem__, runs))
+
+    def _learn(self, runs: list[bytes]) -> None:
+        for start in range(0, len(runs), 4096):
+            split = [self.parts(r) for r in runs[start : start + 4096]]
+            stems = list({p for two in split for p in two if p}.difference(self.stems))
+            if len(self.stems) + len(stems) > KNOWN_RUNS:
+                self.stems.clear()
+                stems = list({p for two in split for p in two if p})
+            if stems:
+                encoded = self.tokenizer.encode_batch_fast([s.decode() for s in stems], add_special_tokens=False)
+                self.stems.update((s, np.array(e.ids, dtype="<u4").tobytes()) for s, e in zip(stems, encoded, strict=True))
+            known = self.stems
+            known[b""] = b""
+            self.runs.update((r, known[a] + known[b]) for r, (a, b) in zip(runs[start : start + 4096], split, strict=True))
 
 
 def encoder(vocabulary: str) -> RunEncoder:
