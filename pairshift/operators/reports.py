@@ -136,6 +136,12 @@ def cross_language_pivot(table: DataFrame, models: Sequence[str] | None = None)
     return out.fillna(0.0, subset=value_cols).orderBy("language_pair")
 
 
+def distinct_values(table: DataFrame, columns: Sequence[str] = ("model", "language_pair")) -> DataFrame:
+    """O3: the distinct values of each column, in order."""
+    each = [table.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")).distinct() for c in columns]
+    return reduce(lambda a, b: a.unionByName(b), each).orderBy("column", "value")
+
+
 def paper_table(table: DataFrame) -> DataFrame:
     """U4 (+F9): the five paper columns in order."""
     return require_columns(table, PAPER_COLUMNS, "cross-language table").select(*PAPER_COLUMNS)

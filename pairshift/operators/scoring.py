@@ -107,6 +107,18 @@ def robustness_drop(df: DataFrame, by: Sequence[str], pred: str = "prediction",
     return g.withColumn("robustness_drop", F.col("clean_accuracy") - F.col("perturbed_accuracy"))
 
 
+def qa_f1_report(predictions: DataFrame, by: Sequence[str] = ("language_pair", "model"), id_col: str = "id") -> DataFrame:
+    """QA by mean token F1: clean and perturbed means, their difference and counts (the evaluator's QA metric)."""
+    qa = predictions.where(F.col("task") == F.lit("qa"))
+    f = f1_per_example(qa, [*by, id_col, "variant"])
+    clean, mix = F.col("variant") == F.lit("clean"), F.col("variant").isin(*PERTURBED_VARIANTS)
+    g = f.groupBy(*by).agg(
+        F.coalesce(F.avg(F.when(clean, F.col("f1"))), F.lit(0.0)).alias("clean_f1"),
+        F.coalesce(F.avg(F.when(mix, F.col("f1"))), F.lit(0.0)).alias("switchmix_f1"),
+        F.count(F.when(clean, 1)).cast("long").alias("n_clean"), F.count(F.when(mix, 1)).cast("long").alias("n_switchmix"))
+    return g.select(*by, "clean_f1", "switchmix_f1", (F.col("clean_f1") - F.col("switchmix_f1")).alias("robustness_drop"), "n_clean", "n_switchmix")
+
+
 def robustness_report(
     predictions: DataFrame,
     by: Sequence[str] = ("language_pair", "task", "model"),

@@ -819,3 +819,65 @@ def _():
     )
     return f"""SELECT id, coalesce(CASE WHEN {U(SEED, q('no_answers'), 'id')} < 0.3 THEN NULL ELSE answer END, question, '') AS answer
                FROM ({turns})"""
+
+
+# ---------------------------------------------------------------- predictors, latencies, sweep
+@oracle("qa_f1_report")
+def _():
+    return f"""SELECT 'fr-en' AS language_pair, model, {r6("avg(f1) FILTER (variant = 'clean')", 'clean_f1')},
+                      {r6("avg(f1) FILTER (variant = 'perturbed')", 'switchmix_f1')},
+                      {r6("avg(f1) FILTER (variant = 'clean') - avg(f1) FILTER (variant = 'perturbed')", 'robustness_drop')},
+                      CAST(count(*) FILTER (variant = 'clean') AS BIGINT) AS n_clean, CAST(count(*) FILTER (variant = 'perturbed') AS BIGINT) AS n_switchmix
+               FROM ({f1_sql(qa_preds())}) GROUP BY model"""
+
+
+@oracle("sweep_plan")
+def _():
+    v = valid_sql(ex_nli())
+    n = lambda side, split, ok: f"CAST(count(*) FILTER (variant = '{side}' AND split = '{split}' AND valid = {ok}) AS BIGINT)"
+    return f"""SELECT capacity, {n('clean', 'train', 'true')} AS n_train, {n('clean', 'test', 'true')} AS n_test_clean, {n('perturbed', 'test', 'true')} AS n_test_perturbed,
+                      {n('clean', 'train', 'false')} AS train_skipped, {n('clean', 'test', 'false')} AS test_clean_skipped,
+                      {n('perturbed', 'test', 'false')} AS test_perturbed_skipped, CAST(3 * capacity + 3 AS BIGINT) AS n_parameters
+               FROM ({v}) CROSS JOIN (VALUES (256), (1024), (4096)) c(capacity) GROUP BY capacity"""
+
+
+@oracle("predict_hook")
+def _():
+    return f"""SELECT id, variant, CASE length(input) % 3 WHEN 0 THEN 'entailment' WHEN 1 THEN 'neutral' ELSE 'contradiction' END AS prediction
+               FROM ({ex_nli()})"""
+
+
+@oracle("filter_task")
+def _():
+    return f"SELECT id, split, variant FROM ({ex_qa()})"
+
+
+@oracle("distinct_models")
+def _():
+    return f"SELECT 'model' AS \"column\", model AS value FROM {models_values()} UNION ALL SELECT 'language_pair', unnest(['fr-en', 'fr-es'])"
+
+
+@oracle("efficiency_latency")
+def _():
+    ms = f"{U(SEED, q('latency'), 'id')} * 50"
+    return f"""SELECT dataset AS data_path, task, split, CAST(count(DISTINCT pair_id) AS BIGINT) AS n_pairs,
+                      {r6(f"avg({ms}) FILTER (variant = 'clean')", 'avg_latency_ms_clean')},
+                      {r6(f"avg({ms}) FILTER (variant = 'perturbed')", 'avg_latency_ms_perturbed')}
+               FROM ({ex_nli()}) GROUP BY dataset, task, split"""
+
+
+# ---------------------------------------------------------------- round trips
+@oracle("examples_jsonl_roundtrip")
+def _():
+    return f"""SELECT pair_id, CAST(length(clean_text) AS BIGINT) AS clean_len, CAST(length(perturbed_text) AS BIGINT) AS perturbed_len
+               FROM ({pairs(ex_nli())})"""
+
+
+@oracle("examples_parquet_roundtrip")
+def _():
+    return f"SELECT id, pair_id, variant, input, label, a_span_len FROM ({ex_nli()})"
+
+
+@oracle("metric_table_roundtrip")
+def _():
+    return f"SELECT model, task, clean_score, switchmix_score, robustness_drop FROM ({_round_report(report_sql(nli_preds()))})"

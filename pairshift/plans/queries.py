@@ -18,6 +18,8 @@ from pairshift.functions.labels import parse_nli_label
 from pairshift.functions.perturb import with_code_switch, with_informal_noise, with_perturbation
 from pairshift.operators import build, inspect, pairing, reports, scoring, vectors
 from pairshift.operators import tokens as tk
+from pairshift.session import shared_path
+from pairshift.sources import io
 from pairshift.sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -587,6 +589,83 @@ def q_capacity_sweep(spark, d):
     return out.drop("train_time_s")
 
 
+@register("sweep_plan")
+def q_sweep_plan(spark, d):
+    """X4, the part that is exact: rows trained on, tested and skipped, and parameters, per capacity."""
+    from pairshift.operators.ml import sweep_plan
+
+    return sweep_plan(nli_ex(spark, d))
+
+
+@register("predict_hook")
+def q_predict_hook(spark, d):
+    """A user predictor over every NLI prompt (here: a label by the prompt's length)."""
+    from pairshift.operators.ml import predict
+
+    ex = nli_ex(spark, d).select("id", "variant", "prompt")
+    return predict(ex, lambda s: s.str.len().map(lambda n: tb.NLI_LABELS[n % 3])).select("id", "variant", "prediction")
+
+
+@register("filter_task")
+def q_filter_task(spark, d):
+    """the rows of one task."""
+    both = nli_ex(spark, d).unionByName(qa_ex(spark, d))
+    return both.where(F.col("task") == "qa").select("id", "split", "variant")
+
+
+@register("distinct_models")
+def q_distinct_models(spark, d):
+    """O3: models and language pairs seen in the predictions."""
+    return reports.distinct_values(nli_preds(spark, d).unionByName(nli_preds(spark, d, "es")))
+
+
+@register("qa_f1_report")
+def q_qa_f1_report(spark, d):
+    """A3 by variant: QA robustness by mean token F1."""
+    return rounded(scoring.qa_f1_report(_qa_preds(spark, d).withColumn("language_pair", F.lit("fr-en"))))
+
+
+@register("efficiency_latency")
+def q_efficiency_latency(spark, d):
+    """A11 with latencies from an input column (here: a keyed draw per row, in milliseconds)."""
+    from pairshift.functions.draws import u01
+
+    ex = nli_ex(spark, d).withColumn("latency_ms", u01(SEED, "latency", F.col("id")) * 50)
+    out = reports.efficiency_summary(ex, "encoder-512", 512, "simple", dataset_col="dataset", latency_col="latency_ms")
+    return rounded(out.select("data_path", "task", "split", "n_pairs", "avg_latency_ms_clean", "avg_latency_ms_perturbed"))
+
+
+def _written_examples(spark, d, fmt: str) -> DataFrame:
+    """The NLI examples written to the shared folder as a dataset and read back by the readers."""
+    path = shared_path(spark, f"dataset-{fmt}")
+    io.write_dataset(nli_ex(spark, d).drop("dataset"), path, fmt=fmt)
+    return io.read_examples(spark, path)
+
+
+@register("examples_jsonl_roundtrip")
+def q_examples_jsonl_roundtrip(spark, d):
+    """IO3/IO4/IO6/IO7/U2: JSON lines in task / language pair / split folders, read back by the folder's name as one
+    dataset; the pairs that the pairing finds there."""
+    back = _written_examples(spark, d, "jsonl")
+    p = pairing.pair_rows(back, dataset_col="dataset")
+    return p.select("pair_id", F.length("clean_text").cast("long").alias("clean_len"), F.length("perturbed_text").cast("long").alias("perturbed_len"))
+
+
+@register("examples_parquet_roundtrip")
+def q_examples_parquet_roundtrip(spark, d):
+    """IO3/IO5/IO6: the same as Parquet; the example rows with their provenance."""
+    back = _written_examples(spark, d, "parquet")
+    return back.select("id", "pair_id", "variant", "input", "label", F.col("metadata.perturbation.a.code_switch.span_len").alias("a_span_len"))
+
+
+@register("metric_table_roundtrip")
+def q_metric_table_roundtrip(spark, d):
+    """IO8-IO10: the robustness summary written as CSV with a header row and read back with typed columns."""
+    path = shared_path(spark, "metrics")
+    io.write_metric_table(rounded(scoring.robustness_report(nli_preds(spark, d))).drop("language_pair"), path)
+    return io.read_metric_tables(spark, path).select("model", "task", "clean_score", "switchmix_score", "robustness_drop")
+
+
 @register("eval_prompt")
 def q_eval_prompt(spark, d):
     """The evaluator's text, ``prompt`` else ``input``; a keyed ~third of the

@@ -96,13 +96,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     of them (e.g. positions derived from physical partitioning), and to keep
     recovery after executor loss from replaying a long plan.
     """
-    base = ensure_checkpoint_dir(df.sparkSession)
-    path = f"{base.rstrip('/')}/pairshift-{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.mode("error").parquet(path)
-    _MATERIALIZED.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under the checkpoint folder, which ``cleanup_materialized`` removes."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pairshift-{name}-{uuid.uuid4().hex}"
+    _MATERIALIZED.append(path)
+    return path
+
+
 _MATERIALIZED: list[str] = []
 
 

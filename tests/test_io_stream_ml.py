@@ -23,12 +23,12 @@ def test_examples_roundtrip_jsonl_and_stats(spark):
     ex = tb.nli_examples(spark, SF)
     out = os.path.join(_tmp(), "nli.jsonl")
     io.write_examples(ex, out)
-    back = io.read_examples(spark, out, fmt="jsonl")
+    back = io.read_examples(spark, out)
     assert back.count() == ex.count()
     a = tk.tokenizer_stats(ex, "whitespace").drop("data_path").collect()
-    b = tk.tokenizer_stats(back.drop("dataset"), "whitespace").drop("data_path").collect()
+    b = tk.tokenizer_stats(back, "whitespace", dataset_col="dataset").drop("data_path").collect()
     assert sorted(a) == sorted(b)
-    assert back.select("dataset").distinct().count() >= 1
+    assert back.select("dataset").distinct().count() == 1
     got = back.where("variant = 'perturbed'").select("metadata.perturbation.a.code_switch.applied").collect()
     assert all(r.applied is not None for r in got)
 
@@ -45,6 +45,74 @@ def test_reference_shaped_json_array(spark):
     assert {r.pair_id for r in df.collect()} == {"nli_0001"}
 
 
+def _lines(path, rows):
+    import json
+
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join(json.dumps(r) for r in rows) + "\n")
+
+
+def test_each_path_has_its_own_format(spark):
+    import json
+
+    d = _tmp()
+    rows = [{"id": f"p{i}__clean", "pair_id": f"p{i}", "variant": "clean", "input": f"t{i}"} for i in range(10)]
+    with open(os.path.join(d, "a.json"), "w") as f:
+        json.dump(rows, f)
+    _lines(os.path.join(d, "b.jsonl"), rows)
+    spark.createDataFrame([(r["id"], r["input"]) for r in rows], "id string, input string").write.parquet(os.path.join(d, "c"))
+    df = io.read_examples(spark, [os.path.join(d, x) for x in ("a.json", "b.jsonl", "c")])
+    got = {r.dataset.rsplit("/", 1)[-1]: r.n for r in df.groupBy("dataset").agg(F.count("*").alias("n")).collect()}
+    assert got == {"a.json": 10, "b.jsonl": 10, "c": 10}
+    assert io.read_examples(spark, os.path.join(d, "*.json*")).count() == 20
+
+
+def test_unclear_formats_are_refused(spark):
+    import pytest
+
+    d = _tmp()
+    _lines(os.path.join(d, "rows.txt"), [{"id": "a"}])
+    with pytest.raises(ValueError, match="give fmt"):
+        io.read_examples(spark, os.path.join(d, "rows.txt"))
+    assert io.read_examples(spark, os.path.join(d, "rows.txt"), fmt="jsonl").count() == 1
+    with pytest.raises(FileNotFoundError):
+        io.read_examples(spark, os.path.join(d, "none.jsonl"))
+
+
+def test_written_dataset_reads_back_whole_and_pairs_meet(spark):
+    from pairshift.operators import pairing
+
+    ex = tb.nli_examples(spark, SF)
+    n = ex.count()
+    for fmt in ("jsonl", "parquet"):
+        out = os.path.join(_tmp(), "set")
+        io.write_dataset(ex.repartition(4, "id"), out, fmt=fmt)
+        back = io.read_examples(spark, out)
+        assert back.count() == n
+        assert pairing.pair_rows(back, dataset_col="dataset").count() == n // 2
+
+
+def test_file_order_decides_among_rows_with_one_id(spark):
+    from pairshift.operators import pairing
+
+    path = os.path.join(_tmp(), "x.jsonl")
+    rows = [{"id": "p__clean", "pair_id": "p", "variant": "clean", "input": f"copy {(i * 7) % 10}"} for i in range(10)]
+    _lines(path, [*rows, {"id": "p__x", "pair_id": "p", "variant": "perturbed", "input": "y"}])
+    df = io.read_examples(spark, path)
+    assert [r.clean_text for r in pairing.pair_rows(df, dataset_col="dataset").collect()] == ["copy 3"]
+    assert [r.clean.text for r in pairing.inspector_pairs(df).collect()] == ["copy 0"]
+
+
+def test_prototype_rows_without_id_keep_their_pair(spark):
+    from pairshift.operators import pairing
+
+    path = os.path.join(_tmp(), "proto.jsonl")
+    _lines(path, [{"uid": "u1", "variant": "clean", "prompt": "a"}, {"uid": "u1", "variant": "switchmix", "prompt": "b"}])
+    got = pairing.pair_rows(io.read_examples(spark, path), dataset_col="dataset").collect()
+    assert [(r.pair_id, r.clean_text, r.perturbed_text) for r in got] == [("u1", "a", "b")]
+    assert pairing.pair_rows(io.read_examples(spark, path).drop("row_order"), dataset_col="dataset").count() == 1
+
+
 def test_metric_tables_language_pair(spark):
     d = _tmp()
     for name, drop in [("robustness_summary.csv", 0.1), ("robustness_summary_fr-es.csv", 0.2), ("other.csv", 0.3)]:
@@ -154,8 +222,7 @@ def test_write_dataset_partitions(spark):
     ex = tb.nli_examples(spark, SF)
     io.write_dataset(ex, d)
     assert sorted(os.listdir(os.path.join(d, "task=nli", "language_pair=fr-en"))) == ["split=test", "split=train"]
-    back = spark.read.json(d)
-    assert back.count() == ex.count()
+    assert io.read_examples(spark, d).count() == ex.count()
 
 
 def test_cleanup_materialized(spark):

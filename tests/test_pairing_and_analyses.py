@@ -167,3 +167,43 @@ def test_dense_index_composite_integer_order(spark):
     got = with_dense_index(neg, ["a", "b"]).select("a", "b", "idx")
     ref = neg.withColumn("idx", F.row_number().over(Window.orderBy("a", "b")) - 1)
     assert sorted(got.collect()) == sorted(ref.collect())
+
+
+def test_equal_ids_come_out_alike_in_any_order(spark):
+    rows = [("p1__c", "p1", "nli", "t", "clean", x, None, "l") for x in ("first", "second", "third")]
+    rows.append(("p1__p", "p1", "nli", "t", "perturbed", "x", None, "l"))
+    got = set()
+    for order in (rows, rows[::-1], [rows[1], rows[0], rows[3], rows[2]]):
+        df = spark.createDataFrame(order, EX_SCHEMA).coalesce(1)
+        got.add(pairing.pair_rows(df).collect()[0].clean_text)
+    assert len(got) == 1
+
+
+def test_vector_pairing_follows_the_pairing_rules(spark):
+    rows = [("d", "t", "s", "p", 0, "clean", 0, [1.0, 0.0]), ("d", "t", "s", "p", 0, "switchmix", 5, [0.0, 1.0]),
+            ("d", "t", "s", "p", 0, "perturbed", 1, [0.0, 1.0]), ("d", "t", "s", "p", 0, "perturbed", 2, [1.0, 0.0])]
+    schema = "dataset string, task string, split string, pair_id string, layer int, variant string, pos int, vector array<double>"
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, schema).coalesce(1)
+        assert vectors.paired_vectors(df, order_col="pos").collect()[0].perturbed == [1.0, 0.0]
+        assert len({tuple(r.perturbed) for r in vectors.paired_vectors(df).collect()}) == 1
+
+
+def test_inspection_edges(spark):
+    from pairshift.functions import text as tx
+    from pairshift.operators import inspect
+
+    rows = [("a", "p", "nli", "t", None, "x", None, "l"), ("b", "p", "nli", "t", "", "y", None, "l"), ("c", "p", "nli", "t", "clean", "zz", None, "l")]
+    df = spark.createDataFrame(rows, EX_SCHEMA)
+    assert {(r.dimension, r.value): r.n_rows for r in inspect.counts_by_dim(df).collect()}["variant", ""] == 2
+    got = {r.side: (r.n, r["mean"], r["max"]) for r in inspect.length_stats(df).collect()}
+    assert got == {"clean": (1, 2.0, 2.0), "perturbed": (0, 0.0, 0.0)}
+    prem, hyp = tx.prompt_fields()
+    p = spark.createDataFrame([("Premise: a\u2028Hypothesis: b\rx", None, None, None)], "input string, prompt string, text_a string, text_b string")
+    assert [(r.p, r.h) for r in p.select(prem.alias("p"), hyp.alias("h")).collect()] == [("a", "b")]
+
+
+def test_distinct_values_are_sorted(spark):
+    df = spark.createDataFrame([("b", "fr-en"), ("a", "fr-en"), ("b", "fr-de")], "model string, language_pair string")
+    assert [tuple(r) for r in reports.distinct_values(df).collect()] == [
+        ("language_pair", "fr-de"), ("language_pair", "fr-en"), ("model", "a"), ("model", "b")]

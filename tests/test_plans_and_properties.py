@@ -86,3 +86,36 @@ def test_hot_pair_key_is_reduced_map_side(spark):
     got = {r.pair_id: r for r in p.collect()}
     assert len(got) == n // 2 + 1 and "" in got
     assert got[""].clean_text.startswith("hot ") and got[""].perturbed_text.startswith("hot ")
+
+
+def test_queries_that_read_no_perturbed_column_compute_none(spark):
+    from pairshift.plans.queries import QUERIES
+
+    for name in ("filter_task_split", "first_n_examples", "counts_by_dim"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "md5" not in plan, name
+
+
+def test_building_queries_starts_no_job(spark):
+    from pairshift.plans.queries import QUERIES
+
+    tb.read_table(spark, SF, "documents")  # the reader's own schema job may run first
+    for name in ("build_nli_examples", "cross_language", "tokenizer_stats", "max_pairs_limit"):
+        spark.sparkContext.setJobGroup(f"build-{name}", "")
+        try:
+            QUERIES[name](spark, SF)
+        finally:
+            ids = spark.sparkContext.statusTracker().getJobIdsForGroup(f"build-{name}")
+            spark.sparkContext.setJobGroup("rest", "")
+        # reading a table's schema from its footer is Spark's own single-task job, one per scan
+        infos = [spark.sparkContext.statusTracker().getJobInfo(i) for i in ids]
+        assert all(len(i.stageIds) == 1 for i in infos if i is not None), name
+
+
+def test_key_columns_of_a_frame_do_not_leak_into_the_next(spark):
+    from pairshift.functions.perturb import with_perturbation
+
+    for _ in range(2):
+        df = spark.createDataFrame([("p", "test", "le chat et le chien dorment ici", "x y z u v w")], "pair_id string, split string, a string, b string")
+        out = with_perturbation(df, "a", "b", [df["split"], df["pair_id"]], "a", "leak", 42).collect()
+        assert len(out) == 1
