@@ -21,6 +21,7 @@ matter. A normaliser that maps several characters jointly, or that drops or join
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from hashlib import sha256
@@ -37,7 +38,6 @@ MARK = "▁"
 KNOWN_CHUNKS = 600_000
 KNOWN_PAIRS = 500_000
 ROWS = 256
-FINAL = ""  # the trie's key for a piece that ends here; characters are never empty
 
 _transducers: dict[tuple[str, str], Transducer] = {}
 
@@ -63,13 +63,13 @@ class Transducer:
         if m.normalize("a  b ") != f"{MARK}a{MARK}{MARK}b{MARK}":
             raise ValueError("a normaliser that changes white space or adds no word mark")
         self.chars: dict[str, str] = {" ": MARK}
-        self.trie: dict = {}
+        self.trie: dict = {}  # character -> (children, the id of the piece that ends here, or -1)
         for piece, i in self.ids.items():
             if kind == "unigram" or self.merged(piece) == [piece]:  # merges reach no other piece
-                node = self.trie
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[FINAL] = i
+                children = self.trie
+                for c in piece[:-1]:
+                    children = children.setdefault(c, ({}, -1))[0]
+                children[piece[-1]] = (children.get(piece[-1], ({}, -1))[0], i)
         self.output = [b"" if m.is_control(i) or m.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         for b, i in enumerate(self.byte_ids):
             self.output[i] = bytes([b])
@@ -90,8 +90,10 @@ class Transducer:
         new = set(text).difference(self.chars)
         for c in new:
             self.chars[c] = self.model.normalize(f"x{c}x")[len(MARK) + 1 : -1]
-        changed = {ord(c): self.chars[c] for c in set(text) if self.chars[c] != c}
-        return MARK + text.translate(changed)
+        changed = {c: self.chars[c] for c in set(text) if self.chars[c] != c}
+        if set(changed) <= {" "}:
+            return MARK + text.replace(" ", MARK)
+        return MARK + text.translate({ord(c): out for c, out in changed.items()})
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short text: best score first, then leftmost."""
@@ -128,21 +130,21 @@ class Transducer:
                 cost[i + 1], back[i + 1], last[i + 1] = here + self.fallback, (i, [self.byte_ids[b] for b in c.encode()]), -1
             node, j = self.trie.get(c), i + 1
             while node is not None:
-                if (piece := node.get(FINAL)) is not None:
-                    if bpe:
+                children, piece = node
+                if piece >= 0:
+                    if not bpe:
+                        w = here - self.costs[piece]
+                    elif before < 0:
                         w = here
-                        if before >= 0:
-                            if (fits := pairs.get(before << 32 | piece)) is None:
-                                fits = self.accepts(before, piece)
-                            if not fits:
-                                w = inf
                     else:
-                        w = here - self.costs[piece]
+                        if (fits := pairs.get(before << 32 | piece)) is None:
+                            fits = self.accepts(before, piece)
+                        w = here if fits else inf
                     if w < cost[j]:
                         cost[j], back[j], last[j] = w, (i, [piece]), piece
-                if j == n:
+                if j == n or not children:
                     break
-                node = node.get(text[j])
+                node = children.get(text[j])
                 j += 1
         path, at = [], n
         while at:
@@ -155,13 +157,18 @@ class Transducer:
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         chunks = self.chunk.findall(self.normalise(text))
-        new = set(chunks).difference(self.known)
-        if len(self.known) + len(new) > KNOWN_CHUNKS:
-            self.known.clear()
-            new = set(chunks)
-        for c in new:
-            self.known[c] = np.array(self.shortest(c), dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, chunks))
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            new = {chunks[i] for i in missing}
+            if len(self.known) + len(new) > KNOWN_CHUNKS:
+                self.known.clear()
+            for c in new:
+                ids = self.shortest(c)
+                self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
+            for i in missing:
+                found[i] = self.known[chunks[i]]
+        return b"".join(found)
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", errors="replace")
