@@ -46,7 +46,8 @@ def _first_positions(counts: DataFrame, part: list[str], key: str, n: str, out:
         if starts is not None:
             inside.append(f"_k{i + 1}")
             here = here.withColumn(f"_k{i + 1}", F.shiftright(f"_k{i}", RADIX_BITS))
-        w = Window.partitionBy(*(inside or [F.lit(0)])).orderBy(f"_k{i}").rowsBetween(Window.unboundedPreceding, -1)
+        # the top level is one group on purpose: it has at most 65,536 rows
+        w = Window.partitionBy(*(inside or [F.pmod(F.col(f"_k{i}"), F.lit(1))])).orderBy(f"_k{i}").rowsBetween(Window.unboundedPreceding, -1)
         here = here.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
         if starts is not None:
             here = here.join(starts, on=inside).withColumn("_before", F.col("_before") + F.col("_start"))

@@ -27,7 +27,8 @@ def test_examples_roundtrip_jsonl_and_stats(spark):
     assert back.count() == ex.count()
     a = tk.tokenizer_stats(ex, "whitespace").drop("data_path").collect()
     b = tk.tokenizer_stats(back, "whitespace", dataset_col="dataset").drop("data_path").collect()
-    assert sorted(a) == sorted(b)
+    digits = lambda rows: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
+    assert digits(a) == digits(b)  # sums of doubles depend on their order in the last digits
     assert back.select("dataset").distinct().count() == 1
     got = back.where("variant = 'perturbed'").select("metadata.perturbation.a.code_switch.applied").collect()
     assert all(r.applied is not None for r in got)
