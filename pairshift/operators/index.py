@@ -4,12 +4,11 @@
 computes the same 0-based position as a radix prefix sum over integer keys, one method for any number and any
 spread of keys:
 
-1. a key's ancestors are the key without its lowest 16, 32 and 48 bits; rows are counted per ancestor (pre-aggregated;
-   each count table is the one below it, counted again);
-2. running sums go from the top: the at most 65,536 ancestors of the whole range, then the at most 65,536 children of
-   each ancestor, and so on, so no window ever holds more than 65,536 rows;
-3. a row's position is its lowest ancestor's first position plus its ``row_number`` among the at most 65,536 keys
-   there.
+1. a key's block is the key without its lowest 16 bits, a block's ancestor is the block without its lowest 24 bits;
+   rows are counted per block and per ancestor (pre-aggregated);
+2. running sums go from the top: over the at most 2^24 ancestors, then over the at most 2^24 blocks of each ancestor.
+   Only (block, count) pairs are in these windows, and dense keys have few of them;
+3. a row's position is its block's first position plus its ``row_number`` among the at most 65,536 keys there.
 
 A composite order does this column by column: the first position of the first column's value, plus the position by
 the other columns inside that value. The plan is lazy: nothing is measured and nothing is written.
@@ -29,14 +28,15 @@ from pyspark.sql import types as T
 from pairshift.session import materialize
 
 _LOCAL_BITS = 33
-RADIX_BITS = 16
+BLOCK_BITS = 16
+RADIX_BITS = 24
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def _first_positions(counts: DataFrame, part: list[str], key: str, n: str, out: str) -> DataFrame:
-    """``counts`` (``part``, ``key`` unique within it, ``n`` rows each) with ``out``: rows before the key."""
+def _first_positions(counts: DataFrame, part: list[str], key: str, n: str, out: str, bits: int) -> DataFrame:
+    """``counts`` (``part``, ``key`` of so many ``bits``, unique within it, ``n`` rows each) with ``out``: rows before the key."""
     levels = [counts.select(*part, F.col(key).cast("long").alias("_k0"), F.col(n).alias("_n"))]
-    for i in range(1, 64 // RADIX_BITS):
+    for i in range(1, -(-bits // RADIX_BITS)):
         up = F.shiftright(f"_k{i - 1}", RADIX_BITS).alias(f"_k{i}")
         levels.append(levels[-1].groupBy(*part, up).agg(F.sum("_n").alias("_n")))
     starts = None
@@ -46,7 +46,7 @@ def _first_positions(counts: DataFrame, part: list[str], key: str, n: str, out:
         if starts is not None:
             inside.append(f"_k{i + 1}")
             here = here.withColumn(f"_k{i + 1}", F.shiftright(f"_k{i}", RADIX_BITS))
-        # the top level is one group on purpose: it has at most 65,536 rows
+        # the top level is one group on purpose: it has at most 2^24 rows of two numbers, and few for dense keys
         w = Window.partitionBy(*(inside or [F.pmod(F.col(f"_k{i}"), F.lit(1))])).orderBy(f"_k{i}").rowsBetween(Window.unboundedPreceding, -1)
         here = here.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
         if starts is not None:
@@ -58,15 +58,15 @@ def _first_positions(counts: DataFrame, part: list[str], key: str, n: str, out:
 def _radix_index(df: DataFrame, part: list[str], order: list[str], out: str) -> DataFrame:
     if len(order) == 1:
         block, base = f"_ps_block_{out}", f"_ps_base_{out}"
-        keyed = df.withColumn(block, F.shiftright(F.col(order[0]).cast("long"), RADIX_BITS))
+        keyed = df.withColumn(block, F.shiftright(F.col(order[0]).cast("long"), BLOCK_BITS))
         counts = keyed.groupBy(*part, block).agg(F.count(F.lit(1)).alias("_ps_n"))
-        starts = _first_positions(counts, part, block, "_ps_n", base)
+        starts = _first_positions(counts, part, block, "_ps_n", base, 64 - BLOCK_BITS)
         w = Window.partitionBy(*part, block).orderBy(order[0])
         joined = keyed.join(starts, on=[*part, block])
         return joined.withColumn(out, (F.col(base) + F.row_number().over(w) - 1).cast("long")).drop(block, base)
     first, start, inner = order[0], f"_ps_start_{out}", f"_ps_in_{out}"
     counts = df.groupBy(*part, first).agg(F.count(F.lit(1)).alias("_ps_n"))
-    starts = _first_positions(counts, part, first, "_ps_n", start)
+    starts = _first_positions(counts, part, first, "_ps_n", start, 64)
     within = _radix_index(df, [*part, first], order[1:], inner)
     joined = within.join(starts.withColumn(first, F.col(first).cast(df.schema[first].dataType)), on=[*part, first])
     return joined.withColumn(out, (F.col(start) + F.col(inner)).cast("long")).drop(start, inner)

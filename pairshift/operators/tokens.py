@@ -117,18 +117,20 @@ def token_histogram(pairs: DataFrame, tokenizer="simple") -> DataFrame:
     return _histogram(_token_table(pairs, tokenizer).select(*GROUP, "ct", "pt"))
 
 
-def js_divergence(hist: DataFrame, groups: DataFrame, eps: float = JS_EPS) -> DataFrame:
+def js_divergence(hist: DataFrame, groups: DataFrame, eps: float = JS_EPS, totals: tuple[str, str] | None = None) -> DataFrame:
     """Jensen-Shannon divergence in bits per group, from a token histogram.
 
     Each side is normalised by ``max(1, total)``, clipped to ``[eps, 1]``,
     renormalised, and compared with base-2 logs. ``groups`` lists every group
-    (``GROUP`` columns); a group with an empty vocabulary gets 0. The per-group
+    (``GROUP`` columns, and the token counts of both sides where ``totals`` names
+    them, which saves a pass over the histogram); a group with an empty vocabulary gets 0. The per-group
     totals and sums have one row per group; AQE broadcasts them where they measure small.
     """
-    totals = hist.groupBy(*GROUP).agg(
-        F.sum("n_clean").alias("_tc"), F.sum("n_perturbed").alias("_tp")
-    )
-    clipped = hist.join(totals, on=GROUP).select(
+    if totals:
+        sides = groups.select(*GROUP, F.col(totals[0]).alias("_tc"), F.col(totals[1]).alias("_tp"))
+    else:
+        sides = hist.groupBy(*GROUP).agg(F.sum("n_clean").alias("_tc"), F.sum("n_perturbed").alias("_tp"))
+    clipped = hist.join(sides, on=GROUP).select(
         *GROUP,
         F.least(F.greatest(F.col("n_clean") / F.greatest(F.lit(1.0), F.col("_tc")), F.lit(eps)), F.lit(1.0)).alias("x"),
         F.least(F.greatest(F.col("n_perturbed") / F.greatest(F.lit(1.0), F.col("_tp")), F.lit(eps)), F.lit(1.0)).alias("y"),
@@ -160,7 +162,8 @@ def js_divergence_of_examples(
     tt = _token_table(pairs, tokenizer).select(*GROUP, "ct", "pt")
     if materialize_pairs:
         tt = materialize(tt, "tokens")
-    return js_divergence(_histogram(tt), tt.select(*GROUP).distinct())
+    groups = tt.groupBy(*GROUP).agg(F.sum(F.size("ct")).alias("_tc"), F.sum(F.size("pt")).alias("_tp"))
+    return js_divergence(_histogram(tt), groups, totals=("_tc", "_tp"))
 
 
 def tokenizer_stats(
@@ -192,8 +195,9 @@ def tokenizer_stats(
         F.avg("fragmentation_perturbed").alias("avg_fragmentation_perturbed"),
         F.avg("tokens_per_char_clean").alias("avg_tokens_per_char_clean"),
         F.avg("tokens_per_char_perturbed").alias("avg_tokens_per_char_perturbed"),
+        F.sum("clean_tokens").alias("_tc"), F.sum("perturbed_tokens").alias("_tp"),
     )
-    js = js_divergence(_histogram(tt.select(*GROUP, "ct", "pt")), means)
+    js = js_divergence(_histogram(tt.select(*GROUP, "ct", "pt")), means, totals=("_tc", "_tp"))
     name = tokenizer_name or (tokenizer if isinstance(tokenizer, str) else "custom")
     return means.join(js, on=GROUP).select(
         F.col("dataset").alias("data_path"), "task", "split", F.lit(name).alias("tokenizer"),
