@@ -10,7 +10,8 @@ whole sequence is one shingle). Documents with equal sets fall into one class fi
    ``(1 - percent / 100) ** PREFIX`` (below 4e-15 for 75 percent), as a random order makes of it; shorter prefixes
    are whole and lose nothing. Shingles that only one class sends are dropped.
 2. *Signature tree.* The classes that share a shingle form a group (split into block pairs when large). Leaves hold
-   1024-bit token bitmaps and set sizes, inner nodes the OR of the bitmaps and the ranges of size and bit count. A
+   token bitmaps of at least two bits a token and set sizes, inner nodes the OR of the bitmaps and the ranges of size
+   and bit count. A
    dual traversal prunes a pair of nodes when even the largest possible overlap is too small. A group yields a
    forest of candidate edges, not all pairs.
 3. *Verification.* Candidate edges give coarse components, which no link leaves. In each one, every member is
@@ -45,7 +46,8 @@ from pairshift.llm.components import components
 N = 5
 PERCENT = 75
 PREFIX = 24
-BITS = 1024
+LEAST_BITS = 256
+FEW = 6
 FAN_OUT = 8
 BLOCK = 1024
 VERIFY_ROWS = 256
@@ -74,10 +76,21 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(tokens >> np.uint64(20)).astype(np.int64) & (BITS - 1)] = 1
-    return np.packbits(bits).tobytes()
+def width(n: int) -> int:
+    """Bits of the bitmap of n tokens: a power of two of at least 2 n, so about a third of them is set at most."""
+    return max(LEAST_BITS, 1 << (2 * n - 1).bit_length()) if n else LEAST_BITS
+
+
+def bitmap(tokens: np.ndarray, bits: int = 0) -> bytes:
+    bits = bits or width(len(tokens))
+    held = np.zeros(bits, dtype=np.uint8)
+    held[(tokens >> np.uint64(20)).astype(np.int64) & (bits - 1)] = 1
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def folded(held: bytes, bits: int) -> np.ndarray:
+    """The bitmap of the same tokens at a smaller width: halves are laid over each other."""
+    return np.bitwise_or.reduce(np.frombuffer(held, dtype=np.uint64).reshape(-1, bits // 64), axis=0)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -148,12 +161,52 @@ class SignatureTree:
                 work.append((level - 1, i[real], j[real]))
 
 
-def candidate_forest(sizes: np.ndarray, bits: np.ndarray, lowest: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Edges that connect whatever the tree cannot tell apart. Rows are sorted by their lowest shingle.
+def candidate_forest(sizes: list[int], bitmaps: list[bytes], lowest: list[int], percent: int) -> Iterator[tuple[int, int]]:
+    """Edges that connect whatever the bitmaps cannot tell apart. Rows are sorted by their lowest shingle.
 
-    Sets with the same lowest shingle are tried against the first of them and hang on it as a star; between stars,
-    one edge for each two that have a possible pair.
+    Linked sets have widths of the same power of two or of neighbouring ones (below 50 percent: of more), so each
+    width has a tree of its own sets and of those with the next widths, folded.
     """
+    if len(sizes) <= FEW:
+        yield from _few(sizes, bitmaps, percent)
+        return
+    n, w = np.array(sizes, dtype=np.int64), np.array([8 * len(b) for b in bitmaps])
+    low = np.array(lowest, dtype=np.int64)
+    for bits in np.unique(w).tolist():
+        reach = max((100 * int(n[w == bits].max())) // percent, 1)
+        at = np.flatnonzero((w == bits) | ((w > bits) & (n <= reach)))
+        if len(at) > 1:
+            held = np.stack([folded(bitmaps[i], bits) for i in at.tolist()])
+            yield from ((int(at[i]), int(at[j])) for i, j in _forest(n[at], held, low[at], percent))
+
+
+def _few(sizes: list[int], bitmaps: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
+    """All pairs of a handful of sets, skipping those that are connected already."""
+    held = [int.from_bytes(b, "little") for b in bitmaps]
+    star = list(range(len(sizes)))
+    for j in range(1, len(sizes)):
+        for i in range(j):
+            if star[i] == star[j]:
+                continue
+            x, y, wx, wy = held[i], held[j], 8 * len(bitmaps[i]), 8 * len(bitmaps[j])
+            while wx > wy:
+                wx //= 2
+                x = (x >> wx) | (x & ((1 << wx) - 1))
+            while wy > wx:
+                wy //= 2
+                y = (y >> wy) | (y & ((1 << wy) - 1))
+            common = (x & y).bit_count()
+            most = min(sizes[i] - max(0, x.bit_count() - common), sizes[j] - max(0, y.bit_count() - common))
+            if (100 + percent) * most >= percent * (sizes[i] + sizes[j]):
+                old, new = star[j], star[i]
+                star = [new if s == old else s for s in star]
+                yield i, j
+
+
+def _forest(sizes: np.ndarray, bits: np.ndarray, lowest: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Sets with the same lowest shingle are tried against the first of them and hang on it as a star; of the
+    possible pairs that the dual traversal leaves, those that join two parts are the edges: a forest, so never more
+    edges than sets."""
     stars = np.arange(len(sizes))
     heads = np.flatnonzero(np.r_[True, lowest[1:] != lowest[:-1]])
     pop = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
@@ -169,14 +222,18 @@ def candidate_forest(sizes: np.ndarray, bits: np.ndarray, lowest: np.ndarray, pe
         return
     order = np.lexsort((sizes, stars))
     tree = SignatureTree(sizes[order], bits[order], stars[order])
-    done: set[tuple[int, int]] = set()
+    parts = stars.copy()  # of each star's first set: the part of the forest it is in so far
     for a, b in tree.pairs(percent):
         i, j = order[a], order[b]
-        keys, first = np.unique(np.minimum(stars[i], stars[j]) * len(sizes) + np.maximum(stars[i], stars[j]), return_index=True)
-        for key, at in zip(keys.tolist(), first.tolist(), strict=True):
-            if key not in done:
-                done.add(key)
-                yield int(i[at]), int(j[at])
+        p, q = parts[stars[i]], parts[stars[j]]
+        new = np.flatnonzero(p != q)
+        if len(new):
+            _, first = np.unique(np.minimum(p[new], q[new]) * len(sizes) + np.maximum(p[new], q[new]), return_index=True)
+            for at in new[first].tolist():
+                x, y = parts[stars[i[at]]], parts[stars[j[at]]]
+                if x != y:
+                    parts[parts == y] = x
+                    yield int(i[at]), int(j[at])
 
 
 def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
@@ -208,10 +265,7 @@ def _group_candidates(percent: int):
             rows = _rows(batches, ["token", "i", "j", "lowest", "n", "set_id", "bits"])
             for _, members in groupby(rows, key=lambda r: r[:3]):
                 held = list(members)
-                sizes = np.array([r[4] for r in held], dtype=np.int64)
-                bits = np.frombuffer(b"".join(r[6] for r in held), dtype=np.uint64).reshape(len(held), -1)
-                lowest = np.array([r[3] for r in held], dtype=np.int64)
-                yield from ((held[a][5], held[b][5]) for a, b in candidate_forest(sizes, bits, lowest, percent))
+                yield from ((held[a][5], held[b][5]) for a, b in candidate_forest(*([r[i] for r in held] for i in (4, 6, 3)), percent))
 
         yield from _batched(edges())
 
@@ -275,10 +329,13 @@ def _verify(held: list[tuple], percent: int) -> Iterator[tuple[bytes, bytes]]:
 
     ids = [r[4] for r in held if r[3] == 1]
     sizes = np.array([len(sets[x]) for x in ids], dtype=np.int64)
-    bits = np.frombuffer(b"".join(bitmap(sets[x]) for x in ids), dtype=np.uint64).reshape(len(ids), -1)
+    if not ids:
+        return
+    bits_ = width(int(sizes.max()))
+    bits = np.frombuffer(b"".join(bitmap(sets[x], bits_) for x in ids), dtype=np.uint64).reshape(len(ids), -1)
     all_ = {"low": sizes, "high": sizes, "pop": np.bitwise_count(bits).sum(axis=1, dtype=np.int64)}
     for x in (r[4] for r in held if r[3] == 0):
-        own = np.frombuffer(bitmap(sets[x]), dtype=np.uint64)
+        own = np.frombuffer(bitmap(sets[x], bits_), dtype=np.uint64)
         one = {"low": len(sets[x]), "high": len(sets[x]), "pop": int(np.bitwise_count(own).sum())}
         common = np.bitwise_count(bits & own).sum(axis=1, dtype=np.int64)
         for at in np.flatnonzero(_possible(all_, one, common, percent)):
@@ -323,14 +380,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     want = known.select("coarse", "set_id", "n", "degree", F.col("first.id").alias("want_id"), F.col("first.text_key").alias("want_key"))
     members = written(texts.join(want, F.col("id").eqNullSafe(F.col("want_id")) & (F.col("text_key") == F.col("want_key")))
                       .groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("coarse", "n", "degree", "body")]), "members")
-    best = members.groupBy("coarse").agg(F.max(F.struct("degree", "set_id")).alias("best")).select(F.col("coarse").alias("at"), F.col("best.set_id").alias("pivot_id"))
+    # tables of one row per component are written, so the joins with them are plain and a hot component can be split
+    best = members.groupBy("coarse").agg(F.max(F.struct("degree", "set_id")).alias("best"))
+    best = written(best.select(F.col("coarse").alias("at"), F.col("best.set_id").alias("pivot_id")), "best")
     pivots = members.join(best, (F.col("coarse") == F.col("at")) & (F.col("set_id") == F.col("pivot_id"))).select("at", "pivot_id", F.col("body").alias("pivot_body"))
+    pivots = written(pivots, "pivots")
     tried = members.join(pivots, (F.col("coarse") == F.col("at")) & (F.col("set_id") != F.col("pivot_id"))).select("set_id", "body", "pivot_id", "pivot_body")
     first_links = written(tried.mapInArrow(_with_pivot(percent), "u binary, v binary"), "links")
     status = members.select("coarse", "set_id", "n").join(best, F.col("coarse") == F.col("at")).join(first_links.select(F.col("v").alias("done"), "u"), F.col("set_id") == F.col("done"), "left")
     status = status.select("coarse", "set_id", "n", F.coalesce("u", "set_id").alias("part"), (F.col("u").isNull() & (F.col("set_id") != F.col("pivot_id"))).alias("rest"))
     volume = lambda which, name: F.ceil(F.greatest(F.count(which) / VERIFY_ROWS, F.sum(F.when(which.isNotNull(), F.col("n"))) / VERIFY_TOKENS)).cast("int").alias(name)
     blocks = status.groupBy("coarse").agg(volume(F.when(F.col("rest"), F.lit(1)), "rest_blocks"), volume(F.lit(1), "all_blocks")).where("rest_blocks > 0").withColumnRenamed("coarse", "at")
+    blocks = written(blocks, "blocks")
     dealt = status.join(blocks, F.col("coarse") == F.col("at"))
     own = lambda n, salt: F.pmod(F.xxhash64("set_id", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -347,6 +408,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grouped_ids = classes.select(F.col("set_id").alias("class"), "least_id").join(
         named.select("node", "root").join(lowest, F.col("root") == F.col("r")).select("node", "component_id"), F.col("class") == F.col("node"), "left")
     answers = grouped_ids.select("class", F.coalesce("component_id", "least_id").alias("component_id"))
+    answers = written(answers, "answers")
     joined = rows.select("id", "text_key", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(answers, F.col("set_id") == F.col("class"), "left")
     return joined.select("id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 

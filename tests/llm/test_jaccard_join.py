@@ -96,13 +96,41 @@ def test_tree_prunes_no_possible_pair():
     base = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
     sets = [np.unique(r.choice(base[k * 100 : k * 100 + 300], r.integers(150, 280), replace=False)) for k in r.integers(0, 30, 300)]
     sizes = np.array([len(s) for s in sets])
-    bits = np.frombuffer(b"".join(jj.bitmap(s) for s in sets), dtype=np.uint64).reshape(len(sets), -1)
+    bits = np.frombuffer(b"".join(jj.bitmap(s, 1024) for s in sets), dtype=np.uint64).reshape(len(sets), -1)
     tree = jj.SignatureTree(sizes, bits, np.arange(len(sets)))
     found = {(int(i), int(j)) for a, b in tree.pairs(50) for i, j in zip(a, b)}
     linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if jj.linked(sets[i], sets[j], 50)}
     assert linked and linked <= found and len(found) < len(sets) * (len(sets) - 1) // 4
 
 
+def test_widths_fold_and_few_sets_agree_with_the_tree(monkeypatch):
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 63, 900, dtype=np.uint64)
+    sets = [np.unique(r.choice(base[:n], int(n * 0.9), replace=False)) for n in r.integers(100, 900, 60)]
+    for s in sets[:9]:
+        assert np.array_equal(jj.folded(jj.bitmap(s), 256), np.frombuffer(jj.bitmap(s, 256), dtype=np.uint64))
+    args = ([len(s) for s in sets], [jj.bitmap(s) for s in sets], [int(s[0] >> np.uint64(1)) for s in sets])
+    order = np.argsort(args[2], kind="stable").tolist()
+    args = [[a[i] for i in order] for a in args]
+
+    def groups(edges):
+        root = list(range(len(sets)))
+        for a, b in edges:
+            root = [root[a] if x == root[b] else x for x in root]
+        return [{j for j in range(len(sets)) if root[j] == root[i]} for i in range(len(sets))]
+
+    tree = groups(jj.candidate_forest(*args, 75))
+    assert len({frozenset(g) for g in tree}) > 1
+    for i in range(len(sets)):
+        for j in range(i):
+            assert j in tree[i] or not jj.linked(sets[order[i]], sets[order[j]], 75)
+    monkeypatch.setattr(jj, "FEW", 1000)
+    few = groups(jj.candidate_forest(*args, 75))
+    for i in range(len(sets)):
+        for j in range(i):
+            assert j in few[i] or not jj.linked(sets[order[i]], sets[order[j]], 75)
+
+
 def test_prefix_filter_is_whole_for_short_sets():
     assert jj.prefix_length(1, 75) == 1 and jj.prefix_length(4, 75) == 2 and jj.prefix_length(80, 75) == 21
     assert jj.prefix_length(10_000, 75) == jj.PREFIX
