@@ -12,7 +12,7 @@ scored over their whole texts.
 
 Edge cases: null and empty texts have no words and score by the bias alone; a null id is in no fold (``held_out``
 false) and is scored; repeated labels of one id count once, with the largest value; repeated documents are scored
-one by one; without any labelled row all weights are zero and every score is 0.5; an empty table gives an empty table.
+one by one and train once; without any labelled row all weights are zero and every score is 0.5; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -118,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     sample = known.withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(train_rows)
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body")).join(F.broadcast(sample), "id").select("order", "id", "label", "body")
+    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body")).join(F.broadcast(sample), "id")
+    rows = rows.groupBy("order", "id", "label").agg(F.min("body").alias("body"))  # an id that many rows repeat trains once
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted(zip(*[[v for b in parts for v in b.column(c).to_pylist()] for c in ("order", "id", "body", "label")], strict=True)) if (parts := list(batches)) else []
