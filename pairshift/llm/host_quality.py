@@ -131,6 +131,7 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     host = F.col("source") if host is None else host
     rows = written(document_rules(docs, id_col, text_col, host, min_words, max_repeat_pct), "quality")
     verdicts = host_verdicts(rows, max_host_rate, z).where("rejected").select(F.col("host").alias("bad_host"), "rejected")
+    verdicts = written(verdicts, "verdicts")  # a plain join with them may be split on a hot host
     rejected = F.coalesce(F.col("rejected"), F.lit(False))
     return rows.join(verdicts, F.col("host") == F.col("bad_host"), "left").select(
         *rows.columns, rejected.alias("host_rejected"), (~F.col("base_failed") & ~rejected).alias("kept"))
