@@ -315,6 +315,7 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, wi
 
     waiting = judged.where("weight > 0")
     hot = waiting.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_RANK).select(F.col("rank").alias("hot_rank"))
+    hot = written(hot, "hot")  # a plain join with it may be split on a hot rank
     wanted = waiting.join(hot, F.col("rank") == F.col("hot_rank"), "left").select(
         "rank", F.col("hot_rank").isNotNull().alias("hot"), F.col("id").alias("of"), F.col("text_key").alias("of_key"), "weight", "lo", "hi")
     stretch = F.expr(f"substring(cast(body AS binary), cast(lo + 1 AS int), cast(hi - lo + {length} AS int))")
