@@ -16,6 +16,7 @@ like any other row; an empty table gives an empty table; other columns do not ma
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,17 +34,27 @@ CAPACITY = 4096
 SEPARATOR = 1
 GROUP_PIECES = 20_000
 KNOWN_RUNS = 600_000
-STOPS = b".,;:!?"
+STOPS = ".,;:!?"
+LATIN_END = "\u0180"  # the letters before it are in composed form already, and fall to small letters one by one
+DOTTED_I = "\u0130"  # but for this one
+_PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on, in order.
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 ROWS = 256
 
 _encoders: dict[str, RunEncoder] = {}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class RunEncoder:
     """Text to little-endian unsigned 32-bit ids, through bounded tables of runs and of stems.
 
     The vocabulary's rules cut between a letter and the stop signs after it and do not tell capitals from small
-    letters, so an ASCII run is its small-letter stem and its stops, and only new stems are encoded.
+    letters, so a run of plain Latin letters is its small-letter stem and its stops, and only new stems are encoded.
+    Such a stem is one word to the rules already, so the merges alone are run on it; other runs go the whole way.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -57,22 +68,25 @@ class RunEncoder:
     @staticmethod
     def parts(run: bytes) -> tuple[bytes, bytes]:
         """Stem and stops; runs to which the rule does not apply are a stem as they are."""
-        if run.isascii():
-            stem = run.rstrip(STOPS)
-            if stem.isalpha():
-                return stem.lower(), run[len(stem) :]
+        text = run.decode()
+        stem = text.rstrip(STOPS)
+        if stem.isalpha() and max(stem) < LATIN_END and DOTTED_I not in stem:
+            return stem.lower().encode(), text[len(stem) :].encode()
         return run, b""
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             runs = text.encode().split()
-            new = set(runs).difference(self.runs)
-            if len(self.runs) + len(new) > KNOWN_RUNS:
-                self.runs.clear()
-                new = set(runs)
-            if new:
-                self._learn(list(new))
-            yield b"".join(map(self.runs.__getitem__, runs))
+            found = list(map(self.runs.get, runs))
+            if None in found:
+                missing = [i for i, ids in enumerate(found) if ids is None]
+                new = list({runs[i] for i in missing})
+                if len(self.runs) + len(new) > KNOWN_RUNS:
+                    self.runs.clear()
+                self._learn(new)
+                for i in missing:
+                    found[i] = self.runs[runs[i]]
+            yield b"".join(found)
 
     def _learn(self, runs: list[bytes]) -> None:
         for start in range(0, len(runs), 4096):
@@ -81,9 +95,15 @@ class RunEncoder:
             if len(self.stems) + len(stems) > KNOWN_RUNS:
                 self.stems.clear()
                 stems = list({p for two in split for p in two if p})
-            if stems:
-                encoded = self.tokenizer.encode_batch_fast([s.decode() for s in stems], add_special_tokens=False)
-                self.stems.update((s, np.array(e.ids, dtype="<u4").tobytes()) for s, e in zip(stems, encoded, strict=True))
+            words, others = [], []
+            for stem in stems:
+                text = stem.decode()
+                (words if text.isalpha() and text == text.lower() and max(text) < LATIN_END else others).append(stem)
+            merges = self.tokenizer.model.tokenize
+            self.stems.update((w, _packed([t.id for t in merges(w.decode("latin-1").translate(BYTE_SIGNS))])) for w in words)
+            if others:
+                encoded = self.tokenizer.encode_batch_fast([o.decode() for o in others], add_special_tokens=False)
+                self.stems.update((o, _packed(e.ids)) for o, e in zip(others, encoded, strict=True))
             known = self.stems
             known[b""] = b""
             self.runs.update((r, known[a] + known[b]) for r, (a, b) in zip(runs[start : start + 4096], split, strict=True))
@@ -104,7 +124,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                         T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     if keep_ids:
         out = out.add("ids", "binary")
-    end = np.array([separator], dtype="<u4").tobytes()
+    end = _packed([separator])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
