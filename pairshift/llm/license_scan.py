@@ -8,8 +8,11 @@ containment t, the Jaccard similarity of that window and the template is at leas
 ``t * m / (c + c / 4 + (1 - t) * m)``; a class has as many one-row bands as make the chance of a miss at that
 similarity at most ``MISS``. A window that holds no template shingle cannot collide and is left out beforehand.
 
-A retrieved window is a match when at least ``containment`` of the template's shingles occur in it; of overlapping
-matches of one template the fullest stays, then the first.
+A retrieved window is a match when at least ``containment`` of the template's shingles occur in it, and one phrase of
+each of its ``need`` groups (the words that tell it from its neighbours: version, Lesser, Affero) does from ``N`` words
+before the first of these shingles to ``N`` after the last. A name may have several wordings; of overlapping matches of
+one name the fullest (in matched words) stays, then the first. With ``exclusive``, a match also yields to a fuller one of
+another name that holds half of its matched words or more. The default table is ``pairshift.llm.licenses``.
 
 Edge cases: null and empty texts, and texts shorter than every template, have no match; repeated rows are scanned
 one by one; an empty table gives an empty table; other columns do not matter; very long texts cost time, not memory
@@ -20,7 +23,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairshift.llm.common import whole_text
+from pairshift.llm.licenses import Wording, licenses
 
 N = 5
 CONTAINMENT = 0.75
@@ -40,7 +46,7 @@ _WORD = re.compile(rb"[0-9a-z]+(?:[.+-]+[0-9a-z]+)*")
 _FILTER_BITS = 20
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
-#: Names and opening statements of well-known public licences, as documents quote them.
+#: Names and opening statements of well-known public licences, one wording each; `licenses` has the whole table.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": (
@@ -79,96 +85,160 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, _WORD.findall(raw.lower())), dtype=np.uint64)
 
 
-def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+def shingle_hashes(words: np.ndarray, k: int, mixed: list[np.ndarray] | None = None) -> np.ndarray:
     n = len(words) - k + 1
     if n < 1:
         return np.zeros(0, dtype=np.uint64)
     total = np.full(n, k, dtype=np.uint64)
     for i in range(k):
-        total += _mix(words[i : i + n] * _M[i])
+        total += _mix(words[i : i + n] * _M[i]) if mixed is None else mixed[i][i : i + n]
     return _mix(total)
 
 
+def default_templates() -> dict[str, list[Wording]]:
+    """The licences' wordings, and those of ``TEMPLATES`` whose name is that of a licence."""
+    out = {name: list(wordings) for name, wordings in licenses().items()}
+    for name, text in TEMPLATES.items():
+        if name in out:
+            out[name] += [w._replace(text=text) for w in out[name] if w.need and _holds(word_hashes(text.encode()), _phrases(w.need))][:1] or [Wording(text)]
+    out["Apache-2.0"].append(Wording(TEMPLATES["Apache-2.0-header"], ("version 2.0",)))
+    return out
+
+
+def _phrases(need: Sequence[str]) -> list[list[np.ndarray]]:
+    return [[word_hashes(p.encode()) for p in group.split("|")] for group in need]
+
+
+def _holds(words: np.ndarray, need: list[list[np.ndarray]]) -> bool:
+    """Whether one phrase of every group occurs in the words."""
+    def held(p: np.ndarray) -> bool:
+        at = np.flatnonzero(words[: max(0, len(words) - len(p) + 1)] == p[0])
+        return any((words[i : i + len(p)] == p).all() for i in at.tolist())
+
+    return all(any(map(held, group)) for group in need)
+
+
+def _among(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which tokens occur in a sorted array."""
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
 class Templates:
     """Shingle sets and, per size class, band tables of the templates."""
 
-    def __init__(self, texts: dict[str, str], containment: float) -> None:
-        if len(texts) > MAX_TEMPLATES:
+    def __init__(self, texts: Mapping[str, str | Sequence[Wording]], containment: float, exclusive: bool = False) -> None:
+        wordings = [(name, w) for name in sorted(texts) for w in ([Wording(texts[name])] if isinstance(texts[name], str) else texts[name])]
+        if len(wordings) > MAX_TEMPLATES:
             raise ValueError(f"more than {MAX_TEMPLATES} templates")
-        self.containment = containment
-        self.names = sorted(texts)
+        self.containment, self.exclusive = containment, exclusive
+        self.names: list[str] = []
+        self.needs: list[list[list[np.ndarray]]] = []
         self.classes: dict[tuple[int, int], dict] = {}
-        self.filters: dict[int, np.ndarray] = {}
+        self.known: dict[int, np.ndarray] = {}
         self.sets: list[np.ndarray] = []
-        for t, name in enumerate(self.names):
-            words = word_hashes(texts[name].encode())
+        for name, wording in wordings:
+            words = word_hashes(wording.text.encode())
             if not len(words):
                 raise ValueError(f"template {name} has no words")
             k = min(N, len(words))
             tokens = np.unique(shingle_hashes(words, k))
-            self.sets.append(tokens)
             c = 1 << (len(tokens) - 1).bit_length()
-            self.classes.setdefault((k, c), {"members": []})["members"].append(t)
-            held = self.filters.setdefault(k, np.zeros(1 << _FILTER_BITS, dtype=bool))
-            held[(tokens >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+            self.classes.setdefault((k, c), {"members": []})["members"].append(len(self.sets))
+            self.names.append(name)
+            self.needs.append(_phrases(wording.need))
+            self.sets.append(tokens)
         for (_, c), group in self.classes.items():
-            least = min(containment * m / (c + c // 4 + (1 - containment) * m) for m in (len(self.sets[t]) for t in group["members"]))
+            sizes = [len(self.sets[t]) for t in group["members"]]
+            least = min(containment * m / (c + c // 4 + (1 - containment) * m) for m in sizes)
             bands = 1 if least >= 1 else math.ceil(math.log(MISS) / math.log(1 - least))
             group["odd"] = _mix(np.arange(1, bands + 1, dtype=np.uint64)) | np.uint64(1)
             group["step"], group["size"] = max(1, c // 4), c + c // 4
             group["signatures"] = np.array([(self.sets[t][:, None] * group["odd"]).min(axis=0) for t in group["members"]])
+            group["known"] = np.unique(np.concatenate([self.sets[t] for t in group["members"]]))
+            group["least"] = max(1, math.ceil(containment * min(sizes) - 1e-9))
+        for k in {k for k, _ in self.classes}:
+            self.known[k] = np.unique(np.concatenate([g["known"] for (size, _), g in self.classes.items() if size == k]))
+
+    @cached_property
+    def filters(self) -> dict[int, np.ndarray]:
+        """Per shingle length, which leading bits a template's shingle has."""
+        out = {k: np.zeros(1 << _FILTER_BITS, dtype=bool) for k in self.known}
+        for k, known in self.known.items():
+            out[k][(known >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        return out
 
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
         """(name, start, end, containment) of the matches, by start and name; offsets in code points."""
         raw = text.encode()
         words = word_hashes(raw)
+        mixed = [_mix(words * m) for m in _M[: max(self.known)]]
         found = []
         for k, held in self.filters.items():
-            tokens = shingle_hashes(words, k)
-            near = held[(tokens >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
-            if near.any():
+            tokens = shingle_hashes(words, k, mixed)
+            near = np.flatnonzero(held[(tokens >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+            near = near[_among(tokens[near], self.known[k])]
+            if len(near):
                 for (size, _), group in self.classes.items():
                     if size == k:
-                        found += self._windows(tokens, near, group)
+                        found += self._windows(words, tokens, near, group, k)
         if not found:
             return []
-        best: dict[int, list[tuple[int, int, float]]] = {}
-        for t, first, last, share in sorted(found, key=lambda f: (f[0], -f[3], f[1])):
-            if all(last < a or first > b for a, b, _ in best.setdefault(t, [])):
-                best[t].append((first, last, share))
+        best: dict[str, list[tuple]] = {}
+        for match in sorted(found, key=lambda f: (self.names[f[0]], -len(f[4]), -f[3], f[1])):
+            held = best.setdefault(self.names[match[0]], [])
+            if all(match[2] < m[1] or match[1] > m[2] for m in held):
+                held.append(match)
+        kept = [m for held in best.values() for m in held]
+        if self.exclusive:
+            taken, fuller = np.zeros(len(words), dtype=bool), sorted(kept, key=lambda m: (-len(m[4]), -m[3], m[1], self.names[m[0]]))
+            kept = []
+            for match in fuller:
+                if 2 * taken[match[4]].sum() < len(match[4]):
+                    taken[match[4]] = True
+                    kept.append(match)
         spots = [m.span() for m in _WORD.finditer(raw.lower())]
         before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)])  # code points before each byte
-        place = lambda at: int(before[at])
-        out = []
-        for t, spans in best.items():
-            k = min(N, self._words_of(t))
-            out += [(self.names[t], place(spots[a][0]), place(spots[b + k - 1][1]), share) for a, b, share in spans]
-        return sorted(out, key=lambda m: (m[1], m[0]))
-
-    def _words_of(self, t: int) -> int:
-        return next(k for (k, _), g in self.classes.items() if t in g["members"])
+        return sorted([(self.names[t], int(before[spots[a][0]]), int(before[spots[b][1]]), share) for t, a, b, share, _ in kept], key=lambda m: (m[1], m[0]))
 
-    def _windows(self, tokens: np.ndarray, near: np.ndarray, group: dict) -> list[tuple[int, int, int, float]]:
-        """(template, first shingle, last shingle, containment) of the windows that bands retrieve and sets confirm."""
+    def _windows(self, words: np.ndarray, tokens: np.ndarray, near: np.ndarray, group: dict, k: int) -> list[tuple[int, int, int, float, np.ndarray]]:
+        """(template, first word, last word, containment, matched words) of the windows that bands retrieve and sets confirm."""
         step, size = group["step"], group["size"]
-        starts = np.unique(np.concatenate([np.maximum(0, (np.flatnonzero(near) // step - d) * step) for d in range(-(-size // step) + 1)]))
+        near = near[_among(tokens[near], group["known"])]
+        starts = np.unique(np.concatenate([np.maximum(0, (near // step - d) * step) for d in range(-(-size // step) + 1)]))
+        starts = starts[np.searchsorted(near, starts + size) - np.searchsorted(near, starts) >= group["least"]]
         out = []
         for start in starts.tolist():
             window = tokens[start : start + size]
             signature = (window[:, None] * group["odd"]).min(axis=0)
             for at in np.flatnonzero((group["signatures"] == signature).any(axis=1)).tolist():
                 t = group["members"][at]
-                inside = np.flatnonzero(np.isin(window, self.sets[t]))
+                inside = np.flatnonzero(_among(window, self.sets[t]))
                 share = len(np.unique(window[inside])) / len(self.sets[t])
                 if share >= self.containment:
-                    out.append((t, start + int(inside[0]), start + int(inside[-1]), share))
+                    inside = start + _shortest(window, inside)
+                    first, last = int(inside[0]), int(inside[-1]) + k - 1
+                    if _holds(words[max(0, first - N) : last + 1 + N], self.needs[t]):
+                        out.append((t, first, last, share, np.unique(inside[:, None] + np.arange(k))))
         return out
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
-                 containment: float = CONTAINMENT) -> DataFrame:
+def _shortest(window: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Without the shingles at either end that occur again inside: a neighbour's shingles do not widen a match."""
+    left = Counter(window[inside].tolist())
+    a, b = 0, len(inside)
+    while left[window[inside[a]].item()] > 1:
+        left[window[inside[a]].item()] -= 1
+        a += 1
+    while left[window[inside[b - 1]].item()] > 1:
+        left[window[inside[b - 1]].item()] -= 1
+        b -= 1
+    return inside[a:b]
+
+
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str | Sequence[Wording]] | None = None,
+                 containment: float = CONTAINMENT, exclusive: bool = True) -> DataFrame:
     """Per row: the id column, ``n_matches``, ``licenses`` (sorted, comma-joined), ``max_containment``, ``spans``."""
-    known = Templates(TEMPLATES if templates is None else templates, containment)
+    known = Templates(default_templates() if templates is None else templates, containment, exclusive)
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_matches", T.LongType()), T.StructField("licenses", T.StringType()),
                         T.StructField("max_containment", T.DoubleType()), T.StructField("spans", T.StringType())])
 

@@ -82,3 +82,29 @@ def test_whole_table_and_odd_rows(spark):
     short = ls.license_scan(df, templates={"mit": "the MIT license"}).where("doc_id = 3").collect()[0]
     assert short["licenses"] == "mit" and short["max_containment"] == 1.0
     assert ls.license_scan(df.limit(0)).count() == 0
+
+
+def test_versions_families_and_wordings_are_told_apart():
+    scan = ls.Templates(ls.default_templates(), ls.CONTAINMENT, exclusive=True).scan
+    work = "This work is licensed under the GNU {}."
+    for text, name in [
+            (work.format("Lesser General Public License, version 3"), "LGPL-3.0"), (work.format("Affero General Public License, version 3"), "AGPL-3.0"),
+            (work.format("General Public License, version 2"), "GPL-2.0"), (work.format("General Public License, version 3"), "GPL-3.0"),
+            (work.format("General Public License"), "GPL"), ("Released under MIT License", "MIT"), ("Distributed under the MIT License", "MIT"),
+            ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"), ("made available under the Eclipse Public License 2.0", "EPL-2.0"),
+            ("It is published under a CC BY-SA 3.0 licence", "CC-BY-SA-3.0"), ("Licensed under the Apache License, Version 1.1", "Apache-1.1")]:
+        assert [m[0] for m in scan("Some words. " + text + " Other words.")] == [name], text
+
+
+def test_whole_texts_and_neighbours():
+    r = random.Random(3)
+    scan = ls.Templates(ls.default_templates(), ls.CONTAINMENT, exclusive=True).scan
+    whole = {n: max((w.text for w in ws), key=len) for n, ws in ls.licenses().items() if max(len(w.text) for w in ws) > 600}
+    assert {"AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "Unlicense", "CC0-1.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC"} <= set(whole)
+    for name, text in whole.items():
+        t = text.split()
+        for i in r.sample(range(len(t)), len(t) // 100):  # scattered edits
+            t[i] += "x"
+        assert {m[0] for m in scan(noise(r, 30) + " " + " ".join(t) + " " + noise(r, 30))} == {name}
+    both = whole["MIT"] + "\n\n" + whole["Apache-2.0"] + "\n\n" + whole["BSD-3-Clause"]
+    assert [m[0] for m in scan(both)] == ["MIT", "Apache-2.0", "BSD-3-Clause"]
