@@ -173,16 +173,32 @@ def read_metric_tables(spark: SparkSession, pattern: str | Sequence[str], schema
 
     Nothing is inferred: every column is read as text by its header, in whatever order a file has them, and cast to
     the type that ``schema`` gives its name; columns that the schema does not name stay text, and those that no file
-    has are left out.
+    has are left out. Files are grouped by their header line (one job reads these), since one CSV scan takes all its
+    files by position; a column that a file lacks is null in its rows.
     """
     ps = [pattern] if isinstance(pattern, str) else list(pattern)
-    df = spark.read.option("header", True).csv(ps)
     types = {f.name: f.dataType for f in schema.fields}
-    df = df.select(*[F.col(c).cast(types.get(c, S)).alias(c) for c in df.columns], "_metadata")
-    return df.withColumns({
-        "source_file": F.col("_metadata.file_name"),
-        "language_pair": language_pair_from_path(F.col("_metadata.file_name")),
-    }).drop("_metadata")
+    tables = []
+    for names, files in _headers(spark, ps):
+        df = spark.read.option("header", True).schema(T.StructType([T.StructField(c, S) for c in names])).csv(ps)
+        df = df.where(F.col("_metadata.file_path").isin(files))
+        cols = {c: F.col(f"`{c.replace('`', '``')}`").cast(types.get(c, S)).alias(c) for c in names if c not in ("source_file", "language_pair")}
+        tables.append(df.select(*cols.values(), F.col("_metadata.file_name").alias("source_file"),
+                                language_pair_from_path(F.col("_metadata.file_name")).alias("language_pair")))
+    if not tables:
+        return spark.createDataFrame([], "source_file string, language_pair string")
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return out.select(*[f"`{c.replace('`', '``')}`" for c in out.columns if c not in ("source_file", "language_pair")], "source_file", "language_pair")
+
+
+def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) of every distinct header line, the first line of a file that is not blank."""
+    lines = spark.read.text(paths).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), "value")
+    groups: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", "row").alias("value")).orderBy("file").collect():
+        groups.setdefault(r["value"], []).append(r["file"])
+    return [(spark.read.option("header", True).csv(spark.sparkContext.parallelize([line], 1)).columns, files) for line, files in groups.items()]
 
 
 def write_metric_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:

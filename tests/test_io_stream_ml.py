@@ -124,6 +124,21 @@ def test_metric_tables_language_pair(spark):
     assert got == {"fr-en": 0.1, "fr-es": 0.2, "other": 0.3}
 
 
+def test_metric_tables_of_different_layouts_are_read_by_name(spark):
+    d = _tmp()
+    files = {"robustness_summary.csv": "model,clean_score,switchmix_score,robustness_drop\nm,0.5,0.4,0.1\n",
+             "robustness_summary_fr-es.csv": "robustness_drop,model,clean_score,switchmix_score,task\n0.2,n,0.7,0.5,nli\n0.3,o,0.9,0.6,qa\n",
+             "robustness_summary_fr-de.csv": "\nmodel,note.text,robustness_drop\np,\"a, b\",0.4\n", "robustness_summary_x.csv": ""}
+    for name, text in files.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    df = io.read_metric_tables(spark, os.path.join(d, "*.csv"))
+    assert df.schema["robustness_drop"].dataType.typeName() == "double" and df.schema["note.text"].dataType.typeName() == "string"
+    got = sorted((r["language_pair"], r["model"], r["task"], r["clean_score"], r["switchmix_score"], r["robustness_drop"], r["note.text"]) for r in df.collect())
+    assert got == [("fr-de", "p", None, None, None, 0.4, "a, b"), ("fr-en", "m", None, 0.5, 0.4, 0.1, None), ("fr-es", "n", "nli", 0.7, 0.5, 0.2, None),
+                   ("fr-es", "o", "qa", 0.9, 0.6, 0.3, None)]
+
+
 def test_streaming_build_equals_batch(spark):
     d = _tmp()
     src, out = os.path.join(d, "src"), os.path.join(d, "out")
