@@ -2,9 +2,10 @@
 
 Base kinds (leftmost, non-overlapping per kind; a match that fails its check is dropped and not retried): e-mail
 addresses, IPv4 addresses with parts up to 255, card numbers of 13 to 19 digits that pass Luhn, international phone
-numbers of 9 to 15 digits. They always stay. Added kind: ``iban``, confirmed by mod-97. Every span has a score:
-the pattern's own worth, plus what a passed checksum adds, plus what a word of its kind within ``CONTEXT`` code
-points adds; an added kind needs ``threshold``.
+numbers of 9 to 15 digits. They always stay. Added kinds: ``iban``, confirmed by mod-97; ``local_phone``, numbers of 7
+to 12 digits without a plus sign, and ``account``, undivided numbers of 6 to 18 digits with up to two letters before
+them. Every span has a score: the pattern's own worth, plus what a passed checksum adds, plus what a word of its kind
+within ``CONTEXT`` code points adds; an added kind needs ``threshold``, which the last two only reach by such a word.
 
 Only built-in functions run. ``regexp_extract_all`` and ``split`` with one pattern walk the same matches, so the
 lengths of gaps and matches give offsets in code points; running sums go block by block, so a text with very many
@@ -84,6 +85,13 @@ KINDS = (
          lambda m: F.length(_digits(m)).between(9, 15), 0.6, 0.0, "phone|call|tel|mobile|fax|telefon"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}",
          lambda m: F.length(F.regexp_replace(m, " ", "")).between(15, 34) & mod97(m), 0.3, 0.4, "iban|account|bank|konto|cuenta|compte"),
+    # these two take what runs on behind a number into the match, which the check then drops, so no scan starts anew inside it
+    Kind("local_phone", r"\+[0-9][ ().0-9-]+[0-9]|(?<![A-Za-z0-9.,@_-])\(?[0-9]++(?:[ ()/-]{1,2}+[0-9]++)*+(?:[A-Za-z@_]|[.,:][0-9])?+", r"(?:[0-9][ ()/-]{0,2}){6}[0-9]",
+         lambda m: m.rlike(r"^[0-9(][0-9 ()/-]*[0-9]$") & F.length(_digits(m)).between(7, 12), 0.55, 0.0,
+         r"\b(phone|call|tel|telephone|mobile|cell|fax|telefon|telefono|teléfono|téléphone|handy|móvil)\b"),
+    Kind("account", r"(?<![A-Za-z0-9.,@_+-])[A-Za-z]{0,2}+[0-9]++(?:[A-Za-z@_]|[.,:-][0-9])?+", "[0-9]{6}",
+         lambda m: m.rlike("^[A-Za-z]{0,2}[0-9]{6,18}$"), 0.55, 0.0,
+         r"\b(account|acct|passport|customer (no|number|id)|ssn|konto|kontonummer|kundennummer|ausweis|cuenta|pasaporte|compte|passeport)\b"),
 )
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 

@@ -42,6 +42,17 @@ def test_context_raises_the_score(spark):
     assert got[1] > got[2]
 
 
+def test_context_decides_on_numbers_without_other_proof(spark):
+    pairs = [("my phone is 030 1234567 now", "my house is 030 1234567 now", "local_phone:12:23"), ("Tel. (555) 123-4567", "Lot. (555) 123-4567", "local_phone:5:19"),
+             ("account AB12345678.", "catalogue AB12345678.", "account:8:18")]
+    df = spark.createDataFrame([(2 * i + j, p[j]) for i, p in enumerate(pairs) for j in (0, 1)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in find_pii(df).collect()}
+    assert got == {2 * i + j: p[2] if j == 0 else "" for i, p in enumerate(pairs) for j in (0, 1)}
+    no = ["call +44 20 7946 0958 x", "phone 4111 1111 1111 1111", "tel 12 34", "call 5551234567x", "hotel 5551234567", "call 1234567.5", "account 12345", "phone " + "1 " * 4000 + "x"]
+    rows = find_pii(spark.createDataFrame(list(enumerate(no)), "doc_id long, text string")).collect()
+    assert not [r for r in rows if "local_phone" in r["spans"] or "account" in r["spans"]]
+
+
 def test_masking(spark, hand):
     long = "é" * 4090 + "a@b.cc " + "x" * 5000 + " +1 (555) 123-4567 / 4111111111111111"
     df = hand.select("doc_id", "text").unionByName(spark.createDataFrame([(500, long)], "doc_id long, text string"))
