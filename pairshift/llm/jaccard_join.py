@@ -5,10 +5,10 @@ whole sequence is one shingle). Documents with equal sets fall into one class fi
 ``100 * |intersection| >= percent * |union|``.
 
 1. *Partition.* Under the order of the hashes, two linked sets have a common shingle among the first
-   ``n - ceil(percent * n / 100) + 1`` of each (prefix filter); a class sends the first ``PREFIX`` of them at most.
-   The first ``PREFIX`` shingles of a linked pair's union all miss the intersection with probability
-   ``(1 - percent / 100) ** PREFIX`` (below 4e-15 for 75 percent), as a random order makes of it; shorter prefixes
-   are whole and lose nothing. Shingles that only one class sends are dropped.
+   ``n - ceil(percent * n / 100) + 1`` of each (prefix filter); a class sends the first ``longest_prefix`` of them at
+   most. The first L shingles of a linked pair's union all miss the intersection with probability
+   ``(1 - percent / 100) ** L``, as a random order makes of it; L is the least that keeps this at or below ``MISS``
+   whatever ``percent`` is. Shorter prefixes are whole and lose nothing. Shingles that only one class sends are dropped.
 2. *Signature tree.* The classes that share a shingle form a group (split into block pairs when large). Leaves hold
    token bitmaps of at least two bits a token and set sizes, inner nodes the OR of the bitmaps and the ranges of size
    and bit count. A
@@ -29,6 +29,7 @@ component has no other; an empty table gives an empty table; other columns do no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import groupby
@@ -45,7 +46,7 @@ from pairshift.llm.components import components
 
 N = 5
 PERCENT = 75
-PREFIX = 24
+MISS = 4e-15
 LEAST_BITS = 256
 FEW = 6
 FAN_OUT = 8
@@ -93,8 +94,20 @@ def folded(held: bytes, bits: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(held, dtype=np.uint64).reshape(-1, bits // 64), axis=0)
 
 
+def longest_prefix(percent: int) -> int | None:
+    """The least length with a miss of at most ``MISS``; none is enough at 0 percent, one at 100."""
+    if percent <= 0:
+        return None
+    return 1 if percent >= 100 else math.ceil(math.log(MISS) / math.log(1 - percent / 100))
+
+
+#: At the production threshold.
+PREFIX = longest_prefix(PERCENT)
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return min(n + (-percent * n // 100) + 1, PREFIX)
+    whole, longest = n + (-percent * n // 100) + 1, longest_prefix(percent)
+    return whole if longest is None else min(whole, longest)
 
 
 def _sketch(percent: int, out: T.StructType):

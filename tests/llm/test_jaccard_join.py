@@ -136,6 +136,14 @@ def test_prefix_filter_is_whole_for_short_sets():
     assert jj.prefix_length(10_000, 75) == jj.PREFIX
 
 
+def test_prefix_keeps_the_miss_at_any_threshold():
+    assert jj.PREFIX == 24
+    for percent in (1, 5, 20, 40, 60, 75, 90, 99):
+        long = jj.prefix_length(10**6, percent)
+        assert (1 - percent / 100) ** long <= jj.MISS < (1 - percent / 100) ** (long - 1)
+    assert jj.prefix_length(10**6, 100) == 1 and jj.prefix_length(50, 20) == 41
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 60)] + [(r.randint(100, 160), r.randint(100, 160)) for _ in range(50)] + [(200, 200)]
