@@ -15,13 +15,15 @@ spaces, the leading mark dropped; bytes that are no UTF-8 become U+FFFD.
 
 Edge cases: null and empty texts have no ids; repeated rows are encoded one by one; a text that holds the word mark
 itself decodes to a space there (``round_trip`` false); an empty table gives an empty table; other columns do not
-matter. A normaliser that maps several characters jointly, or that drops or joins white space, is refused.
+matter. A normaliser that drops or joins white space is refused, and one that maps several characters jointly when
+the probes (`JOINT`, and every character's canonical decomposition) show it.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from hashlib import sha256
@@ -38,6 +40,9 @@ MARK = "▁"
 KNOWN_CHUNKS = 600_000
 KNOWN_PAIRS = 500_000
 ROWS = 256
+#: What normalisers join or reorder: accents, Hangul, kana, Indic vowels, marks out of order, line ends, letters after a space.
+JOINT = ("e\u0301", "E\u0300\u0323", "q\u0307\u0323", "\u1112\u1161\u11ab", "\uac00\u11a8", "\u30ab\u3099", "\uff76\uff9e", "\u09c7\u09be", "\u0627\u0653",
+         "\u05d0\u05b7", "\r\n", "a\t b", "\u03a3 \u03c3\u03c2", "a\u00ad\u200db", "\u212b\u0301")
 
 _transducers: dict[tuple[str, str], Transducer] = {}
 
@@ -63,6 +68,9 @@ class Transducer:
         if m.normalize("a  b ") != f"{MARK}a{MARK}{MARK}b{MARK}":
             raise ValueError("a normaliser that changes white space or adds no word mark")
         self.chars: dict[str, str] = {" ": MARK}
+        for probe in self._joint():
+            if m.normalize(f"x{probe}x") != self.normalise(f"x{probe}x"):
+                raise ValueError(f"a normaliser that changes several characters jointly: {probe!r}")
         self.trie: dict = {}  # character -> (children, the id of the piece that ends here, or -1)
         for piece, i in self.ids.items():
             if kind == "unigram" or self.merged(piece) == [piece]:  # merges reach no other piece
@@ -83,6 +91,17 @@ class Transducer:
         self.costs = {i: self.scores[p] for p, i in self.ids.items()}
         self.fallback = 0.0 if kind == "bpe" else 10.0 - min(self.costs.values())
 
+    @staticmethod
+    def _joint() -> Iterator[str]:
+        """Probes of joint mappings: ``JOINT`` and the canonical decomposition of every character that has one."""
+        yield from JOINT
+        for c in map(chr, range(0xA0, 0x30000)):
+            if 0xD800 <= ord(c) < 0xE000:
+                continue
+            parts = unicodedata.normalize("NFD", c)
+            if len(parts) > 1:
+                yield parts
+
     def normalise(self, text: str) -> str:
         """The text's image under the character arcs, after one word mark."""
         if not text:

@@ -37,6 +37,16 @@ def test_equal_to_the_library(library, fst):
         assert fst.decode(ids_of(fst, t)) == library.decode(library.encode(t))
 
 
+def test_joint_normalisers_are_refused(tmp_path):
+    for rule in ("nfkc", "identity"):
+        sentencepiece.SentencePieceTrainer.train(
+            sentence_iterator=iter(["the quick brown fox jumps over the lazy dog", "pack my box with five dozen jugs"] * 20), model_prefix=str(tmp_path / rule),
+            vocab_size=320, model_type="bpe", byte_fallback=True, normalization_rule_name=rule, remove_extra_whitespaces=False, hard_vocab_limit=False, minloglevel=2)
+    sf.Transducer(str(tmp_path / "identity.model"), "bpe")
+    with pytest.raises(ValueError, match="jointly"):
+        sf.Transducer(str(tmp_path / "nfkc.model"), "bpe")
+
+
 def test_decode_of_any_ids(library, fst):
     r = random.Random(3)
     for _ in range(300):
