@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairshift.llm.best_fit_packing import best_fit_packing
+from pairshift.llm.collocations import collocations
 from pairshift.llm.common import table
 from pairshift.llm.exact_dedup import exact_dedup
 from pairshift.llm.host_quality import host_quality
@@ -67,6 +68,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sentencepiece_fst": op2_sentencepiece_fst,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -113,6 +119,24 @@ ORACLE: dict[str, str] = {
         fit AS (SELECT page_id, max(struct_pack(n := length(h || p), rule := h || p, v := v)) AS won FROM u JOIN r
                 ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p) GROUP BY page_id)
         SELECT page_id, host, path, won.rule AS rule, coalesce(won.v, 'allow') AS verdict FROM u LEFT JOIN fit USING (page_id)""",
+    "op11_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        g AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2),
+                     lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) AS t(k)) GROUP BY ALL),
+        t AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k >= 2 AND f >= 100),
+        i AS (SELECT lang, unnest(list_transform(range(1, k - m + 2), lambda s: array_to_string(ws[s:s + m - 1], ' '))) AS phrase, a
+              FROM c, range(2, 5) AS x(m) WHERE m < k),
+        keep AS (SELECT * FROM c ANTI JOIN (SELECT DISTINCT c.lang, c.phrase FROM c JOIN i USING (lang, phrase) WHERE 100 * i.a >= 100 * c.a) USING (lang, phrase)),
+        cut AS (SELECT keep.lang, keep.phrase, a, x.j, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * a * t.n) // (l.f::HUGEINT * r.f) AS score
+                FROM keep JOIN range(1, 5) AS x(j) ON x.j < k JOIN t USING (lang)
+                JOIN g AS l ON l.lang = keep.lang AND l.phrase = array_to_string(ws[1:x.j], ' ')
+                JOIN g AS r ON r.lang = keep.lang AND r.phrase = array_to_string(ws[x.j + 1:], ' ')),
+        low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM low)
+        SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM top WHERE rank <= 2000""",
     "op8_jaccard_join": r"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x20\x09-\x0D]+') AS ws FROM documents),
