@@ -40,7 +40,7 @@ MAX_WORDS = 5
 TOP = 2000
 MAP_BITS = 25
 LOT = 1 << 20
-HELD = 1 << 19
+HELD = 1 << 18
 STRIPS = 64
 _BLOCK = 16
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -55,8 +55,8 @@ def _lots(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
     """(language, bytes) in lots of about ``LOT``; documents are joined by a line feed, which ends a piece."""
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
-    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("body").to_pylist(), strict=True):
-        raw = text.encode().lower()
+    for i in range(batch.num_rows):
+        lang, raw = batch.column("lang")[i].as_py(), batch.column("body")[i].as_py().encode().lower()
         at = 0
         while at < len(raw):
             end = at + LOT
@@ -208,14 +208,21 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), whole_text(text_col).alias("body"))
     bits = spark.sparkContext.broadcast(frequent_pairs(texts, min_count, map_bits))
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.StringType()), T.StructField("n", T.LongType())])
-    counted = texts.mapInArrow(_windows(bits, max_words, map_bits), schema)
+    windows = written(texts.mapInArrow(_windows(bits, max_words, map_bits), schema), "windows")
+    alone = F.instr("words", " ") == 0  # padded after its first word: a count of that word and of nothing longer
     names = [f"w{i + 1}" for i in range(max_words)]
-    windows = counted.select("lang", "n", F.split("words", " ").alias("ws")).select("lang", "n", *[F.get("ws", F.lit(i)).alias(w) for i, w in enumerate(names)])
+    leads = windows.where(~alone).select("lang", "n", F.split("words", " ").alias("ws")).select(
+        "lang", "n", *[F.get("ws", F.lit(i)).alias(w) for i, w in enumerate(names)])
     rolled = spark.sql(f"SELECT lang, {', '.join(names)}, {max_words} - bit_count(grouping_id()) AS k, sum(n) AS f "
-                       f"FROM {{windows}} GROUP BY lang, ROLLUP ({', '.join(names)})", windows=windows)
-    last = F.get(F.array(*names), (F.col("k") - 1).cast("int"))
-    whole = (F.col("k") == 0) | (last.isNotNull() & (F.col("f") >= min_count))  # a padded place ends no phrase
-    return rolled.where(whole).select("lang", F.col("k").cast("int").alias("k"), F.concat_ws(" ", *names).alias("phrase"), "f")
+                       f"FROM {{leads}} GROUP BY lang, ROLLUP ({', '.join(names)})", leads=leads)
+    last = F.get(F.array(*names), (F.col("k") - 1).cast("int"))  # a padded place ends no phrase
+    rolled = rolled.where((F.col("k") == 1) | ((F.col("k") >= 2) & last.isNotNull() & (F.col("f") >= min_count)))
+    rolled = written(rolled.select("lang", F.col("k").cast("int").alias("k"), F.concat_ws(" ", *names).alias("phrase"), "f"), "rolled")
+    ones = rolled.where("k = 1").select("lang", "phrase", "f").unionByName(windows.where(alone).select("lang", F.col("words").alias("phrase"), F.col("n").alias("f")))
+    ones = ones.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+    totals = windows.groupBy("lang").agg(F.sum("n").alias("f"))
+    return rolled.where("k >= 2").unionByName(ones.withColumn("k", F.lit(1))).unionByName(
+        totals.withColumn("k", F.lit(0)).withColumn("phrase", F.lit("")))
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
