@@ -5,11 +5,13 @@ end of its piece. A phrase occurs where it is a prefix of a window, so ``GROUP B
 counted windows sums all phrases of all lengths at once, single words and the language's total included; no order is
 exploded on its own.
 
-1. *Padding at rare pairs.* A phrase is no more frequent than any pair of neighbours in it. Pairs are counted once by
-   64-bit fingerprint; the frequent ones set bits in a map of fixed size (``map_bits``, the only thing broadcast), and
-   a window is padded from the first pair on whose bit is not set. The map has no false negatives, so counts of
-   frequent phrases stay exact whatever its fill; a fuller map only pads less.
-2. *Windows.* Tasks fold equal windows (compared as words, not as fingerprints) before the shuffle.
+1. *Padding at rare grams.* A phrase is no more frequent than any pair or triple of neighbours in it. Pairs, and then
+   the triples made of frequent pairs, are counted by 64-bit fingerprint; the frequent ones set bits in a map of fixed
+   size each (``map_bits``; the maps are all that is broadcast), and a window is padded from the first pair or triple
+   on whose bit is not set. A map has no false negatives, so counts of frequent phrases stay exact whatever its fill;
+   a fuller map only pads less.
+2. *Windows.* Tasks fold equal windows (compared as words, not as fingerprints) before the shuffle. A window padded
+   after its first word counts that word and nothing longer, so those join ROLLUP's single words afterwards.
 3. *Scores.* ``floor(1000 * a * n / (l * r))`` in exact decimals for each cut; the lowest cut counts. Both parts of a
    cut are at least as frequent as the phrase, so the table of frequent phrases has them.
 4. *Nested phrases.* Each candidate offers its count to all phrases inside it; a candidate that a longer one reaches
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,7 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 MAP_BITS = 25
+PAD_ORDERS = (2, 3)
 LOT = 1 << 20
 HELD = 1 << 18
 STRIPS = 64
@@ -88,51 +92,68 @@ class Words:
         coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside].tobytes())).dictionary_encode()
         self.code, self.names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
-    def pairs(self, lang: str) -> np.ndarray:
-        """A fingerprint of each word with the next one; meaningless where no word follows."""
+    def grams(self, lang: str, order: int) -> np.ndarray:
+        """A fingerprint of each word with the ``order - 1`` next ones; meaningless where the piece ends before."""
         if not len(self.code):
             return np.zeros(0, dtype=np.uint64)
-        joined = np.frombuffer(b"".join(x.encode() for x in [lang, *self.names.to_pylist()]), dtype=np.uint8)
-        size = np.array([len(lang.encode()), *[len(x.encode()) for x in self.names.to_pylist()]])
-        h = Fingerprints(joined).of(np.cumsum(size) - size, size)
-        word = h[1:][self.code]
-        x = word * _M[0] + np.r_[word[1:], np.uint64(0)] * _M[1] + h[0]
-        x ^= x >> np.uint64(31)
-        x *= _M[0]
-        return x ^ (x >> np.uint64(29))
-
-
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of neighbours with their counts, folded over up to ``HELD`` of them."""
-    keys, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-
-    def folded() -> tuple[np.ndarray, np.ndarray]:
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        return key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
-
-    def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["pair", "n"])
-
-    for b in batches:
-        for lang, raw in _lots(b):
-            words = Words(raw)
-            key, n = np.unique(words.pairs(lang)[words.follows], return_counts=True)
-            keys.append(key)
-            counts.append(n)
-            if sum(map(len, keys)) > 4 * HELD:
-                key, n = folded()
-                if len(key) > 2 * HELD:
-                    yield rows(key, n)
-                    key, n = key[:0], n[:0]
-                keys, counts = [key], [n]
-    yield rows(*folded())
-
-
-def frequent_pairs(texts: DataFrame, min_count: int, map_bits: int) -> bytes:
-    """A map of ``1 << map_bits`` bits; set for every pair of neighbours that occurs ``min_count`` times."""
-    pairs = texts.mapInArrow(_pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    slot = F.shiftrightunsigned("pair", 64 - map_bits)
-    blocks = pairs.select(F.shiftright(slot, _BLOCK).cast("int").alias("block"), slot.bitwiseAND((1 << _BLOCK) - 1).cast("int").alias("at"))
+        offsets, data = (np.frombuffer(b, dtype=t) for b, t in zip(self.names.buffers()[1:], (np.int32, np.uint8), strict=True))
+        at = offsets[: len(self.names) + 1].astype(np.int64)
+        word = Fingerprints(data[: at[-1]]).of(at[:-1], np.diff(at))[self.code]
+        x = np.full(len(word), crc32(lang.encode()) + (order << 32), dtype=np.uint64) * _M[1]
+        for j in range(order):
+            x = (x ^ _shift(word, j)) * _M[j % 2]
+            x ^= x >> np.uint64(29)
+        return x
+
+
+def _shift(a: np.ndarray, k: int) -> np.ndarray:
+    """Each place gets the value ``k`` places on; zero beyond the end."""
+    return np.r_[a[k:], np.zeros(min(k, len(a)), dtype=a.dtype)] if k else a
+
+
+def lengths(words: Words, lang: str, maps: list[tuple[int, np.ndarray]], max_words: int, map_bits: int) -> np.ndarray:
+    """Words of the window at each place: up to the end of the piece, or to the first gram that no map has."""
+    known = {}
+    for order, mask in maps:
+        slot = (words.grams(lang, order) >> np.uint64(64 - map_bits)).astype(np.int64)
+        known[order] = ((mask[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+    on, length = np.ones(len(words.code), dtype=bool), np.ones(len(words.code), dtype=np.int64)
+    for m in range(2, max_words + 1):
+        on = on & _shift(words.follows, m - 2)
+        for order, ok in known.items():
+            if order <= m:
+                on &= _shift(ok, m - order)
+        length += on
+    return length
+
+
+def _gram_counts(order: int, maps: list, map_bits: int):
+    """Fingerprints of the grams whose shorter parts are all in the maps, with their counts, folded over lots."""
+    def rows(keys: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = [(k, np.frombuffer(m.value, dtype=np.uint8)) for k, m in maps]
+        keys: list[np.ndarray] = []
+        for b in batches:
+            for lang, raw in _lots(b):
+                words = Words(raw)
+                keys.append(words.grams(lang, order)[lengths(words, lang, masks, order, map_bits) == order])
+                if sum(map(len, keys)) > 4 * HELD:
+                    yield rows(keys)
+                    keys = []
+        if keys:
+            yield rows(keys)
+
+    return run
+
+
+def frequent_grams(texts: DataFrame, order: int, maps: list, min_count: int, map_bits: int) -> bytes:
+    """A map of ``1 << map_bits`` bits; set for every gram of so many words that occurs ``min_count`` times."""
+    grams = texts.mapInArrow(_gram_counts(order, maps, map_bits), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    slot = F.shiftrightunsigned("gram", 64 - map_bits)
+    blocks = grams.select(F.shiftright(slot, _BLOCK).cast("int").alias("block"), slot.bitwiseAND((1 << _BLOCK) - 1).cast("int").alias("at"))
     found = blocks.groupBy("block").agg(F.collect_set("at").alias("at"))  # at most 2**16 places each
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,13 +171,8 @@ def frequent_pairs(texts: DataFrame, min_count: int, map_bits: int) -> bytes:
     return whole.tobytes()
 
 
-def window_counts(words: Words, joins: np.ndarray, max_words: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Distinct windows (joined by a space) with their counts; ``joins``: whether a window may go on to the next word."""
-    length = np.ones(len(joins), dtype=np.int64)
-    on = joins
-    for j in range(1, max_words):
-        length += on
-        on = on & np.r_[joins[j:], np.zeros(min(j, len(joins)), dtype=bool)]
+def window_counts(words: Words, length: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Distinct windows (joined by a space) with their counts; ``length``: the words of each window."""
     names = words.names.to_pylist()
     n = np.bincount(words.code[length == 1], minlength=len(names))
     at = np.flatnonzero(n)
@@ -165,16 +181,16 @@ def window_counts(words: Words, joins: np.ndarray, max_words: int) -> Iterator[t
     if not len(start):
         return
     name, size = words.code[start], length[start]
-    for j in range(1, max_words):
-        lead = np.where(size > j, words.code[np.minimum(start + j, len(joins) - 1)] + 1, 0)
+    for j in range(1, int(size.max())):
+        lead = np.where(size > j, words.code[np.minimum(start + j, len(length) - 1)] + 1, 0)
         _, first, name, n = np.unique(name * (len(names) + 1) + lead, return_index=True, return_inverse=True, return_counts=True)
     code = words.code.tolist()
     yield [" ".join([names[c] for c in code[i : i + k]]) for i, k in zip(start[first].tolist(), size[first].tolist(), strict=True)], n
 
 
-def _windows(bits, max_words: int, map_bits: int):
+def _windows(maps: list, max_words: int, map_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.frombuffer(bits.value, dtype=np.uint8)
+        masks = [(k, np.frombuffer(m.value, dtype=np.uint8)) for k, m in maps]
         held: dict[str, dict[str, int]] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -185,10 +201,8 @@ def _windows(bits, max_words: int, map_bits: int):
         for b in batches:
             for lang, raw in _lots(b):
                 words = Words(raw)
-                slot = (words.pairs(lang) >> np.uint64(64 - map_bits)).astype(np.int64)
-                joins = words.follows & ((mask[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
                 mine = held.setdefault(lang, {})
-                for names, n in window_counts(words, joins, max_words):
+                for names, n in window_counts(words, lengths(words, lang, masks, max_words, map_bits)):
                     for k, v in zip(names, n.tolist(), strict=True):
                         mine[k] = mine.get(k, 0) + v
                 if sum(map(len, held.values())) > HELD:
@@ -206,9 +220,12 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
         raise ValueError("max_words from 2, map_bits from 16 to 36, min_count from 1")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), whole_text(text_col).alias("body"))
-    bits = spark.sparkContext.broadcast(frequent_pairs(texts, min_count, map_bits))
+    maps: list = []
+    for order in PAD_ORDERS:
+        if order <= max_words:
+            maps.append((order, spark.sparkContext.broadcast(frequent_grams(texts, order, maps, min_count, map_bits))))
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.StringType()), T.StructField("n", T.LongType())])
-    windows = written(texts.mapInArrow(_windows(bits, max_words, map_bits), schema), "windows")
+    windows = written(texts.mapInArrow(_windows(maps, max_words, map_bits), schema), "windows")
     alone = F.instr("words", " ") == 0  # padded after its first word: a count of that word and of nothing longer
     names = [f"w{i + 1}" for i in range(max_words)]
     leads = windows.where(~alone).select("lang", "n", F.split("words", " ").alias("ws")).select(
