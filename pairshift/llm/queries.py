@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairshift.llm.best_fit_packing import best_fit_packing
 from pairshift.llm.collocations import collocations
 from pairshift.llm.common import table
+from pairshift.llm.conversation_trie import conversation_trie
 from pairshift.llm.exact_dedup import exact_dedup
 from pairshift.llm.host_quality import host_quality
 from pairshift.llm.jaccard_join import jaccard_components
@@ -72,6 +73,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations")).drop("last_conv_id", "last_turn")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sentencepiece_fst": op2_sentencepiece_fst,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
     "op11_collocations": op11_collocations,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -137,6 +143,23 @@ ORACLE: dict[str, str] = {
         low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
         top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM low)
         SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM top WHERE rank <= 2000""",
+    "op13_conversation_trie": r"""
+        WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS e
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        s AS (SELECT c, list(e ORDER BY i) AS es FROM t GROUP BY c),
+        h AS (SELECT c, es, c - c % 20 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                lambda a, d: list_reduce(list_prepend(xor(a, d), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 4 AS h FROM s),
+        f AS (SELECT h.c, list_concat(coalesce(b.es, [])[:h.h], h.es[h.h + 1:]) AS es FROM h LEFT JOIN s AS b ON b.c = h.base),
+        m AS (SELECT c, len(es) AS n, d AS depth, es[:d] AS p, CASE WHEN d > 0 THEN es[:d - 1] END AS up, es[d] AS last FROM (SELECT *, unnest(range(0, len(es) + 1)) AS d FROM f)),
+        g AS (SELECT p, any_value(depth) AS depth, any_value(up) AS up, any_value(last) AS last, min(c) AS conv_id, count(*) AS n_convs,
+                     sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE depth = n), '')) AS ends_sha256 FROM m GROUP BY p),
+        k AS (SELECT up AS p, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY up),
+        q AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(last.t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS own
+              FROM g LEFT JOIN k USING (p)),
+        a AS (SELECT q.p, o.own, o.n_children = 0 AS leaf FROM q AS o JOIN m ON m.c = o.conv_id AND m.depth <= o.depth JOIN q ON q.p = m.p),
+        b AS (SELECT p, sum(leaf::INT)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM a GROUP BY p)
+        SELECT q.conv_id, q.depth, u.conv_id AS parent_conv_id, q.n_convs, q.n_children, n_leaves, saved_tokens, q.ends_sha256
+        FROM q JOIN b USING (p) LEFT JOIN q AS u ON q.depth > 0 AND u.p = q.up""",
     "op8_jaccard_join": r"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x20\x09-\x0D]+') AS ws FROM documents),
