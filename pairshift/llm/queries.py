@@ -15,6 +15,7 @@ from pairshift.llm.conversation_trie import conversation_trie
 from pairshift.llm.exact_dedup import exact_dedup
 from pairshift.llm.host_quality import host_quality
 from pairshift.llm.jaccard_join import jaccard_components
+from pairshift.llm.language_ppm import predicted_languages
 from pairshift.llm.license_scan import license_scan
 from pairshift.llm.pii import find_pii
 from pairshift.llm.quality_ftrl import quality_scores
@@ -73,6 +74,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op12_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted_languages(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations")).drop("last_conv_id", "last_turn")
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
     "op11_collocations": op11_collocations,
+    "op12_language_ppm": op12_language_ppm,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
