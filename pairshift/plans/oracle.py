@@ -881,3 +881,16 @@ def _():
 @oracle("metric_table_roundtrip")
 def _():
     return f"SELECT model, task, clean_score, switchmix_score, robustness_drop FROM ({_round_report(report_sql(nli_preds()))})"
+
+
+@oracle("metric_tables_layouts")
+def _():
+    names = ("model", "task", "clean_score", "switchmix_score", "clean_accuracy", "switchmix_accuracy", "robustness_drop")
+    columns = lambda have, size, pair, file: ", ".join(
+        [c if c in have else f"NULL AS {c}" for c in names] + [f"{size} AS estimated_model_size", f"{pair} AS language_pair", f"{q(file)} AS source_file"])
+    summary = columns(("model", "task", "clean_score", "switchmix_score", "robustness_drop"), "NULL", q("fr-es"), "robustness_summary_fr-es.csv")
+    cross = columns(("model", "clean_accuracy", "switchmix_accuracy", "robustness_drop"), "NULL", "language_pair", "cross_language_robustness.csv")
+    sizes = columns(("model",), "estimated_model_size", "NULL", "model_sizes.csv")
+    return f"""SELECT {summary} FROM ({_round_report(report_sql(nli_preds("es")))})
+               UNION ALL SELECT {cross} FROM ({ORACLE["cross_language"]})
+               UNION ALL SELECT {sizes} FROM ({ORACLE["model_size_lookup"]})"""

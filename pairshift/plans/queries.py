@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairshift.functions import text as tx
 from pairshift.functions.labels import parse_nli_label
@@ -666,6 +667,19 @@ def q_metric_table_roundtrip(spark, d):
     return io.read_metric_tables(spark, path).select("model", "task", "clean_score", "switchmix_score", "robustness_drop")
 
 
+@register("metric_tables_layouts")
+def q_metric_tables_layouts(spark, d):
+    """IO8/IO10/IO11: three CSV tables of different layouts (a summary with its pair in the name, a table with its own
+    ``language_pair``, model sizes) read by one pattern, with all their columns."""
+    folder = shared_path(spark, "tables")
+    summary = rounded(scoring.robustness_report(nli_preds(spark, d, "es")))
+    io.write_metric_table(summary.select("robustness_drop", "task", "model", "clean_score", "switchmix_score"), f"{folder}/robustness_summary_fr-es.csv")
+    io.write_metric_table(rounded(_cross(spark, d)), f"{folder}/cross_language_robustness.csv")
+    io.write_metric_table(reports.model_size_lookup(nli_preds(spark, d)), f"{folder}/model_sizes.csv")
+    tables = io.read_metric_tables(spark, f"{folder}/*.csv")
+    return io.promote_columns(tables, T.StructType([T.StructField("estimated_model_size", T.LongType())])).drop("extra")
+
+
 @register("eval_prompt")
 def q_eval_prompt(spark, d):
     """The evaluator's text, ``prompt`` else ``input``; a keyed ~third of the

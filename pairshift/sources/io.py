@@ -167,38 +167,90 @@ METRIC_SCHEMA = T.StructType(
     + [T.StructField(n, T.DoubleType()) for n in ("clean_score", "switchmix_score", "clean_accuracy", "switchmix_accuracy", "robustness_drop")])
 
 
+#: One CSV field after its comma (the line gets one in front): quoted (a doubled quote inside stands for one), or plain up to the next comma.
+_FIELD = r',("[^"]*+(?:""[^"]*+)*+"[^,]*|[^,]*)'
+
+
+def _fields(line: Column) -> Column:
+    """The fields of one CSV line, unquoted; an empty one is null."""
+    def plain(x: Column) -> Column:
+        quoted = F.replace(F.regexp_extract(x, r'(?s)^"(.*)"[^"]*$', 1), F.lit('""'), F.lit('"'))
+        return F.nullif(F.when(x.startswith('"'), quoted).otherwise(x), F.lit(""))
+
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), 1), plain)
+
+
+def _names(header: Column) -> Column:
+    """Column names of a header line; a repeated name gets ``.1``, ``.2``, ... and an empty one its place."""
+    given = F.transform(_fields(header), lambda x, i: F.coalesce(x, F.concat(F.lit("Unnamed: "), i.cast("string"))))
+
+    def distinct(items: Column) -> Column:
+        def name(x: Column, i: Column) -> Column:
+            before = F.size(F.filter(F.slice(items, F.lit(1), i), lambda y: y == x))
+            return F.when(before == 0, x).otherwise(F.concat(x, F.lit("."), before.cast("string")))
+
+        return F.transform(items, name)
+
+    return F.element_at(F.transform(F.array(given), distinct), 1)
+
+
+def _table_name(path: Column) -> Column:
+    """The file's name, or its folder's for the part files of one written table."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.url_decode(F.when(name.startswith("part-"), F.element_at(F.split(path, "/"), -2)).otherwise(name))
+
+
+def metric_cells(spark: SparkSession, pattern: str | Sequence[str]) -> DataFrame:
+    """``source_file`` and ``cells``: every data row of the CSV files as a map from its file's column names to texts.
+
+    The header is data: the first line of a file that is not blank (looked for in the file's first split) is one row
+    of a narrow table, which meets the file's other lines on the path. So one scan, whose plan depends neither on the
+    number of files nor on their layouts, reads tables of any layout; no job runs while it is built. A short row lacks
+    its last columns; a row with more fields than its header is an error, as is a line that splits a quoted field.
+    """
+    paths = [pattern] if isinstance(pattern, str) else list(pattern)
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), "value")
+    lines = lines.where(F.trim("value") != "")
+    first = lines.where("split = 0").groupBy("file").agg(F.min(F.struct("row", "value")).alias("first"))
+    headers = first.select(F.col("file").alias("of_file"), F.col("first.row").alias("header_row"), _names(F.col("first.value")).alias("names"))
+    rows = lines.join(headers, F.col("file") == F.col("of_file")).where("row <> header_row").select("file", "names", _fields(F.col("value")).alias("fields"))
+    size, width = F.size("fields"), F.size("names")
+    message = F.concat(F.lit("more fields than its header names: "), F.col("file"))
+    padded = F.when(size > width, F.raise_error(message).cast("array<string>")).otherwise(
+        F.concat("fields", F.array_repeat(F.lit(None).cast("string"), width - size)))
+    return rows.select(_table_name(F.col("file")).alias("source_file"), F.map_from_arrays("names", padded).alias("cells"))
+
+
 def read_metric_tables(spark: SparkSession, pattern: str | Sequence[str], schema: T.StructType = METRIC_SCHEMA) -> DataFrame:
-    """IO8/IO10/IO11: read CSV metric tables (header row) matching a glob, adding ``language_pair`` from each file
-    name and ``source_file``.
+    """IO8/IO10/IO11: the rows of all CSV files (header row) that match, whatever their layouts.
 
-    Nothing is inferred: every column is read as text by its header, in whatever order a file has them, and cast to
-    the type that ``schema`` gives its name; columns that the schema does not name stay text, and those that no file
-    has are left out. Files are grouped by their header line (one job reads these), since one CSV scan takes all its
-    files by position; a column that a file lacks is null in its rows.
+    Columns: those of ``schema``, read by name and cast (a column that a file lacks is null in its rows); ``extra``,
+    a map of the file's other columns as text (``promote_columns`` makes columns of it); ``source_file``, the file or,
+    for part files, their folder; and ``language_pair``: the file's own column where it has one, else the pair in the
+    name of a ``robustness_summary*`` file, else null. Nothing is inferred and no job runs while this is built.
     """
-    ps = [pattern] if isinstance(pattern, str) else list(pattern)
-    types = {f.name: f.dataType for f in schema.fields}
-    tables = []
-    for names, files in _headers(spark, ps):
-        df = spark.read.option("header", True).schema(T.StructType([T.StructField(c, S) for c in names])).csv(ps)
-        df = df.where(F.col("_metadata.file_path").isin(files))
-        cols = {c: F.col(f"`{c.replace('`', '``')}`").cast(types.get(c, S)).alias(c) for c in names if c not in ("source_file", "language_pair")}
-        tables.append(df.select(*cols.values(), F.col("_metadata.file_name").alias("source_file"),
-                                language_pair_from_path(F.col("_metadata.file_name")).alias("language_pair")))
-    if not tables:
-        return spark.createDataFrame([], "source_file string, language_pair string")
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-    return out.select(*[f"`{c.replace('`', '``')}`" for c in out.columns if c not in ("source_file", "language_pair")], "source_file", "language_pair")
-
-
-def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], list[str]]]:
-    """(column names, files) of every distinct header line, the first line of a file that is not blank."""
-    lines = spark.read.text(paths).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), "value")
-    groups: dict[str, list[str]] = {}
-    for r in lines.groupBy("file").agg(F.min_by("value", "row").alias("value")).orderBy("file").collect():
-        groups.setdefault(r["value"], []).append(r["file"])
-    return [(spark.read.option("header", True).csv(spark.sparkContext.parallelize([line], 1)).columns, files) for line, files in groups.items()]
+    cells = metric_cells(spark, pattern)
+    own = [f.name for f in schema.fields if f.name not in ("source_file", "language_pair", "extra")]
+    named = F.when(F.col("source_file").startswith("robustness_summary"), language_pair_from_path(F.col("source_file")))
+    known = F.array(*[F.lit(n) for n in [*own, "language_pair"]])
+    return cells.select(
+        *[F.col("cells")[n].cast(schema[n].dataType).alias(n) for n in own],
+        F.map_filter("cells", lambda k, _: ~F.array_contains(known, k)).alias("extra"), "source_file",
+        F.when(F.map_contains_key("cells", "language_pair"), F.col("cells")["language_pair"]).otherwise(named).alias("language_pair"))
+
+
+def promote_columns(tables: DataFrame, columns: T.StructType) -> DataFrame:
+    """Columns (names and types given) out of ``extra``, which keeps the others: a concatenation that keeps all columns."""
+    names = F.array(*[F.lit(f.name) for f in columns.fields])
+    rest = F.map_filter("extra", lambda k, _: ~F.array_contains(names, k))
+    old = [F.col(f"`{c.replace('`', '``')}`") if c != "extra" else rest.alias("extra") for c in tables.columns]
+    return tables.select(*[F.col("extra")[f.name].cast(f.dataType).alias(f.name) for f in columns.fields], *old)
+
+
+def extra_names(tables: DataFrame) -> DataFrame:
+    """``name``, ``n_rows``: what ``extra`` holds, to choose from for ``promote_columns``."""
+    return tables.select(F.explode(F.map_keys("extra")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def write_metric_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
@@ -207,7 +259,7 @@ def write_metric_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "
     if fmt == "parquet":
         w.parquet(path)
     else:
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)
 
 
 def write_dataset(examples: DataFrame, out_dir: str, clean_lang: str = "fr", insert_lang: str = "en",

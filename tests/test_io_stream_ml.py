@@ -4,7 +4,9 @@ import os
 import tempfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairshift.operators import build, ml
 from pairshift.operators import tokens as tk
@@ -121,7 +123,7 @@ def test_metric_tables_language_pair(spark):
             f.write(f"model,clean_score,switchmix_score,robustness_drop\nm,0.5,0.4,{drop}\n")
     df = io.read_metric_tables(spark, os.path.join(d, "*.csv"))
     got = {r.language_pair: r.robustness_drop for r in df.collect()}
-    assert got == {"fr-en": 0.1, "fr-es": 0.2, "other": 0.3}
+    assert got == {"fr-en": 0.1, "fr-es": 0.2, None: 0.3}  # the rule is for the summaries' names only
 
 
 def test_metric_tables_of_different_layouts_are_read_by_name(spark):
@@ -132,13 +134,60 @@ def test_metric_tables_of_different_layouts_are_read_by_name(spark):
     for name, text in files.items():
         with open(os.path.join(d, name), "w") as f:
             f.write(text)
-    df = io.read_metric_tables(spark, os.path.join(d, "*.csv"))
+    df = io.promote_columns(io.read_metric_tables(spark, os.path.join(d, "*.csv")), T.StructType([T.StructField("note.text", T.StringType())]))
     assert df.schema["robustness_drop"].dataType.typeName() == "double" and df.schema["note.text"].dataType.typeName() == "string"
     got = sorted((r["language_pair"], r["model"], r["task"], r["clean_score"], r["switchmix_score"], r["robustness_drop"], r["note.text"]) for r in df.collect())
     assert got == [("fr-de", "p", None, None, None, 0.4, "a, b"), ("fr-en", "m", None, 0.5, 0.4, 0.1, None), ("fr-es", "n", "nli", 0.7, 0.5, 0.2, None),
                    ("fr-es", "o", "qa", 0.9, 0.6, 0.3, None)]
 
 
+def _files(d, files):
+    for name, text in files.items():
+        with open(os.path.join(d, name), "w", newline="") as f:
+            f.write(text)
+
+
+def test_metric_tables_keep_their_own_language_pair_and_columns(spark):
+    d = _tmp()
+    _files(d, {"cross_language_robustness.csv": "language_pair,model,clean_accuracy\r\nfr-de,m,0.5\r\n,n,0.25\r\n",
+               "robustness_summary_fr-es.csv": "model,source_file,x,x\no,mine,1,2\n"})
+    df = io.read_metric_tables(spark, os.path.join(d, "*.csv"))
+    got = {r["model"]: (r["language_pair"], r["clean_accuracy"], r["source_file"], r["extra"]) for r in df.collect()}
+    assert got == {"m": ("fr-de", 0.5, "cross_language_robustness.csv", {}), "n": (None, 0.25, "cross_language_robustness.csv", {}),
+                   "o": ("fr-es", None, "robustness_summary_fr-es.csv", {"source_file": "mine", "x": "1", "x.1": "2"})}
+    assert sorted((r["name"], r["n_rows"]) for r in io.extra_names(df).collect()) == [("source_file", 1), ("x", 1), ("x.1", 1)]
+
+
+def test_metric_tables_quotes_short_and_long_rows(spark):
+    d = _tmp()
+    _files(d, {"a.csv": 'model,note,task\n"a ""q"" b","x,y",""\nb\n"",z"z,t\n' + f'c,"{"w" * 50_000}, ""v""",t\n'})
+    got = sorted(((r["model"], r["extra"].get("note"), r["task"]) for r in io.read_metric_tables(spark, d).collect()), key=str)
+    assert got == sorted([('a "q" b', "x,y", None), ("b", None, None), (None, 'z"z', "t"), ("c", "w" * 50_000 + ', "v"', "t")], key=str)
+    _files(d, {"b.csv": "model\na,b\n"})
+    with pytest.raises(Exception, match="more fields than its header names"):
+        io.read_metric_tables(spark, d).collect()
+
+
+def test_metric_table_texts_round_trip(spark):
+    d = os.path.join(_tmp(), "robustness_summary_fr-es.csv")
+    rows = [('say "hi", then', "a\\b", 0.5), ("é,", None, None)]
+    io.write_metric_table(spark.createDataFrame(rows, "model string, task string, robustness_drop double"), d)
+    got = io.read_metric_tables(spark, d).select("model", "task", "robustness_drop", "language_pair", "source_file").collect()
+    assert sorted(map(tuple, got)) == sorted((*r, "fr-es", "robustness_summary_fr-es.csv") for r in rows)
+
+
+def test_metric_tables_plan_does_not_grow_with_files(spark):
+    """400 files of 20 layouts: the same plan as for one, and no job before the result is asked for."""
+    d, one = _tmp(), _tmp()
+    _files(d, {f"t{i:03d}.csv": f"model,c{i % 20},robustness_drop\nm{i},{i},0.5\n" for i in range(400)})
+    _files(one, {"t.csv": "model,robustness_drop\nm,0.5\n"})
+    many, single = io.read_metric_tables(spark, os.path.join(d, "*.csv")), io.read_metric_tables(spark, one)
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert size(many) == size(single) == 2
+    rows = many.collect()
+    assert len(rows) == 400 and all(r["extra"] == {f"c{int(r['model'][1:]) % 20}": r["model"][1:]} for r in rows)
+
+
 def test_streaming_build_equals_batch(spark):
     d = _tmp()
     src, out = os.path.join(d, "src"), os.path.join(d, "out")
