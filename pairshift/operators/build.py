@@ -23,6 +23,7 @@ from pairshift.functions.perturb import (
     with_perturbation,
 )
 from pairshift.operators.index import with_dense_index
+from pairshift.operators.select import nth_smallest
 
 # FIXED VALUES: integer NLI labels of the parallel corpora; unknown ids become "neutral".
 NLI_LABEL_NAMES = {0: "entailment", 1: "neutral", 2: "contradiction"}
@@ -84,13 +85,17 @@ SAMPLE_STRIPS = 64
 def sample_n(df: DataFrame, n: int, key_col: str, seed=42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement, in random order.
 
-    The order is a keyed draw (ties broken by the key, which must be unique),
-    so the sample does not depend on partitioning. The top-n runs on narrow
-    ``(key, draw)`` rows (TakeOrderedAndProject: each task keeps at most ``n``
-    of them) and the chosen keys are joined back to the full rows.
+    The order is a keyed draw (ties broken by the key, which must be unique), so the sample does not depend on
+    partitioning. The n-th smallest draw is found by distributed selection (``select.nth_smallest``), then one filter
+    keeps the rows up to it: no task gathers n rows, and the wide rows move only for the final sort.
     """
-    picked = df.select(key_col, u01(seed, "sample", F.col(key_col)).alias("_draw")).orderBy("_draw", key_col).limit(n)
-    return df.join(picked, on=key_col).orderBy("_draw", key_col).drop("_draw")
+    if n <= 0:
+        return df.where(F.lit(False))
+    draw = u01(seed, "sample", F.col(key_col))
+    last = nth_smallest(df, draw, key_col, n)
+    drawn = df.withColumn("_draw", draw)
+    chosen = drawn.where(F.coalesce(F.struct(F.col("_draw").alias("draw"), F.col(key_col).alias("key")) <= last, F.lit(True)))
+    return chosen.orderBy("_draw", key_col).drop("_draw")
 
 
 def sample_per_split(df: DataFrame, quotas: Mapping[str, int], key_col: str, split_col: str = "split", seed=42) -> DataFrame:

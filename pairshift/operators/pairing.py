@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairshift.functions import text as tx
+from pairshift.operators.select import may_contain
 
 PERTURBED_VARIANTS = ("perturbed", "switchmix")
 
@@ -105,17 +106,15 @@ def pair_rows(
         last_perturbed(F.col("_row"), variant, F.col("_ord")).alias("perturbed"),
     ]
     if limited:
-        aggs.append(F.min("_first").alias("_first_seen"))
+        # First N keys per dataset in first-seen order, from narrow rows (literal bound -> WindowGroupLimit before the
+        # exchange). Their bitmap drops the other pairs' rows before the texts are shuffled; the semi-join makes it exact.
+        w = Window.partitionBy("dataset").orderBy(F.col("_first_seen"), F.col("pair_id"))
+        seen = base.groupBy("dataset", "pair_id").agg(F.min("_first").alias("_first_seen"))
+        chosen = seen.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(max_pairs)).select("dataset", "pair_id")
+        base = base.where(may_contain(chosen, ["dataset", "pair_id"], max_pairs))
     pairs = base.groupBy("dataset", "pair_id").agg(*aggs)
     if limited:
-        # First N keys per dataset in first-seen order. Only the narrow projection
-        # is ranked (literal bound -> WindowGroupLimit before the exchange); the
-        # chosen keys are semi-joined back to the pairs, whose shuffle is shared.
-        w = Window.partitionBy("dataset").orderBy(F.col("_first_seen"), F.col("pair_id"))
-        keep = (pairs.select("dataset", "pair_id", "_first_seen")
-                .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(max_pairs))
-                .select("dataset", "pair_id"))
-        pairs = pairs.join(keep, on=["dataset", "pair_id"], how="left_semi").drop("_first_seen")
+        pairs = pairs.join(chosen, on=["dataset", "pair_id"], how="left_semi")
     if drop_incomplete:
         pairs = pairs.where(F.col("clean").isNotNull() & F.col("perturbed").isNotNull())
     out = pairs.withColumns({

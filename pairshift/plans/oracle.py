@@ -157,6 +157,14 @@ def _():
                FROM ({S.nli_corpus('fr')}) b JOIN ({S.nli_corpus('en')}) i ON b.idx = i.idx"""
 
 
+@oracle("parallel_zip_file_order")
+def _():
+    return """WITH b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id, text FROM documents),
+                   i AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx, conv_id, turn, text FROM conversations)
+              SELECT idx, doc_id AS b_doc_id, conv_id AS i_conv_id, turn AS i_turn, CAST(length(b.text) AS BIGINT) AS base_chars,
+                     CAST(length(i.text) AS BIGINT) AS insert_chars FROM b JOIN i USING (idx)"""
+
+
 @oracle("label_map")
 def _():
     return f"SELECT pair_id, label FROM ({S.nli_pairs()})"
@@ -167,6 +175,11 @@ def _():
     return f"SELECT doc_id FROM documents WHERE lang = 'fr' ORDER BY {U(SEED, q('sample'), 'doc_id')}, doc_id LIMIT 100"
 
 
+@oracle("sample_half")
+def _():
+    return f"SELECT doc_id, lang, n_chars FROM documents ORDER BY {U(SEED, q('sample'), 'doc_id')}, doc_id LIMIT 500"
+
+
 @oracle("sample_per_split")
 def _():
     return f"""SELECT pair_id, split FROM (

@@ -115,6 +115,15 @@ def q_parallel_zip(spark, d):
     return z.select(F.col("idx").cast("long").alias("idx"), F.col("b_id").alias("base_id"), F.col("i_id").alias("insert_id"), "split")
 
 
+@register("parallel_zip_file_order")
+def q_parallel_zip_file_order(spark, d):
+    """Two corpora zipped in file order, whatever their keys: documents with conversation turns."""
+    base = io.read_in_file_order(spark, f"{d}/documents.parquet").select("idx", "doc_id", "text")
+    insert = io.read_in_file_order(spark, f"{d}/conversations.parquet").select("idx", "conv_id", "turn", "text")
+    z = build.parallel_zip(base, insert, on=("idx",))
+    return z.select("idx", "b_doc_id", "i_conv_id", "i_turn", F.length("b_text").cast("long").alias("base_chars"), F.length("i_text").cast("long").alias("insert_chars"))
+
+
 @register("label_map")
 def q_label_map(spark, d):
     """Pair ids and label names (integer 3 falls back to neutral)."""
@@ -128,6 +137,13 @@ def q_sample_n(spark, d):
     return build.sample_n(fr, 100, "doc_id", seed=SEED)
 
 
+@register("sample_half")
+def q_sample_half(spark, d):
+    """G13/G18 with a large n: half of what sf0.01 has, whole rows; the sample's place in the order is the draw."""
+    docs = tb.read_table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    return build.sample_n(docs, 500, "doc_id", seed=SEED)
+
+
 @register("sample_per_split")
 def q_sample_per_split(spark, d):
     """Per-split quotas (train 60, test 15) over the fr-en pairs."""

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +117,24 @@ def _scan(spark: SparkSession, fmt: str, paths: list[str], schema: T.StructType)
     return (r.option("multiLine", True) if fmt == "json" else r).json(paths)
 
 
+def read_in_file_order(spark: SparkSession, paths: str | Sequence[str], out: str = "idx") -> DataFrame:
+    """The rows of Parquet files with ``out``, their 0-based position: files by path, rows by their place in the file.
+
+    A row's place is in the file's metadata, so nothing is sorted and rows do not move: a position is the file's first
+    one plus the place. First positions come from the files' row counts (read from the footers); that table has one
+    row per file, of which the driver lists all for the scan anyway, and is the only thing broadcast.
+    """
+    names = [paths] if isinstance(paths, str) else list(paths)
+    df = spark.read.parquet(*names)
+    file, at, start = F.col("_metadata.file_path"), F.col("_metadata.row_index"), f"{out}_start"
+    sizes = spark.read.parquet(*names).select(file.alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("file").alias(f"{out}_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    tagged = df.select("*", file.alias(f"{out}_file"), at.alias(f"{out}_row"))
+    placed = tagged.join(F.broadcast(starts), F.col(f"{out}_file") == F.col(f"{out}_of"))
+    return placed.select(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns], (F.col(start) + F.col(f"{out}_row")).alias(out))
+
+
 def canonical_examples(df: DataFrame) -> DataFrame:
     """Map file field names onto the engine schema (``perturbation.a/b``, ``pair_id``)."""
     pert = "metadata.perturbation"

@@ -45,9 +45,64 @@ def test_token_histogram_aggregates_before_the_shuffle(spark):
     assert "Generate" in s
 
 
-def test_sample_n_is_a_top_n(spark):
-    docs = tb.read_table(spark, SF, "documents").select("doc_id")
-    assert "TakeOrderedAndProject" in _plan(build.sample_n(docs, 10, "doc_id"))
+def test_sample_n_gathers_no_n_rows(spark, monkeypatch):
+    """Equal to a sort by draw for any n, with few rows a place and with many; one range exchange moves whole rows."""
+    from pairshift.functions.draws import u01
+    from pairshift.operators import select
+
+    docs = spark.range(3000).selectExpr("id AS k", "id % 7 AS v").repartition(7)
+    want = [tuple(r) for r in docs.withColumn("d", u01(42, "sample", F.col("k"))).orderBy("d", "k").drop("d").collect()]
+    for bits, levels, sizes in ((12, 2, (-1, 0, 1, 1234, 2999, 3000, 5000)), (2, 1, (1, 700, 3000)), (1, 3, (5, 1500))):
+        monkeypatch.setattr(select, "LEVEL_BITS", bits)
+        monkeypatch.setattr(select, "LEVELS", levels)
+        for n in sizes:
+            assert [tuple(r) for r in build.sample_n(docs, n, "k").collect()] == want[: max(n, 0)], (bits, n)
+    plan = _plan(build.sample_n(docs, 2000, "k"))
+    assert "TakeOrderedAndProject" not in plan and "Join" not in plan and "CollectLimit" not in plan
+    assert build.sample_n(docs.where("k < 0"), 5, "k").count() == 0
+
+
+def test_bitmap_of_keys_never_drops_a_key(spark):
+    from pairshift.operators.select import may_contain
+
+    rows = spark.range(20_000).selectExpr("id % 500 AS a", "cast(id AS string) AS b")
+    keys = rows.where("a < 5")
+    kept = rows.where(may_contain(keys, ["a", "b"], 200))
+    assert kept.where("a < 5").count() == 200 and kept.count() < 2500
+    assert rows.where(may_contain(keys.where("a < 0"), ["a"], 0)).count() == 0
+    assert rows.where(may_contain(rows, ["b"], 1)).count() == 20_000  # far more keys than expected: all pass
+
+
+def test_max_pairs_drops_the_other_texts_before_the_shuffle(spark):
+    """The bitmap stands below the pairing exchange; rows that reach it are those of the chosen pairs and few others."""
+    ex = tb.nli_examples(spark, SF).withColumn("dataset", F.col("split"))
+    full = pairing.pair_rows(ex, dataset_col="dataset")
+    some = pairing.pair_rows(ex, dataset_col="dataset", max_pairs=2)
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan and plan.index("max_by") < plan.index("getbit")
+    chosen = {(r["dataset"], r["pair_id"]) for r in some.collect()}
+    first = {}
+    for r in sorted(ex.select("dataset", "pair_id", "id").collect(), key=lambda r: r["id"]):
+        if r["pair_id"] not in (ids := first.setdefault(r["dataset"], [])):
+            ids.append(r["pair_id"])
+    assert chosen == {(k, p) for k, ids in first.items() for p in ids[:2]}
+    by = {(r["dataset"], r["pair_id"]): r for r in full.collect()}
+    assert all(by[r["dataset"], r["pair_id"]] == r for r in some.collect())
+
+
+def test_file_order_over_many_files(spark):
+    import tempfile
+
+    from pairshift.sources.io import read_in_file_order
+
+    d = tempfile.mkdtemp(prefix="pairshift-test-") + "/t"
+    spark.range(0, 1000, 1, 7).selectExpr("id AS k", "id * 3 AS idx_start", "'x' AS `odd.name`").write.parquet(d)
+    df = read_in_file_order(spark, d, out="place")
+    got = df.collect()
+    assert [(r["k"], r["idx_start"]) for r in sorted(got, key=lambda r: r["place"])] == [(i, 3 * i) for i in range(1000)]
+    assert sorted(r["place"] for r in got) == list(range(1000)) and df.columns == ["k", "idx_start", "odd.name", "place"]
+    plan = _plan(build.parallel_zip(df.select("place", "k"), df.select("place", "k"), on=("place",)))
+    assert "BroadcastHashJoin" in plan and "row_index" in plan
 
 
 WS_CHARS = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", " ",
