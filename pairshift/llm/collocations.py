@@ -115,8 +115,7 @@ def lengths(words: Words, lang: str, maps: list[tuple[int, np.ndarray]], max_wor
     """Words of the window at each place: up to the end of the piece, or to the first gram that no map has."""
     known = {}
     for order, mask in maps:
-        slot = (words.grams(lang, order) >> np.uint64(64 - map_bits)).astype(np.int64)
-        known[order] = ((mask[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+        known[order] = in_map(mask, words.grams(lang, order), map_bits)
     on, length = np.ones(len(words.code), dtype=bool), np.ones(len(words.code), dtype=np.int64)
     for m in range(2, max_words + 1):
         on = on & _shift(words.follows, m - 2)
@@ -149,11 +148,10 @@ def _gram_counts(order: int, maps: list, map_bits: int):
     return run
 
 
-def frequent_grams(texts: DataFrame, order: int, maps: list, min_count: int, map_bits: int) -> bytes:
-    """A map of ``1 << map_bits`` bits; set for every gram of so many words that occurs ``min_count`` times."""
-    grams = texts.mapInArrow(_gram_counts(order, maps, map_bits), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    slot = F.shiftrightunsigned("gram", 64 - map_bits)
-    blocks = grams.select(F.shiftright(slot, _BLOCK).cast("int").alias("block"), slot.bitwiseAND((1 << _BLOCK) - 1).cast("int").alias("at"))
+def key_map(keys: DataFrame, map_bits: int) -> bytes:
+    """A map of ``1 << map_bits`` bits, set by the upper bits of the 64-bit fingerprints in column ``key``."""
+    slot = F.shiftrightunsigned("key", 64 - map_bits)
+    blocks = keys.select(F.shiftright(slot, _BLOCK).cast("int").alias("block"), slot.bitwiseAND((1 << _BLOCK) - 1).cast("int").alias("at"))
     found = blocks.groupBy("block").agg(F.collect_set("at").alias("at"))  # at most 2**16 places each
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +169,17 @@ def frequent_grams(texts: DataFrame, order: int, maps: list, min_count: int, map
     return whole.tobytes()
 
 
+def in_map(mask: np.ndarray, keys: np.ndarray, map_bits: int) -> np.ndarray:
+    slot = (keys >> np.uint64(64 - map_bits)).astype(np.int64)
+    return ((mask[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def frequent_grams(texts: DataFrame, order: int, maps: list, min_count: int, map_bits: int) -> bytes:
+    """The map of all grams of so many words that occur ``min_count`` times."""
+    grams = texts.mapInArrow(_gram_counts(order, maps, map_bits), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return key_map(grams.where(F.col("n") >= min_count).select(F.col("gram").alias("key")), map_bits)
+
+
 def window_counts(words: Words, length: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
     """Distinct windows (joined by a space) with their counts; ``length``: the words of each window."""
     names = words.names.to_pylist()
