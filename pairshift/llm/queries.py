@@ -20,7 +20,7 @@ from pairshift.llm.license_scan import license_scan
 from pairshift.llm.pii import find_pii
 from pairshift.llm.quality_ftrl import quality_scores
 from pairshift.llm.sentencepiece_fst import encoded
-from pairshift.llm.shared_passages import shared_windows
+from pairshift.llm.shared_passages import shared_anchors
 from pairshift.llm.suffix_dedup import suffix_dedup
 from pairshift.llm.url_filter import url_verdicts
 
@@ -35,7 +35,7 @@ def op2_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return suffix_dedup(docs, shared=shared_windows(docs)).withColumnRenamed("id", "doc_id")
+    return suffix_dedup(docs, shared=shared_anchors(docs)).withColumnRenamed("id", "doc_id")
 
 
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -351,25 +351,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  gram: int = GRAM, with_bytes: bool = False, shared: DataFrame | None = None) -> DataFrame:
     """Per row: ``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``with_bytes`` also ``spans`` and ``kept``.
 
-    ``shared`` (``id``, ``text_key``, ``n_shared_windows``, from ``shared_passages``) adds ``n_shared_windows``: passages that
-    other documents hold as well, also where they are too short in bytes to be removed.
+    ``shared`` (``id``, ``text_key``, ``n_shared``, from ``shared_passages``) adds ``n_shared``: anchors of passages that other
+    documents hold as well, also where they are too short in bytes to be removed.
     """
     if not gram + window <= length + 1:
         raise ValueError("window and gram must fit into the length")
     ranges = repeated_ranges(docs, id_col, text_col, length, window, gram).select(
-        "id", "text_key", (F.shiftleft("lo", 21) + F.col("hi") - F.col("lo")).alias("start"), F.lit(0).cast("long").alias("windows"))
+        "id", "text_key", (F.shiftleft("lo", 21) + F.col("hi") - F.col("lo")).alias("start"), F.lit(0).cast("long").alias("n_shared"))
     if shared is not None:
-        ranges = ranges.unionByName(shared.select("id", "text_key", F.lit(None).cast("long").alias("start"), F.col("n_shared_windows").alias("windows")))
-    spans = ranges.groupBy("id", "text_key").agg(F.collect_set("start").alias("starts"), F.max("windows").alias("windows"))
+        ranges = ranges.unionByName(shared.select("id", "text_key", F.lit(None).cast("long").alias("start"), F.col("n_shared").alias("n_shared")))
+    spans = ranges.groupBy("id", "text_key").agg(F.collect_set("start").alias("starts"), F.max("n_shared").alias("n_shared"))
     texts = _texts(docs, id_col, text_col).join(
-        spans.select(F.col("id").alias("of"), F.col("text_key").alias("of_key"), "starts", "windows"),
+        spans.select(F.col("id").alias("of"), F.col("text_key").alias("of_key"), "starts", "n_shared"),
         F.col("id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")), "left").select(
-            "id", "body", "starts", F.coalesce("windows", F.lit(0)).alias("n_shared_windows"))
+            "id", "body", "starts", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")],
                         T.StructField("kept_sha256", T.StringType())])
     with_shared = shared is not None
     if with_shared:
-        out = out.add("n_shared_windows", "long")
+        out = out.add("n_shared", "long")
     if with_bytes:
         span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
         out = out.add("spans", T.ArrayType(span)).add("kept", "binary")
@@ -386,7 +386,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     rows.append((len(raw), len(raw) - len(kept), len(gone), sha256(kept).hexdigest(), [{"start": a, "end": z} for a, z in gone], kept))
                 columns = [pa.array([r[i] for r in rows], type=t) for i, t in enumerate([pa.int64()] * 3 + [pa.string()])]
                 if with_shared:
-                    columns.append(b.column("n_shared_windows"))
+                    columns.append(b.column("n_shared"))
                 if with_bytes:
                     columns += [pa.array([r[4] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([r[5] for r in rows], pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column("id"), *columns], names=out.names)

@@ -93,6 +93,6 @@ def test_empty_table(spark):
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = sorted(duckdb.sql(f"SELECT doc_id, text FROM read_parquet('{sf}/documents.parquet')").fetchall())
-    got = sorted(tuple(r) for r in QUERIES["op3_suffix_dedup"](spark, sf).drop("n_shared_windows").collect())
+    got = sorted(tuple(r) for r in QUERIES["op3_suffix_dedup"](spark, sf).drop("n_shared").collect())
     want = [(i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows], 400))]
     assert got == want and sum(w[2] for w in want) > 0
