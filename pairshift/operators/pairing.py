@@ -70,6 +70,7 @@ def pair_rows(
     max_pairs: int | None = None,
     drop_incomplete: bool = True,
     legacy_suffix: bool = False,
+    keyed: bool = False,
 ) -> DataFrame:
     """One row per ``(dataset, pair_id)`` with ``clean`` and ``perturbed`` structs.
 
@@ -79,6 +80,8 @@ def pair_rows(
     * ``max_pairs`` keeps the first N pair keys per dataset in first-seen order
       (smallest ``order_col``), *before* incomplete pairs are dropped;
     * ``task``/``split`` come from the clean row, then the perturbed row, then ``""``;
+    * ``keyed``: ``pair_id`` holds the pair key already (a stored pair table, ``io.write_pair_table``), so rows that are
+      bucketed by it are grouped where they are;
     * ``text`` of each side is ``input``, else ``prompt``, else ``""`` (T13).
     """
     df = _ensure(df, ["pair_id", "id", "variant", *keep])
@@ -92,7 +95,7 @@ def pair_rows(
     row = F.struct(*payload)
     base = df.select(
         ds.alias("dataset"),
-        pair_key(legacy_suffix=legacy_suffix).alias("pair_id"),
+        F.col("pair_id") if keyed else pair_key(legacy_suffix=legacy_suffix).alias("pair_id"),
         F.col("variant").cast("string").alias("_variant"),
         row_order(df, order_col, row).alias("_ord"),
         row_order(df, order_col, row, nulls_first=False).alias("_first"),

@@ -155,10 +155,11 @@ def js_divergence_of_examples(
     max_pairs: int | None = None,
     order_col: str | None = None,
     materialize_pairs: bool = False,
+    keyed: bool = False,
 ) -> DataFrame:
     """A9 end to end. The histogram and the group list share the pairing shuffle; with ``materialize_pairs`` the
     tokenized pairs are written once instead (the caller then removes them with ``session.cleanup_materialized``)."""
-    pairs = pair_rows(examples, order_col=order_col, dataset_col=dataset_col, max_pairs=max_pairs)
+    pairs = pair_rows(examples, order_col=order_col, dataset_col=dataset_col, max_pairs=max_pairs, keyed=keyed)
     tt = _token_table(pairs, tokenizer).select(*GROUP, "ct", "pt")
     if materialize_pairs:
         tt = materialize(tt, "tokens")
@@ -174,14 +175,16 @@ def tokenizer_stats(
     max_pairs: int | None = None,
     order_col: str | None = None,
     materialize_pairs: bool = False,
+    keyed: bool = False,
 ) -> DataFrame:
     """Per (dataset, task, split): pair count, eight means and the JS divergence.
 
     Both branches, the per-pair means and the token histogram, read the same pairing shuffle (the planner reuses the
     exchange), and nothing is written. With ``materialize_pairs`` the tokenized pairs (no raw text) are written once
-    under the checkpoint folder, which saves tokenizing twice; ``session.cleanup_materialized`` removes them.
+    under the checkpoint folder, which saves tokenizing twice; ``session.cleanup_materialized`` removes them. ``keyed``:
+    the examples are a stored pair table (``io.write_pair_table``) and are paired without a shuffle.
     """
-    pairs = pair_rows(examples, order_col=order_col, dataset_col=dataset_col, max_pairs=max_pairs)
+    pairs = pair_rows(examples, order_col=order_col, dataset_col=dataset_col, max_pairs=max_pairs, keyed=keyed)
     tt = _token_table(pairs, tokenizer)
     if materialize_pairs:
         tt = materialize(tt, "tokens")

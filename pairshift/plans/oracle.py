@@ -907,3 +907,8 @@ def _():
     return f"""SELECT {summary} FROM ({_round_report(report_sql(nli_preds("es")))})
                UNION ALL SELECT {cross} FROM ({ORACLE["cross_language"]})
                UNION ALL SELECT {sizes} FROM ({ORACLE["model_size_lookup"]})"""
+
+
+@oracle("pair_table")
+def _():
+    return ORACLE["pair_rows"]

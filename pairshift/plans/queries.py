@@ -675,6 +675,16 @@ def q_examples_parquet_roundtrip(spark, d):
     return back.select("id", "pair_id", "variant", "input", "label", F.col("metadata.perturbation.a.code_switch.span_len").alias("a_span_len"))
 
 
+@register("pair_table")
+def q_pair_table(spark, d):
+    """J1/J4 over a stored layout: damaged examples as a table bucketed by the pair key, paired without a shuffle on it."""
+    path = shared_path(spark, "pair-table")
+    table = io.write_pair_table(damaged(spark, d), "pairs_" + path.rsplit("-", 1)[1], path, 16, dataset_col="dataset")
+    p = pairing.pair_rows(table, dataset_col="dataset", order_col="stored_order", keyed=True)
+    return p.select("dataset", "pair_id", F.col("clean.id").alias("clean_id"), F.col("perturbed.id").alias("perturbed_id"), "task", "split",
+                    F.length("clean_text").cast("long").alias("clean_len"), F.length("perturbed_text").cast("long").alias("perturbed_len"))
+
+
 @register("metric_table_roundtrip")
 def q_metric_table_roundtrip(spark, d):
     """IO8-IO10: the robustness summary written as CSV with a header row and read back with typed columns."""

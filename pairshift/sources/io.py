@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairshift.functions.perturb import FIELD_META_TYPE
+from pairshift.operators.pairing import pair_key
 
 S = T.StringType()
 
@@ -152,13 +153,22 @@ def canonical_examples(df: DataFrame) -> DataFrame:
     }).drop("uid")
 
 
-def write_examples(df: DataFrame, path: str, fmt: str = "jsonl", partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+def write_examples(df: DataFrame, path: str, fmt: str = "jsonl", partition_by: Sequence[str] = (), mode: str = "overwrite",
+                   max_records: int = 0) -> None:
     """IO4/IO5/IO6: distributed write, one JSON object per line (UTF-8, unescaped) or Parquet.
 
-    ``partition_by=("task", "split")`` gives one folder per split, the
-    equivalent of the original one-file-per-split layout.
+    ``partition_by=("task", "split")`` gives one folder per split, the equivalent of the original one-file-per-split
+    layout. Rows are first rebalanced by these columns: adaptive execution puts small splits together and cuts a hot one
+    at ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, so a split's files follow its bytes and not the number of
+    tasks; ``max_records`` bounds a file's rows as well. Inside a file rows are ordered by ``id``, ``variant``.
     """
-    w = df.drop("row_order").write.mode(mode)
+    df = df.drop("row_order")
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
+        df = df.sortWithinPartitions(*partition_by, *[c for c in ("id", "variant") if c in df.columns])
+    w = df.write.mode(mode)
+    if max_records:
+        w = w.option("maxRecordsPerFile", max_records)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "parquet":
@@ -167,6 +177,23 @@ def write_examples(df: DataFrame, path: str, fmt: str = "jsonl", partition_by: S
         w.option("ignoreNullFields", False).json(path)
 
 
+def write_pair_table(examples: DataFrame, table: str, path: str, buckets: int, dataset_col: str | None = None, legacy_suffix: bool = False) -> DataFrame:
+    """J1 as a stored layout: example rows as a table bucketed and sorted by (``dataset``, ``pair_id``), read back.
+
+    ``pair_id`` holds the pair key and ``dataset`` the dataset of every row, so ``pair_rows(..., keyed=True)`` and all that
+    builds on it finds the rows of a pair in one bucket and shuffles nothing on the pair key. Rows are dealt to the
+    buckets before they are written (one file each); the readers' ``row_order`` is kept as ``stored_order``, which decides
+    which row comes last.
+    """
+    order = F.col("row_order") if "row_order" in examples.columns else F.col("id").cast("string")
+    keyed = examples.withColumns({
+        "stored_order": order, "dataset": F.col(dataset_col) if dataset_col else F.lit(""),
+        "pair_id": pair_key(legacy_suffix=legacy_suffix)}).drop("row_order")
+    dealt = keyed.repartition(buckets, "dataset", "pair_id")
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, "dataset", "pair_id").sortBy("dataset", "pair_id").saveAsTable(table)
+    return examples.sparkSession.table(table)
+
+
 def language_pair_from_path(file_name: Column) -> Column:
     """IO11: ``robustness_summary.csv`` -> ``fr-en``; ``robustness_summary_<pair>.csv`` -> ``<pair>``;
     anything else -> the name without its last four characters."""

@@ -290,6 +290,71 @@ def test_write_dataset_partitions(spark):
     assert io.read_examples(spark, d).count() == ex.count()
 
 
+def _data_files(folder):
+    return [os.path.join(at, f) for at, _, files in os.walk(folder) for f in files if f.startswith("part-")]
+
+
+def test_files_of_a_split_follow_its_bytes(spark):
+    """24 tasks with rows of both splits: one file for each small split, several for a large one."""
+    d = _tmp()
+    rows = spark.range(0, 24_000, 1, 24).selectExpr(
+        "concat('p', id) AS id", "'nli' AS task", "CASE WHEN id % 100 = 0 THEN 'test' ELSE 'train' END AS split", "'clean' AS variant", "repeat(sha2(string(id), 256), 8) AS input")
+    io.write_dataset(rows, os.path.join(d, "whole"), fmt="parquet")
+    assert len(_data_files(os.path.join(d, "whole"))) == 2
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "500k")
+    try:
+        io.write_dataset(rows, os.path.join(d, "cut"), fmt="parquet")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = _data_files(os.path.join(d, "cut"))
+    small, large = [len([f for f in files if f"split={s}" in f]) for s in ("test", "train")]
+    assert small == 1 and 2 <= large < 24
+    for name in ("whole", "cut"):
+        assert io.read_examples(spark, os.path.join(d, name)).select("id", "split", "input").exceptAll(rows.select("id", "split", "input")).count() == 0
+        assert io.read_examples(spark, os.path.join(d, name)).count() == 24_000
+    io.write_examples(rows, os.path.join(d, "few"), "parquet", ("split",), max_records=5000)
+    assert len(_data_files(os.path.join(d, "few"))) == 1 + 5
+
+
+def test_pair_table_pairs_without_a_shuffle(spark):
+    from pairshift.operators import pairing
+
+    ex = tb.damaged_examples(tb.nli_examples(spark, SF)).withColumn("dataset", F.when(F.col("split") == "test", F.lit("d")))  # a null dataset too
+    d = _tmp()
+    table = io.write_pair_table(ex, "pair_table_test", os.path.join(d, "t"), 5, dataset_col="dataset")
+    try:
+        stored = pairing.pair_rows(table, dataset_col="dataset", order_col="stored_order", keyed=True)
+        named = ex.withColumn("dataset", F.coalesce("dataset", F.lit("e"))).where("dataset = 'd'")
+        stats = tk.tokenizer_stats(named, "simple", dataset_col="dataset")
+        plan = stored._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+        want = pairing.pair_rows(ex, dataset_col="dataset")
+        assert "Exchange" in want._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, stored.collect())) == sorted(map(str, want.collect())) and stored.count() > 10
+        again = tk.tokenizer_stats(table.where("dataset = 'd'"), "simple", dataset_col="dataset", order_col="stored_order", keyed=True)
+        close = lambda df: [[round(x, 9) if isinstance(x, float) else x for x in r] for r in df.collect()]
+        assert close(again) == close(stats) and len(close(stats)) == 1
+    finally:
+        spark.sql("DROP TABLE pair_table_test")
+
+
+def test_pair_table_keeps_the_readers_order(spark):
+    from pairshift.operators import pairing
+
+    d = _tmp()
+    with open(os.path.join(d, "x.jsonl"), "w") as f:
+        for i, text in enumerate(["z first", "a second", "m last"]):
+            f.write('{"id": "p__clean", "variant": "clean", "task": "nli", "input": "%s"}\n' % text)
+        f.write('{"id": "p__perturbed", "variant": "perturbed", "task": "nli", "input": "q"}\n')
+    ex = io.read_examples(spark, os.path.join(d, "x.jsonl"))
+    table = io.write_pair_table(ex, "pair_order_test", os.path.join(d, "t"), 3, dataset_col="dataset")
+    try:
+        got = pairing.pair_rows(table, dataset_col="dataset", order_col="stored_order", keyed=True).collect()
+        assert [r["clean_text"] for r in got] == ["m last"] == [r["clean_text"] for r in pairing.pair_rows(ex, dataset_col="dataset").collect()]
+    finally:
+        spark.sql("DROP TABLE pair_order_test")
+
+
 def test_cleanup_materialized(spark):
     from pairshift import session
 
