@@ -912,3 +912,8 @@ def _():
 @oracle("pair_table")
 def _():
     return ORACLE["pair_rows"]
+
+
+@oracle("json_array_documents")
+def _():
+    return "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"

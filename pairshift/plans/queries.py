@@ -675,6 +675,18 @@ def q_examples_parquet_roundtrip(spark, d):
     return back.select("id", "pair_id", "variant", "input", "label", F.col("metadata.perturbation.a.code_switch.span_len").alias("a_span_len"))
 
 
+@register("json_array_documents")
+def q_json_array_documents(spark, d):
+    """IO1: documents as JSON arrays (one per 500 ids, one file each) read back object by object from any split."""
+    path = shared_path(spark, "json-arrays")
+    docs = tb.read_table(spark, d, "documents").select("doc_id", "text", "lang", F.struct(F.col("source").alias("name"), "n_chars").alias("origin"))
+    arrays = docs.groupBy(F.expr("doc_id div 500").alias("part")).agg(
+        F.concat(F.lit("["), F.concat_ws(",\n ", F.collect_list(F.to_json(F.struct("doc_id", "text", "lang", "origin")))), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    back = io.read_json_arrays(spark, path, docs.schema)
+    return back.select("doc_id", "lang", F.col("origin.name").alias("source"), F.col("origin.n_chars").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 @register("pair_table")
 def q_pair_table(spark, d):
     """J1/J4 over a stored layout: damaged examples as a table bucketed by the pair key, paired without a shuffle on it."""

@@ -118,6 +118,47 @@ def _scan(spark: SparkSession, fmt: str, paths: list[str], schema: T.StructType)
     return (r.option("multiLine", True) if fmt == "json" else r).json(paths)
 
 
+def _running(df: DataFrame, value: Column, out: str, before: bool) -> DataFrame:
+    """``out``: the sum of ``value`` over a file's pieces up to each one (or ``before`` it): inside a split, then over splits."""
+    df = df.withColumn(f"{out}_v", value)
+    here = Window.partitionBy("file", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    over = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    splits = df.groupBy("file", "split").agg(F.sum(f"{out}_v").alias("n")).select(
+        F.col("file").alias("of"), F.col("split").alias("at"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
+    df = df.withColumn(out, F.coalesce(F.sum(f"{out}_v").over(here), F.lit(0)))
+    return df.join(splits, (F.col("file") == F.col("of")) & (F.col("split") == F.col("at"))).withColumn(
+        out, F.col(out) + F.col("base")).drop("of", "at", "base", f"{out}_v")
+
+
+def read_json_arrays(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = EXAMPLE_FILE_SCHEMA) -> DataFrame:
+    """IO1 for large documents: the objects of JSON arrays, one array per file, each file read by many tasks.
+
+    A file is cut at closing braces, which Spark's text reader can do from any byte on. A piece carries how it changes the
+    state of the scan: the parity of its quotes, and the braces it opens if it starts outside or inside a string. Running
+    sums over pieces (inside a split, then over splits) give each piece's state, and an object ends where the depth is
+    zero again; the pieces of an object, a few, meet by its number. Columns: those of ``schema``, ``file`` and ``record``
+    (0-based place in the document). A malformed object is an error; elements that are not objects are not supported.
+    """
+    pieces = spark.read.option("lineSep", "}").text([paths] if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), "value")
+    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"')
+    opened = lambda odd: F.aggregate(F.transform(parts, lambda x, i: F.when(i % 2 == odd, F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit("")))).otherwise(0)),
+                                     F.lit(0), lambda a, x: a + x)
+    pieces = pieces.select("*", (F.size(parts) - 1).cast("long").alias("quotes"), opened(0).alias("open_0"), opened(1).alias("open_1"))
+    pieces = _running(pieces, F.col("quotes"), "quotes_before", True)
+    outside = F.col("quotes_before") % 2 == 0
+    ends_outside = (F.col("quotes_before") + F.col("quotes")) % 2 == 0
+    pieces = pieces.withColumn("close", ends_outside.cast("long"))
+    pieces = _running(pieces, F.when(outside, F.col("open_0")).otherwise(F.col("open_1")).cast("long") - F.col("close"), "depth", False)
+    pieces = pieces.withColumn("last", ((F.col("depth") == 0) & (F.col("close") == 1)).cast("long"))
+    pieces = _running(pieces, F.col("last"), "record", True)
+    whole = pieces.groupBy("file", "record").agg(
+        F.max("last").alias("last"), F.concat_ws("}", F.transform(F.sort_array(F.collect_list(F.struct("split", "row", "value"))), lambda x: x["value"])).alias("text"))
+    text = F.concat(F.regexp_replace("text", r"^[\s,\[]+", ""), F.lit("}"))
+    rows = whole.where("last = 1").select("file", "record", F.from_json(text, schema, {"mode": "FAILFAST"}).alias("r"))
+    return rows.select("r.*", "file", "record")
+
+
 def read_in_file_order(spark: SparkSession, paths: str | Sequence[str], out: str = "idx") -> DataFrame:
     """The rows of Parquet files with ``out``, their 0-based position: files by path, rows by their place in the file.
 

@@ -290,6 +290,41 @@ def test_write_dataset_partitions(spark):
     assert io.read_examples(spark, d).count() == ex.count()
 
 
+ODD = ["}", "{", "a}b{c", '"', '\\\\', '\\\\"}', "[{},{}]", "é}\u2028", "", ",", "]", "\n}\t{", "x" * 3000 + "}"]
+
+
+@pytest.mark.parametrize("block", ["400", "1500", "128m"])
+def test_json_array_read_by_many_tasks_equals_multiline(spark, block):
+    """Braces, quotes and backslashes inside strings and keys, nested objects and arrays, cut at any byte."""
+    import json
+
+    d = _tmp()
+    rows = [{"id": str(i), "text": ODD[i % len(ODD)] + ODD[i // len(ODD) % len(ODD)], "in": {"a}": [{"k": ODD[i % 7]}, {}], "b": None}} for i in range(180)]
+    _files(d, {"a.json": json.dumps(rows[:120], ensure_ascii=False), "b.json": " [\n" + ",\n\n ".join(json.dumps(r, indent=1) for r in rows[120:]) + "\n] \n",
+               "c.json": "[]", "d.json": ""})
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("in", T.StructType([
+        T.StructField("a}", T.ArrayType(T.StructType([T.StructField("k", T.StringType())]))), T.StructField("b", T.StringType())]))])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = io.read_json_arrays(spark, d, schema).collect()
+        tasks = spark.read.option("lineSep", "}").text(d).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = spark.read.schema(schema).option("multiLine", True).json([os.path.join(d, f) for f in ("a.json", "b.json")]).collect()
+    assert sorted(str(tuple(r)[:3]) for r in got) == sorted(str(tuple(r)) for r in want) and len(want) == 180
+    assert [r["id"] for r in sorted(got, key=lambda r: (r["file"], r["record"]))] == [r["id"] for r in rows]
+    assert tasks > 20 or block != "400"
+
+
+def test_malformed_json_array_is_an_error(spark):
+    d = _tmp()
+    _files(d, {"a.json": '[{"id": "1"}, {"id": 2 "x"}]'})
+    with pytest.raises(Exception):
+        io.read_json_arrays(spark, d, T.StructType([T.StructField("id", T.StringType())])).collect()
+
+
 def _data_files(folder):
     return [os.path.join(at, f) for at, _, files in os.walk(folder) for f in files if f.startswith("part-")]
 

@@ -15,7 +15,7 @@ FAST = ["build_nli_examples", "tokenizer_stats", "pair_rows", "robustness_report
         "eval_prompt", "first_answer", "sample_per_split", "pair_rows_without_id", "vector_drift", "build_from_parallel", "cross_language_pivot",
         "counts_by_dim", "sweep_plan", "predict_hook", "filter_task", "distinct_models", "qa_f1_report", "efficiency_latency",
         "examples_jsonl_roundtrip", "examples_parquet_roundtrip", "metric_table_roundtrip", "metric_tables_layouts", "parallel_zip_file_order",
-        "sample_n", "sample_half", "pair_table"]
+        "sample_n", "sample_half", "pair_table", "json_array_documents"]
 
 
 @pytest.fixture(scope="module")
