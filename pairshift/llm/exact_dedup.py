@@ -14,7 +14,7 @@ content inside a bucket; the last join relies on SHA-256 together with xxhash64
 
 Edge cases: null and empty texts form one group; a null id loses to any other; a row repeated with the same id
 and text counts in ``group_size`` and exactly one copy of it is kept; an empty table gives an empty table;
-other columns do not matter.
+texts of any length are compared whole; other columns do not matter.
 """
 
 from __future__ import annotations

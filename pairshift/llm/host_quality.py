@@ -7,7 +7,7 @@ Beta(a + failures, b + passes). A host is rejected when even its lower credible
 ``max_host_rate``; a small host is drawn towards the mean of all hosts, so few documents never condemn one.
 
 Edge cases: null text counts as empty and fails; a null host has no host verdict; repeated rows count as rows; an
-empty table gives an empty table; with one host, or hosts that differ no more than chance, the prior is so strong
+empty table gives an empty table; other columns do not matter; a bound equal to the limit rejects no host; with one host, or hosts that differ no more than chance, the prior is so strong
 that each host has the mean rate. Texts of over ``LONG`` words use arrays in place of tuples, with equal counts.
 """
 

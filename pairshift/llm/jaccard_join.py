@@ -24,7 +24,8 @@ sort-merge joins that AQE may split, after counts that are pre-aggregated.
 
 Edge cases: null, empty and word-less texts have the empty set, ``n_shingles`` 0, and are linked with nothing
 (``component_id`` is their own id); repeated rows share a class; a null id is ignored by the minimum unless a
-component has no other; an empty table gives an empty table; other columns do not matter.
+component has no other; texts of any length are read whole; an empty table gives an empty table; other columns do not
+matter.
 """
 
 from __future__ import annotations

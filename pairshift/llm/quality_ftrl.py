@@ -12,7 +12,8 @@ scored over their whole texts.
 
 Edge cases: null and empty texts have no words and score by the bias alone; a null id is in no fold (``held_out``
 false) and is scored; repeated labels of one id count once, with the largest value; repeated documents are scored
-one by one and train once; without any labelled row all weights are zero and every score is 0.5; an empty table gives an empty table.
+one by one and train once; without any labelled row all weights are zero and every score is 0.5; an empty table gives an empty table;
+other columns do not matter.
 """
 
 from __future__ import annotations

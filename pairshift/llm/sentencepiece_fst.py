@@ -14,8 +14,8 @@ best path of a chunk is remembered in a bounded table. Decoding runs the inverse
 spaces, the leading mark dropped; bytes that are no UTF-8 become U+FFFD.
 
 Edge cases: null and empty texts have no ids; repeated rows are encoded one by one; a text that holds the word mark
-itself decodes to a space there (``round_trip`` false); an empty table gives an empty table; other columns do not
-matter. A normaliser that drops or joins white space is refused, and one that maps several characters jointly when
+itself decodes to a space there (``round_trip`` false); texts are encoded whole in any length; an empty table gives an
+empty table; other columns do not matter. A normaliser that drops or joins white space is refused, and one that maps several characters jointly when
 the probes (`JOINT`, and every character's canonical decomposition) show it.
 """
 

@@ -13,7 +13,8 @@ Only DataFrame functions run.
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; path: from there up to
 ``?``, ``#`` or the end. Edge cases: a null url, or one without ``://``, has empty host and path, no rule and the
 default verdict; repeated rows are judged one by one; an empty table gives an empty table; of equal rules that
-differ in verdict, block wins; no rules at all give every url the default verdict.
+differ in verdict, block wins; no rules at all give every url the default verdict;
+urls of any length are read whole; other columns do not matter.
 """
 
 from __future__ import annotations
