@@ -1,27 +1,21 @@
-"""Model hooks (X1, X2) and the capacity sweep (X4) on Spark ML.
+"""Model hooks.
 
 The transformer models of the original (generation, hidden states,
 fine-tuning) run on one machine and stay outside Spark; their outputs enter as
 tables. What runs here is distributed: a subword tokenizer applied through an
-Arrow-batched iterator UDF (loaded once per Python worker), an arbitrary
-predictor applied per partition with ``mapInPandas``, and a classifier
-capacity sweep on Spark ML.
+Arrow-batched iterator UDF (loaded once per Python worker) and an arbitrary
+predictor applied per partition with ``mapInPandas``.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairshift.functions import text as tx
-from pairshift.operators.scoring import nli_validity
-from pairshift.session import materialize
-
 
 def subword_tokenizer(tokenizer_json: str, add_special_tokens: bool = True) -> Callable[[Column], Column]:
     """A ``tokenizers`` tokenizer file as a Column -> array<string> (token ids as strings).
@@ -58,97 +52,3 @@ def predict(df: DataFrame, fn: Callable[[pd.Series], pd.Series], prompt_col: str
             yield b
 
     return df.mapInPandas(run, schema)
-
-
-COUNTS = ("n_train", "n_test_clean", "n_test_perturbed", "train_skipped", "test_clean_skipped", "test_perturbed_skipped")
-
-
-def _sweep_rows(examples: DataFrame) -> DataFrame:
-    """The NLI rows of a sweep: split, side, validity, label id and lower-cased tokens of both fields."""
-    prem, hyp = tx.prompt_fields()
-    v = nli_validity(examples.where(F.col("task") == "nli"))
-    return v.select(
-        "split", F.when(F.col("variant") == "clean", "clean").when(F.col("variant").isin("perturbed", "switchmix"), "perturbed").alias("side"),
-        F.col("_valid").alias("valid"), F.col("_label_id").cast("double").alias("label_idx"),
-        F.concat(tx.simple_tokenize(F.lower(prem)), tx.simple_tokenize(F.lower(hyp))).alias("tokens"))
-
-
-def sweep_plan(examples: DataFrame, capacities: Sequence[int] = (2 ** 8, 2 ** 10, 2 ** 12), train_split: str = "train",
-               test_split: str = "test") -> DataFrame:
-    """X4 without the fitting: per capacity, the rows that train and test, the rows skipped and the parameter count."""
-    rows = _sweep_rows(examples)
-    picks = [("clean", train_split, True), ("clean", test_split, True), ("perturbed", test_split, True),
-             ("clean", train_split, False), ("clean", test_split, False), ("perturbed", test_split, False)]
-    counts = rows.agg(*[F.count(F.when((F.col("side") == side) & (F.col("split") == split) & (F.col("valid") == ok), 1)).cast("long").alias(name)
-                        for name, (side, split, ok) in zip(COUNTS, picks)])
-    sizes = F.explode(F.array(*[F.lit(int(c)) for c in capacities])).alias("capacity")
-    return counts.select(sizes, *COUNTS).withColumn("n_parameters", (3 * F.col("capacity") + 3).cast("long"))
-
-
-def capacity_sweep(
-    examples: DataFrame,
-    capacities: Sequence[int] = (2 ** 8, 2 ** 10, 2 ** 12),
-    seed: int = 42,
-    train_split: str = "train",
-    test_split: str = "test",
-    max_iter: int = 25,
-    reg_param: float = 0.01,
-    max_tokens: int | None = None,
-) -> DataFrame:
-    """Train a classifier on clean training rows, score clean vs perturbed test rows.
-
-    The fine-tuned encoders of the original are replaced by TF-IDF over hashed
-    tokens and multinomial logistic regression; the capacity is the number of
-    hash buckets. The tokens and labels of the valid rows are written once and
-    read by every fit and evaluation; the loop runs over the small capacity list
-    only. Output follows the scaling table (A16); ``estimated_model_size`` is the
-    parameter count in millions. ``max_tokens`` (none by default) cuts a row's
-    token list, as the encoders' ``max_length`` did.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF
-
-    counts = sweep_plan(examples, capacities[:1], train_split, test_split).first().asDict()
-    tokens = F.col("tokens") if max_tokens is None else F.slice("tokens", 1, max_tokens)
-    data = materialize(_sweep_rows(examples).where("valid AND side IS NOT NULL").select("split", "side", "label_idx", tokens.alias("tokens")), "sweep")
-    train = data.where((F.col("split") == train_split) & (F.col("side") == "clean"))
-    test = data.where(F.col("split") == test_split)
-    rows = []
-    for cap in capacities:
-        pipe = Pipeline(stages=[
-            HashingTF(inputCol="tokens", outputCol="tf", numFeatures=int(cap)),
-            IDF(inputCol="tf", outputCol="features"),
-            LogisticRegression(featuresCol="features", labelCol="label_idx", family="multinomial",
-                               maxIter=max_iter, regParam=reg_param),
-        ])
-        t0 = time.time()
-        model = pipe.fit(train)
-        train_s = time.time() - t0
-        acc = (model.transform(test).groupBy("side")
-               .agg(F.avg((F.col("prediction") == F.col("label_idx")).cast("double")).alias("acc")).collect())
-        a = {r.side: r.acc for r in acc}
-        ca, pa = float(a.get("clean") or 0.0), float(a.get("perturbed") or 0.0)
-        name = f"tfidf_{cap}_logreg"
-        rows.append({
-            "task": "nli", "model": name, "seed": seed, "train_split": train_split, "test_split": test_split,
-            **{k: int(counts[k]) for k in COUNTS},
-            "clean_accuracy": ca, "perturbed_accuracy": pa, "robustness_gap_delta": ca - pa,
-            "epochs": float(max_iter), "train_time_s": train_s, "model_name": name,
-            "estimated_model_size": (3 * int(cap) + 3) / 1e6, "switchmix_accuracy": pa, "robustness_drop": ca - pa,
-            "lr": None, "batch_size": None, "max_length": max_tokens, "reg_param": float(reg_param),
-        })
-    schema = T.StructType([
-        T.StructField("task", T.StringType()), T.StructField("model", T.StringType()), T.StructField("seed", T.IntegerType()),
-        T.StructField("train_split", T.StringType()), T.StructField("test_split", T.StringType()),
-        *[T.StructField(k, T.LongType()) for k in ("n_train", "n_test_clean", "n_test_perturbed", "train_skipped",
-                                                  "test_clean_skipped", "test_perturbed_skipped")],
-        *[T.StructField(k, T.DoubleType()) for k in ("clean_accuracy", "perturbed_accuracy", "robustness_gap_delta",
-                                                    "epochs", "train_time_s")],
-        T.StructField("model_name", T.StringType()), T.StructField("estimated_model_size", T.DoubleType()),
-        T.StructField("switchmix_accuracy", T.DoubleType()), T.StructField("robustness_drop", T.DoubleType()),
-        # training columns of the original; a full-batch solver has neither a learning rate nor a batch size
-        T.StructField("lr", T.DoubleType()), T.StructField("batch_size", T.LongType()), T.StructField("max_length", T.LongType()),
-        T.StructField("reg_param", T.DoubleType()),
-    ])
-    return examples.sparkSession.createDataFrame(rows, schema)

@@ -600,7 +600,7 @@ def q_model_size_lookup(spark, d):
 def q_capacity_sweep(spark, d):
     """Hashed bag-of-tokens logistic regression at three capacities, clean vs perturbed
     accuracy (iterative model fitting: no SQL oracle)."""
-    from pairshift.operators.ml import capacity_sweep
+    from pairshift.operators.sweep import capacity_sweep
 
     out = capacity_sweep(nli_ex(spark, d), capacities=(2 ** 8, 2 ** 10, 2 ** 12), seed=SEED)
     return out.drop("train_time_s")
@@ -609,7 +609,7 @@ def q_capacity_sweep(spark, d):
 @register("sweep_plan")
 def q_sweep_plan(spark, d):
     """X4, the part that is exact: rows trained on, tested and skipped, and parameters, per capacity."""
-    from pairshift.operators.ml import sweep_plan
+    from pairshift.operators.sweep import sweep_plan
 
     return sweep_plan(nli_ex(spark, d))
 

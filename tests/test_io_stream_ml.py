@@ -223,14 +223,6 @@ def test_predict_hook_and_subword_tokenizer(spark):
     assert st and all(x.avg_clean_tokens > 0 for x in st)
 
 
-def test_capacity_sweep_rows(spark):
-    out = ml.capacity_sweep(tb.nli_examples(spark, SF), capacities=(16, 64)).collect()
-    assert len(out) == 2
-    for r in out:
-        assert 0.0 <= r.clean_accuracy <= 1.0 and 0.0 <= r.perturbed_accuracy <= 1.0
-        assert r.n_train > 0
-
-
 def test_write_metric_table_roundtrip(spark):
     d = _tmp()
     df = spark.createDataFrame([("m", "fr-en", 0.5)], "model string, language_pair string, robustness_drop double")
