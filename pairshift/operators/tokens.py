@@ -1,14 +1,12 @@
 """Tokenizer statistics over clean/perturbed pairs.
 
-Plan shape: pairing shuffle by ``(dataset, pair_id)`` -> one tokenization into a
-pair table (token arrays + word/character counts, written once under the
-checkpoint folder) -> two branches reading it:
-
-(a) per-pair deltas -> ``groupBy(dataset, task, split)`` means (tiny result);
-(b) ``explode`` of tagged tokens -> ``groupBy(group, token)`` with map-side
-    partial sums (skewed tokens such as ``le``/``the`` collapse before the
-    shuffle) -> Jensen-Shannon divergence as two relational sums over that
-    histogram, with per-group totals joined from tiny aggregates.
+Plan shape: pairing shuffle by ``(dataset, pair_id)`` -> one tokenization -> one ``explode`` per pair into its tokens,
+tagged by side, and a few entries that carry the pair's own measures (counts, ratios) -> one aggregation by
+``(group, entry, token)`` with map-side partial sums (skewed tokens such as ``le``/``the``, and the measures, collapse
+before the shuffle). Its exchange is the only wide one after the pairing: means and token totals are sums over its
+measure entries, Jensen-Shannon divergence is two relational sums over its token entries, and both read the same
+exchange because both ask for the same columns of it and select entries by an aggregate, not by a key that a filter
+could be pushed through.
 
 Nothing is collected: the vocabulary never leaves the executors.
 """
@@ -73,21 +71,52 @@ def _token_table(pairs: DataFrame, tokenizer) -> DataFrame:
     )
 
 
-def _deltas(tt: DataFrame) -> DataFrame:
+def _measures() -> dict[str, Column]:
     c, p = F.size("ct"), F.size("pt")
     one = F.lit(1)
-    return tt.select(
-        *GROUP, "pair_id",
-        c.alias("clean_tokens"), p.alias("perturbed_tokens"),
-        (p - c).alias("token_increase"),
-        (p / F.greatest(one, c)).alias("length_inflation"),
-        (c / F.col("_cw")).alias("fragmentation_clean"),
-        (p / F.col("_pw")).alias("fragmentation_perturbed"),
-        (c / F.col("_cc")).alias("tokens_per_char_clean"),
-        (p / F.col("_pc")).alias("tokens_per_char_perturbed"),
+    return {
+        "clean_tokens": c, "perturbed_tokens": p, "token_increase": p - c, "length_inflation": p / F.greatest(one, c),
+        "fragmentation_clean": c / F.col("_cw"), "fragmentation_perturbed": p / F.col("_pw"),
+        "tokens_per_char_clean": c / F.col("_cc"), "tokens_per_char_perturbed": p / F.col("_pc"),
+    }
+
+
+def _deltas(tt: DataFrame) -> DataFrame:
+    return tt.select(*GROUP, "pair_id", *[m.alias(name) for name, m in _measures().items()])
+
+
+TOKEN = 0  # the kind of an entry that is a token; measure entries have kinds from 1
+
+
+def _entries(tt: DataFrame, measures: list[tuple[Column, Column]]) -> DataFrame:
+    """One row per group and token, and one per group and pair of measures: ``kind``, and the sums ``n_clean``, ``n_perturbed``.
+
+    Tokens are counted per side; the i-th measure entry (from 1) sums its two columns over the group's pairs. Counts are
+    doubles, exact up to 2^53.
+    """
+    def entry(kind: int, token: Column, c: Column, p: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), token.cast("string").alias("token"), c.cast("double").alias("c"), p.cast("double").alias("p"))
+
+    own = F.array(*[entry(i, F.lit(None), c, p) for i, (c, p) in enumerate(measures, 1)])
+    clean = F.transform("ct", lambda t: entry(TOKEN, t, F.lit(1), F.lit(0)))
+    perturbed = F.transform("pt", lambda t: entry(TOKEN, t, F.lit(0), F.lit(1)))
+    grouped = [F.col(g).isNotNull() for g in GROUP]  # as the joins on the group ask, and the same in every branch
+    return (
+        tt.where(grouped[0] & grouped[1] & grouped[2]).select(*GROUP, F.explode(F.concat(own, clean, perturbed)).alias("e"))
+        .groupBy(*GROUP, F.col("e.kind").alias("_kind"), F.col("e.token").alias("token"))
+        .agg(F.max("e.kind").alias("kind"), F.sum("e.c").alias("n_clean"), F.sum("e.p").alias("n_perturbed"))
     )
 
 
+def _sum_of(kind: int, side: str) -> Column:
+    """The group's sum of one side of a measure entry."""
+    return F.max(F.when(F.col("kind") == kind, F.col(side)))
+
+
+def _token_totals(entries: DataFrame, kind: int) -> DataFrame:
+    return entries.groupBy(*GROUP).agg(_sum_of(kind, "n_clean").alias("_tc"), _sum_of(kind, "n_perturbed").alias("_tp"))
+
+
 def _histogram(tt: DataFrame) -> DataFrame:
     tagged = F.concat(
         F.transform(F.col("ct"), lambda t: F.struct(t.alias("token"), F.lit(1).alias("c"), F.lit(0).alias("p"))),
@@ -117,35 +146,36 @@ def token_histogram(pairs: DataFrame, tokenizer="simple") -> DataFrame:
     return _histogram(_token_table(pairs, tokenizer).select(*GROUP, "ct", "pt"))
 
 
-def js_divergence(hist: DataFrame, groups: DataFrame, eps: float = JS_EPS, totals: tuple[str, str] | None = None) -> DataFrame:
+def _clipped(hist: DataFrame, sides: DataFrame, eps: float, *more: str) -> DataFrame:
+    """Both sides' shares ``x``, ``y`` of the group's tokens, in [eps, 1]; null where a row is no token."""
+    def share(n: str, total: str) -> Column:
+        return F.when(F.col("kind") == TOKEN, F.least(F.greatest(F.col(n) / F.greatest(F.lit(1.0), F.col(total)), F.lit(eps)), F.lit(1.0)))
+
+    return hist.join(sides, on=GROUP).select(*GROUP, *more, share("n_clean", "_tc").alias("x"), share("n_perturbed", "_tp").alias("y"))
+
+
+def _divergence(clipped: DataFrame, *more: Column) -> DataFrame:
+    """Per group the divergence of its renormalised shares (0 without tokens) and further aggregates."""
+    sums = clipped.groupBy(*GROUP).agg(F.sum("x").alias("_sx"), F.sum("y").alias("_sy"))
+    p = F.col("x") / F.col("_sx")
+    q = F.col("y") / F.col("_sy")
+    m = (p + q) * 0.5
+    term = 0.5 * p * F.log2(p / m) + 0.5 * q * F.log2(q / m)
+    return clipped.join(sums, on=GROUP).groupBy(*GROUP).agg(*more, F.coalesce(F.sum(term), F.lit(0.0)).alias("token_js_divergence_bits"))
+
+
+def js_divergence(hist: DataFrame, groups: DataFrame, eps: float = JS_EPS) -> DataFrame:
     """Jensen-Shannon divergence in bits per group, from a token histogram.
 
     Each side is normalised by ``max(1, total)``, clipped to ``[eps, 1]``,
     renormalised, and compared with base-2 logs. ``groups`` lists every group
-    (``GROUP`` columns, and the token counts of both sides where ``totals`` names
-    them, which saves a pass over the histogram); a group with an empty vocabulary gets 0. The per-group
+    (``GROUP`` columns); a group with an empty vocabulary gets 0. The per-group
     totals and sums have one row per group; AQE broadcasts them where they measure small.
     """
-    if totals:
-        sides = groups.select(*GROUP, F.col(totals[0]).alias("_tc"), F.col(totals[1]).alias("_tp"))
-    else:
-        sides = hist.groupBy(*GROUP).agg(F.sum("n_clean").alias("_tc"), F.sum("n_perturbed").alias("_tp"))
-    clipped = hist.join(sides, on=GROUP).select(
-        *GROUP,
-        F.least(F.greatest(F.col("n_clean") / F.greatest(F.lit(1.0), F.col("_tc")), F.lit(eps)), F.lit(1.0)).alias("x"),
-        F.least(F.greatest(F.col("n_perturbed") / F.greatest(F.lit(1.0), F.col("_tp")), F.lit(eps)), F.lit(1.0)).alias("y"),
-    )
-    sums = clipped.groupBy(*GROUP).agg(F.sum("x").alias("_sx"), F.sum("y").alias("_sy"))
-    p = F.col("x") / F.col("_sx")
-    q = F.col("y") / F.col("_sy")
-    m = (p + q) * 0.5
-    terms = clipped.join(sums, on=GROUP).select(
-        *GROUP, (0.5 * p * F.log2(p / m) + 0.5 * q * F.log2(q / m)).alias("term")
-    )
-    js = terms.groupBy(*GROUP).agg(F.sum("term").alias("token_js_divergence_bits"))
+    sides = hist.groupBy(*GROUP).agg(F.sum("n_clean").alias("_tc"), F.sum("n_perturbed").alias("_tp"))
+    js = _divergence(_clipped(hist.withColumn("kind", F.lit(TOKEN)), sides, eps))
     return groups.select(*GROUP).join(js, on=GROUP, how="left").select(
-        *GROUP, F.coalesce(F.col("token_js_divergence_bits"), F.lit(0.0)).alias("token_js_divergence_bits")
-    )
+        *GROUP, F.coalesce(F.col("token_js_divergence_bits"), F.lit(0.0)).alias("token_js_divergence_bits"))
 
 
 def js_divergence_of_examples(
@@ -157,14 +187,14 @@ def js_divergence_of_examples(
     materialize_pairs: bool = False,
     keyed: bool = False,
 ) -> DataFrame:
-    """A9 end to end. The histogram and the group list share the pairing shuffle; with ``materialize_pairs`` the
-    tokenized pairs are written once instead (the caller then removes them with ``session.cleanup_materialized``)."""
+    """A9 end to end. Histogram and token totals share one exchange; with ``materialize_pairs`` the
+    tokenized pairs are written once before it (the caller then removes them with ``session.cleanup_materialized``)."""
     pairs = pair_rows(examples, order_col=order_col, dataset_col=dataset_col, max_pairs=max_pairs, keyed=keyed)
     tt = _token_table(pairs, tokenizer).select(*GROUP, "ct", "pt")
     if materialize_pairs:
         tt = materialize(tt, "tokens")
-    groups = tt.groupBy(*GROUP).agg(F.sum(F.size("ct")).alias("_tc"), F.sum(F.size("pt")).alias("_tp"))
-    return js_divergence(_histogram(tt), groups, totals=("_tc", "_tp"))
+    entries = _entries(tt, [(F.size("ct"), F.size("pt"))])
+    return _divergence(_clipped(entries, _token_totals(entries, 1), JS_EPS))
 
 
 def tokenizer_stats(
@@ -179,32 +209,23 @@ def tokenizer_stats(
 ) -> DataFrame:
     """Per (dataset, task, split): pair count, eight means and the JS divergence.
 
-    Both branches, the per-pair means and the token histogram, read the same pairing shuffle (the planner reuses the
-    exchange), and nothing is written. With ``materialize_pairs`` the tokenized pairs (no raw text) are written once
-    under the checkpoint folder, which saves tokenizing twice; ``session.cleanup_materialized`` removes them. ``keyed``:
-    the examples are a stored pair table (``io.write_pair_table``) and are paired without a shuffle.
+    Texts are tokenized once; means and histogram come from one aggregation (see the module's plan shape), and nothing
+    is written. With ``materialize_pairs`` the tokenized pairs (no raw text) are written once under the checkpoint folder
+    first; ``session.cleanup_materialized`` removes them. ``keyed``: the examples are a stored pair table
+    (``io.write_pair_table``) and are paired without a shuffle.
     """
     pairs = pair_rows(examples, order_col=order_col, dataset_col=dataset_col, max_pairs=max_pairs, keyed=keyed)
     tt = _token_table(pairs, tokenizer)
     if materialize_pairs:
         tt = materialize(tt, "tokens")
-    means = _deltas(tt).groupBy(*GROUP).agg(
-        F.count(F.lit(1)).cast("long").alias("n_pairs"),
-        F.avg("clean_tokens").alias("avg_clean_tokens"),
-        F.avg("perturbed_tokens").alias("avg_perturbed_tokens"),
-        F.avg("token_increase").alias("avg_token_increase"),
-        F.avg("length_inflation").alias("avg_length_inflation"),
-        F.avg("fragmentation_clean").alias("avg_fragmentation_clean"),
-        F.avg("fragmentation_perturbed").alias("avg_fragmentation_perturbed"),
-        F.avg("tokens_per_char_clean").alias("avg_tokens_per_char_clean"),
-        F.avg("tokens_per_char_perturbed").alias("avg_tokens_per_char_perturbed"),
-        F.sum("clean_tokens").alias("_tc"), F.sum("perturbed_tokens").alias("_tp"),
-    )
-    js = js_divergence(_histogram(tt.select(*GROUP, "ct", "pt")), means, totals=("_tc", "_tp"))
+    m = _measures()
+    names = list(m)
+    pairs_of = list(zip(names[::2], names[1::2]))  # the first holds the token counts
+    entries = _entries(tt, [*[(m[a], m[b]) for a, b in pairs_of], (F.lit(1), F.lit(1))])
+    sums = [_sum_of(i, side).alias(name) for i, pair in enumerate(pairs_of, 1) for name, side in zip(pair, ("n_clean", "n_perturbed"))]
+    clipped = _clipped(entries, _token_totals(entries, 1), JS_EPS, "kind", "n_clean", "n_perturbed")
+    stats = _divergence(clipped, *sums, _sum_of(len(pairs_of) + 1, "n_clean").alias("n_pairs"))
     name = tokenizer_name or (tokenizer if isinstance(tokenizer, str) else "custom")
-    return means.join(js, on=GROUP).select(
-        F.col("dataset").alias("data_path"), "task", "split", F.lit(name).alias("tokenizer"),
-        "n_pairs", "avg_clean_tokens", "avg_perturbed_tokens", "avg_token_increase",
-        "avg_length_inflation", "avg_fragmentation_clean", "avg_fragmentation_perturbed",
-        "avg_tokens_per_char_clean", "avg_tokens_per_char_perturbed", "token_js_divergence_bits",
-    )
+    return stats.select(
+        F.col("dataset").alias("data_path"), "task", "split", F.lit(name).alias("tokenizer"), F.col("n_pairs").cast("long").alias("n_pairs"),
+        *[(F.col(c) / F.col("n_pairs")).alias(f"avg_{c}") for c in names], "token_js_divergence_bits")

@@ -207,3 +207,13 @@ def test_distinct_values_are_sorted(spark):
     df = spark.createDataFrame([("b", "fr-en"), ("a", "fr-en"), ("b", "fr-de")], "model string, language_pair string")
     assert [tuple(r) for r in reports.distinct_values(df).collect()] == [
         ("language_pair", "fr-de"), ("language_pair", "fr-en"), ("model", "a"), ("model", "b")]
+
+
+def test_tokenizer_stats_tokenizes_once(spark):
+    """After execution one exchange of entries is left; the other branches reuse it, so the explode runs once."""
+    ex = _toy(spark)
+    df = tk.tokenizer_stats(ex, "simple")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan"):plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("Generate explode(concat(array(struct(kind") == 1 and "ReusedExchange" in final
