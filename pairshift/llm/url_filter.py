@@ -6,8 +6,12 @@ are disjoint. Rules and urls are sorted together by key; the sweep carries the s
 the last rule began. At a url, the entries that its key has already left are skipped, the others are tested against
 the path, and the longest rule wins (host and path together; then the longer host, then the text of the rule).
 
-The sweep runs in strips: urls are dealt evenly, whatever their host, and the rules go to every strip. The number
-of strips keeps rule copies under 1/``PAGES_PER_RULE`` of the urls, so a list of any length stays the small side.
+The sweep runs in ranges of keys, whatever the number of rules: urls and rule stacks are dealt by range together (Spark
+samples the cuts) and written once with the number of their range, so that all that follows sees the same cuts. Urls of
+one host are ordered by a hash as well, so a hot host covers several ranges. A rule is in one range only; a range begins
+with the stack that was open at the end of the ranges before it, of which there is one row per range. The number of
+ranges grows with urls and rules up to ``spark.sql.shuffle.partitions``; the sweep itself is a running window, which holds
+one stack.
 Only DataFrame functions run.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; path: from there up to
@@ -24,8 +28,9 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRIP_ROWS = 4096
-PAGES_PER_RULE = 20
+from pairshift.llm.common import written
+
+RANGE_ROWS = 4096
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -61,18 +66,32 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
         F.flatten(F.collect_list("rules")).alias("stack"))
 
 
+def in_ranges(urls: DataFrame, stacks: DataFrame, ranges: int) -> DataFrame:
+    """Urls (``kind`` 1) and rule stacks (``kind`` 0) with the number of their range of keys, written once."""
+    url_rows = urls.select(
+        host_key(host_of(F.col("url"))).alias("key"), F.lit(1).alias("kind"), F.xxhash64("id", "url").alias("salt"),
+        "id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rule_rows = stacks.select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("salt"), "stack")
+    rows = url_rows.unionByName(rule_rows, allowMissingColumns=True).repartitionByRange(ranges, "key", "kind", "salt")
+    return written(rows.select(F.spark_partition_id().alias("range"), "key", "kind", "id", "host", "path", "stack"), "url-ranges")
+
+
+def open_stacks(rows: DataFrame) -> DataFrame:
+    """Per range the stack that is open where it begins, as a rule row before all keys; one row per range is ordered."""
+    last = rows.groupBy("range").agg(F.expr("max_by(stack, key) FILTER (WHERE kind = 0)").alias("stack"))
+    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return last.select("range", F.lit("").alias("key"), F.lit(0).alias("kind"), F.last("stack", ignorenulls=True).over(before).alias("stack"))
+
+
 def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """Per row: the id column, ``host``, ``path``, ``rule`` (null without one) and ``verdict``."""
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     stacks = rule_stacks(rules.select("host", "path", "verdict"))
-    n_urls, n_rules = urls.count(), rules.count()
-    strips = max(1, min(-(-n_urls // STRIP_ROWS), n_urls // (PAGES_PER_RULE * max(1, n_rules))))
-    url_rows = urls.select(
-        F.pmod(F.monotonically_increasing_id(), F.lit(strips)).alias("strip"), host_key(host_of(F.col("url"))).alias("key"), F.lit(1).alias("kind"),
-        "id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rule_rows = stacks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long"))).alias("strip"), "key", F.lit(0).alias("kind"), "stack")
-    sweep = Window.partitionBy("strip").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = url_rows.unionByName(rule_rows, allowMissingColumns=True).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
+    most = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(-(-(urls.count() + rules.count()) // RANGE_ROWS), most))
+    rows = in_ranges(urls, stacks, ranges)
+    sweep = Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.unionByName(open_stacks(rows), allowMissingColumns=True).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
     fits = F.filter("stack", lambda r: (F.col("key") < r["closes"]) & F.startswith(F.col("path"), r["path"]))
     return swept.select("id", "host", "path", F.array_max(fits).alias("won")).select(
         F.col("id").alias(id_col), "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))

@@ -29,12 +29,31 @@ def test_odd_urls_and_nested_rules(spark, monkeypatch):
     df = spark.createDataFrame(rows * 3, "page_id long, url string").selectExpr("*", "'h' AS host", "1 AS strip", "2 AS key", "3 AS id").repartition(4)
     table = spark.createDataFrame(rules, "host string, path string, verdict string")
     want = sorted(str((i, *brute(u, rules))) for i, u in rows * 3)
-    for strip in (uf.STRIP_ROWS, 7):
-        monkeypatch.setattr(uf, "STRIP_ROWS", strip)
-        monkeypatch.setattr(uf, "PAGES_PER_RULE", 1)
+    for size in (uf.RANGE_ROWS, 7):
+        monkeypatch.setattr(uf, "RANGE_ROWS", size)
         assert sorted(str(tuple(r)) for r in uf.url_verdicts(df, table).collect()) == want
 
 
+def test_long_rule_list_and_a_hot_host(spark, monkeypatch):
+    """Long rule lists cut the keys into ranges all the same, a third of the urls on one host covers several of them."""
+    rules = [(f"h{i % 700}.d{i % 13}.org", f"/{'abc'[i % 3]}/", "block" if i % 2 else "allow") for i in range(1500)] + [("org", "/", "block"), ("hot.net", "/x", "allow"), ("net", "/", "block")]
+    urls = [f"http://{'hot.net' if i % 3 == 0 else f'w.h{i % 700}.d{i % 13}.org'}/{'abcx'[i % 4]}/{i}" for i in range(3000)] + ["http://" + "a." * 3000 + "net/" + "y" * 50000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    monkeypatch.setattr(uf, "RANGE_ROWS", 200)
+    seen = []
+    monkeypatch.setattr(uf, "in_ranges", lambda *a, f=uf.in_ranges: seen.append(f(*a)) or seen[0])
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.url_verdicts(df, table).collect()}
+    by_pair = {}
+    for h, p, v in rules:  # of equal rules block wins
+        by_pair[h, p] = max(v, by_pair.get((h, p), v))
+    flat = [(h, p, v) for (h, p), v in by_pair.items()]
+    assert got == {i: brute(u, flat) for i, u in enumerate(urls)}
+    assert seen[0].where("kind = 1").select("range").distinct().count() > 4
+    assert seen[0].where("kind = 1 AND host = 'hot.net'").select("range").distinct().count() > 1
+    assert seen[0].where("kind = 0").groupBy("key").count().where("count > 1").count() == 0  # no rule is copied
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     some = spark.createDataFrame(URL_RULES, none.schema)
