@@ -1,4 +1,7 @@
+import math
 import zlib
+from collections import Counter
+from itertools import groupby
 
 import duckdb
 import pytest
@@ -61,3 +64,75 @@ def test_ftrl_follows_the_closed_form():
     assert np.allclose(m.z[at], g) and np.allclose(m.n[at], g * g)
     want = -(g - np.sign(g) * qf.L1) / ((qf.BETA + np.abs(g)) / qf.ALPHA + qf.L2)
     assert np.allclose(m.weights(at), want) and not m.weights(np.array([1, 3])).any()
+
+
+MASK = 2 ** 64 - 1
+A, B, C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9  # fixed values of the feature hash
+
+
+def plain_features(text):
+    """Counts of hashed n-grams by integers and dictionaries, and the number of words."""
+    def place(h, space):
+        x = (h + space) * A & MASK
+        x ^= x >> 29
+        return max((x * B & MASK) >> (64 - qf.BITS), 1)
+
+    def sign(b):
+        return "X" if 65 <= b <= 90 else "x" if 97 <= b <= 122 or b >= 128 else "9" if 48 <= b <= 57 else chr(b)
+
+    raw = (text or "").encode()
+    words = [zlib.crc32(w) for w in raw.split()]
+    shapes = [zlib.crc32(w.encode()) for w in "".join(k for k, _ in groupby(map(sign, raw))).split()]
+    out, seen = Counter(), set()
+    for w, s in zip(words, shapes, strict=True):
+        out[place(w, 1)] += 1
+        out[place(s, 3)] += 1
+    for i in range(len(words) - 1):
+        pair = words[i] * B + words[i + 1] * C & MASK
+        out[place(pair, 2)] += 1
+        out[place(shapes[i] * C + shapes[i + 1] * A + (pair in seen) & MASK, 4)] += 1
+        seen.add(pair)
+    return out, len(words)
+
+
+def plain_scores(train, texts):
+    """Train on (text, label) in order and score: one weight at a time, by the published update."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= qf.L1:
+            return 0.0
+        return -(z[i] - math.copysign(qf.L1, z[i])) / ((qf.BETA + math.sqrt(n[i])) / qf.ALPHA + qf.L2)
+
+    def inputs(text):
+        counts, words = plain_features(text)
+        return {qf.BIAS: 1.0, **{i: c * qf.SCALE / words for i, c in counts.items()}}
+
+    def chance(x, w):
+        return 1 / (1 + math.exp(-min(max(sum(w[i] * v for i, v in x.items()), -35.0), 35.0)))
+
+    rows = [(inputs(t), y) for t, y in train]
+    for _ in range(qf.EPOCHS):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            error = chance(x, w) - y
+            for i, v in x.items():
+                g = error * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / qf.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return [chance(x, {i: weight(i) for i in x}) for x in map(inputs, texts)]
+
+
+def test_whole_table_equals_a_plain_version(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = dict(duckdb.sql(f"SELECT doc_id, text FROM read_parquet('{sf}/documents.parquet')").fetchall())
+    labels = dict(duckdb.sql(f"SELECT doc_id, quality FROM read_parquet('{sf}/labels.parquet')").fetchall())
+    ids = [i for i in labels if zlib.crc32(str(i).encode()) % 4 != 2 and i in docs]
+    order = {r.i: (r.h, r.i) for r in spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("i", "xxhash64(i) AS h").collect()}
+    assert len(ids) <= qf.TRAIN_ROWS
+    want = plain_scores([(docs[i], labels[i]) for i in sorted(ids, key=order.get)], docs.values())
+    got = {r["doc_id"]: r for r in QUERIES["op6_quality_ftrl"](spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, score in zip(docs, want):
+        assert got[i]["score"] == pytest.approx(score, abs=1e-9) and (abs(score - 0.7) < 1e-9 or got[i]["predicted"] == int(score >= 0.7))
