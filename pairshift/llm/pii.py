@@ -3,8 +3,8 @@
 Base kinds (leftmost, non-overlapping per kind; a match that fails its check is dropped and not retried): e-mail
 addresses, IPv4 addresses with parts up to 255, card numbers of 13 to 19 digits that pass Luhn, international phone
 numbers of 9 to 15 digits. They always stay. Added kinds: ``iban``, confirmed by mod-97; ``local_phone``, numbers of 7
-to 12 digits without a plus sign, and ``account``, undivided numbers of 6 to 18 digits with up to two letters before
-them. Every span has a score: the pattern's own worth, plus what a passed checksum adds, plus what a word of its kind
+to 12 digits without a plus sign; ``account``, undivided numbers of 6 to 18 digits with up to two letters before
+them; and ``secret``, runs of 24 to 128 letters, digits, underscores and hyphens with at least one letter and one digit. Every span has a score: the pattern's own worth, plus what a passed checksum adds, plus what a word of its kind
 within ``CONTEXT`` code points adds; an added kind needs ``threshold``, which the last two only reach by such a word.
 
 Only built-in functions run. ``regexp_extract_all`` and ``split`` with one pattern walk the same matches, so the
@@ -92,6 +92,9 @@ KINDS = (
     Kind("account", r"(?<![A-Za-z0-9.,@_+-])[A-Za-z]{0,2}+[0-9]++(?:[A-Za-z@_]|[.,:-][0-9])?+", "[0-9]{6}",
          lambda m: m.rlike("^[A-Za-z]{0,2}[0-9]{6,18}$"), 0.55, 0.0,
          r"\b(account|acct|passport|customer (no|number|id)|ssn|konto|kontonummer|kundennummer|ausweis|cuenta|pasaporte|compte|passeport)\b"),
+    Kind("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+", "[A-Za-z0-9_-]{24}",
+         lambda m: (F.length(m) <= 128) & m.rlike("[0-9]") & m.rlike("[A-Za-z]"), 0.55, 0.0,
+         r"\b(token|secret|password|passwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|bearer|passwort|contraseña)\b"),
 )
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
