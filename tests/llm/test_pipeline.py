@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from brute import pii_spans
+from brute import context_spans, pii_spans
 from pairshift.llm import host_quality as hq
 from test_jaccard_join import brute as near_brute
 
@@ -15,7 +15,7 @@ def mask(text):
     """Spans of all kinds, joined where they overlap, replaced by the first one's kind."""
     if text is None:
         return None
-    spans = sorted((a, b, k) for k, found in pii_spans(text).items() for a, b in found)
+    spans = sorted((a, b, k) for k, found in {**pii_spans(text), **context_spans(text)}.items() for a, b in found)
     out, at, reach = [], 0, -1
     for a, b, k in spans:
         if a >= reach:
