@@ -7,12 +7,13 @@ anchors. The anchor of a position p is the least 32-byte gram among the ``window
 depends on the string at p alone, equal strings have their anchors at the same place, and neighbouring positions
 share one. Positions with one anchor form a range.
 
-1. *Doubling.* A range's rank grows from the first bytes at its anchor, by the rank of as many next ones (together
-   all that its strings surely share), to the whole stretch that its strings cover. Ranks are 64-bit fingerprints;
-   Spark sorts the ranks at these growing offsets once, as one key, and neighbours in that order tell which ranges
-   stay apart. A range that is unique at a step is unique at all later ones and leaves. A range with an equal whole stretch
-   elsewhere is repeated throughout. Equal stretches of one batch are folded before the shuffle, so a passage that
-   a third of all documents share sends one row per batch.
+1. *Doubling.* A range's first rank is that of the ``gram`` bytes at its anchor. In each round its rank is paired
+   with that of as many next bytes (the last time: up to all that its strings surely share), Spark counts and sorts
+   the pairs, ranges whose pair is unique leave, and the pair's name is the rank of the next round. Ranks only have to
+   be equal or not, so a name is a 64-bit fingerprint, not a place. The last round pairs the rank with that of the whole
+   stretch that the range's strings cover: a range with an equal one elsewhere is repeated throughout. Pairs are
+   counted in each task first and the rounds' joins may be split, equal stretches of one batch are folded before all
+   rounds, and a rank that very many ranges share is dealt by its stretches in the last one.
 2. *The rest.* Ranges that share the anchor's bytes but not the whole stretch sit at the edges of copied passages.
    They fetch their bytes, meet by rank, and are ranked position by position over the full ``length``. A rank that
    very many ranges share is dealt anew by the full-length fingerprint of each position, folded per batch first.
@@ -132,12 +133,20 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
         yield lot
 
 
+def doubling_steps(length: int, window: int, gram: int) -> list[int]:
+    """Bytes at an anchor that the ranks cover round by round, from 0 to all that the strings of a range surely share."""
+    sure, steps = length - window + 1, [0, gram]
+    while steps[-1] < sure:
+        steps.append(min(2 * steps[-1], sure))
+    return steps if len(steps) > 2 else [0, gram // 2, gram]
+
+
 def _rank(length: int, window: int, gram: int, names: list[str]):
-    """Per range: the ranks, the document, the packed range and its state.
+    """Per range: the ranks of its steps, the document, the packed range and its state.
 
     State 0: to be judged; 1: known to be repeated; 2: known to be repeated, and stands for its equals in this batch.
     """
-    sure = length - window + 1
+    steps = doubling_steps(length, window, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,56 +159,49 @@ def _rank(length: int, window: int, gram: int, names: list[str]):
                 prints, a, lo, hi, piece = g["prints"], g["anchor"], g["lo"], g["hi"], g["piece"]
                 shift = np.array([x[1] for x in lot])[piece] - starts[piece]
                 whole = prints.of(lo, hi + length - lo) ^ _mix(((a - lo) * SPLIT + hi - lo).astype(np.uint64))
-                lots.append((prints.of(a, sure // 2), prints.of(a + sure // 2, sure - sure // 2), whole, np.array([x[0] for x in lot])[piece],
+                lots.append((*[prints.of(a + x, y - x) for x, y in zip(steps, steps[1:])], whole, np.array([x[0] for x in lot])[piece],
                              ((lo + shift) * SPLIT + a - lo) * SPLIT + hi - lo))
             if not lots:
                 continue
-            half, other_half, whole, row, packed = (np.concatenate([x[i] for x in lots]) for i in range(5))
+            *ranks, whole, row, packed = (np.concatenate(x) for x in zip(*lots, strict=True))
             _, first, which, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
             state = np.where(times[which] > 1, 1, 0).astype(np.int8)
             state[first[times > 1]] = 2
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([
-                *[pa.array(x.view(np.int64)) for x in (half, other_half, whole)], pa.array(state),
+                *[pa.array(x.view(np.int64)) for x in (*ranks, whole)], pa.array(state),
                 b.column("id").take(at), b.column("text_key").take(at), pa.array(packed)], names=names)
 
     return run
 
 
 def _judge(names: list[str]):
-    """Over rows sorted by all ranks: repeated ranges (weight 0), and the ranges that need single positions.
+    """Over rows sorted by rank and whole stretch: repeated ranges (weight 0), and the ranges that need single positions.
 
-    Of those, an open range has weight 1, and one range of each repeated stretch with the same rank weight 2. A row
-    looks at its neighbours only, so a rank may be shared by any number of rows.
+    Of those, an open range has weight 1, and one or two ranges of each repeated stretch with the same rank weight 2. A
+    row looks at its neighbours only; the stretches of a hot rank lie in many tasks, and it is known to be shared.
     """
     def judged(t: pa.Table, before: tuple | None, after: tuple | None) -> Iterator[pa.RecordBatch]:
-        rank, whole, state = (t.column(c).to_numpy() for c in ("rank", "whole", "state"))
-        live = state != 1
+        rank, whole, state, hot = (t.column(c).to_numpy() for c in ("rank", "whole", "state", "hot"))
         prev_rank = np.r_[before is not None and before[0] == rank[0], rank[1:] == rank[:-1]]
         prev_whole = prev_rank & np.r_[before is not None and before[1] == whole[0], whole[1:] == whole[:-1]]
         next_rank = np.r_[rank[1:] == rank[:-1], after is not None and after[0] == rank[-1]]
         next_whole = next_rank & np.r_[whole[1:] == whole[:-1], after is not None and after[1] == whole[-1]]
         repeated = prev_whole | next_whole | (state == 2)
-        stands = live & repeated & ((prev_rank & ~prev_whole) | (next_rank & ~next_whole))
-        is_open = live & ~repeated & (prev_rank | next_rank)
-        for rows, weight in ((~live | repeated, 0), (is_open, 1), (stands, 2)):
+        stands = repeated & (((prev_rank | hot) & ~prev_whole) | ((next_rank | hot) & ~next_whole))
+        is_open = ~repeated & (prev_rank | next_rank | hot)
+        for rows, weight in ((repeated, 0), (is_open, 1), (stands, 2)):
             picked = t.filter(pa.array(rows)).select(["rank", "id", "text_key", "packed"])
             for b in picked.append_column("weight", pa.array(np.full(picked.num_rows, weight, dtype=np.int8))).rename_columns(names).to_batches():
                 yield b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before = None, None
+        ends = lambda x, i: (x.column("rank")[i].as_py(), x.column("whole")[i].as_py())
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            known = pa.array(t.column("state").to_numpy() == 1)
-            ends = lambda x, i: (x.column("rank")[i].as_py(), x.column("whole")[i].as_py())
-            done, t = t.filter(known), t.filter(pc.invert(known))
-            if done.num_rows:
-                yield from judged(done, None, None)
-            if not t.num_rows:
-                continue
             if held is not None:
                 yield from judged(held, before, ends(t, 0))
                 before = ends(held, held.num_rows - 1)
@@ -294,6 +296,22 @@ def _lots(t: pa.Table, rank: np.ndarray, n: int) -> Iterator[pa.Table]:
         start = end
 
 
+def doubled(ranges: DataFrame, steps: int) -> DataFrame:
+    """The doubling rounds: of ``ranges``, those whose bytes up to the last step begin another range too.
+
+    ``rank`` names these bytes and ``n`` is the number of ranges with that rank. Each round is a written table, so a lost
+    executor repeats one round at most.
+    """
+    live = ranges.withColumnRenamed("step_0", "rank")
+    for step in range(1, steps):
+        later = [f"step_{i}" for i in range(step + 1, steps)]
+        kept = [*later, "whole", "state", "id", "text_key", "packed"]
+        paired = live.select(F.xxhash64("rank", f"step_{step}").alias("rank"), *kept)
+        shared = paired.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("rank", "shared")
+        live = written(paired.join(shared, F.col("rank") == F.col("shared")).select("rank", "n", *kept), "ranks")
+    return live
+
+
 def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, window: int, gram: int) -> DataFrame:
     """``id``, ``text_key``, ``lo``, ``hi``: positions at which a repeated string of ``length`` bytes starts."""
     parts = partitions(docs.sparkSession)
@@ -302,16 +320,17 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, wi
     byte = lambda name: T.StructField(name, T.ByteType())
     texts = _texts(docs, id_col, text_col)
 
-    ranked = T.StructType([*long("half", "other_half", "whole"), byte("state"), id_field, *long("text_key", "packed")])
-    ranges = texts.where(F.octet_length("body") >= length).mapInArrow(_rank(length, window, gram, ranked.names), ranked)
-    rank = F.xxhash64("half", "other_half")
-    dealt = ranges.repartition(parts, F.when(F.col("state") == 1, F.xxhash64("id", "packed")).otherwise(rank))
-    dealt = dealt.sortWithinPartitions("half", "other_half", "whole").select(rank.alias("rank"), "whole", "state", "id", "text_key", "packed")
+    steps = len(doubling_steps(length, window, gram)) - 1
+    ranked = T.StructType([*long(*[f"step_{i}" for i in range(steps)], "whole"), byte("state"), id_field, *long("text_key", "packed")])
+    ranges = written(texts.where(F.octet_length("body") >= length).mapInArrow(_rank(length, window, gram, ranked.names), ranked), "first_ranks")
+    live = doubled(ranges.where("state <> 1"), steps).select("rank", "whole", "state", (F.col("n") > HOT_RANK).alias("hot"), "id", "text_key", "packed")
+    dealt = live.repartition(parts, F.when(F.col("hot"), F.xxhash64("rank", "whole")).otherwise(F.col("rank"))).sortWithinPartitions("rank", "whole")
     told = T.StructType([*long("rank"), id_field, *long("text_key", "packed"), byte("weight")])
     judged = written(dealt.mapInArrow(_judge(told.names), told), "ranges")
     low = F.shiftright("packed", 20)  # SPLIT * SPLIT
-    judged = judged.select("rank", "id", "text_key", "weight", low.alias("lo"), (low + F.col("packed").bitwiseAND(SPLIT - 1)).alias("hi"))
-    repeated = judged.where("weight = 0").select("id", "text_key", "lo", "hi")
+    place = [low.alias("lo"), (low + F.col("packed").bitwiseAND(SPLIT - 1)).alias("hi")]
+    judged = judged.select("rank", "id", "text_key", "weight", *place)
+    repeated = judged.where("weight = 0").select("id", "text_key", "lo", "hi").unionByName(ranges.where("state > 0").select("id", "text_key", *place))
 
     waiting = judged.where("weight > 0")
     hot = waiting.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_RANK).select(F.col("rank").alias("hot_rank"))

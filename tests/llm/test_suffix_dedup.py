@@ -79,6 +79,27 @@ def _patched(make, *args):
     return run
 
 
+def test_doubling_rounds(spark):
+    """Steps double up to what a range surely shares; a range leaves in the round that makes it unique."""
+    assert sd.doubling_steps(400, 256, 32) == [0, 32, 64, 128, 145] and sd.doubling_steps(60, 40, 8) == [0, 8, 16, 21]
+    assert sd.doubling_steps(10, 5, 6) == [0, 3, 6]
+    rows = [(1, 1, 1, 9), (1, 1, 1, 8), (1, 1, 2, 7), (1, 2, 1, 6), (2, 1, 1, 5), (3, 3, 3, 4), (3, 3, 3, 4), (3, 3, 3, 3)]
+    df = spark.createDataFrame([(*r, 0, i, i, i) for i, r in enumerate(rows)], "step_0 long, step_1 long, step_2 long, whole long, state int, id long, text_key long, packed long")
+    got = sorted((r["id"], r["n"]) for r in sd.doubled(df, 3).collect())
+    assert got == [(0, 2), (1, 2), (5, 3), (6, 3), (7, 3)]
+    assert sorted(r["id"] for r in sd.doubled(df, 2).collect()) == [0, 1, 2, 5, 6, 7]
+
+
+def test_one_passage_everywhere(spark, monkeypatch):
+    """A passage in most documents, cut at many places: its ranks are hot and are dealt by their stretches."""
+    monkeypatch.setattr(sd, "HOT_RANK", 16)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmn ") for _ in range(6))
+    passage = " ".join(word() for _ in range(120))
+    texts = [word() * r.randint(1, 3) + passage[r.randint(0, 90) : len(passage) - r.randint(0, 90)] + word() for _ in range(120)] + [" ".join(word() for _ in range(200)) for _ in range(20)]
+    assert run(spark, texts) == brute(texts, 400)
+
+
 def test_repeated_rows_null_ids_extra_columns(spark):
     t = "".join(random.Random(5).choice("abcdefgh ") for _ in range(900))
     df = spark.createDataFrame([(1, t, "q"), (1, t, "q"), (None, t[:500], "q"), (7, "short", "q"), (8, None, "q")], "doc_id long, text string, id string")
