@@ -308,6 +308,7 @@ def doubled(ranges: DataFrame, steps: int) -> DataFrame:
         kept = [*later, "whole", "state", "id", "text_key", "packed"]
         paired = live.select(F.xxhash64("rank", f"step_{step}").alias("rank"), *kept)
         shared = paired.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("rank", "shared")
+        shared = written(shared, "shared")  # a plain join with it may be split on a hot rank
         live = written(paired.join(shared, F.col("rank") == F.col("shared")).select("rank", "n", *kept), "ranks")
     return live
 
