@@ -9,8 +9,10 @@ columns that the original wrote as separate files.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,36 +54,49 @@ def _format_of(name: str, in_folder: bool) -> str | None:
     return "jsonl" if fmt == "json" and in_folder and name.startswith("part-") else fmt
 
 
+def _joined(spark: SparkSession, items) -> list[str]:
+    """The items of a Java array as strings, in one call however many there are."""
+    return [x for x in spark.sparkContext._jvm.scala.Predef.genericWrapArray(items).mkString("\0").split("\0") if x]
+
+
+def _plain(path: str) -> str:
+    """A path without the empty authority that some of Spark's listings write (``file:///x`` is ``file:/x``)."""
+    return re.sub(r"^(\w[\w+.-]*:)/+", r"\1/", path)
+
+
 def _named(spark: SparkSession, path: str, fmt: str | None) -> list[tuple[str, str, bool]]:
     """(path, format, is a folder) of everything that ``path`` names; a pattern names each of its matches.
 
     A folder's format is that of its data files, which must agree; an unknown or missing suffix is an error
-    unless ``fmt`` is given.
+    unless ``fmt`` is given. Spark lists the files (on the executors when there are many folders) and the names come
+    over in one call. A pattern that matches files of one format only stays as it is, for the scan to list.
     """
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(at)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
     if found is None or not len(found):
         raise FileNotFoundError(path)
-    out = []
-    for status in found:
-        name, folder = status.getPath().toString(), status.isDirectory()
-        if fmt is not None:
-            out.append((name, fmt, folder))
+    names = {_plain(x): x for x in _joined(spark, jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found))}
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)._jdf.inputFiles()
+    formats: dict[str, set] = {name: set() for name in names}
+    files = set()
+    for leaf in (_plain(unquote(x)) for x in _joined(spark, listed)):
+        folder, _, file = leaf.rpartition("/")
+        if leaf in formats:
+            files.add(leaf)
+            formats[leaf].add(fmt or _format_of(file, False))
             continue
-        if not folder:
-            formats = {_format_of(status.getPath().getName(), False)}
-        else:
-            formats, files = set(), fs.listFiles(status.getPath(), True)
-            while files.hasNext():
-                leaf = files.next().getPath().getName()
-                if not leaf.startswith(("_", ".")):
-                    formats.add(_format_of(leaf, True))
-        if len(formats) != 1 or None in formats:
-            raise ValueError(f"the format of {name} is not clear from its files; give fmt")
-        out.append((name, formats.pop(), folder))
-    return out
+        while folder and folder not in formats:
+            folder = folder.rpartition("/")[0]
+        if folder:
+            formats[folder].add(fmt or _format_of(file, True))
+    for name, kinds in formats.items():
+        if fmt is None and (len(kinds) != 1 or None in kinds):
+            raise ValueError(f"the format of {names[name]} is not clear from its files; give fmt")
+    kind_of = {name: fmt or next(iter(kinds)) for name, kinds in formats.items()}
+    if len(files) == len(names) > 1 and len(set(kind_of.values())) == 1:
+        return [(path, next(iter(kind_of.values())), False)]
+    return [(names[name], kind, name not in files) for name, kind in kind_of.items()]
 
 
 def read_examples(

@@ -70,6 +70,46 @@ def test_each_path_has_its_own_format(spark):
     assert io.read_examples(spark, os.path.join(d, "*.json*")).count() == 20
 
 
+def test_many_files_are_listed_in_a_few_calls(spark, monkeypatch):
+    """A folder, and a pattern, of 600 files (one with a space and a percent sign in its name): calls to the JVM do not grow with them."""
+    from py4j.java_gateway import GatewayClient
+
+    def calls(path):
+        made = []
+        send = GatewayClient.send_command
+        with monkeypatch.context() as m:
+            m.setattr(GatewayClient, "send_command", lambda self, command, *a, **k: (made.append(0), send(self, command, *a, **k))[1])
+            named = io._named(spark, path, None)
+        return named, len(made)
+
+    counts = []
+    for n in (6, 600):
+        d = os.path.join(_tmp(), "x=1")
+        os.makedirs(os.path.join(d, "deep", "er"))
+        for i in range(n):
+            _lines(os.path.join(d, *(["deep", "er"] if i % 2 else []), f"r 5%{i}.jsonl"), [{"id": f"{i}__clean", "pair_id": str(i), "variant": "clean"}])
+        open(os.path.join(d, "_SUCCESS"), "w").close()
+        (folder,), a = calls(d)
+        (pattern,), b = calls(os.path.join(d, "*.jsonl"))
+        assert folder[1:] == ("jsonl", True) and pattern[1:] == ("jsonl", False)
+        assert io.read_examples(spark, os.path.join(d, "*.jsonl")).select("dataset").distinct().count() == n // 2
+        counts.append((a, b))
+    assert max(max(c) for c in counts) < 60  # py4j's own clean-up calls come and go
+
+
+def test_patterns_over_folders_and_files(spark):
+    """Each match is a dataset of its own: folders, files inside none of them, and formats that differ."""
+    d = _tmp()
+    for name in ("a.parquet", "b.parquet"):
+        spark.range(4).selectExpr("concat(id, '__clean') AS id", "cast(id AS string) AS pair_id").repartition(2).write.parquet(os.path.join(d, name))
+    _lines(os.path.join(d, "c.jsonl"), [{"id": "1__clean", "pair_id": "1"}])
+    os.makedirs(os.path.join(d, "empty"))
+    got = {r.dataset.rsplit("/", 1)[-1]: r.n for r in io.read_examples(spark, os.path.join(d, "[abc]*")).groupBy("dataset").agg(F.count("*").alias("n")).collect()}
+    assert got == {"a.parquet": 4, "b.parquet": 4, "c.jsonl": 1}
+    with pytest.raises(ValueError, match="give fmt"):
+        io.read_examples(spark, os.path.join(d, "*"))
+
+
 def test_unclear_formats_are_refused(spark):
     import pytest
 
