@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairshift.session import materialize
+from pairshift.session import materialize, materialized_paths
 
 #: The white space that separates words: space, tab, LF, VT, FF, CR. ``bytes.split()`` splits on exactly these.
 SPACE = " \t\n\x0b\x0c\r"
@@ -33,6 +33,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``written``, with the table's path, by which ``removed`` frees its space."""
+    return written(df, name), materialized_paths()[-1]
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of ``written_at`` that nothing reads any more: what came of them is written itself."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairshift.llm.common import partitions, whole_text, written
+from pairshift.llm.common import partitions, removed, whole_text, written, written_at
 
 LENGTH = 400
 WINDOW = 256
@@ -296,11 +296,11 @@ def _lots(t: pa.Table, rank: np.ndarray, n: int) -> Iterator[pa.Table]:
         start = end
 
 
-def doubled(ranges: DataFrame, steps: int) -> DataFrame:
-    """The doubling rounds: of ``ranges``, those whose bytes up to the last step begin another range too.
+def doubled(ranges: DataFrame, steps: int, path: str) -> tuple[DataFrame, str]:
+    """The doubling rounds: of ``ranges``, those whose bytes up to the last step begin another range too, and their table's path.
 
     ``rank`` names these bytes and ``n`` is the number of ranges with that rank. Each round is a written table, so a lost
-    executor repeats one round at most.
+    executor repeats one round at most; a round's tables, at first ``path``, go when the next round is whole.
     """
     live = ranges.withColumnRenamed("step_0", "rank")
     for step in range(1, steps):
@@ -308,9 +308,11 @@ def doubled(ranges: DataFrame, steps: int) -> DataFrame:
         kept = [*later, "whole", "state", "id", "text_key", "packed"]
         paired = live.select(F.xxhash64("rank", f"step_{step}").alias("rank"), *kept)
         shared = paired.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("rank", "shared")
-        shared = written(shared, "shared")  # a plain join with it may be split on a hot rank
-        live = written(paired.join(shared, F.col("rank") == F.col("shared")).select("rank", "n", *kept), "ranks")
-    return live
+        shared, counts = written_at(shared, "shared")  # a plain join with it may be split on a hot rank
+        done = path
+        live, path = written_at(paired.join(shared, F.col("rank") == F.col("shared")).select("rank", "n", *kept), "ranks")
+        removed(ranges.sparkSession, counts, done)
+    return live, path
 
 
 def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, window: int, gram: int) -> DataFrame:
@@ -323,15 +325,18 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, wi
 
     steps = len(doubling_steps(length, window, gram)) - 1
     ranked = T.StructType([*long(*[f"step_{i}" for i in range(steps)], "whole"), byte("state"), id_field, *long("text_key", "packed")])
-    ranges = written(texts.where(F.octet_length("body") >= length).mapInArrow(_rank(length, window, gram, ranked.names), ranked), "first_ranks")
-    live = doubled(ranges.where("state <> 1"), steps).select("rank", "whole", "state", (F.col("n") > HOT_RANK).alias("hot"), "id", "text_key", "packed")
+    ranges, path = written_at(texts.where(F.octet_length("body") >= length).mapInArrow(_rank(length, window, gram, ranked.names), ranked), "first_ranks")
+    known = written(ranges.where("state > 0").select("id", "text_key", "packed"), "known")
+    live, path = doubled(ranges.where("state <> 1"), steps, path)
+    live = live.select("rank", "whole", "state", (F.col("n") > HOT_RANK).alias("hot"), "id", "text_key", "packed")
     dealt = live.repartition(parts, F.when(F.col("hot"), F.xxhash64("rank", "whole")).otherwise(F.col("rank"))).sortWithinPartitions("rank", "whole")
     told = T.StructType([*long("rank"), id_field, *long("text_key", "packed"), byte("weight")])
     judged = written(dealt.mapInArrow(_judge(told.names), told), "ranges")
+    removed(docs.sparkSession, path)
     low = F.shiftright("packed", 20)  # SPLIT * SPLIT
     place = [low.alias("lo"), (low + F.col("packed").bitwiseAND(SPLIT - 1)).alias("hi")]
     judged = judged.select("rank", "id", "text_key", "weight", *place)
-    repeated = judged.where("weight = 0").select("id", "text_key", "lo", "hi").unionByName(ranges.where("state > 0").select("id", "text_key", *place))
+    repeated = judged.where("weight = 0").select("id", "text_key", "lo", "hi").unionByName(known.select("id", "text_key", *place))
 
     waiting = judged.where("weight > 0")
     hot = waiting.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_RANK).select(F.col("rank").alias("hot_rank"))

@@ -85,9 +85,15 @@ def test_doubling_rounds(spark):
     assert sd.doubling_steps(10, 5, 6) == [0, 3, 6]
     rows = [(1, 1, 1, 9), (1, 1, 1, 8), (1, 1, 2, 7), (1, 2, 1, 6), (2, 1, 1, 5), (3, 3, 3, 4), (3, 3, 3, 4), (3, 3, 3, 3)]
     df = spark.createDataFrame([(*r, 0, i, i, i) for i, r in enumerate(rows)], "step_0 long, step_1 long, step_2 long, whole long, state int, id long, text_key long, packed long")
-    got = sorted((r["id"], r["n"]) for r in sd.doubled(df, 3).collect())
+    rounds = lambda steps: sd.doubled(*_with_path(df, steps))
+    got = sorted((r["id"], r["n"]) for r in rounds(3)[0].collect())
     assert got == [(0, 2), (1, 2), (5, 3), (6, 3), (7, 3)]
-    assert sorted(r["id"] for r in sd.doubled(df, 2).collect()) == [0, 1, 2, 5, 6, 7]
+    assert sorted(r["id"] for r in rounds(2)[0].collect()) == [0, 1, 2, 5, 6, 7]
+
+
+def _with_path(df, steps):
+    table, path = sd.written_at(df, "first_ranks")
+    return table, steps, path
 
 
 def test_one_passage_everywhere(spark, monkeypatch):
