@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 
 from pairshift.functions import text as tx
 from pairshift.operators.scoring import nli_validity
-from pairshift.session import shared_path
+from pairshift.session import materialize, shared_path
 
 COUNTS = ("n_train", "n_test_clean", "n_test_perturbed", "train_skipped", "test_clean_skipped", "test_perturbed_skipped")
 CAPACITIES = (2 ** 8, 2 ** 10, 2 ** 12)
 CLASSES = (0, 1, 2)
 INTERCEPT = -1
 BROADCAST_BUCKETS = 1 << 20  # weights of more buckets than this (about 64 MB) are joined by shuffle
+BUCKET_FEATURES = 1 << 20  # features that a task holds, at most (a row is never split); the number of buckets grows with the input
 
 
 def _rows(examples: DataFrame) -> DataFrame:
@@ -75,31 +76,31 @@ def sweep_features(examples: DataFrame, capacities: Sequence[int] = CAPACITIES,
     tokens = F.col("tokens") if max_tokens is None else F.slice("tokens", 1, max_tokens)
     rows = _rows(examples).where("valid AND side IS NOT NULL").select(
         ((F.col("split") == train_split) & (F.col("side") == "clean")).alias("trains"),
-        F.when(F.col("split") == test_split, F.col("side")).alias("test_side"), "y", tokens.alias("tokens")).where("trains OR test_side IS NOT NULL")
+        F.when(F.col("split") == test_split, F.col("side")).alias("test_side"), "y", F.array_join(tokens, " ").alias("words")).where("trains OR test_side IS NOT NULL")
     row = ["key", "trains", "test_side", "y"]
     keyed = rows.withColumn("key", F.unhex(F.md5(F.concat_ws(
-        "\n", F.col("trains").cast("string"), F.coalesce("test_side", F.lit("")), F.col("y").cast("string"), F.array_join("tokens", " ")))))
-    marked = F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("token")  # the null counts the row's copies
-    hashed = F.when(F.col("token").isNull(), F.lit(INTERCEPT)).otherwise(F.pmod(F.xxhash64("token"), F.lit(widest))).cast("long")
-    counted = keyed.select(*row, marked).groupBy(*row, hashed.alias("wide")).agg(F.count(F.lit(1)).alias("tf"))
-    copies = F.max(F.when(F.col("wide") == INTERCEPT, F.col("tf"))).over(Window.partitionBy("key"))
+        "\n", F.col("trains").cast("string"), F.coalesce("test_side", F.lit("")), F.col("y").cast("string"), "words"))))
+    spark = examples.sparkSession
+    distinct = materialize(keyed.groupBy(*row).agg(F.count(F.lit(1)).alias("n"), F.first("words").alias("words")), "sweep-rows")
+    tokens = F.filter(F.split("words", " "), lambda t: t != "")
+    sizes = distinct.agg(F.sum(F.size(tokens) + 1).alias("features"), F.sum(F.when(F.col("trains"), F.col("n"))).alias("total")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sizes.features or 0) * len(caps) // BUCKET_FEATURES))
+    wide = F.explode(F.concat(F.array(F.lit(INTERCEPT).cast("long")), F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(widest))))).alias("wide")
     folded = F.when(F.col("wide") == INTERCEPT, F.col("wide")).otherwise(F.pmod(F.col("wide"), F.col("capacity")))
     tf = (
-        counted.repartition("key").withColumn("n", copies)
+        distinct.repartition(parts, "key").select(*row, "n", wide)
         .withColumn("capacity", F.explode(F.array(*[F.lit(c).cast("long") for c in caps])))
-        .groupBy(*row, "n", "capacity", folded.alias("bucket")).agg(F.sum("tf").alias("tf")).withColumn("tf", F.col("tf") / F.col("n"))
+        .groupBy(*row, "n", "capacity", folded.alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
     )
-    df = _held(tf.where("trains").groupBy("capacity", "bucket").agg(F.sum("n").alias("df")))
+    df = tf.where("trains").groupBy("capacity", "bucket").agg(F.sum("n").alias("df"))
     weighed = tf.join(_sized(df, caps), ["capacity", "bucket"], "left")
-    total = F.max("rows").over(Window.partitionBy("key", "capacity"))  # of the intercept, which every training row has
-    idf = F.log((F.coalesce(total, F.lit(0)) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
+    idf = F.log(F.lit((sizes.total or 0) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
     value = F.when(F.col("bucket") == INTERCEPT, F.lit(0.0)).otherwise(F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("key", "capacity")))
     out = weighed.withColumn("idf", idf).withColumn("v", value).withColumn("length", length).select(
         *row, "n", "capacity", "bucket",
         F.when(F.col("bucket") == INTERCEPT, F.lit(1.0)).when(F.col("length") > 0, F.col("v") / F.col("length")).otherwise(F.lit(0.0)).alias("x"))
-    spark = examples.sparkSession
-    path, parts = shared_path(spark, "sweep"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, "sweep")
     name = "sweep_" + path.rsplit("-", 1)[1]
     out.repartition(parts, "key").write.option("path", path).bucketBy(parts, "key").sortBy("key", "capacity").saveAsTable(name)
     return spark.table(name)

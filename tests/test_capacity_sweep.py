@@ -89,6 +89,19 @@ def test_steps_reach_the_optimum():
     assert np.abs(_plain(rows, bucket_of, 64, 2000, 0.01)[2]).max() < 1e-6
 
 
+def test_buckets_grow_with_the_features(spark, monkeypatch):
+    ex = spark.createDataFrame(_rows(), SCHEMA)
+    few = sweep.sweep_features(ex, (8, 64))
+    monkeypatch.setattr(sweep, "BUCKET_FEATURES", 30)
+    many = sweep.sweep_features(ex, (8, 64))
+    names = ["sweep_" + re.search(r"pairshift-sweep-(\w+)/", df.inputFiles()[0]).group(1) for df in (few, many)]
+    buckets = [int(spark.sql(f"DESCRIBE EXTENDED {n}").where("col_name = 'Num Buckets'").first().data_type) for n in names]
+    assert buckets[0] == int(spark.conf.get("spark.sql.shuffle.partitions")) and buckets[1] > 3 * buckets[0]
+    rounded = [df.withColumn("x", F.round("x", 9)) for df in (few, many)]
+    assert few.count() == many.count() and rounded[0].exceptAll(rounded[1]).count() == 0
+    assert few.where("bucket = -1 AND capacity = 8").agg(F.sum("n")).first()[0] == few.where("bucket = -1 AND capacity = 64").agg(F.sum("n")).first()[0]
+
+
 def test_empty_and_untrained(spark):
     none = spark.createDataFrame([], SCHEMA)
     r = sweep.capacity_sweep(none, (4,), max_iter=2).collect()
