@@ -135,6 +135,41 @@ class Transducer:
         known = self.pairs[left << 32 | right] = self.merged(two[0] + two[1]) == two
         return known
 
+    def only(self, text: str) -> list[int] | None:
+        """The one path of cost 0 of a BPE model, longest pieces first; none for characters that bytes spell.
+
+        At most one path of fitting pairs reaches a place, so a place is left for good once its arcs are tried, and
+        the arcs not on the path are looked at only where a longer piece led nowhere.
+        """
+        if not all(map(self.ids.__contains__, text)):
+            return None
+        n, pairs, trie, reached, path, before, i = len(text), self.pairs, self.trie, set(), [], -1, 0
+        while True:
+            arcs, children, j = [], trie, i
+            while j < n and children and (node := children.get(text[j])) is not None:
+                children, piece = node
+                j += 1
+                if piece >= 0:
+                    arcs.append((j, piece))
+            while True:
+                while arcs:
+                    j, piece = arcs.pop()
+                    if j in reached:
+                        continue
+                    if before < 0 or ((fits := pairs.get(before << 32 | piece)) is None and self.accepts(before, piece)) or fits:
+                        break
+                else:
+                    if not path:
+                        return None
+                    arcs, before = path.pop()[1:]
+                    continue
+                break
+            reached.add(j)
+            path.append((piece, arcs, before))
+            if j == n:
+                return [step[0] for step in path]
+            i, before = j, piece
+
     def shortest(self, text: str) -> list[int]:
         """Ids on the shortest path through the lattice of one chunk; -1 as last piece: none, or one spelt in bytes."""
         n, inf, bpe, pairs = len(text), float("inf"), self.kind == "bpe", self.pairs
@@ -183,7 +218,8 @@ class Transducer:
             if len(self.known) + len(new) > KNOWN_CHUNKS:
                 self.known.clear()
             for c in new:
-                ids = self.shortest(c)
+                ids = self.only(c) if self.kind == "bpe" else None
+                ids = self.shortest(c) if ids is None else ids
                 self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
             for i in missing:
                 found[i] = self.known[chunks[i]]

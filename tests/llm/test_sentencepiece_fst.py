@@ -37,6 +37,15 @@ def test_equal_to_the_library(library, fst):
         assert fst.decode(ids_of(fst, t)) == library.decode(library.encode(t))
 
 
+def test_only_path_equals_the_lattice_with_fewer_pairs(monkeypatch):
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdeinorst▁") for _ in range(r.randint(1, 30))) for _ in range(400)] + ["transformation", "▁internationally", "aaaaaaaaaaaa"]
+    quick, full = sf.Transducer(MODEL, "bpe"), sf.Transducer(MODEL, "bpe")
+    assert [quick.only(w) for w in words] == [full.shortest(w) for w in words]
+    assert len(quick.pairs) < 0.8 * len(full.pairs)
+    assert quick.only("a😀") is None or quick.only("a😀") == full.shortest("a😀")  # bytes: left to the lattice
+
+
 def test_joint_normalisers_are_refused(tmp_path):
     for rule in ("nfkc", "identity"):
         sentencepiece.SentencePieceTrainer.train(
