@@ -6,12 +6,13 @@ regression; the capacity is the number of hash buckets.
 * **Features.** Tokens are hashed once, to the least common multiple of all capacities; a smaller capacity folds
   these bucket numbers (``b mod c``), so texts are read and tokenized once whatever the number of capacities. Equal
   rows become one with a weight. The features of a row have length 1, and bucket -1 with value 1 is the intercept.
-  They are written once, bucketed by row, so a step finds all features of a row in one task.
+  The distinct rows are written first, as their joined tokens; their size gives the number of buckets. The features
+  are written once, bucketed by row, so a step finds all features of a row in one task.
 * **Steps.** Accelerated gradient descent on the mean log loss plus ``reg_param / 2`` times the squared weights
   (intercepts free). A step joins the features with the weights, sums the scores of each (row, capacity) inside the
   bucket, and adds the gradients of all capacities in one aggregation by (capacity, bucket), whose exchange carries
-  one row per bucket and task. The weights are rows of a DataFrame, so all steps are one lazy plan; only the features
-  are written while it is built.
+  one row per bucket and task. The weights are rows of a DataFrame, so all steps are one lazy plan; only the rows
+  and features are written while it is built.
 
 Rows of one length bound the curvature, so the step size is a constant: the softmax has second derivatives of at
 most 1/2, and a row with its intercept has squared length 2.
